@@ -100,18 +100,23 @@ def intersect_emulated(r: Roles, k: int = 200):
     return s.select("site_id", "name").orderBy("name", "site_id").limit(k)
 
 
-def site_revenue_frame(r: Roles, statuses=(SUCCESS,)):
-    """Per site: SUM of successful payment amounts and number of bookings.
+def target_revenue(r: Roles, target: str = "site_id", statuses=(SUCCESS,)):
+    """Per target id (site_id or event_id): successful revenue and booking count.
 
-    Payments are summed per booking first (partial aggregate), then per site;
-    never a sites×bookings×payments fan-out.
+    Payments are summed per booking first (partial aggregate), then per
+    target; never a target×bookings×payments fan-out.  Revenue is NULL for a
+    target whose bookings have no successful payment.
     """
     pay = per_key(r.payments, "booking_id", [F.sum("amount").alias("__amt")],
                   where=F.col("status").isin(*statuses))
-    b = r.bookings.where(F.col("site_id").isNotNull()).select("booking_id", "site_id")
-    per_site = (b.join(pay, "booking_id", "left").groupBy("site_id")
-                .agg(sum2("__amt").alias("revenue"), F.count("booking_id").alias("bookings")))
-    return (r.sites.select("site_id", "name").join(per_site, "site_id", "left")
+    b = r.bookings.where(F.col(target).isNotNull()).select("booking_id", target)
+    return (b.join(pay, "booking_id", "left").groupBy(target)
+            .agg(sum2("__amt").alias("revenue"), F.count("booking_id").alias("bookings")))
+
+
+def site_revenue_frame(r: Roles, statuses=(SUCCESS,)):
+    """Every site with its successful revenue (NULL when none) and booking count."""
+    return (r.sites.select("site_id", "name").join(target_revenue(r, "site_id", statuses), "site_id", "left")
             .fillna({"bookings": 0}))
 
 
