@@ -13,8 +13,8 @@ def profile_table(df: DataFrame, table: str, exact: bool = False) -> DataFrame:
     """One row per column: type, nullable, rows, nulls, distinct, min, max.
 
     One aggregate pass over the table (partial aggregates; approximate distinct
-    counts are HyperLogLog++ sketches unless ``exact``), then unpivoted with
-    ``stack`` — the profile has as many rows as the table has columns.
+    counts are HyperLogLog++ sketches unless ``exact``), then unpivoted by
+    exploding one struct per column — as many rows as the table has columns.
     """
     aggs: list[Column] = [F.count(F.lit(1)).alias("__rows")]
     fields = df.schema.fields
@@ -94,3 +94,4 @@ def domain_report(df: DataFrame, col: str, allowed: Sequence[str]) -> DataFrame:
     out = observed.join(F.broadcast(domain), "value", "full")
     return out.select("value", F.coalesce("rows", F.lit(0)).alias("rows"),
                       F.col("declared_position").isNotNull().alias("declared"), "declared_position")
+
