@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def group_count(df: DataFrame, by: str | Sequence[str], out: str = "cnt") -> DataFrame:
+def group_count(df: DataFrame, by: str | Column | Sequence[str | Column], out: str = "cnt") -> DataFrame:
     """A2: rows per group (NULL is a group of its own)."""
-    return df.groupBy(*([by] if isinstance(by, str) else by)).agg(F.count(F.lit(1)).alias(out))
+    keys = [by] if isinstance(by, (str, Column)) else list(by)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
 
 
 def per_key(child: DataFrame, key: str, aggs: Sequence[Column], where: Column | None = None) -> DataFrame:

@@ -59,3 +59,18 @@ def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str]
     packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])
     agg = df.groupBy(*keys).agg(F.max(packed).alias("__m"))
     return agg.select(*keys, *[F.col(f"__m.{c}").alias(c) for c in list(order) + rest]).select(*df.columns)
+
+
+def top_k_per_group(df: DataFrame, group: str | Sequence[str], order: Sequence[Column], k: int,
+                    out: str | None = None) -> DataFrame:
+    """First ``k`` rows per group under ``order`` (ties broken by ``order`` itself).
+
+    ``row_number() <= k`` lets Spark plan a partial WindowGroupLimit before the
+    shuffle, so each map task ships at most k rows per group: a hot group
+    costs k × map-partitions rows at its reducer, not the whole group.
+    """
+    keys = [group] if isinstance(group, str) else list(group)
+    rn = out or "__rn"
+    w = Window.partitionBy(*keys).orderBy(*order)
+    res = df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) <= k)
+    return res if out else res.drop(rn)
