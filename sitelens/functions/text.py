@@ -54,7 +54,8 @@ def parse_boolean_query(q: str) -> tuple[list[str], list[str], list[str]]:
             exc.append(w[1:].lower())
         else:
             opt.append(w.lower())
-    clean = lambda ws: [x for x in (re.sub(r"[^\w]", "", w) for w in ws) if x]
+    # Words shorter than the indexed minimum are ignored, as the index never holds them.
+    clean = lambda ws: [x for x in (re.sub(r"[^\w]", "", w) for w in ws) if len(x) >= MIN_TOKEN_LEN]
     return clean(req), clean(exc), clean(opt)
 
 

@@ -1,6 +1,6 @@
 """Catalogue of named queries; importing this package registers all of them."""
 
-from sitelens.plans import dashboard, events, explorer, guides, labs, listings, people, sites  # noqa: F401
+from sitelens.plans import dashboard, events, explorer, exports, guides, labs, listings, people, sites  # noqa: F401,E501
 from sitelens.plans.registry import REGISTRY, QuerySpec, query, run
 
 __all__ = ["REGISTRY", "QuerySpec", "query", "run"]

@@ -116,17 +116,17 @@ def site_search_count(r: Roles, size: int = 6, **filters):
 
 @query("L2", "site_admin_page", """
 SELECT site_id, name, location, type, ticket_price, unesco_status, created_at FROM sites
-WHERE ticket_price >= 1000 ORDER BY created_at DESC, site_id LIMIT 5 OFFSET 5""")
-def site_admin_page(r: Roles, page: int = 2, size: int = 5, sort: str = "", min_price: float | None = 1000,
+WHERE ticket_price >= 950 ORDER BY created_at DESC, site_id LIMIT 5 OFFSET 5""")
+def site_admin_page(r: Roles, page: int = 2, size: int = 5, sort: str = "", min_price: float | None = 950,
                     **filters):
-    """Admin site list: page 2 (5 rows) of sites priced ≥ 1000, newest first."""
+    """Admin site list: page 2 (5 rows) of sites priced ≥ 950, newest first."""
     return site_search(r, sort, admin=True, min_price=min_price, **filters).page(Page(page, size))
 
 
 @query("L2S", "site_admin_stats", """
 SELECT COUNT(*) AS total, MIN(ticket_price) AS min_price, MAX(ticket_price) AS max_price,
-       CAST(AVG(ticket_price) AS DECIMAL(14,6)) AS avg_price FROM sites WHERE ticket_price >= 1000""")
-def site_admin_stats(r: Roles, min_price: float | None = 1000, **filters):
+       CAST(AVG(ticket_price) AS DECIMAL(14,6)) AS avg_price FROM sites WHERE ticket_price >= 950""")
+def site_admin_stats(r: Roles, min_price: float | None = 950, **filters):
     """Filtered stats of the admin list (count, min, max, avg)."""
     f = site_search(r, admin=True, min_price=min_price, **filters).frame
     return f.agg(F.count(F.lit(1)).alias("total"), F.min("ticket_price").alias("min_price"),

@@ -211,8 +211,9 @@ def load_roles(spark: SparkSession, sf_dir: str) -> Roles:
         F.col("ts").cast("date").alias("review_date"),
     )
 
+    extra = {"documents": _read(spark, sf_dir, "documents")}
     return Roles(sites=sites, evts=evts, visitors=visitors, bookings=bookings, payments=payments,
-                 guides=guides, assignments=assignments, reviews=reviews)
+                 guides=guides, assignments=assignments, reviews=reviews, extra=extra)
 
 
 def roles_from_tables(spark: SparkSession, tables: dict[str, DataFrame], **kw) -> Roles:
