@@ -211,7 +211,7 @@ def load_roles(spark: SparkSession, sf_dir: str) -> Roles:
         F.col("ts").cast("date").alias("review_date"),
     )
 
-    extra = {"documents": _read(spark, sf_dir, "documents")}
+    extra = {"documents": _read(spark, sf_dir, "documents"), "sf_dir": sf_dir}
     return Roles(sites=sites, evts=evts, visitors=visitors, bookings=bookings, payments=payments,
                  guides=guides, assignments=assignments, reviews=reviews, extra=extra)
 
