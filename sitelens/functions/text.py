@@ -63,9 +63,13 @@ def boolean_match(c: Column | str, query: str) -> Column:
     """MATCH(col) AGAINST(query IN BOOLEAN MODE) as a row predicate.
 
     ``+w`` must occur, ``-w`` must not, bare words: at least one must occur
-    when there are no required words.  Matching is on whole tokens.
+    when there are no required words.  Matching is on whole tokens.  A query
+    with no positive term (only ``-w``, or only words too short to be
+    indexed) matches nothing, as in MySQL boolean mode.
     """
     req, exc, opt = parse_boolean_query(query)
+    if not req and not opt:
+        return F.lit(False)
     toks = tokens(c)
     pred = F.lit(True)
     for w in req:

@@ -32,15 +32,14 @@ def token_index(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def index_search(index: DataFrame, docs: DataFrame, id_col: str, query: str) -> DataFrame:
     """Rows of ``docs`` matching a boolean query, answered from the postings."""
     req, exc, opt = parse_boolean_query(query)
-    hits = None
+    if not req and not opt:
+        return docs.limit(0)   # no positive term: nothing matches
     if req:
         hits = (index.where(F.col("term").isin(*req)).groupBy(id_col)
                 .agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") == len(set(req))).select(id_col))
-    elif opt:
+    else:
         hits = index.where(F.col("term").isin(*opt)).select(id_col).distinct()
-    out = docs if hits is None else docs.join(hits, id_col, "left_semi")
+    out = docs.join(hits, id_col, "left_semi")
     if exc:
         out = out.join(index.where(F.col("term").isin(*exc)).select(id_col), id_col, "left_anti")
-    if hits is None and not exc:
-        out = out.limit(0)   # an empty query matches nothing
     return out

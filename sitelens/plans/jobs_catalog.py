@@ -101,3 +101,13 @@ def m9_contact_intake(r: Roles):
 def m10_method_domain_growth(r: Roles):
     """Payment-method domain after adding the valid proposals."""
     return intake.method_domain_growth(intake.method_domain(r.spark), rq.method_requests(r.spark, _sf(r))).accepted
+
+
+@query("T3", "daily_bookings_revenue", """
+SELECT date_trunc('day', booking_date) AS window_start, date_trunc('day', booking_date) + INTERVAL 1 DAY AS window_end,
+       COUNT(*) AS bookings, CAST(SUM(booked_ticket_price) AS DECIMAL(20,2)) AS revenue
+FROM bookings GROUP BY 1, 2""")
+def t3_daily_bookings_revenue(r: Roles):
+    """Batch core of the T3 stream: bookings and revenue per tumbling day."""
+    from sitelens.streaming.intake import daily_totals
+    return daily_totals(r.bookings)

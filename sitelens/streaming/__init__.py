@@ -1,0 +1,7 @@
+"""Structured Streaming jobs."""
+
+from sitelens.streaming.intake import (booking_batch_writer, daily_totals, dedupe_requests, payment_batch_writer,
+                                       start_daily_stream, start_intake_stream)
+
+__all__ = ["booking_batch_writer", "daily_totals", "dedupe_requests", "payment_batch_writer",
+           "start_daily_stream", "start_intake_stream"]
