@@ -53,26 +53,31 @@ def dedupe_requests(df: DataFrame, key: str = "request_id", ts: str = "ts", dela
 
 
 def _write_batch(outputs: dict[str, DataFrame], sink: str, batch_id: int) -> None:
+    """Each output goes to its own ``batch_id=<n>`` folder, replaced on replay."""
     for name, df in outputs.items():
-        df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .parquet(f"{sink.rstrip('/')}/{name}/batch_id={batch_id}")
+        df.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/{name}/batch_id={batch_id}")
 
 
-def accepted_so_far(spark: SparkSession, sink: str, name: str, like: DataFrame) -> DataFrame:
-    """Rows already written by earlier micro-batches (empty when none)."""
+def accepted_so_far(spark: SparkSession, sink: str, name: str, like: DataFrame, before_batch: int) -> DataFrame:
+    """Rows written by micro-batches before ``before_batch`` (empty when none).
+
+    The partition filter prunes the current batch's folder, so a replayed
+    batch never reads the output it is about to replace.
+    """
     path = f"{sink.rstrip('/')}/{name}"
     try:
-        return spark.read.schema(like.schema).parquet(path).select(*like.columns)
-    except Exception:  # noqa: BLE001 - no batch written yet
+        df = spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - nothing written yet
         return spark.createDataFrame([], like.schema)
+    return df.where(F.col("batch_id") < before_batch).select(*like.columns)
 
 
 def booking_batch_writer(roles: Roles, sink: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch body of T1: earlier batches' bookings/visitors count as existing."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        b_prev = accepted_so_far(spark, sink, "bookings", roles.bookings)
-        v_prev = accepted_so_far(spark, sink, "visitors", roles.visitors)
+        b_prev = accepted_so_far(spark, sink, "bookings", roles.bookings, batch_id)
+        v_prev = accepted_so_far(spark, sink, "visitors", roles.visitors, batch_id)
         current = roles.with_tables(bookings=roles.bookings.unionByName(b_prev),
                                     visitors=roles.visitors.unionByName(v_prev))
         req = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
@@ -86,7 +91,7 @@ def payment_batch_writer(roles: Roles, sink: str) -> Callable[[DataFrame, int],
     """foreachBatch body of T2: bookings settled by earlier batches count as paid."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        settled = accepted_so_far(spark, sink, "settled", spark.createDataFrame([], "booking_id bigint"))
+        settled = accepted_so_far(spark, sink, "settled", spark.createDataFrame([], "booking_id bigint"), batch_id)
         paid = settled.select(F.col("booking_id").alias("__sb"), F.lit(True).alias("__s")).distinct()
         bookings = (roles.bookings.join(paid, F.col("booking_id") == F.col("__sb"), "left")
                     .withColumn("payment_status", F.when(F.col("__s"), F.lit("paid"))
