@@ -82,3 +82,12 @@ def boolean_match(c: Column | str, query: str) -> Column:
             anyw = anyw | F.array_contains(toks, w)
         pred = pred & anyw
     return pred
+
+
+# Collation used by the case/accent-insensitive mode (MySQL utf8mb4_unicode_ci).
+CI_COLLATION = "UNICODE_CI_AI"
+
+
+def ci_key(c: Column | str) -> Column:
+    """Grouping/equality key that ignores case and accents (``ci=True`` mode)."""
+    return F.collate(_c(c), CI_COLLATION)

@@ -14,9 +14,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def group_count(df: DataFrame, by: str | Column | Sequence[str | Column], out: str = "cnt") -> DataFrame:
-    """A2: rows per group (NULL is a group of its own)."""
+def group_count(df: DataFrame, by: str | Column | Sequence[str | Column], out: str = "cnt",
+                ci: bool = False) -> DataFrame:
+    """A2: rows per group (NULL is a group of its own).
+
+    ``ci=True`` groups string keys case- and accent-insensitively (N1) and
+    reports the smallest original spelling of each group.
+    """
     keys = [by] if isinstance(by, (str, Column)) else list(by)
+    if ci and all(isinstance(k, str) for k in keys):
+        from sitelens.functions.text import ci_key
+        g = df.groupBy(*[ci_key(k).alias(f"__ci{i}") for i, k in enumerate(keys)])
+        return g.agg(*[F.min(k).alias(k) for k in keys], F.count(F.lit(1)).alias(out)).drop(
+            *[f"__ci{i}" for i in range(len(keys))])
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
 
 

@@ -1,7 +1,7 @@
 """Catalogue of named queries; importing this package registers all of them."""
 
 from sitelens.plans import (dashboard, events, explorer, exports, guides, jobs_catalog, labs,  # noqa: F401
-                            listings, people, sites)
+                            listings, people, quality, sites)
 from sitelens.plans.registry import REGISTRY, QuerySpec, query, run
 
 __all__ = ["REGISTRY", "QuerySpec", "query", "run"]

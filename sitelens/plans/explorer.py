@@ -26,9 +26,9 @@ def orderby_ticket_desc(r: Roles, k: int = 100):
 
 @query("C-X02", "count_sites_by_location", """
 SELECT location, COUNT(*) AS cnt FROM sites GROUP BY location ORDER BY cnt DESC""")
-def count_sites_by_location(r: Roles):
-    """Count of sites by location."""
-    return group_count(r.sites, "location").orderBy(F.desc("cnt"), "location")
+def count_sites_by_location(r: Roles, ci: bool = False):
+    """Count of sites by location (``ci=True``: case/accent-insensitive groups)."""
+    return group_count(r.sites, "location", ci=ci).orderBy(F.desc("cnt"), "location")
 
 
 @query("C-X03", "price_aggregates", f"""
@@ -42,9 +42,10 @@ def price_aggregates(r: Roles):
 
 @query("C-X04", "locations_with_many_sites", """
 SELECT location, COUNT(*) AS cnt FROM sites GROUP BY location HAVING COUNT(*) > 2 ORDER BY cnt DESC""")
-def locations_with_many_sites(r: Roles, min_sites: int = 2):
+def locations_with_many_sites(r: Roles, min_sites: int = 2, ci: bool = False):
     """Locations having more than ``min_sites`` sites (HAVING on an alias)."""
-    return group_count(r.sites, "location").where(F.col("cnt") > min_sites).orderBy(F.desc("cnt"), "location")
+    return (group_count(r.sites, "location", ci=ci).where(F.col("cnt") > min_sites)
+            .orderBy(F.desc("cnt"), "location"))
 
 
 @query("C-X05", "like_museum", """

@@ -155,3 +155,32 @@ def test_index_search_equals_row_predicate(roles):
         a = rows(match_rows(docs, "text", q), "doc_id")
         b = rows(index_search(idx, docs, "doc_id", q), "doc_id")
         assert a == b, q
+
+
+def test_ci_grouping_merges_case_and_accents(spark, seed):
+    sites = seed.sites.unionByName(spark.createDataFrame(
+        [(7, "x", "DHAKA", "Fort", None, "None", "d", None), (8, "y", "dháka", "Fort", None, "None", "d", None)],
+        seed.sites.schema))
+    r = seed.with_tables(sites=sites)
+    plain = {row["location"]: row["cnt"] for row in REGISTRY["c_x02_count_sites_by_location"].fn(r).collect()}
+    ci = {row["location"]: row["cnt"] for row in REGISTRY["c_x02_count_sites_by_location"].fn(r, ci=True).collect()}
+    assert plain["Dhaka"] == 2 and plain["DHAKA"] == 1
+    assert ci["DHAKA"] == 4 and None in ci
+
+
+def test_normalise_seed_repairs_names_and_types(spark):
+    from sitelens.sources.seed import normalise_seed
+    raw = spark.createDataFrame([("1", "Ann", "ann@x.org", "oops", "BD")],
+                                "visitor_id string, name string, email string, created_at string, extra string")
+    out = normalise_seed(raw, "visitors")
+    row = out.collect()[0]
+    assert out.columns == ["visitor_id", "full_name", "nationality", "email", "created_at"]
+    assert (row["visitor_id"], row["full_name"], row["created_at"]) == (1, "Ann", None)
+
+
+def test_constraint_report_on_seed(seed):
+    got = {(r["table_name"], r["rule"], r["row_id"]) for r in REGISTRY["x2r_constraint_report"].fn(seed).collect()}
+    assert ("bookings", "both_targets", 1005) in got and ("bookings", "no_target", 1006) in got
+    assert ("payments", "fk_booking_id", 9999) in got and ("payments", "method_outside_domain", 9999) in got
+    assert ("guides", "negative_salary", 4) in got and ("evts", "capacity_not_positive", 11) in got
+    assert ("visitors", "duplicate_email", 100) not in got
