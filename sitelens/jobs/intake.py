@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.operators.joins import lookup
-from sitelens.operators.windows import latest_per_key, rank_by
+from sitelens.operators.windows import latest_per_key
 from sitelens.sources.roles import DEC, Roles
 
 # The payment-method domain accepted at intake, in declaration order.
@@ -37,15 +37,32 @@ class JobResult:
     extra: dict
 
 
-def assign_ids(df: DataFrame, order_col: str, table: DataFrame, key: str, out: str) -> DataFrame:
-    """Dense new keys: max(existing key) + rank of ``order_col`` (unique) in the batch.
+def assign_ids(df: DataFrame, order_col: str, table: DataFrame, key: str, out: str,
+               partitions: int | None = None) -> DataFrame:
+    """Dense new keys: max(existing key) + position of ``order_col`` (unique) in the batch.
 
-    The rank comes from ``rank_by`` (range-bucketed prefix counts), so no
-    single task orders the whole batch.
+    The batch is range-partitioned and sorted on ``order_col`` and then
+    checkpointed (reliably, under ``spark.checkpoint.dir``): that fixes each
+    row's partition and position, cuts the lineage of the validation steps
+    before it, and survives lost executors.  A row's key is the table maximum
+    + the row counts of all earlier partitions (a ≤ ``partitions``-row table)
+    + its position inside its partition.  No task sees more than its range.
     """
+    from sitelens.session import checkpoint_dir
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     start = table.select(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).scalar()
-    ranked = rank_by(df, order_col, "__rank", descending=False)
-    return ranked.withColumn(out, (start + F.col("__rank")).cast("bigint")).drop("__rank")
+    x = (df.repartitionByRange(n, F.col(order_col)).sortWithinPartitions(order_col)
+         .withColumn("__pid", F.spark_partition_id())
+         .withColumn("__pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+         .checkpoint(eager=True))
+    sizes = x.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = sizes.select("__pid", F.coalesce(F.sum("__n").over(
+        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    return (x.join(F.broadcast(offsets), "__pid")
+            .withColumn(out, (start + F.col("__off") + F.col("__pos") + 1).cast("bigint"))
+            .drop("__pid", "__pos", "__off"))
 
 
 def _reason(checks: list[tuple[Column, str]]) -> Column:
