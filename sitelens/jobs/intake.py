@@ -227,16 +227,20 @@ def visitor_registration(r: Roles, requests: DataFrame, admin: bool = False) ->
     if admin:
         q = q.select("request_id", "ts", *[F.substring(c, 1, w).alias(c) for c, w in VISITOR_WIDTHS.items()])
     existing = r.visitors.select(F.lower("email").alias("__e")).distinct()
-    first = (q.groupBy("email").agg(F.min(F.struct("ts", "request_id")).alias("__f"))
-             .select(F.col("email").alias("__fe"), F.col("__f.request_id").alias("__fr")))
-    q = (q.join(existing, F.col("email") == F.col("__e"), "left")
-         .join(first, F.col("email") == F.col("__fe"), "left"))
-    reason = _reason([
+    q = q.join(existing, F.col("email") == F.col("__e"), "left")
+    base = _reason([
         (_blank(F.col("full_name")) | _blank(F.col("email")), "required_field_missing"),
         (~F.col("email").rlike(EMAIL_RE), "invalid_email"),
         (F.col("__e").isNotNull(), "email_exists"),
-        (F.col("request_id") != F.col("__fr"), "email_exists"),
     ])
+    q = q.withColumn("__base", base)
+    # Among the requests that would register, the earliest per email wins; the
+    # others find the email taken (requests that fail validation never register).
+    first = (q.where(F.col("__base").isNull()).groupBy("email")
+             .agg(F.min(F.struct("ts", "request_id")).alias("__f"))
+             .select(F.col("email").alias("__fe"), F.col("__f.request_id").alias("__fr")))
+    q = q.join(first, F.col("email") == F.col("__fe"), "left")
+    reason = F.coalesce(F.col("__base"), F.when(F.col("request_id") != F.col("__fr"), F.lit("email_exists")))
     q = q.withColumn("reject_reason", reason)
     rejects = q.where(F.col("reject_reason").isNotNull()).select("request_id", "ts", "reject_reason")
     ok = assign_ids(q.where(F.col("reject_reason").isNull()), "request_id", r.visitors, "visitor_id", "visitor_id")

@@ -12,23 +12,193 @@ from sitelens.sources import requests as rq
 from sitelens.sources.roles import Roles
 
 
+_SQL_M1 = r"""
+, req AS (
+  SELECT o_orderkey AS request_id, o_orderdate + INTERVAL 1 DAY AS ts,
+         CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS visitor_id,
+         TRIM(CASE WHEN o_orderkey % 7 = 0 THEN c_name END) AS name,
+         TRIM(CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 19 <> 0 THEN
+              CASE WHEN o_orderkey % 3 = 0 THEN LOWER(c_name) || '@example.com'
+                   ELSE 'guest' || CAST(o_orderkey % 500 AS VARCHAR) || '@example.org' END END) AS email,
+         CAST(CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN -1 - o_orderkey
+                   WHEN o_orderkey % 2 = 0 OR o_orderkey % 11 = 0 THEN o_custkey % (SELECT COUNT(*) FROM part)
+              END AS BIGINT) AS site_id,
+         CAST(CASE WHEN o_orderkey % 13 = 0 THEN NULL
+                   WHEN o_orderkey % 2 = 1 OR o_orderkey % 11 = 0 THEN (o_orderkey * 3) % (SELECT COUNT(*) FROM events)
+              END AS BIGINT) AS event_id,
+         GREATEST(1, CAST(o_orderkey % 6 - 1 AS INT)) AS no_of_tickets
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+chk AS (
+  SELECT q.*, s.ticket_price AS sp, e.ticket_price AS ep,
+         CASE WHEN q.site_id IS NULL AND q.event_id IS NULL THEN 'no_target'
+              WHEN q.site_id IS NOT NULL AND s.ticket_price IS NULL THEN 'site_not_found'
+              WHEN q.site_id IS NULL AND e.ticket_price IS NULL THEN 'event_not_found'
+              WHEN q.site_id IS NOT NULL AND q.event_id IS NOT NULL THEN 'both_targets'
+              WHEN q.visitor_id IS NULL AND (q.name IS NULL OR TRIM(q.name) = '' OR q.email IS NULL OR TRIM(q.email) = '')
+                THEN 'guest_name_email_required' END AS reject_reason
+  FROM req q LEFT JOIN sites s ON s.site_id = q.site_id LEFT JOIN evts e ON e.event_id = q.event_id),
+ok AS (SELECT * FROM chk WHERE reject_reason IS NULL),
+known AS (SELECT ok.request_id, v.visitor_id AS vid FROM ok JOIN visitors v ON ok.visitor_id IS NULL AND v.email = ok.email),
+fresh AS (SELECT email, MIN(request_id) AS first_req FROM ok
+          WHERE visitor_id IS NULL AND request_id NOT IN (SELECT request_id FROM known) GROUP BY email),
+fresh_ids AS (SELECT email, (SELECT MAX(visitor_id) FROM visitors) + ROW_NUMBER() OVER (ORDER BY first_req) AS nvid
+              FROM fresh)
+SELECT (SELECT MAX(booking_id) FROM bookings) + ROW_NUMBER() OVER (ORDER BY ok.request_id) AS booking_id,
+       COALESCE(ok.visitor_id, k.vid, f.nvid) AS visitor_id, ok.site_id, ok.event_id, ok.ts AS booking_date,
+       CAST(ok.no_of_tickets AS BIGINT) AS no_of_tickets,
+       CAST(CASE WHEN ok.site_id IS NOT NULL THEN ok.sp ELSE ok.ep END * ok.no_of_tickets AS DECIMAL(10,2))
+         AS booked_ticket_price,
+       'pending' AS payment_status
+FROM ok LEFT JOIN known k ON k.request_id = ok.request_id
+LEFT JOIN fresh_ids f ON ok.visitor_id IS NULL AND k.vid IS NULL AND f.email = ok.email"""
+
+
+_SQL_M1R = r"""
+, req AS (
+  SELECT o_orderkey AS request_id, o_orderdate + INTERVAL 1 DAY AS ts,
+         CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS visitor_id,
+         TRIM(CASE WHEN o_orderkey % 7 = 0 THEN c_name END) AS name,
+         TRIM(CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 19 <> 0 THEN
+              CASE WHEN o_orderkey % 3 = 0 THEN LOWER(c_name) || '@example.com'
+                   ELSE 'guest' || CAST(o_orderkey % 500 AS VARCHAR) || '@example.org' END END) AS email,
+         CAST(CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN -1 - o_orderkey
+                   WHEN o_orderkey % 2 = 0 OR o_orderkey % 11 = 0 THEN o_custkey % (SELECT COUNT(*) FROM part)
+              END AS BIGINT) AS site_id,
+         CAST(CASE WHEN o_orderkey % 13 = 0 THEN NULL
+                   WHEN o_orderkey % 2 = 1 OR o_orderkey % 11 = 0 THEN (o_orderkey * 3) % (SELECT COUNT(*) FROM events)
+              END AS BIGINT) AS event_id,
+         GREATEST(1, CAST(o_orderkey % 6 - 1 AS INT)) AS no_of_tickets
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+chk AS (
+  SELECT q.*, s.ticket_price AS sp, e.ticket_price AS ep,
+         CASE WHEN q.site_id IS NULL AND q.event_id IS NULL THEN 'no_target'
+              WHEN q.site_id IS NOT NULL AND s.ticket_price IS NULL THEN 'site_not_found'
+              WHEN q.site_id IS NULL AND e.ticket_price IS NULL THEN 'event_not_found'
+              WHEN q.site_id IS NOT NULL AND q.event_id IS NOT NULL THEN 'both_targets'
+              WHEN q.visitor_id IS NULL AND (q.name IS NULL OR TRIM(q.name) = '' OR q.email IS NULL OR TRIM(q.email) = '')
+                THEN 'guest_name_email_required' END AS reject_reason
+  FROM req q LEFT JOIN sites s ON s.site_id = q.site_id LEFT JOIN evts e ON e.event_id = q.event_id)
+SELECT request_id, ts, reject_reason FROM chk WHERE reject_reason IS NOT NULL"""
+
+
+_SQL_M7 = r"""
+, req AS (
+  SELECT event_id AS request_id, ts, user_id AS visitor_id,
+         CASE WHEN event_id % 13 <> 0 AND event_id % 2 = 0 THEN event_id % (SELECT COUNT(*) FROM part) END AS site_id,
+         CASE WHEN event_id % 13 <> 0 AND (event_id % 2 = 1 OR event_id % 9 = 0) THEN event_id END AS event_id,
+         CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST(event_id % 8 - 1 AS INT) END AS rating,
+         '  ' || event_type || ' review  ' AS comment
+  FROM events WHERE event_type = 'purchase'),
+ok AS (SELECT * FROM req WHERE NOT (site_id IS NULL AND event_id IS NULL)
+                            AND NOT (site_id IS NOT NULL AND event_id IS NOT NULL))
+SELECT (SELECT MAX(review_id) FROM reviews) + ROW_NUMBER() OVER (ORDER BY request_id) AS review_id,
+       visitor_id, site_id, event_id, CAST(GREATEST(1, LEAST(5, COALESCE(rating, 5))) AS INT) AS rating,
+       TRIM(comment) AS comment, CAST(ts AS DATE) AS review_date
+FROM ok"""
+
+
+_SQL_M8 = r"""
+, req AS (
+  SELECT c_custkey AS request_id, TIMESTAMP '2002-01-01 00:00:00' AS ts,
+         TRIM(CASE WHEN c_custkey % 29 = 0 THEN '  ' ELSE ' ' || c_name END) AS full_name,
+         LOWER(TRIM(CASE WHEN c_custkey % 23 = 0 THEN 'not-an-email'
+                         WHEN c_custkey % 5 = 0 THEN 'DUP' || CAST(c_custkey % 40 AS VARCHAR) || '@Example.net  '
+                         ELSE 'new' || CAST(c_custkey AS VARCHAR) || '@example.net' END)) AS email,
+         TRIM(n_name) AS nationality
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
+chk AS (
+  SELECT q.*, CASE WHEN full_name IS NULL OR full_name = '' OR email IS NULL OR email = '' THEN 'required_field_missing'
+                   WHEN NOT regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$') THEN 'invalid_email'
+                   WHEN EXISTS (SELECT 1 FROM visitors v WHERE LOWER(v.email) = q.email) THEN 'email_exists' END AS base
+  FROM req q),
+ranked AS (SELECT *, CASE WHEN base IS NULL THEN ROW_NUMBER() OVER (PARTITION BY email, base IS NULL
+                                                                   ORDER BY ts, request_id) END AS rn FROM chk)
+SELECT (SELECT MAX(visitor_id) FROM visitors) + ROW_NUMBER() OVER (ORDER BY request_id) AS visitor_id,
+       full_name, nationality, email, CAST(ts AS DATE) AS created_at
+FROM ranked WHERE base IS NULL AND rn = 1"""
+
+
+_SQL_M8R = r"""
+, req AS (
+  SELECT c_custkey AS request_id, TIMESTAMP '2002-01-01 00:00:00' AS ts,
+         TRIM(CASE WHEN c_custkey % 29 = 0 THEN '  ' ELSE ' ' || c_name END) AS full_name,
+         LOWER(TRIM(CASE WHEN c_custkey % 23 = 0 THEN 'not-an-email'
+                         WHEN c_custkey % 5 = 0 THEN 'DUP' || CAST(c_custkey % 40 AS VARCHAR) || '@Example.net  '
+                         ELSE 'new' || CAST(c_custkey AS VARCHAR) || '@example.net' END)) AS email,
+         TRIM(n_name) AS nationality
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
+chk AS (
+  SELECT q.*, CASE WHEN full_name IS NULL OR full_name = '' OR email IS NULL OR email = '' THEN 'required_field_missing'
+                   WHEN NOT regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$') THEN 'invalid_email'
+                   WHEN EXISTS (SELECT 1 FROM visitors v WHERE LOWER(v.email) = q.email) THEN 'email_exists' END AS base
+  FROM req q),
+ranked AS (SELECT *, CASE WHEN base IS NULL THEN ROW_NUMBER() OVER (PARTITION BY email, base IS NULL
+                                                                   ORDER BY ts, request_id) END AS rn FROM chk)
+SELECT request_id, ts, COALESCE(base, 'email_exists') AS reject_reason FROM ranked WHERE base IS NOT NULL OR rn > 1"""
+
+
+_SQL_M9 = r"""
+, req AS (
+  SELECT c_custkey AS request_id, TIMESTAMP '2002-01-01 00:00:00' AS ts, TRIM(c_name) AS name,
+         TRIM(CASE WHEN c_custkey % 6 = 0 THEN '' ELSE LOWER(c_name) || '@example.com' END) AS email,
+         TRIM(CASE WHEN c_custkey % 4 = 0 THEN '   ' ELSE ' Hello from ' || c_mktsegment END) AS message
+  FROM customer)
+SELECT * FROM req WHERE NOT (email IS NULL OR email = '' OR message IS NULL OR message = '')"""
+
+
+_SQL_M1V = r"""
+, req AS (
+  SELECT o_orderkey AS request_id, o_orderdate + INTERVAL 1 DAY AS ts,
+         CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS visitor_id,
+         TRIM(CASE WHEN o_orderkey % 7 = 0 THEN c_name END) AS name,
+         TRIM(CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 19 <> 0 THEN
+              CASE WHEN o_orderkey % 3 = 0 THEN LOWER(c_name) || '@example.com'
+                   ELSE 'guest' || CAST(o_orderkey % 500 AS VARCHAR) || '@example.org' END END) AS email,
+         CAST(CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN -1 - o_orderkey
+                   WHEN o_orderkey % 2 = 0 OR o_orderkey % 11 = 0 THEN o_custkey % (SELECT COUNT(*) FROM part)
+              END AS BIGINT) AS site_id,
+         CAST(CASE WHEN o_orderkey % 13 = 0 THEN NULL
+                   WHEN o_orderkey % 2 = 1 OR o_orderkey % 11 = 0 THEN (o_orderkey * 3) % (SELECT COUNT(*) FROM events)
+              END AS BIGINT) AS event_id,
+         GREATEST(1, CAST(o_orderkey % 6 - 1 AS INT)) AS no_of_tickets
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+chk AS (
+  SELECT q.*, s.ticket_price AS sp, e.ticket_price AS ep,
+         CASE WHEN q.site_id IS NULL AND q.event_id IS NULL THEN 'no_target'
+              WHEN q.site_id IS NOT NULL AND s.ticket_price IS NULL THEN 'site_not_found'
+              WHEN q.site_id IS NULL AND e.ticket_price IS NULL THEN 'event_not_found'
+              WHEN q.site_id IS NOT NULL AND q.event_id IS NOT NULL THEN 'both_targets'
+              WHEN q.visitor_id IS NULL AND (q.name IS NULL OR TRIM(q.name) = '' OR q.email IS NULL OR TRIM(q.email) = '')
+                THEN 'guest_name_email_required' END AS reject_reason
+  FROM req q LEFT JOIN sites s ON s.site_id = q.site_id LEFT JOIN evts e ON e.event_id = q.event_id),
+ok AS (SELECT * FROM chk WHERE reject_reason IS NULL),
+known AS (SELECT ok.request_id, v.visitor_id AS vid FROM ok JOIN visitors v ON ok.visitor_id IS NULL AND v.email = ok.email),
+fresh AS (SELECT email, MIN(request_id) AS first_req FROM ok
+          WHERE visitor_id IS NULL AND request_id NOT IN (SELECT request_id FROM known) GROUP BY email),
+fresh_ids AS (SELECT email, (SELECT MAX(visitor_id) FROM visitors) + ROW_NUMBER() OVER (ORDER BY first_req) AS nvid
+              FROM fresh)
+SELECT f.nvid AS visitor_id, o.name AS full_name, CAST(NULL AS VARCHAR) AS nationality, f.email,
+       CAST(o.ts AS DATE) AS created_at
+FROM fresh_ids f JOIN fresh x ON x.email = f.email JOIN ok o ON o.request_id = x.first_req"""
+
+
 def _sf(r: Roles) -> str:
     return r.extra["sf_dir"]
 
 
-@query("M1", "booking_intake")
+@query("M1", "booking_intake", _SQL_M1)
 def m1_booking_intake(r: Roles):
     """New bookings created from the booking requests."""
     return intake.booking_intake(r, rq.booking_requests(r.spark, _sf(r))).accepted
 
 
-@query("M1R", "booking_intake_rejects")
+@query("M1R", "booking_intake_rejects", _SQL_M1R)
 def m1_booking_rejects(r: Roles):
     """Rejected booking requests with their reason."""
     return intake.booking_intake(r, rq.booking_requests(r.spark, _sf(r))).rejects
 
 
-@query("M1V", "booking_intake_new_visitors")
+@query("M1V", "booking_intake_new_visitors", _SQL_M1V)
 def m1_new_visitors(r: Roles):
     """Guest visitors registered by the booking intake (one per new email)."""
     return intake.booking_intake(r, rq.booking_requests(r.spark, _sf(r))).extra["visitors"]
@@ -73,25 +243,25 @@ def m6_reconciliation(r: Roles):
     return reconciliation(r)
 
 
-@query("M7", "review_intake")
+@query("M7", "review_intake", _SQL_M7)
 def m7_review_intake(r: Roles):
     """New reviews from review requests (clamped ratings, one target)."""
     return intake.review_intake(r, rq.review_requests(r.spark, _sf(r))).accepted
 
 
-@query("M8", "visitor_registration")
+@query("M8", "visitor_registration", _SQL_M8)
 def m8_visitor_registration(r: Roles):
     """New visitors from sign-up requests (unique lower-cased email, first wins)."""
     return intake.visitor_registration(r, rq.signup_requests(r.spark, _sf(r))).accepted
 
 
-@query("M8R", "visitor_registration_rejects")
+@query("M8R", "visitor_registration_rejects", _SQL_M8R)
 def m8_visitor_rejects(r: Roles):
     """Rejected sign-ups with their reason."""
     return intake.visitor_registration(r, rq.signup_requests(r.spark, _sf(r))).rejects
 
 
-@query("M9", "contact_intake")
+@query("M9", "contact_intake", _SQL_M9)
 def m9_contact_intake(r: Roles):
     """Accepted contact messages."""
     return intake.contact_intake(rq.contact_requests(r.spark, _sf(r))).accepted

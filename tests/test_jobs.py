@@ -90,6 +90,15 @@ def test_review_and_signup_intake(spark, seed):
     assert rej == {2: "email_exists", 3: "invalid_email", 4: "email_exists", 5: "required_field_missing"}
 
 
+def test_signup_first_valid_request_wins(spark, seed):
+    su = spark.createDataFrame([(1, TS, "  ", "eve@x.org", "1", "BD"), (2, TS, "Eve", "EVE@x.org", "2", "BD")],
+                               "request_id long, ts timestamp_ntz, full_name string, email string, phone string, "
+                               "nationality string")
+    res = intake.visitor_registration(seed, su)
+    assert [(r["full_name"], r["email"]) for r in res.accepted.collect()] == [("Eve", "eve@x.org")]
+    assert {r["request_id"]: r["reject_reason"] for r in res.rejects.collect()} == {1: "required_field_missing"}
+
+
 def test_upsert_idempotent_and_latest_wins(spark, seed):
     ch = spark.createDataFrame([(1, "upsert", TS, "R1", None), (1, "upsert", TS + dt.timedelta(1), "R2", None),
                                 (2, "delete", TS, None, None), (9, "upsert", TS, "New", Decimal("1.00"))],
