@@ -182,6 +182,81 @@ SELECT f.nvid AS visitor_id, o.name AS full_name, CAST(NULL AS VARCHAR) AS natio
 FROM fresh_ids f JOIN fresh x ON x.email = f.email JOIN ok o ON o.request_id = x.first_req"""
 
 
+_SQL_M2 = r"""
+, att AS (
+  SELECT o_orderkey * 2 AS request_id, o_orderdate + INTERVAL 2 DAY AS ts, o_orderkey AS booking_id,
+         CASE WHEN o_orderkey % 9 = 0 THEN 'paypal' ELSE 'card' END AS method FROM orders
+  UNION ALL
+  SELECT o_orderkey * 2 + 1, o_orderdate + INTERVAL 3 DAY, o_orderkey, ' BKash' FROM orders WHERE o_orderkey % 5 = 0),
+a AS (SELECT att.request_id, att.ts, att.booking_id, LOWER(TRIM(att.method)) AS method, b.booking_id AS bid,
+             b.payment_status, b.booked_ticket_price
+      FROM att LEFT JOIN bookings b ON b.booking_id = att.booking_id),
+firsts AS (SELECT booking_id, request_id FROM (
+             SELECT booking_id, request_id, ROW_NUMBER() OVER (PARTITION BY booking_id ORDER BY ts, request_id) AS rn
+             FROM a WHERE bid IS NOT NULL AND method IN ('bkash', 'nagad', 'rocket', 'card', 'bank_transfer')) x
+           WHERE rn = 1),
+r AS (SELECT a.*, CASE WHEN a.bid IS NULL THEN 'booking_not_found'
+                       WHEN a.method NOT IN ('bkash', 'nagad', 'rocket', 'card', 'bank_transfer') THEN 'invalid_method'
+                       WHEN a.payment_status = 'paid' THEN 'already_paid'
+                       WHEN a.booked_ticket_price <= 0 THEN 'invalid_amount'
+                       WHEN a.request_id <> f.request_id THEN 'already_paid' END AS reject_reason
+      FROM a LEFT JOIN firsts f ON f.booking_id = a.booking_id),
+win AS (SELECT booking_id, ts, method, booked_ticket_price AS amt FROM r WHERE reject_reason IS NULL),
+lp AS (SELECT * FROM (
+         SELECT p.*, ROW_NUMBER() OVER (PARTITION BY p.booking_id ORDER BY p.paid_at DESC NULLS LAST,
+                p.attempt_no DESC NULLS LAST, p.acquirer_id DESC NULLS LAST, p.amount DESC NULLS LAST,
+                p.method DESC NULLS LAST, p.status DESC NULLS LAST) AS rn
+         FROM payments p WHERE p.booking_id IN (SELECT booking_id FROM win)) x WHERE rn = 1)
+SELECT p.booking_id, p.attempt_no, p.acquirer_id,
+       CASE WHEN lp.booking_id IS NOT NULL THEN CAST(w.amt AS DECIMAL(10,2)) ELSE p.amount END AS amount,
+       CASE WHEN lp.booking_id IS NOT NULL THEN w.method ELSE p.method END AS method,
+       CASE WHEN lp.booking_id IS NOT NULL THEN 'successful' ELSE p.status END AS status,
+       CASE WHEN lp.booking_id IS NOT NULL THEN w.ts ELSE p.paid_at END AS paid_at
+FROM payments p
+LEFT JOIN lp ON lp.booking_id = p.booking_id AND lp.paid_at IS NOT DISTINCT FROM p.paid_at
+  AND lp.attempt_no IS NOT DISTINCT FROM p.attempt_no AND lp.acquirer_id IS NOT DISTINCT FROM p.acquirer_id
+  AND lp.amount IS NOT DISTINCT FROM p.amount AND lp.method IS NOT DISTINCT FROM p.method
+  AND lp.status IS NOT DISTINCT FROM p.status
+LEFT JOIN win w ON w.booking_id = lp.booking_id
+UNION ALL
+SELECT w.booking_id, 1, CAST(NULL AS BIGINT), CAST(w.amt AS DECIMAL(10,2)), w.method, 'initiated', w.ts
+FROM win w WHERE NOT EXISTS (SELECT 1 FROM payments p WHERE p.booking_id = w.booking_id)"""
+
+
+_SQL_M2R = r"""
+, att AS (
+  SELECT o_orderkey * 2 AS request_id, o_orderdate + INTERVAL 2 DAY AS ts, o_orderkey AS booking_id,
+         CASE WHEN o_orderkey % 9 = 0 THEN 'paypal' ELSE 'card' END AS method FROM orders
+  UNION ALL
+  SELECT o_orderkey * 2 + 1, o_orderdate + INTERVAL 3 DAY, o_orderkey, ' BKash' FROM orders WHERE o_orderkey % 5 = 0),
+a AS (SELECT att.request_id, att.ts, att.booking_id, LOWER(TRIM(att.method)) AS method, b.booking_id AS bid,
+             b.payment_status, b.booked_ticket_price
+      FROM att LEFT JOIN bookings b ON b.booking_id = att.booking_id),
+firsts AS (SELECT booking_id, request_id FROM (
+             SELECT booking_id, request_id, ROW_NUMBER() OVER (PARTITION BY booking_id ORDER BY ts, request_id) AS rn
+             FROM a WHERE bid IS NOT NULL AND method IN ('bkash', 'nagad', 'rocket', 'card', 'bank_transfer')) x
+           WHERE rn = 1),
+r AS (SELECT a.*, CASE WHEN a.bid IS NULL THEN 'booking_not_found'
+                       WHEN a.method NOT IN ('bkash', 'nagad', 'rocket', 'card', 'bank_transfer') THEN 'invalid_method'
+                       WHEN a.payment_status = 'paid' THEN 'already_paid'
+                       WHEN a.booked_ticket_price <= 0 THEN 'invalid_amount'
+                       WHEN a.request_id <> f.request_id THEN 'already_paid' END AS reject_reason
+      FROM a LEFT JOIN firsts f ON f.booking_id = a.booking_id)
+SELECT request_id, ts, reject_reason FROM r WHERE reject_reason IS NOT NULL"""
+
+
+_SQL_M4 = r"""
+, ds AS (SELECT site_id FROM sites WHERE unesco_status = 'None' AND ticket_price < 905),
+de AS (SELECT event_id FROM evts WHERE site_id IN (SELECT site_id FROM ds)),
+f AS (SELECT 'bookings' AS table_name, booking_id AS row_id, site_id, event_id FROM bookings
+      UNION ALL SELECT 'assignments', assign_id, site_id, event_id FROM assignments
+      UNION ALL SELECT 'reviews', review_id, site_id, event_id FROM reviews),
+g AS (SELECT f.*, COALESCE(site_id IN (SELECT site_id FROM ds), FALSE) AS hs,
+             COALESCE(event_id IN (SELECT event_id FROM de), FALSE) AS he FROM f)
+SELECT table_name, row_id, CASE WHEN hs THEN 'site_id' ELSE 'event_id' END AS nulled_column FROM g
+WHERE (hs OR he) AND (site_id IS NULL OR hs) AND (event_id IS NULL OR he)"""
+
+
 def _sf(r: Roles) -> str:
     return r.extra["sf_dir"]
 
@@ -204,19 +279,19 @@ def m1_new_visitors(r: Roles):
     return intake.booking_intake(r, rq.booking_requests(r.spark, _sf(r))).extra["visitors"]
 
 
-@query("M2", "payment_settlement")
+@query("M2", "payment_settlement", _SQL_M2)
 def m2_payment_settlement(r: Roles):
     """Next payments table after settling the payment attempts."""
     return intake.payment_settlement(r, rq.payment_attempts(r.spark, _sf(r))).extra["payments"]
 
 
-@query("M2R", "payment_settlement_rejects")
+@query("M2R", "payment_settlement_rejects", _SQL_M2R)
 def m2_payment_rejects(r: Roles):
     """Rejected payment attempts with their reason."""
     return intake.payment_settlement(r, rq.payment_attempts(r.spark, _sf(r))).rejects
 
 
-@query("M4", "delete_cascade_conflicts")
+@query("M4", "delete_cascade_conflicts", _SQL_M4)
 def m4_delete_conflicts(r: Roles):
     """XOR conflicts after deleting the cheapest 'None'-status sites and their events (cascade)."""
     gone = r.sites.where((F.col("unesco_status") == "None") & (F.col("ticket_price") < 905)).select("site_id")
