@@ -46,7 +46,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = list(REGISTRY) if "--all" in sys.argv else HEADLINE
-    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus))
+    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=parts)
     roles = load_roles(spark, sf_dir)
     # Warm-up: JVM, file listing and codegen caches.
     REGISTRY["c_x03_price_aggregates"].fn(roles).write.format("noop").mode("overwrite").save()

@@ -266,7 +266,7 @@ def method_domain_growth(domain: DataFrame, proposals: DataFrame) -> JobResult:
     """Extend the method domain with valid new codes (regex, label ≤ 150, no duplicates).
 
     ``domain`` has (code, label, position); new codes get the next positions
-    in code order.
+    in code order (dense, via ``assign_ids``).
     """
     p = proposals.select(F.lower(F.trim("code")).alias("code"), F.trim("label").alias("label"))
     p = p.withColumn("reject_reason", _reason([
@@ -275,11 +275,8 @@ def method_domain_growth(domain: DataFrame, proposals: DataFrame) -> JobResult:
     rejects = p.where(F.col("reject_reason").isNotNull())
     ok = (p.where(F.col("reject_reason").isNull()).groupBy("code").agg(F.min("label").alias("label"))
           .join(domain.select("code"), "code", "left_anti"))
-    start = domain.select(F.coalesce(F.max("position"), F.lit(0))).scalar()
-    ranked = ok.withColumn("__h", F.xxhash64("code"))
-    from sitelens.operators.windows import rank_by as _rank
-    new = (_rank(ranked, "__h", "__r", descending=False)
-           .select("code", "label", (start + F.col("__r")).cast("int").alias("position")))
+    new = assign_ids(ok, "code", domain, "position", "position").select(
+        "code", "label", F.col("position").cast("int").alias("position"))
     return JobResult(domain.select("code", "label", "position").unionByName(new), rejects, {"added": new})
 
 

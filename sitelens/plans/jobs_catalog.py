@@ -257,6 +257,22 @@ SELECT table_name, row_id, CASE WHEN hs THEN 'site_id' ELSE 'event_id' END AS nu
 WHERE (hs OR he) AND (site_id IS NULL OR hs) AND (event_id IS NULL OR he)"""
 
 
+_SQL_M10 = r"""
+, dom AS (SELECT * FROM (VALUES ('bkash', 'Bkash', 1), ('nagad', 'Nagad', 2), ('rocket', 'Rocket', 3),
+                               ('card', 'Card', 4), ('bank_transfer', 'Bank transfer', 5)) d(code, label, position)),
+seg AS (SELECT DISTINCT c_mktsegment FROM customer),
+prop AS (SELECT 'wallet_' || LOWER(c_mktsegment) AS code, 'Wallet ' || c_mktsegment AS label FROM seg
+         UNION ALL SELECT 'Bad Code ' || LOWER(c_mktsegment), 'x' FROM seg),
+ok AS (SELECT LOWER(TRIM(code)) AS code, MIN(TRIM(label)) AS label FROM prop
+       WHERE regexp_matches(LOWER(TRIM(code)), '^[a-z0-9_\-]{2,40}$')
+         AND TRIM(label) <> '' AND LENGTH(TRIM(label)) <= 150
+       GROUP BY LOWER(TRIM(code))),
+new AS (SELECT code, label FROM ok WHERE code NOT IN (SELECT code FROM dom))
+SELECT code, label, position FROM dom
+UNION ALL
+SELECT code, label, CAST((SELECT MAX(position) FROM dom) + ROW_NUMBER() OVER (ORDER BY code) AS INT) FROM new"""
+
+
 def _sf(r: Roles) -> str:
     return r.extra["sf_dir"]
 
@@ -342,7 +358,7 @@ def m9_contact_intake(r: Roles):
     return intake.contact_intake(rq.contact_requests(r.spark, _sf(r))).accepted
 
 
-@query("M10", "method_domain_growth")
+@query("M10", "method_domain_growth", _SQL_M10)
 def m10_method_domain_growth(r: Roles):
     """Payment-method domain after adding the valid proposals."""
     return intake.method_domain_growth(intake.method_domain(r.spark), rq.method_requests(r.spark, _sf(r))).accepted
