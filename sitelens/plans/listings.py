@@ -404,3 +404,66 @@ def visitor_bookings_list_query(r: Roles, status: str = "paid", date_from: str =
                                 date_to: str = "2000-12-31", **kw):
     """Visitor-detail bookings: paid bookings in 2000 with their target (all visitors)."""
     return visitor_bookings_list(r, status=status, date_from=date_from, date_to=date_to, **kw).frame
+
+
+PAYMENT_SORTS = {"paid_desc": ("paid_at", False), "paid_asc": ("paid_at", True),
+                 "amount_desc": ("amount", False), "amount_asc": ("amount", True)}
+REVIEW_SORTS = {"date_desc": ("review_date", False), "date_asc": ("review_date", True),
+                "rating_desc": ("rating", False), "rating_asc": ("rating", True)}
+
+
+def visitor_payments_list(r: Roles, visitor_id: int | None = None, status: str | None = None,
+                          method: str | None = None, min_amount: float | None = None,
+                          max_amount: float | None = None, sort: str = "paid_desc") -> Listing:
+    """L8 payments: status, method, amount range; allow-listed sort (raw ORDER BY text is not accepted)."""
+    b = r.bookings.select("booking_id", "visitor_id")
+    if visitor_id is not None:
+        b = b.where(F.col("visitor_id") == visitor_id)
+    preds: list[Column] = []
+    if status:
+        preds.append(F.col("status") == status)
+    if method:
+        preds.append(F.col("method") == method)
+    if min_amount is not None:
+        preds.append(F.col("amount") >= min_amount)
+    if max_amount is not None:
+        preds.append(F.col("amount") <= max_amount)
+    p = r.payments.where(_and(preds)).join(b, "booking_id")
+    return Listing(p, _sort(PAYMENT_SORTS, sort, "paid_desc") +
+                   [F.asc(c) for c in ("booking_id", "attempt_no", "acquirer_id", "amount", "method", "status")])
+
+
+@query("L8P", "visitor_payments_list", """
+SELECT p.*, b.visitor_id FROM payments p JOIN bookings b ON p.booking_id = b.booking_id
+WHERE p.status = 'successful' AND p.method = 'card' AND p.amount >= 1000 AND p.amount <= 50000""")
+def visitor_payments_list_query(r: Roles, status: str = "successful", method: str = "card",
+                                min_amount: float = 1000, max_amount: float = 50000, **kw):
+    """Visitor-detail payments: successful card payments between two amounts (all visitors)."""
+    return visitor_payments_list(r, status=status, method=method, min_amount=min_amount,
+                                 max_amount=max_amount, **kw).frame
+
+
+def visitor_reviews_list(r: Roles, visitor_id: int | None = None, rating: int | None = None,
+                         keyword: str | None = None, sort: str = "date_desc") -> Listing:
+    """L8 reviews: exact rating, keyword on the comment or the site/event name; allow-listed sort."""
+    rv = r.reviews
+    if visitor_id is not None:
+        rv = rv.where(F.col("visitor_id") == visitor_id)
+    if rating:
+        rv = rv.where(F.col("rating") == rating)
+    rv = lookup(rv, r.sites, "site_id", "site_id", {"name": "site_name"}, salt_by="review_id")
+    rv = lookup(rv, r.evts, "event_id", "event_id", {"name": "event_name"}, salt_by="review_id")
+    if keyword:
+        rv = rv.where(F.coalesce(contains_like("comment", keyword), F.lit(False))
+                      | F.coalesce(contains_like("site_name", keyword), F.lit(False))
+                      | F.coalesce(contains_like("event_name", keyword), F.lit(False)))
+    return Listing(rv, _sort(REVIEW_SORTS, sort, "date_desc") + [F.asc("review_id")])
+
+
+@query("L8R", "visitor_reviews_list", """
+SELECT r.*, s.name AS site_name, e.name AS event_name FROM reviews r
+LEFT JOIN sites s ON r.site_id = s.site_id LEFT JOIN evts e ON r.event_id = e.event_id
+WHERE r.rating = 4 AND (r.comment LIKE '%click%' OR s.name LIKE '%click%' OR e.name LIKE '%click%')""")
+def visitor_reviews_list_query(r: Roles, rating: int = 4, keyword: str = "click", **kw):
+    """Visitor-detail reviews: rating 4 whose comment or target mentions a keyword (all visitors)."""
+    return visitor_reviews_list(r, rating=rating, keyword=keyword, **kw).frame

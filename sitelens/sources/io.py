@@ -33,14 +33,16 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
 
 
 def write_version(df: DataFrame, base: str, version: str | None = None) -> str:
-    """Write the next version of a table under ``base/v=<version>``.
+    """Write a version of a table under ``base/v=<version>``.
 
-    Jobs that rewrite a table (upserts, deletes) never overwrite the version
-    they read; readers switch to the new folder once the write has finished.
+    Jobs that rewrite a table (upserts, deletes) write a new version instead
+    of touching the one they read; readers switch once the write finished.
+    Re-running a job with the same version id replaces that version, so a
+    retried job is idempotent.
     """
     v = version or time.strftime("%Y%m%d%H%M%S")
     path = f"{base.rstrip('/')}/v={v}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return path
 
 
