@@ -10,9 +10,9 @@ Design notes for scale:
 * Left joins on a nullable foreign key (XOR targets: a booking points at a
   site *or* an event) would hash every NULL key into one reducer.  ``lookup``
   spreads NULL keys over ``null_buckets`` salt values so they never pile up.
-* NOT IN (J14) is built from a sort-merge anti join plus two scalar
-  aggregates instead of Spark's null-aware anti join, which needs a
-  broadcastable build side.
+* NOT IN (J14) is built from a sort-merge anti join plus one scalar
+  aggregate (row count, non-NULL key count) instead of Spark's null-aware
+  anti join, which needs a broadcastable build side.
 * Self joins never list a hot group's pairs in one task: bounded top-k pairs
   use a ≤k broadcast probe; full listings spread each group over a grid.
 """
@@ -55,12 +55,12 @@ def not_in(left: DataFrame, left_key: str, right: DataFrame, right_key: str) ->
     * right empty            → every left row (even NULL keys);
     * right holds a NULL key → no row at all;
     * otherwise              → non-NULL left keys without a match.
-    The match is a shuffle anti join; the two guards are scalar aggregates.
+    The match is a shuffle anti join; the guards come from one scalar aggregate.
     """
     rk = right.select(F.col(right_key).alias("__k"))
-    stats = rk.select(F.count(F.lit(1)).alias("n"), F.count("__k").alias("nn"))
-    n_rows = stats.select("n").scalar()
-    n_nonnull = stats.select("nn").scalar()
+    # One pass over the right side: (row count, non-NULL key count) as one scalar.
+    guard = rk.select(F.struct(F.count(F.lit(1)).alias("n"), F.count("__k").alias("nn"))).scalar()
+    n_rows, n_nonnull = guard.getField("n"), guard.getField("nn")
     kept = left.join(rk.where(F.col("__k").isNotNull()), F.col(left_key) == F.col("__k"), "left_anti")
     return kept.where((n_rows == 0) | (F.col(left_key).isNotNull() & (n_rows == n_nonnull)))
 
@@ -138,30 +138,44 @@ def top_pairs(df: DataFrame, key: str, id_col: str, left_cols: dict[str, str],
             .drop("__lk", "__rk", "__lid", "__rid"))
 
 
+HOT_GROUP_ROWS = 100_000
+
+
 def all_pairs(df: DataFrame, key: str, id_col: str, left_cols: dict[str, str],
-              right_cols: dict[str, str], op: str, grid: int = 1) -> DataFrame:
+              right_cols: dict[str, str], op: str, grid: int = 4,
+              hot_threshold: int = HOT_GROUP_ROWS) -> DataFrame:
     """J8 full listing: every pair of a self join on ``key`` with residual ``op``.
 
-    The answer itself is the pair list.  With ``grid`` > 1 each group is cut
-    into ``grid`` blocks by a hash of the id and block pair (i, j) is joined in
-    its own task, so a hot group is spread over grid² tasks instead of one
-    (each row is replicated ``grid`` times on both sides).
+    The answer itself is the pair list.  Ordinary groups are joined as they
+    are.  Groups larger than ``hot_threshold`` rows (found with one grouped
+    count) are cut into ``grid`` blocks by a hash of the id and block pair
+    (i, j) is joined in its own task, so a hot group is spread over grid²
+    tasks instead of one (its rows are replicated ``grid`` times per side).
     """
-    def side(cols: dict[str, str], kname: str, idname: str, mine: str, other: str) -> DataFrame:
-        s = df.select(*[F.col(c).alias(a) for c, a in cols.items()], F.col(key).alias(kname),
-                      F.col(id_col).alias(idname))
-        if grid > 1:
-            s = (s.withColumn(mine, F.pmod(F.xxhash64(F.col(idname)), F.lit(grid)))
-                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(grid - 1)).cast("array<bigint>"))))
+    def side(src: DataFrame, cols: dict[str, str], kname: str, idname: str, mine: str, other: str,
+             g: int) -> DataFrame:
+        s = src.select(*[F.col(c).alias(a) for c, a in cols.items()], F.col(key).alias(kname),
+                       F.col(id_col).alias(idname))
+        if g > 1:
+            s = (s.withColumn(mine, F.pmod(F.xxhash64(F.col(idname)), F.lit(g)))
+                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(g - 1)).cast("array<bigint>"))))
         return s
 
-    left = side(left_cols, "__lk", "__lid", "__lb", "__lo")
-    right = side(right_cols, "__rk", "__rid", "__rb", "__ro")
-    cond = (F.col("__lk") == F.col("__rk")) & _pair_residual(op, F.col("__lid"), F.col("__rid"))
-    if grid > 1:
-        cond = cond & (F.col("__lb") == F.col("__ro")) & (F.col("__lo") == F.col("__rb"))
-    out = left.join(right, cond)
-    return out.drop("__lk", "__rk", "__lid", "__rid", "__lb", "__lo", "__rb", "__ro")
+    def pairs(src: DataFrame, g: int) -> DataFrame:
+        left = side(src, left_cols, "__lk", "__lid", "__lb", "__lo", g)
+        right = side(src, right_cols, "__rk", "__rid", "__rb", "__ro", g)
+        cond = (F.col("__lk") == F.col("__rk")) & _pair_residual(op, F.col("__lid"), F.col("__rid"))
+        if g > 1:
+            cond = cond & (F.col("__lb") == F.col("__ro")) & (F.col("__lo") == F.col("__rb"))
+        return left.join(right, cond).drop("__lk", "__rk", "__lid", "__rid", "__lb", "__lo", "__rb", "__ro")
+
+    if grid <= 1:
+        return pairs(df, 1)
+    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_threshold)
+           .select(F.col(key).alias("__hk")))
+    cold_rows = df.join(hot, F.col(key) == F.col("__hk"), "left_anti")
+    hot_rows = df.join(hot, F.col(key) == F.col("__hk"), "left_semi")
+    return pairs(cold_rows, 1).unionByName(pairs(hot_rows, grid))
 
 
 def bounded_product(left: DataFrame, right: DataFrame, k_left: int, k_right: int,

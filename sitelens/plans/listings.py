@@ -4,7 +4,8 @@ A listing is one filtered DataFrame; the page, the total count and the
 filtered stats are three small actions on it.  Sorting always ends with the
 table key so pages are stable; sort columns come from an allow-list, never
 from raw request text.  Pages use ``OFFSET`` + ``LIMIT`` (a bounded
-TakeOrdered of offset + size rows).
+TakeOrdered of offset + size rows) or, for deep pages, key-set paging
+(``Listing.page_after``: rows after the last sort-key tuple).
 """
 
 from __future__ import annotations
@@ -38,16 +39,48 @@ class Page:
         return max(self.number - 1, 0) * self.size
 
 
+def _after(c: Column, v, asc: bool) -> Column:
+    """Rows strictly after value ``v`` in one sort column (ASC NULLS FIRST / DESC NULLS LAST)."""
+    if asc:
+        return c.isNotNull() if v is None else c > F.lit(v)
+    return F.lit(False) if v is None else (c < F.lit(v)) | c.isNull()
+
+
+def _same(c: Column, v) -> Column:
+    return c.isNull() if v is None else c == F.lit(v)
+
+
 @dataclass(frozen=True)
 class Listing:
-    """A filtered frame plus its sort order; pages and counts derive from it."""
+    """A filtered frame plus its sort (column, ascending) pairs; pages and counts derive from it."""
 
     frame: DataFrame
-    order: list[Column] = field(default_factory=list)
+    sort: list[tuple[str, bool]] = field(default_factory=list)
+
+    @property
+    def order(self) -> list[Column]:
+        return [F.asc(c) if a else F.desc(c) for c, a in self.sort]
 
     def page(self, page: Page) -> DataFrame:
+        """OFFSET paging: a bounded TakeOrdered of offset + size rows."""
         return self.frame.orderBy(*self.order).offset(page.offset).limit(page.size)
 
+    def page_after(self, last: tuple | None, size: int) -> DataFrame:
+        """Key-set paging: the ``size`` rows after the sort-key tuple ``last``.
+
+        For deep pages: the predicate prunes everything before the key, so the
+        cost does not grow with the page number (OFFSET has to rank them all).
+        """
+        f = self.frame
+        if last is not None:
+            cond = F.lit(False)
+            prefix = F.lit(True)
+            for (c, asc), v in zip(self.sort, last):
+                cond = cond | (prefix & _after(F.col(c), v, asc))
+                prefix = prefix & _same(F.col(c), v)
+            f = f.where(cond)
+        return f.orderBy(*self.order).limit(size)
+
     def count(self, page_size: int) -> DataFrame:
         """Total rows and pages as a one-row DataFrame."""
         return self.frame.agg(F.count(F.lit(1)).alias("total_rows")).withColumn(
@@ -94,9 +127,9 @@ def site_search(r: Roles, sort: str = "", admin: bool = False, **filters) -> Lis
     """L1 (public, prices clamped to the data range) / L2 (admin, default newest first)."""
     cols = ["site_id", "name", "location", "type", "ticket_price", "unesco_status"] + (["created_at"] if admin else [])
     f = r.sites.where(_and(site_filters(r, clamp=not admin, **filters))).select(*cols)
-    order = {"asc": [F.asc("ticket_price")], "desc": [F.desc("ticket_price")], "name": [F.asc("name")],
-             "created": [F.desc("created_at")]}.get(sort or ("created" if admin else "name"), [F.asc("name")])
-    return Listing(f, order + [F.asc("site_id")])
+    order = {"asc": [("ticket_price", True)], "desc": [("ticket_price", False)], "name": [("name", True)],
+             "created": [("created_at", False)]}.get(sort or ("created" if admin else "name"), [("name", True)])
+    return Listing(f, order + [("site_id", True)])
 
 
 @query("L1", "site_search_page", """
@@ -139,10 +172,9 @@ EVENT_SORTS = {"date_desc": ("event_date", False), "date_asc": ("event_date", Tr
                "price_asc": ("ticket_price", True), "price_desc": ("ticket_price", False), "name": ("name", True)}
 
 
-def _sort(allowed: dict[str, tuple[str, bool]], key: str, default: str) -> list[Column]:
+def _sort(allowed: dict[str, tuple[str, bool]], key: str, default: str) -> list[tuple[str, bool]]:
     """Allow-listed sort: unknown keys fall back to the default."""
-    col, asc = allowed.get(key, allowed[default])
-    return [F.asc(col) if asc else F.desc(col)]
+    return [allowed.get(key, allowed[default])]
 
 
 def event_list(r: Roles, q: str | None = None, site_id: int | None = None, unesco: str | None = None,
@@ -170,7 +202,7 @@ def event_list(r: Roles, q: str | None = None, site_id: int | None = None, unesc
         s = s.where(F.col("unesco_status") == unesco)
     f = e.where(_and(preds)).join(s, F.col("site_id") == F.col("__sid")).drop("__sid")
     return Listing(f.select("event_id", "site_id", "name", "event_date", "ticket_price", "capacity", "site_name",
-                            "unesco_status"), _sort(EVENT_SORTS, sort, "date_desc") + [F.asc("event_id")])
+                            "unesco_status"), _sort(EVENT_SORTS, sort, "date_desc") + [("event_id", True)])
 
 
 @query("L3", "event_list_page", """
@@ -206,7 +238,7 @@ def guide_list(r: Roles, q: str | None = None, language: str | None = None, assi
         g = g.where(F.col("status") == "Assigned")
     elif assigned == "no":
         g = g.where(F.col("status") == "Unassigned")
-    return Listing(g, [F.asc("full_name"), F.asc("guide_id")])
+    return Listing(g, [("full_name", True), ("guide_id", True)])
 
 
 @query("L4", "guide_list", """
@@ -266,8 +298,8 @@ def payment_list(r: Roles, q: str | None = None, method: str | None = None, stat
                     (F.col("target_kind") == "site") & contains_like("target_name", q))
     if site:
         j = j.where((F.col("target_kind") == "site") & contains_like("target_name", site))
-    return Listing(j, [F.desc("paid_at"), F.asc("booking_id"), F.asc("attempt_no"), F.asc("acquirer_id"),
-                       F.asc("amount")])
+    return Listing(j, [("paid_at", False), ("booking_id", True), ("attempt_no", True), ("acquirer_id", True),
+                       ("amount", True)])
 
 
 @query("L6", "payment_list_page", """
@@ -350,8 +382,7 @@ def visitor_list(r: Roles, name: str | None = None, q: str | None = None, nation
         having.append(rating0 <= maxr)
     out = out.where(_and(having))
     s = sort if sort in VISITOR_SORTS else "created_at"
-    o = F.asc(s) if order == "ASC" else F.desc(s)
-    return Listing(out, [o, F.asc("visitor_id")])
+    return Listing(out, [(s, order == "ASC"), ("visitor_id", True)])
 
 
 @query("L7", "visitor_list", f"""
@@ -391,7 +422,7 @@ def visitor_bookings_list(r: Roles, visitor_id: int | None = None, status: str |
     b = resolve_target(b.where(_and(preds)), r.sites, r.evts, salt_by="booking_id")
     if target:
         b = b.where(contains_like("target_name", target))
-    return Listing(b, _sort(BOOKING_SORTS, sort, "date_desc") + [F.asc("booking_id")])
+    return Listing(b, _sort(BOOKING_SORTS, sort, "date_desc") + [("booking_id", True)])
 
 
 @query("L8", "visitor_bookings_list", """
@@ -430,7 +461,7 @@ def visitor_payments_list(r: Roles, visitor_id: int | None = None, status: str |
         preds.append(F.col("amount") <= max_amount)
     p = r.payments.where(_and(preds)).join(b, "booking_id")
     return Listing(p, _sort(PAYMENT_SORTS, sort, "paid_desc") +
-                   [F.asc(c) for c in ("booking_id", "attempt_no", "acquirer_id", "amount", "method", "status")])
+                   [(c, True) for c in ("booking_id", "attempt_no", "acquirer_id", "amount", "method", "status")])
 
 
 @query("L8P", "visitor_payments_list", """
@@ -457,7 +488,7 @@ def visitor_reviews_list(r: Roles, visitor_id: int | None = None, rating: int |
         rv = rv.where(F.coalesce(contains_like("comment", keyword), F.lit(False))
                       | F.coalesce(contains_like("site_name", keyword), F.lit(False))
                       | F.coalesce(contains_like("event_name", keyword), F.lit(False)))
-    return Listing(rv, _sort(REVIEW_SORTS, sort, "date_desc") + [F.asc("review_id")])
+    return Listing(rv, _sort(REVIEW_SORTS, sort, "date_desc") + [("review_id", True)])
 
 
 @query("L8R", "visitor_reviews_list", """

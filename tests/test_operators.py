@@ -89,7 +89,10 @@ def test_resolve_target_kind(seed):
 def test_all_pairs_grid_equals_plain(roles):
     g = roles.guides.select("guide_id", "full_name", "specialization")
     args = ("specialization", "guide_id", {"guide_id": "a"}, {"guide_id": "b"}, "<>")
-    assert rows(all_pairs(g, *args, grid=1), "a", "b") == rows(all_pairs(g, *args, grid=3), "a", "b")
+    plain = rows(all_pairs(g, *args, grid=1), "a", "b")
+    assert plain == rows(all_pairs(g, *args, grid=3), "a", "b")                     # no hot group
+    assert plain == rows(all_pairs(g, *args, grid=3, hot_threshold=0), "a", "b")    # every group hot
+    assert plain == rows(all_pairs(g, *args, grid=3, hot_threshold=15), "a", "b")   # mixed
 
 
 def test_top_pairs_equals_brute_force(roles):
@@ -184,3 +187,18 @@ def test_constraint_report_on_seed(seed):
     assert ("payments", "fk_booking_id", 9999) in got and ("payments", "method_outside_domain", 9999) in got
     assert ("guides", "negative_salary", 4) in got and ("evts", "capacity_not_positive", 11) in got
     assert ("visitors", "duplicate_email", 100) not in got
+
+
+def test_keyset_pages_equal_offset_pages_with_nulls(roles):
+    from sitelens.plans.listings import visitor_list
+    lst = visitor_list(roles, sort="avg_rating", order="DESC")   # avg_rating has NULLs (no reviews)
+    full = [r["visitor_id"] for r in lst.frame.orderBy(*lst.order).collect()]
+    keys = [c for c, _ in lst.sort]
+    got, last = [], None
+    for _ in range(200):
+        page = lst.page_after(last, 17).collect()
+        if not page:
+            break
+        got += [r["visitor_id"] for r in page]
+        last = tuple(page[-1][k] for k in keys)
+    assert got == full
