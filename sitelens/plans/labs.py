@@ -1,6 +1,6 @@
 """Lab statements B01..B15 (SELECT labs, joins, set operations, DML and DDL as table jobs).
 
-The unbounded CROSS JOIN of visitors × guides (sql_examples, "Cross Join") is
+The unbounded CROSS JOIN of visitors × guides (a lab statement) is
 deliberately not registered: its output grows with |visitors|·|guides|.  The
 bounded cross-join demos (C-S21, C-E18, C-G16, C-A17) cover the operator.
 """
