@@ -22,7 +22,7 @@ DEFAULTS = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app: str = "sitelens") -> SparkSession:
+              app: str = "sitelens", warehouse: str | None = None) -> SparkSession:
     """Return the active session or build a local one with sane defaults."""
     active = SparkSession.getActiveSession()
     if active is not None:
@@ -34,6 +34,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
                .config("spark.ui.enabled", "false")
                .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus))))
+    if warehouse:
+        builder = builder.config("spark.sql.warehouse.dir", warehouse)
     for k, v in DEFAULTS.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

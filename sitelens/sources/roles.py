@@ -225,3 +225,29 @@ def read_roles(spark: SparkSession, path: str, **kw) -> Roles:
     """Roles stored as one Parquet folder per role under ``path``."""
     return Roles(**{n: spark.read.schema(ROLE_SCHEMAS[n]).parquet(f"{path.rstrip('/')}/{n}")
                     for n in ROLE_NAMES}, **kw)
+
+
+# Bucketing of stored role tables: the join key each table meets most often.
+# bookings and payments share booking_id, so their join needs no shuffle.
+ROLE_BUCKETS = {"sites": "site_id", "evts": "event_id", "visitors": "visitor_id", "bookings": "booking_id",
+                "payments": "booking_id", "guides": "guide_id", "assignments": "guide_id", "reviews": "visitor_id"}
+
+
+def save_roles(roles: Roles, database: str, buckets: int, mode: str = "overwrite") -> None:
+    """Store the role tables as bucketed, sorted catalog tables in ``database``.
+
+    Tables bucketed on the same key with the same bucket count join without
+    an exchange (sort-merge join on co-located buckets).  Choose ``buckets``
+    so one bucket of the largest table fits a task (e.g. total size / 512 MB).
+    """
+    spark = roles.spark
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name, df in roles.as_dict().items():
+        key = ROLE_BUCKETS[name]
+        (df.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key)
+         .saveAsTable(f"{database}.{name}"))
+
+
+def table_roles(spark: SparkSession, database: str, **kw) -> Roles:
+    """Roles over the catalog tables written by ``save_roles``."""
+    return Roles(**{n: spark.table(f"{database}.{n}") for n in ROLE_NAMES}, **kw)

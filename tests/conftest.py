@@ -23,7 +23,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_spark(master="local[4]", shuffle_partitions=4)
+    s = get_spark(master="local[4]", shuffle_partitions=4, warehouse=tempfile.mkdtemp(prefix="sitelens-wh-"))
     checkpoint_dir(s)
     yield s
 

@@ -66,3 +66,17 @@ def test_pushdown_on_stored_roles(spark, roles, scratch):
     p = plan(REGISTRY["c_p04_monthly_revenue"].fn(stored))
     assert "PushedFilters: [IsNotNull(status), EqualTo(status,successful)]" in p
     assert re.search(r"ReadSchema: struct<amount:decimal\(10,2\),status:string,paid_at:timestamp_ntz>", p)
+
+
+def test_bucketed_roles_join_without_exchange(spark, roles):
+    from sitelens.sources.roles import save_roles, table_roles
+    save_roles(roles, "sitelens_test", buckets=4)
+    tr = table_roles(spark, "sitelens_test")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = tr.payments.join(tr.bookings, "booking_id")
+        p = plan(j)
+        assert "SortMergeJoin" in p and "Exchange" not in p
+        assert REGISTRY["c_x11_site_revenue"].fn(tr).count() == REGISTRY["c_x11_site_revenue"].fn(roles).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
