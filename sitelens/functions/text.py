@@ -91,3 +91,9 @@ CI_COLLATION = "UNICODE_CI_AI"
 def ci_key(c: Column | str) -> Column:
     """Grouping/equality key that ignores case and accents (``ci=True`` mode)."""
     return F.collate(_c(c), CI_COLLATION)
+
+
+def display_label(c: Column | str) -> Column:
+    """Label of a code for display: '_' → ' ', first letter upper-cased (ucfirst)."""
+    s = F.regexp_replace(_c(c), "_", " ")
+    return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))

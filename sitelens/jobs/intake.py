@@ -281,6 +281,7 @@ def method_domain_growth(domain: DataFrame, proposals: DataFrame) -> JobResult:
 
 
 def method_domain(spark) -> DataFrame:
-    """The declared method domain as a (code, label, position) table."""
-    return spark.createDataFrame([(m, m.replace("_", " ").capitalize(), i + 1) for i, m in enumerate(ALLOWED_METHODS)],
-                                 "code string, label string, position int")
+    """The declared method domain as a (code, label, position) table (labels: '_' → ' ', ucfirst)."""
+    from sitelens.functions.text import display_label
+    d = spark.createDataFrame([(m, i + 1) for i, m in enumerate(ALLOWED_METHODS)], "code string, position int")
+    return d.select("code", display_label("code").alias("label"), "position")
