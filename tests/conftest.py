@@ -55,12 +55,12 @@ T0 = dt.datetime(2001, 7, 1, 10, 0)
 def seed_tables():
     """Hand-made fixture with the edge rows the driver data lacks (FIXTURES.md §1)."""
     sites = [
-        (1, "Lalbagh Fort", "Dhaka", "Fort", D("50.00"), "World Heritage", "Mughal fort and museum", dt.date(2020, 1, 1)),
-        (2, "National Museum", "Dhaka", "Museum", D("50.00"), "None", "The national museum", dt.date(2020, 2, 1)),
-        (3, "Sixty Dome Mosque", "Bagerhat", "Mosque", D("30.00"), "World Heritage", "Museums nearby", dt.date(2020, 3, 1)),
-        (4, "Paharpur", None, "Monastery", D("0.00"), "Tentative", "Buddhist vihara", dt.date(2020, 4, 1)),
-        (5, "National Museum", "Chittagong", "Museum", D("80.00"), "Tentative", "Second national museum", dt.date(2020, 5, 1)),
-        (6, "Quiet Ruin", "Sylhet", "Ancient City", D("50.00"), "None", "no visitors yet", dt.date(2020, 6, 1)),
+        (1, "Old Fort", "Rivertown", "Fort", D("50.00"), "World Heritage", "Hill fort and museum", dt.date(2020, 1, 1)),
+        (2, "National Museum", "Rivertown", "Museum", D("50.00"), "None", "The national museum", dt.date(2020, 2, 1)),
+        (3, "Domed Mosque", "Portville", "Mosque", D("30.00"), "World Heritage", "Museums nearby", dt.date(2020, 3, 1)),
+        (4, "Hill Vihara", None, "Monastery", D("0.00"), "Tentative", "old vihara", dt.date(2020, 4, 1)),
+        (5, "National Museum", "Seaside", "Museum", D("80.00"), "Tentative", "Second national museum", dt.date(2020, 5, 1)),
+        (6, "Quiet Ruin", "Tealands", "Ancient City", D("50.00"), "None", "no visitors yet", dt.date(2020, 6, 1)),
     ]
     evts = [
         (10, 1, "Light Festival", dt.date(2001, 8, 10), D("100.00"), 2, "festival"),
@@ -94,10 +94,10 @@ def seed_tables():
         (1007, 1, 7, D("70.00"), "rocket", "successful", T0),
     ]
     guides = [
-        (1, "Rahim", "Bangla", "History", D("40000.00")),
-        (2, "Karim", "English", "Cultural History", D("65000.00")),
-        (3, "Salma", "Bangla", "History", D("25000.00")),
-        (4, "Nadia", "Bangla, English", "Art", D("-10.00")),
+        (1, "Amir", "Bangla", "History", D("40000.00")),
+        (2, "Bela", "English", "Cultural History", D("65000.00")),
+        (3, "Chen", "Bangla", "History", D("25000.00")),
+        (4, "Dara", "Bangla, English", "Art", D("-10.00")),
     ]
     assignments = [
         (1, 1, 1, None, "Morning"),
