@@ -62,3 +62,41 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="sitelens-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def scale_conf(input_bytes: int, executor_cores: int = 4, executor_memory_gb: int = 16,
+               executors: int = 1000) -> dict[str, str]:
+    """Suggested SQL settings for a cluster run over ``input_bytes`` of Parquet.
+
+    * scan splits of 256 MB (``files.maxPartitionBytes``);
+    * shuffle partitions so the largest shuffle (≈ the input, before partial
+      aggregation shrinks it) lands at ~200 MB per partition, at least two
+      waves of the cluster's cores; AQE coalesces small ones at run time;
+    * AQE skew handling for partitions over 4× the advisory size;
+    * broadcast joins up to 64 MB per side, and only after Spark's size check
+      (per-task memory is executor memory / cores, the hash table must fit).
+    """
+    cores = executor_cores * executors
+    target = 200 * 1024 ** 2
+    partitions = max(2 * cores, -(-input_bytes // target))
+    per_task_mb = executor_memory_gb * 1024 // executor_cores
+    broadcast_mb = max(10, min(64, per_task_mb // 16))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 ** 2),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target),
+        "spark.sql.autoBroadcastJoinThreshold": str(broadcast_mb * 1024 ** 2),
+    }
+
+
+def apply_scale_conf(spark: SparkSession, input_bytes: int, **kw) -> dict[str, str]:
+    """Set the runtime SQL settings of :func:`scale_conf` on a session."""
+    conf = scale_conf(input_bytes, **kw)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf
