@@ -56,7 +56,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared folder there; only when it is unset (local tests)
     do we create one under the system temp folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        sc = None
+    if sc is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            path = tempfile.mkdtemp(prefix="sitelens-ckpt-")
+            spark.conf.set("spark.checkpoint.dir", path)
+        return path
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="sitelens-ckpt-")
