@@ -526,10 +526,11 @@ def site_price_stats(r: Roles):
 
 
 @query("D32B", "event_price_range", """
-SELECT MIN(ticket_price) AS min_price, MAX(ticket_price) + 1 AS max_price FROM evts""")
+SELECT MIN(ticket_price) AS min_price, CAST(MAX(ticket_price) + 1 AS DECIMAL(11,2)) AS max_price FROM evts""")
 def event_price_range(r: Roles):
     """Event price range with the +1 padding of the upper bound."""
-    return r.evts.agg(F.min("ticket_price").alias("min_price"), (F.max("ticket_price") + 1).alias("max_price"))
+    return r.evts.agg(F.min("ticket_price").alias("min_price"),
+                      (F.max("ticket_price") + 1).cast("decimal(11,2)").alias("max_price"))
 
 
 @query("D33", "guide_stats", f"""
