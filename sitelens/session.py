@@ -53,8 +53,10 @@ def apply_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local tests)
-    do we create one under the system temp folder.
+    A cluster names a shared folder there.  Only a local-mode session (tests,
+    a laptop) without the setting gets a folder under the system temp
+    directory; a cluster session without it is an error, because a
+    machine-local folder would not survive the loss of that machine.
     """
     try:
         sc = spark.sparkContext
@@ -63,16 +65,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
-            path = tempfile.mkdtemp(prefix="sitelens-ckpt-")
+            path = _local_fallback(spark.conf.get("spark.master", ""))
             spark.conf.set("spark.checkpoint.dir", path)
         return path
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="sitelens-ckpt-")
+        path = _local_fallback(sc.master)
     sc.setCheckpointDir(path)
     return path
 
 
+def _local_fallback(master: str) -> str:
+    if not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS/object store) "
+                           "that every executor can reach")
+    return tempfile.mkdtemp(prefix="sitelens-ckpt-")
+
+
 def scale_conf(input_bytes: int, executor_cores: int = 4, executor_memory_gb: int = 16,
                executors: int = 1000) -> dict[str, str]:
     """Suggested SQL settings for a cluster run over ``input_bytes`` of Parquet.
