@@ -481,6 +481,41 @@ def visitor_reviews(r: Roles, visitor_id: int | None = None):
     return lookup(rv, r.evts, "event_id", "event_id", {"name": "event_name"}, salt_by="review_id")
 
 
+@query("D29S", "visitor_360_summary", f"""
+SELECT v.visitor_id, v.full_name, COALESCE(b.n, 0) AS bookings, b.spent AS booked_total, b.last_booking,
+       COALESCE(p.n, 0) AS payments, p.paid AS paid_total, COALESCE(rv.n, 0) AS reviews, rv.avg_rating
+FROM visitors v
+LEFT JOIN (SELECT visitor_id, COUNT(*) AS n, {s_sum('booked_ticket_price')} AS spent, MAX(booking_date) AS last_booking
+           FROM bookings GROUP BY visitor_id) b ON b.visitor_id = v.visitor_id
+LEFT JOIN (SELECT b2.visitor_id, COUNT(*) AS n,
+                  CAST(SUM(CASE WHEN p.status = 'successful' THEN p.amount END) AS DECIMAL(20,2)) AS paid
+           FROM payments p JOIN bookings b2 ON p.booking_id = b2.booking_id GROUP BY b2.visitor_id) p
+  ON p.visitor_id = v.visitor_id
+LEFT JOIN (SELECT visitor_id, COUNT(*) AS n, {s_ravgi('rating')} AS avg_rating FROM reviews GROUP BY visitor_id) rv
+  ON rv.visitor_id = v.visitor_id""")
+def visitor_360_summary(r: Roles):
+    """Visitor 360 in bulk: bookings, spend, last booking, payments, paid total, reviews, rating per visitor.
+
+    Payments are first summed per booking, then per visitor through the
+    booking's visitor; each branch is aggregated on its own key (A6).
+    """
+    per_booking = r.payments.groupBy("booking_id").agg(
+        F.count(F.lit(1)).alias("__pn"),
+        F.sum(F.when(F.col("status") == SUCCESS, F.col("amount"))).alias("__pa"))
+    pay = (per_booking.join(r.bookings.select("booking_id", "visitor_id"), "booking_id")
+           .select("visitor_id", "__pn", "__pa"))
+    out = branch_aggregate(
+        r.visitors.select("visitor_id", "full_name"), "visitor_id",
+        [(r.bookings, "visitor_id", [F.count(F.lit(1)).alias("bookings"),
+                                     sum2("booked_ticket_price").alias("booked_total"),
+                                     F.max("booking_date").alias("last_booking")]),
+         (pay, "visitor_id", [F.sum("__pn").alias("payments"), sum2("__pa").alias("paid_total")]),
+         (r.reviews, "visitor_id", [F.count(F.lit(1)).alias("reviews"), ravg_int("rating").alias("avg_rating")])],
+        fill={"bookings": 0, "payments": 0, "reviews": 0})
+    return out.select("visitor_id", "full_name", "bookings", "booked_total", "last_booking", "payments",
+                      "paid_total", "reviews", "avg_rating")
+
+
 @query("D30", "visitor_avg_rating", f"""
 SELECT v.visitor_id, t.avg_rating FROM visitors v
 LEFT JOIN (SELECT visitor_id, {s_ravgi('rating')} AS avg_rating FROM reviews GROUP BY visitor_id) t

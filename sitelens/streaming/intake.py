@@ -6,7 +6,11 @@
   ``<sink>/<table>/batch_id=<n>`` with overwrite, so a replayed micro-batch
   (after a failure) replaces its own output instead of appending twice.
 * T3 — bookings and revenue per tumbling day window, with a watermark; late
-  rows past the watermark are dropped, closed windows are appended.
+  rows past the watermark are dropped, closed windows are appended.  Spark
+  judges lateness against the previous micro-batch's watermark (eviction
+  uses the current one), so a row is dropped once a full batch has moved
+  the watermark past it; tests cover both the batch = stream answer on
+  closed windows and the dropping.
 * T4 — ``dropDuplicatesWithinWatermark`` on the request id for retried
   submissions.
 
