@@ -166,7 +166,11 @@ def payment_settlement(r: Roles, attempts: DataFrame) -> JobResult:
                                                           F.col("booked_ticket_price").alias("__amt"))
 
     ident = ["paid_at", "attempt_no", "acquirer_id", "amount", "method", "status"]
-    latest = latest_per_key(r.payments.select("booking_id", *ident), "booking_id", ident)
+    # Only the settled bookings' payments can change: restrict before aggregating,
+    # so the work is proportional to the batch, not to the payments table.
+    touched = r.payments.join(win.select(F.col("booking_id").alias("__wb")), F.col("booking_id") == F.col("__wb"),
+                              "left_semi")
+    latest = latest_per_key(touched.select("booking_id", *ident), "booking_id", ident)
     target = latest.join(win.select(F.col("booking_id").alias("__tb"), F.col("ts").alias("__ts"),
                                     F.col("method").alias("__m"), "__amt"),
                          F.col("booking_id") == F.col("__tb"))
@@ -182,18 +186,22 @@ def payment_settlement(r: Roles, attempts: DataFrame) -> JobResult:
         F.when(hit, F.col("__amt")).otherwise(F.col("amount")).cast(DEC).alias("amount"),
         F.when(hit, F.col("__m")).otherwise(F.col("method")).alias("method"),
         F.when(hit, F.lit("successful")).otherwise(F.col("status")).alias("status"),
-        F.when(hit, F.col("__ts")).otherwise(F.col("paid_at")).alias("paid_at"))
+        F.when(hit, F.col("__ts")).otherwise(F.col("paid_at")).alias("paid_at"),
+        hit.alias("__changed"))
     fresh = (win.join(r.payments.select(F.col("booking_id").alias("__pb")), F.col("booking_id") == F.col("__pb"),
                       "left_anti")
              .select("booking_id", F.lit(1).alias("attempt_no"), F.lit(None).cast("bigint").alias("acquirer_id"),
                      F.col("__amt").cast(DEC).alias("amount"), "method", F.lit("initiated").alias("status"),
                      F.col("ts").alias("paid_at")))
-    payments = updated.unionByName(fresh)
+    payments = updated.drop("__changed").unionByName(fresh)
+    # Only the rows this batch touched: for incremental sinks that must not
+    # rewrite the whole payments table per batch.
+    changes = updated.where("__changed").drop("__changed").unionByName(fresh)
     paid = win.select(F.col("booking_id").alias("__pid"), F.lit(True).alias("__paid"))
     bookings = (r.bookings.join(paid, F.col("booking_id") == F.col("__pid"), "left")
                 .withColumn("payment_status", F.when(F.col("__paid"), F.lit("paid")).otherwise(F.col("payment_status")))
                 .drop("__pid", "__paid"))
-    return JobResult(win, rejects, {"payments": payments, "bookings": bookings})
+    return JobResult(win, rejects, {"payments": payments, "bookings": bookings, "payment_changes": changes})
 
 
 # ---------------------------------------------------------------- M7 reviews

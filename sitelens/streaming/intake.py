@@ -102,8 +102,8 @@ def payment_batch_writer(roles: Roles, sink: str) -> Callable[[DataFrame, int],
                                 .otherwise(F.col("payment_status"))).drop("__sb", "__s"))
         req = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
         res = intake.payment_settlement(roles.with_tables(bookings=bookings), req)
-        _write_batch({"settled": res.accepted.select("booking_id", "ts", "method"), "rejects": res.rejects},
-                     sink, batch_id)
+        _write_batch({"settled": res.accepted.select("booking_id", "ts", "method"),
+                      "payment_changes": res.extra["payment_changes"], "rejects": res.rejects}, sink, batch_id)
     return run
 
 
