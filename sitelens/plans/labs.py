@@ -7,11 +7,10 @@ bounded cross-join demos (C-S21, C-E18, C-G16, C-A17) cover the operator.
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import functions as F
 
-from sitelens.functions import avg_exact, avg_int, contains_like, day_lit, ravg, ravg_int, sum2
+from sitelens.functions import avg_exact, contains_like, day_lit, ravg, ravg_int, sum2
 from sitelens.operators.aggs import group_count, per_key
 from sitelens.operators.joins import all_pairs, not_in, semi
 from sitelens.operators.sets import except_, intersect, union_distinct
