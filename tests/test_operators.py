@@ -202,3 +202,10 @@ def test_keyset_pages_equal_offset_pages_with_nulls(roles):
         got += [r["visitor_id"] for r in page]
         last = tuple(page[-1][k] for k in keys)
     assert got == full
+
+
+def test_cli_runs_registered_queries_only(capsys):
+    from sitelens.__main__ import main
+    assert main(["run", "no_such_query", "--data", "/tmp"]) == 2
+    assert main(["list", "c_x11"]) == 0
+    assert "c_x11_site_revenue" in capsys.readouterr().out
