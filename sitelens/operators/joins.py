@@ -31,12 +31,22 @@ def _cols(on: str | Sequence[str]) -> list[str]:
     return [on] if isinstance(on, str) else list(on)
 
 
+def _right_keys(right: DataFrame, right_key: str) -> DataFrame:
+    """Distinct non-NULL keys of the probe side.
+
+    Only existence matters for semi/anti joins, so the keys are deduplicated
+    first: the partial aggregate ships each key once per map task, and a key
+    holding a third of the right side never floods one reducer (AQE can only
+    split the left side of a semi/anti join).
+    """
+    return right.select(F.col(right_key).alias("__k")).where(F.col("__k").isNotNull()).distinct()
+
+
 def semi(left: DataFrame, right: DataFrame, on: str | Sequence[str] | Column,
          right_key: str | None = None) -> DataFrame:
     """Rows of ``left`` with a match in ``right`` (IN / EXISTS)."""
     if right_key is not None:
-        r = right.select(F.col(right_key).alias("__k")).where(F.col("__k").isNotNull())
-        return left.join(r, F.col(on) == F.col("__k"), "left_semi")
+        return left.join(_right_keys(right, right_key), F.col(on) == F.col("__k"), "left_semi")
     return left.join(right, on, "left_semi")
 
 
@@ -44,8 +54,7 @@ def anti(left: DataFrame, right: DataFrame, on: str | Sequence[str] | Column,
          right_key: str | None = None) -> DataFrame:
     """Rows of ``left`` without a match (NOT EXISTS, LEFT JOIN … IS NULL)."""
     if right_key is not None:
-        r = right.select(F.col(right_key).alias("__k")).where(F.col("__k").isNotNull())
-        return left.join(r, F.col(on) == F.col("__k"), "left_anti")
+        return left.join(_right_keys(right, right_key), F.col(on) == F.col("__k"), "left_anti")
     return left.join(right, on, "left_anti")
 
 
@@ -61,7 +70,7 @@ def not_in(left: DataFrame, left_key: str, right: DataFrame, right_key: str) ->
     # One pass over the right side: (row count, non-NULL key count) as one scalar.
     guard = rk.select(F.struct(F.count(F.lit(1)).alias("n"), F.count("__k").alias("nn"))).scalar()
     n_rows, n_nonnull = guard.getField("n"), guard.getField("nn")
-    kept = left.join(rk.where(F.col("__k").isNotNull()), F.col(left_key) == F.col("__k"), "left_anti")
+    kept = left.join(_right_keys(right, right_key), F.col(left_key) == F.col("__k"), "left_anti")
     return kept.where((n_rows == 0) | (F.col(left_key).isNotNull() & (n_rows == n_nonnull)))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import avg_exact, contains_like, day_lit, ravg, ravg_int, sum2
 from sitelens.operators.aggs import group_count, per_key
-from sitelens.operators.joins import all_pairs, not_in, semi
+from sitelens.operators.joins import all_pairs, anti, not_in, semi
 from sitelens.operators.sets import except_, intersect, union_distinct
 from sitelens.plans.registry import query
 from sitelens.plans.sqlfrag import s_avg, s_avgi, s_ravg, s_ravgi, s_sum
@@ -135,10 +135,18 @@ def right_join_sites_events(r: Roles):
 SELECT s.name, e.name AS event_name FROM sites s LEFT JOIN evts e ON s.site_id = e.site_id
 UNION SELECT s.name, e.name FROM sites s RIGHT JOIN evts e ON s.site_id = e.site_id""")
 def full_join_sites_events(r: Roles):
-    """Full outer join (LEFT ∪ RIGHT emulation): one full join, then distinct like UNION."""
+    """Full outer join as LEFT ∪ RIGHT, then DISTINCT (as UNION does).
+
+    Built as (events LEFT JOIN sites) ∪ (sites without events): AQE can split
+    a skewed left side of each part, which it cannot do for a full outer join
+    (a site holding a third of all events stays one reducer otherwise).
+    """
     s = r.sites.select(F.col("site_id").alias("__sid"), "name")
     e = r.evts.select("site_id", F.col("name").alias("event_name"))
-    return s.join(e, F.col("site_id") == F.col("__sid"), "full").select("name", "event_name").distinct()
+    events_side = e.join(s, F.col("site_id") == F.col("__sid"), "left").select("name", "event_name")
+    lonely = anti(r.sites, r.evts, "site_id", right_key="site_id").select("name", F.lit(None).cast("string")
+                                                                          .alias("event_name"))
+    return events_side.unionByName(lonely).distinct()
 
 
 @query("B09A", "natural_join_bookings_payments", "SELECT * FROM bookings NATURAL JOIN payments")
