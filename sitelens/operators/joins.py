@@ -197,3 +197,18 @@ def bounded_product(left: DataFrame, right: DataFrame, k_left: int, k_right: int
     l = left.orderBy(*left_order).limit(k_left)
     r = right.orderBy(*right_order).limit(k_right)
     return l.crossJoin(F.broadcast(r))
+
+
+def left_expand(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """``left LEFT JOIN right ON left_key = right_key`` for a many-side ``right``.
+
+    Built as (inner join) ∪ (left rows without a match, right columns NULL).
+    AQE can split a skewed partition on both sides of an inner join but only
+    on the preserved side of a left outer join, so a right-side key holding a
+    third of the rows would otherwise stay in one reducer.  Column names of
+    ``left`` and ``right`` must be disjoint.
+    """
+    matched = left.join(right, F.col(left_key) == F.col(right_key))
+    lonely = anti(left, right, left_key, right_key=right_key).select(
+        *left.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields])
+    return matched.unionByName(lonely)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from sitelens.functions import avg_exact, contains_like, ravg
 from sitelens.operators.aggs import group_count, per_key
 from sitelens.operators.checks import profile_table
-from sitelens.operators.joins import all_pairs, bounded_product, lookup, not_in, resolve_target, semi
+from sitelens.operators.joins import (all_pairs, bounded_product, left_expand, lookup, not_in, resolve_target,
+                                      semi)
 from sitelens.operators.sets import union_distinct
 from sitelens.plans.registry import query
 from sitelens.plans.sqlfrag import s_avg, s_ravg
@@ -157,7 +158,7 @@ WHERE a.event_id IS NULL ORDER BY g.full_name""")
 def guides_without_events(r: Roles):
     """One row per non-event assignment plus one per unassigned guide (duplicates kept)."""
     a = r.assignments.select(F.col("guide_id").alias("__gid"), "event_id")
-    j = r.guides.select("guide_id", "full_name", "language").join(a, F.col("guide_id") == F.col("__gid"), "left")
+    j = left_expand(r.guides.select("guide_id", "full_name", "language"), a, "guide_id", "__gid")
     return j.where(F.col("event_id").isNull()).select("full_name", "language").orderBy("full_name")
 
 
@@ -315,8 +316,7 @@ def left_join_sites(r: Roles):
     """All sites with their assigned guides (if any)."""
     a = (r.assignments.where(F.col("site_id").isNotNull()).select(F.col("site_id").alias("__sid"), "guide_id")
          .transform(lambda d: lookup(d, r.guides, "guide_id", "guide_id", {"full_name": "guide_name"})))
-    j = r.sites.select("site_id", F.col("name").alias("site_name")).join(a, F.col("site_id") == F.col("__sid"),
-                                                                          "left")
+    j = left_expand(r.sites.select("site_id", F.col("name").alias("site_name")), a, "site_id", "__sid")
     return j.select("site_name", "guide_name").orderBy("site_name")
 
 
@@ -327,7 +327,7 @@ def right_join_demo(r: Roles):
     """All guides, each with its assignments' site names (chained RIGHT JOINs)."""
     a = (r.assignments.select(F.col("guide_id").alias("__gid"), "site_id", "assign_id")
          .transform(lambda d: lookup(d, r.sites, "site_id", "site_id", {"name": "site_name"}, salt_by="assign_id")))
-    j = r.guides.select("guide_id", "full_name").join(a, F.col("guide_id") == F.col("__gid"), "left")
+    j = left_expand(r.guides.select("guide_id", "full_name"), a, "guide_id", "__gid")
     return j.select("full_name", "site_name").orderBy("full_name")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import avg_exact, contains_like, day_lit, ravg, ravg_int, sum2
 from sitelens.operators.aggs import group_count, per_key
-from sitelens.operators.joins import all_pairs, anti, not_in, semi
+from sitelens.operators.joins import all_pairs, anti, left_expand, not_in, semi
 from sitelens.operators.sets import except_, intersect, union_distinct
 from sitelens.plans.registry import query
 from sitelens.plans.sqlfrag import s_avg, s_avgi, s_ravg, s_ravgi, s_sum
@@ -119,7 +119,7 @@ SELECT s.name, e.name AS event_name FROM sites s LEFT JOIN evts e ON s.site_id =
 def left_join_sites_events_lab(r: Roles):
     """Left outer join."""
     e = r.evts.select(F.col("site_id").alias("__sid"), F.col("name").alias("event_name"))
-    return r.sites.join(e, F.col("site_id") == F.col("__sid"), "left").select("name", "event_name")
+    return left_expand(r.sites.select("site_id", "name"), e, "site_id", "__sid").select("name", "event_name")
 
 
 @query("B08C", "right_join_sites_events", """

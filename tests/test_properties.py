@@ -89,3 +89,15 @@ def test_salted_lookup_equals_left_join(spark, fks):
                  .select("id", "nm").collect())
     want = sorted((i, f"n{k}" if k is not None and k % 2 == 0 else None) for i, k in enumerate(fks))
     assert got == want
+
+
+@SETTINGS
+@given(lk=st.lists(st.one_of(st.none(), st.integers(0, 4)), max_size=8),
+       rk=st.lists(st.one_of(st.none(), st.integers(0, 4)), max_size=12))
+def test_left_expand_equals_left_join(spark, lk, rk):
+    from sitelens.operators.joins import left_expand
+    left = spark.createDataFrame([(i, k) for i, k in enumerate(lk)], "lid long, k long")
+    right = spark.createDataFrame([(j, k) for j, k in enumerate(rk)], "rid long, rk long")
+    got = sorted(map(_k, (tuple(r) for r in left_expand(left, right, "k", "rk").select("lid", "rid").collect())))
+    ref = left.join(right, left.k == right.rk, "left").select("lid", "rid")
+    assert got == sorted(map(_k, (tuple(r) for r in ref.collect())))
