@@ -16,13 +16,17 @@ def union_distinct(*dfs: DataFrame) -> DataFrame:
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    """INTERSECT (distinct, NULL-safe)."""
-    return a.intersect(b)
+    """INTERSECT (distinct, NULL-safe).
+
+    Spark plans it as a NULL-safe semi join; ``b`` is deduplicated first so a
+    hot row of ``b`` is shipped once per map task (partial aggregate).
+    """
+    return a.intersect(b.distinct())
 
 
 def except_(a: DataFrame, b: DataFrame) -> DataFrame:
-    """EXCEPT (distinct, NULL-safe)."""
-    return a.subtract(b)
+    """EXCEPT (distinct, NULL-safe); ``b`` deduplicated first like in :func:`intersect`."""
+    return a.subtract(b.distinct())
 
 
 def intersect_by_key(base: DataFrame, key: str, *others: tuple[DataFrame, str]) -> DataFrame:
