@@ -93,7 +93,10 @@ def lookup(facts: DataFrame, dim: DataFrame, fk: str, pk: str, cols: dict[str, s
         return facts.join(d, F.col(fk) == F.col("__pk"), "left").drop("__pk")
     _, salt = _spread_key(F.col(fk), null_buckets, F.col(salt_by))
     f = facts.withColumn("__salt", salt)
-    d = d.withColumn("__dsalt", F.lit(0))
+    # Salt 0 on the dimension side, written as an expression of the key: a
+    # literal 0 would be constant-folded out of the join keys (becoming a
+    # residual filter) and the shuffle would partition on the key alone.
+    d = d.withColumn("__dsalt", F.when(F.col("__pk").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
     out = f.join(d, (F.col(fk) == F.col("__pk")) & (F.col("__salt") == F.col("__dsalt")), "left")
     return out.drop("__pk", "__salt", "__dsalt")
 

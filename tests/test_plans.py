@@ -80,3 +80,34 @@ def test_bucketed_roles_join_without_exchange(spark, roles):
         assert REGISTRY["c_x11_site_revenue"].fn(tr).count() == REGISTRY["c_x11_site_revenue"].fn(roles).count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
+def test_salted_lookup_partitions_on_key_and_salt(spark, roles):
+    from sitelens.operators.joins import lookup
+    _no_broadcast(spark)
+    try:
+        p = plan(lookup(roles.bookings, roles.sites, "site_id", "site_id", {"name": "s"}, salt_by="booking_id"))
+        assert re.search(r"hashpartitioning\(site_id#\d+L, __salt#\d+", p)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_semi_join_probe_side_is_aggregated_before_shuffle(spark, roles):
+    from sitelens.operators.joins import semi
+    _no_broadcast(spark)
+    try:
+        p = plan(semi(roles.sites, roles.bookings, "site_id", right_key="site_id"))
+        # partial HashAggregate (distinct keys) sits below the probe side's exchange
+        assert re.search(r"Exchange hashpartitioning\(__k#\d+L.*\n.*HashAggregate\(keys=\[__k", p)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_left_expand_has_no_outer_join(spark, roles):
+    p = plan(REGISTRY["c_g15_guides_without_events"].fn(roles))
+    assert "LeftOuter" not in p and "FullOuter" not in p
+    assert "FullOuter" not in plan(REGISTRY["b08d_full_join_sites_events"].fn(roles))
