@@ -215,3 +215,18 @@ def left_expand(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     lonely = anti(left, right, left_key, right_key=right_key).select(
         *left.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields])
     return matched.unionByName(lonely)
+
+
+# Largest top-k result broadcast explicitly (rows); larger k is left to AQE.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame, k: int) -> DataFrame:
+    """Broadcast hint for a frame proven to hold at most ``k`` rows (a LIMIT k result
+    joined to primary keys), when k is small enough; otherwise leave the choice
+    to Spark's size check.
+
+    Joining a top-k result to a large table then streams the large table
+    map-side against the broadcast rows: the large table is never shuffled.
+    """
+    return F.broadcast(df) if k <= BROADCAST_ROWS else df

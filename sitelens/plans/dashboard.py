@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import (avg_exact, avg_int, day_lit, month_bucket, ravg, ravg_int, sum2,
                                 ts_lit)
 from sitelens.operators.aggs import avg_of_avgs, branch_aggregate, group_count, per_key
-from sitelens.operators.joins import anti, lookup, not_in, resolve_target, semi
+from sitelens.operators.joins import anti, bounded, lookup, not_in, resolve_target, semi
 from sitelens.operators.sets import union_distinct
 from sitelens.operators.windows import latest_per_key, top_k_per_group
 from sitelens.plans.explorer import SUCCESS, bookings_per_site
@@ -110,8 +110,8 @@ def latest_site_reviews(r: Roles, k: int = 5):
     rv = semi(semi(r.reviews, r.visitors, "visitor_id", right_key="visitor_id"), r.sites, "site_id",
               right_key="site_id")
     top = rv.orderBy(F.desc("review_id")).limit(k)
-    j = (top.join(r.visitors.select("visitor_id", F.col("full_name").alias("visitor")), "visitor_id")
-         .join(r.sites.select("site_id", F.col("name").alias("site")), "site_id"))
+    j = (bounded(top, k).join(r.visitors.select("visitor_id", F.col("full_name").alias("visitor")), "visitor_id"))
+    j = bounded(j, k).join(r.sites.select("site_id", F.col("name").alias("site")), "site_id")
     return j.orderBy(F.desc("review_id")).select("visitor", "site", "rating", "comment")
 
 
@@ -130,7 +130,7 @@ def bookings_with_payments_sample(r: Roles, k: int = 5):
     b = semi(r.bookings.select("booking_id", "visitor_id"), r.visitors, "visitor_id", right_key="visitor_id")
     tie = ["booking_id", "attempt_no", "acquirer_id", "amount", "method", "status"]
     top = b.join(r.payments.select(*tie), "booking_id").orderBy(*tie).limit(k)
-    return (top.join(r.visitors.select("visitor_id", "full_name"), "visitor_id")
+    return (bounded(top, k).join(r.visitors.select("visitor_id", "full_name"), "visitor_id")
             .orderBy(*tie).select("booking_id", "full_name", "method", "amount", "status"))
 
 
@@ -262,7 +262,7 @@ def recent_reviews_filtered(r: Roles, site_id: int | None = None, date: str | No
     if date:
         rv = rv.where(F.col("review_date") == day_lit(date))
     top = rv.orderBy(F.desc("review_id")).limit(k)
-    j = (top.join(r.visitors.select("visitor_id", F.col("full_name").alias("visitor")), "visitor_id")
+    j = (bounded(top, k).join(r.visitors.select("visitor_id", F.col("full_name").alias("visitor")), "visitor_id")
          .transform(lambda d: lookup(d, r.sites, "site_id", "site_id", {"name": "__s"})))
     return (j.orderBy(F.desc("review_id"))
             .select("review_id", "visitor", F.coalesce("__s", F.lit("—")).alias("site"), "rating", "comment",
