@@ -211,7 +211,11 @@ def load_roles(spark: SparkSession, sf_dir: str) -> Roles:
         F.col("ts").cast("date").alias("review_date"),
     )
 
-    extra = {"documents": _read(spark, sf_dir, "documents"), "sf_dir": sf_dir}
+    extra = {"sf_dir": sf_dir}
+    try:   # only the full-text queries over documents need it
+        extra["documents"] = _read(spark, sf_dir, "documents")
+    except Exception:  # noqa: BLE001 - table absent from this folder
+        pass
     return Roles(sites=sites, evts=evts, visitors=visitors, bookings=bookings, payments=payments,
                  guides=guides, assignments=assignments, reviews=reviews, extra=extra)
 
