@@ -76,18 +76,39 @@ def accepted_so_far(spark: SparkSession, sink: str, name: str, like: DataFrame,
     return df.where(F.col("batch_id") < before_batch).select(*like.columns)
 
 
+def _previous_mark(spark: SparkSession, sink: str, batch_id: int) -> DataFrame | None:
+    """The one-row key high-water mark written by the previous micro-batch, if any."""
+    if batch_id == 0:
+        return None
+    try:
+        m = spark.read.parquet(f"{sink.rstrip('/')}/marks/batch_id={batch_id - 1}")
+    except Exception:  # noqa: BLE001 - previous batch wrote no mark
+        return None
+    return m
+
+
 def booking_batch_writer(roles: Roles, sink: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body of T1: earlier batches' bookings/visitors count as existing."""
+    """foreachBatch body of T1.
+
+    New booking keys continue from a one-row high-water mark written by the
+    previous batch (the base table's maximum is read only by the first
+    batch), so a micro-batch never rescans the booking history; visitors
+    created by earlier batches are matched by email like stored ones.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        b_prev = accepted_so_far(spark, sink, "bookings", roles.bookings, batch_id)
+        mark = _previous_mark(spark, sink, batch_id)
+        key_base = roles.bookings.select("booking_id") if mark is None else \
+            mark.select(F.col("max_booking_id").alias("booking_id"))
         v_prev = accepted_so_far(spark, sink, "visitors", roles.visitors, batch_id)
-        current = roles.with_tables(bookings=roles.bookings.unionByName(b_prev),
-                                    visitors=roles.visitors.unionByName(v_prev))
+        current = roles.with_tables(bookings=key_base, visitors=roles.visitors.unionByName(v_prev))
         req = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
         res = intake.booking_intake(current, req)
+        new_mark = (res.accepted.select("booking_id").unionByName(key_base)
+                    .agg(F.max("booking_id").alias("max_booking_id")))
         _write_batch({"bookings": res.accepted, "payments": res.extra["payments"],
-                      "visitors": res.extra["visitors"], "rejects": res.rejects}, sink, batch_id)
+                      "visitors": res.extra["visitors"], "rejects": res.rejects, "marks": new_mark},
+                     sink, batch_id)
     return run
 
 
