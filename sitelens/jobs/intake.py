@@ -160,7 +160,11 @@ def payment_settlement(r: Roles, attempts: DataFrame) -> JobResult:
         (F.col("booked_ticket_price") <= 0, "invalid_amount"),
         (F.col("request_id") != F.col("__wr"), "already_paid"),
     ])
-    a = a.withColumn("reject_reason", reason)
+    # The validated batch feeds four branches below: checkpoint it once
+    # (reliably, under spark.checkpoint.dir) instead of re-validating per branch.
+    from sitelens.session import checkpoint_dir
+    checkpoint_dir(a.sparkSession)
+    a = a.withColumn("reject_reason", reason).checkpoint(eager=True)
     rejects = a.where(F.col("reject_reason").isNotNull()).select("request_id", "ts", "reject_reason")
     win = a.where(F.col("reject_reason").isNull()).select("booking_id", "ts", "method",
                                                           F.col("booked_ticket_price").alias("__amt"))
