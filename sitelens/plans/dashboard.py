@@ -551,6 +551,24 @@ def filter_facets(r: Roles):
     return out
 
 
+@query("D31G", "guide_options", "SELECT guide_id, full_name FROM guides ORDER BY full_name")
+def guide_options(r: Roles):
+    """Dropdown list: guides by name."""
+    return r.guides.select("guide_id", "full_name").orderBy("full_name", "guide_id")
+
+
+@query("D31S", "site_options", "SELECT site_id, name FROM sites ORDER BY name")
+def site_options(r: Roles):
+    """Dropdown list: sites by name."""
+    return r.sites.select("site_id", "name").orderBy("name", "site_id")
+
+
+@query("D31E", "event_options", "SELECT event_id, name, site_id, event_date FROM evts ORDER BY event_date DESC")
+def event_options(r: Roles):
+    """Dropdown list: events, newest first."""
+    return r.evts.select("event_id", "name", "site_id", "event_date").orderBy(F.desc("event_date"), "event_id")
+
+
 @query("D32", "site_price_stats", f"""
 SELECT COUNT(*) AS total, MIN(ticket_price) AS min_price, MAX(ticket_price) AS max_price,
        {s_avg('ticket_price')} AS avg_price FROM sites""")
