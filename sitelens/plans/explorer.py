@@ -50,13 +50,17 @@ def locations_with_many_sites(r: Roles, min_sites: int = 2, ci: bool = False):
 
 @query("C-X05", "like_museum", """
 SELECT site_id, name, LEFT(description, 120) AS excerpt FROM sites
-WHERE name LIKE '%museum%' OR description LIKE '%museum%' ORDER BY site_id LIMIT 200""")
-def like_museum(r: Roles, word: str = "museum", ci: bool = False, k: int = 200):
-    """Sites whose name or description contains ``word`` (LIKE), first k by id."""
+WHERE name LIKE '%museum%' OR description LIKE '%museum%' ORDER BY site_id""")
+def like_museum(r: Roles, word: str = "museum", ci: bool = False, k: int | None = None):
+    """Sites whose name or description contains ``word`` (LIKE).
+
+    The reference's unordered ``LIMIT 200`` display cap is opt-in (``k``);
+    by default every match is returned, ordered by id.
+    """
     s = r.sites
-    return (s.where(contains_like("name", word, ci) | contains_like("description", word, ci))
-            .select("site_id", "name", excerpt("description", 120).alias("excerpt"))
-            .orderBy("site_id").limit(k))
+    out = (s.where(contains_like("name", word, ci) | contains_like("description", word, ci))
+           .select("site_id", "name", excerpt("description", 120).alias("excerpt")).orderBy("site_id"))
+    return out.limit(k) if k else out
 
 
 @query("C-X06", "sites_with_bookings_in", """
@@ -84,12 +88,12 @@ def sites_without_bookings(r: Roles):
 
 @query("C-X09", "union_sites_and_events_names", """
 SELECT * FROM (SELECT name, 'site' AS type FROM sites UNION SELECT name, 'event' AS type FROM evts) u
-ORDER BY name, type LIMIT 200""")
-def union_sites_and_events_names(r: Roles, k: int = 200):
-    """UNION of site names and event names with a literal tag; first k by name."""
+ORDER BY name, type""")
+def union_sites_and_events_names(r: Roles, k: int | None = None):
+    """UNION of site names and event names with a literal tag (the unordered cap is opt-in via ``k``)."""
     u = union_distinct(r.sites.select("name", F.lit("site").alias("type")),
-                       r.evts.select("name", F.lit("event").alias("type")))
-    return u.orderBy("name", "type").limit(k)
+                       r.evts.select("name", F.lit("event").alias("type"))).orderBy("name", "type")
+    return u.limit(k) if k else u
 
 
 @query("C-X10", "intersect_emulated_sites_with_both_booking_and_event", """
