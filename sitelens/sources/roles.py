@@ -106,6 +106,19 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _case(branches: list[tuple[Column, object]], default: object) -> Column:
+    """CASE WHEN c1 THEN v1 WHEN c2 THEN v2 … ELSE d END, as nested null-safe IFs.
+
+    Same result as the CASE (a NULL condition falls through either way), but
+    written so that Catalyst reduces a filter such as ``status = 'successful'``
+    to ``l_returnflag <=> 'A'``, which is pushed into the Parquet scan.
+    """
+    out = F.lit(default)
+    for cond, val in reversed(branches):
+        out = F.when(cond, F.lit(val)).otherwise(out)
+    return out
+
+
 def _day(base: str, offset: Column) -> Column:
     return F.date_add(F.lit(base).cast("date"), offset.cast("int"))
 
@@ -166,8 +179,8 @@ def load_roles(spark: SparkSession, sf_dir: str) -> Roles:
         F.col("o_orderdate").alias("booking_date"),
         (F.lit(1) + ok % 5).alias("no_of_tickets"),
         F.col("o_totalprice").cast(DEC).alias("booked_ticket_price"),
-        F.when(F.col("o_orderstatus") == "F", "paid").when(F.col("o_orderstatus") == "O", "pending")
-         .otherwise("failed").alias("payment_status"),
+        _case([(F.col("o_orderstatus").eqNullSafe("F"), "paid"), (F.col("o_orderstatus").eqNullSafe("O"), "pending")],
+              "failed").alias("payment_status"),
     )
 
     ln = F.col("l_linenumber")
@@ -176,10 +189,10 @@ def load_roles(spark: SparkSession, sf_dir: str) -> Roles:
         ln.alias("attempt_no"),
         F.col("l_suppkey").alias("acquirer_id"),
         F.col("l_extendedprice").cast(DEC).alias("amount"),
-        F.when(ln == 1, "bkash").when(ln == 2, "nagad").when(ln == 3, "rocket").when(ln == 4, "card")
-         .otherwise("bank_transfer").alias("method"),
-        F.when(F.col("l_returnflag") == "A", "successful").when(F.col("l_returnflag") == "N", "initiated")
-         .when(F.col("l_linestatus") == "F", "failed").otherwise("refunded").alias("status"),
+        _case([(ln.eqNullSafe(1), "bkash"), (ln.eqNullSafe(2), "nagad"), (ln.eqNullSafe(3), "rocket"),
+               (ln.eqNullSafe(4), "card")], "bank_transfer").alias("method"),
+        _case([(F.col("l_returnflag").eqNullSafe("A"), "successful"), (F.col("l_returnflag").eqNullSafe("N"), "initiated"),
+               (F.col("l_linestatus").eqNullSafe("F"), "failed")], "refunded").alias("status"),
         F.col("l_shipdate").alias("paid_at"),
     )
 
