@@ -111,3 +111,8 @@ def test_left_expand_has_no_outer_join(spark, roles):
     p = plan(REGISTRY["c_g15_guides_without_events"].fn(roles))
     assert "LeftOuter" not in p and "FullOuter" not in p
     assert "FullOuter" not in plan(REGISTRY["b08d_full_join_sites_events"].fn(roles))
+
+
+def test_status_filter_reaches_the_lineitem_scan(roles):
+    p = plan(REGISTRY["c_p04_monthly_revenue"].fn(roles))
+    assert "PushedFilters: [EqualNullSafe(l_returnflag,A)]" in p
