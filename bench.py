@@ -1,9 +1,9 @@
 """Benchmark: run the headline catalogue queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query is executed in full through Spark's ``noop`` sink (every row is
-produced, nothing is collected to the driver).  Each query runs twice and
-the faster run is reported, so one-off JVM/codegen warm-up of a new plan
-shape is not counted.  Prints one JSON line: {"metric", "value", "unit",
+produced, nothing is collected to the driver).  Each query runs three times
+and the fastest run is reported, so one-off JVM/codegen warm-up of a new
+plan shape and machine noise are not counted (``BENCH_RUNS`` overrides).  Prints one JSON line: {"metric", "value", "unit",
 "queries", "sf"}.
 
     BENCH_SF_DIR=/root/testdata/sf0.01 python bench.py          # headline set
@@ -52,7 +52,7 @@ def main() -> None:
     # Warm-up: JVM, file listing and codegen caches.
     REGISTRY["c_x03_price_aggregates"].fn(roles).write.format("noop").mode("overwrite").save()
     timings: dict[str, float] = {}
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     for name in names:
         best = float("inf")
         for _ in range(runs):
