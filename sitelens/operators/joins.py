@@ -101,21 +101,54 @@ def lookup(facts: DataFrame, dim: DataFrame, fk: str, pk: str, cols: dict[str, s
     return out.drop("__pk", "__salt", "__dsalt")
 
 
+def _resolve_two_step(facts: DataFrame, sites: DataFrame, evts: DataFrame, site_col: str, event_col: str,
+                      out: str, kind: str | None, salt_by: str | None) -> DataFrame:
+    f = lookup(facts, sites, site_col, "site_id", {"name": "__sname"}, salt_by=salt_by)
+    f = lookup(f, evts, event_col, "event_id", {"name": "__ename"}, salt_by=salt_by)
+    f = f.withColumn(out, F.coalesce("__sname", "__ename"))
+    if kind:
+        f = f.withColumn(kind, F.when(F.col("__sname").isNotNull(), "site")
+                         .when(F.col("__ename").isNotNull(), "event"))
+    return f.drop("__sname", "__ename")
+
+
 def resolve_target(facts: DataFrame, sites: DataFrame, evts: DataFrame,
                    site_col: str = "site_id", event_col: str = "event_id",
                    out: str = "target_name", kind: str | None = "target_kind",
                    salt_by: str | None = None) -> DataFrame:
     """Polymorphic target (site XOR event) → one name plus its kind.
 
-    ``COALESCE(site.name, event.name)`` as the reference computes it.
+    ``COALESCE(site.name, event.name)`` as the reference computes it, in one
+    shuffle of the fact table: each row names one target, so rows join on
+    (kind, id) against the union of the site and event name tables instead
+    of being shuffled once per lookup.  Rows that break the XOR rule (both
+    targets set) take the exact two-lookup path, so a dangling site still
+    falls back to the event name.  NULL targets are salted like in ``lookup``.
     """
-    f = lookup(facts, sites, site_col, "site_id", {"name": "__sname"}, salt_by=salt_by)
-    f = lookup(f, evts, event_col, "event_id", {"name": "__ename"}, salt_by=salt_by)
-    f = f.withColumn(out, F.coalesce("__sname", "__ename"))
+    both = F.col(site_col).isNotNull() & F.col(event_col).isNotNull()
+    xor_rows = facts.where(both)
+    rest = facts.where(~both)
+    names = (sites.select(F.lit(0).alias("__tk"), F.col("site_id").cast("bigint").alias("__tid"),
+                          F.col("name").alias("__tname"))
+             .unionByName(evts.select(F.lit(1).alias("__tk"), F.col("event_id").cast("bigint").alias("__tid"),
+                                      F.col("name").alias("__tname"))))
+    f = (rest.withColumn("__fk", F.when(F.col(site_col).isNotNull(), F.lit(0))
+                         .when(F.col(event_col).isNotNull(), F.lit(1)))
+         .withColumn("__fid", F.coalesce(F.col(site_col), F.col(event_col)).cast("bigint")))
+    cond = (F.col("__fk") == F.col("__tk")) & (F.col("__fid") == F.col("__tid"))
+    if salt_by is not None:
+        _, salt = _spread_key(F.col("__fid"), NULL_BUCKETS, F.col(salt_by))
+        f = f.withColumn("__salt", salt)
+        names = names.withColumn("__nsalt", F.when(F.col("__tid").isNull(), F.lit(1)).otherwise(F.lit(0))
+                                 .cast("bigint"))
+        cond = cond & (F.col("__salt") == F.col("__nsalt"))
+    j = f.join(names, cond, "left").withColumn(out, F.col("__tname"))
     if kind:
-        f = f.withColumn(kind, F.when(F.col("__sname").isNotNull(), "site")
-                         .when(F.col("__ename").isNotNull(), "event"))
-    return f.drop("__sname", "__ename")
+        j = j.withColumn(kind, F.when(F.col("__tname").isNull(), F.lit(None).cast("string"))
+                         .when(F.col("__fk") == 0, "site").otherwise("event"))
+    j = j.drop("__fk", "__fid", "__tk", "__tid", "__tname", "__salt", "__nsalt")
+    two = _resolve_two_step(xor_rows, sites, evts, site_col, event_col, out, kind, salt_by)
+    return j.unionByName(two)
 
 
 def _pair_residual(op: str, lid: Column, rid: Column) -> Column:
