@@ -263,3 +263,21 @@ def bounded(df: DataFrame, k: int) -> DataFrame:
     map-side against the broadcast rows: the large table is never shuffled.
     """
     return F.broadcast(df) if k <= BROADCAST_ROWS else df
+
+
+def target_names(facts: DataFrame, sites: DataFrame, evts: DataFrame, site_out: str = "site_name",
+                 event_out: str = "event_name", site_col: str = "site_id", event_col: str = "event_id",
+                 salt_by: str | None = None) -> DataFrame:
+    """Both target names side by side (site name, event name) in one fact-table shuffle.
+
+    Same (kind, id) join as :func:`resolve_target`; rows with both targets
+    set (XOR violations) get both names from two lookups.
+    """
+    both = F.col(site_col).isNotNull() & F.col(event_col).isNotNull()
+    one = resolve_target(facts.where(~both), sites, evts, site_col, event_col, out="__tn", kind="__kd",
+                         salt_by=salt_by)
+    one = (one.withColumn(site_out, F.when(F.col("__kd") == "site", F.col("__tn")))
+           .withColumn(event_out, F.when(F.col("__kd") == "event", F.col("__tn"))).drop("__tn", "__kd"))
+    two = lookup(facts.where(both), sites, site_col, "site_id", {"name": site_out})
+    two = lookup(two, evts, event_col, "event_id", {"name": event_out})
+    return one.unionByName(two)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import (avg_exact, avg_int, day_lit, month_bucket, ravg, ravg_int, sum2,
                                 ts_lit)
 from sitelens.operators.aggs import avg_of_avgs, branch_aggregate, group_count, per_key
-from sitelens.operators.joins import anti, bounded, lookup, not_in, resolve_target, semi
+from sitelens.operators.joins import anti, bounded, lookup, not_in, resolve_target, semi, target_names
 from sitelens.operators.sets import union_distinct
 from sitelens.operators.windows import latest_per_key, top_k_per_group
 from sitelens.plans.explorer import SUCCESS, bookings_per_site
@@ -457,8 +457,7 @@ LEFT JOIN sites s ON b.site_id = s.site_id LEFT JOIN evts e ON b.event_id = e.ev
 def visitor_bookings(r: Roles, visitor_id: int | None = None):
     """Visitor profile: bookings with site and event names."""
     b = r.bookings if visitor_id is None else r.bookings.where(F.col("visitor_id") == visitor_id)
-    b = lookup(b, r.sites, "site_id", "site_id", {"name": "site_name"}, salt_by="booking_id")
-    return lookup(b, r.evts, "event_id", "event_id", {"name": "event_name"}, salt_by="booking_id")
+    return target_names(b, r.sites, r.evts, salt_by="booking_id")
 
 
 @query("D29B", "visitor_payments", """
@@ -477,8 +476,7 @@ LEFT JOIN sites s ON r.site_id = s.site_id LEFT JOIN evts e ON r.event_id = e.ev
 def visitor_reviews(r: Roles, visitor_id: int | None = None):
     """Visitor profile: reviews with site and event names."""
     rv = r.reviews if visitor_id is None else r.reviews.where(F.col("visitor_id") == visitor_id)
-    rv = lookup(rv, r.sites, "site_id", "site_id", {"name": "site_name"}, salt_by="review_id")
-    return lookup(rv, r.evts, "event_id", "event_id", {"name": "event_name"}, salt_by="review_id")
+    return target_names(rv, r.sites, r.evts, salt_by="review_id")
 
 
 @query("D29S", "visitor_360_summary", f"""

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import contains_like, day_lit, ravg_int, ts_lit
 from sitelens.operators.aggs import branch_aggregate
-from sitelens.operators.joins import lookup, resolve_target
+from sitelens.operators.joins import lookup, resolve_target, target_names
 from sitelens.plans.registry import query
 from sitelens.plans.sqlfrag import s_ravgi
 from sitelens.sources.roles import Roles
@@ -482,8 +482,7 @@ def visitor_reviews_list(r: Roles, visitor_id: int | None = None, rating: int |
         rv = rv.where(F.col("visitor_id") == visitor_id)
     if rating:
         rv = rv.where(F.col("rating") == rating)
-    rv = lookup(rv, r.sites, "site_id", "site_id", {"name": "site_name"}, salt_by="review_id")
-    rv = lookup(rv, r.evts, "event_id", "event_id", {"name": "event_name"}, salt_by="review_id")
+    rv = target_names(rv, r.sites, r.evts, salt_by="review_id")
     if keyword:
         rv = rv.where(F.coalesce(contains_like("comment", keyword), F.lit(False))
                       | F.coalesce(contains_like("site_name", keyword), F.lit(False))

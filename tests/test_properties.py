@@ -116,3 +116,18 @@ def test_resolve_target_equals_coalesce_of_two_lookups(spark, rows, salt):
                           .select("fid", "target_name", "target_kind").collect())))
     ref = _resolve_two_step(facts, sites, evts, "site_id", "event_id", "target_name", "target_kind", None)
     assert got == sorted(map(_k, (tuple(r) for r in ref.select("fid", "target_name", "target_kind").collect())))
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 4)), st.one_of(st.none(), st.integers(0, 4))),
+                     max_size=12))
+def test_target_names_equal_two_lookups(spark, rows):
+    from sitelens.operators.joins import target_names
+    facts = spark.createDataFrame([(i, s, e) for i, (s, e) in enumerate(rows)], "fid long, site_id long, event_id long")
+    sites = spark.createDataFrame([(k, f"s{k}") for k in (0, 1, 3)], "site_id long, name string")
+    evts = spark.createDataFrame([(k, f"e{k}") for k in (1, 2, 4)], "event_id long, name string")
+    got = sorted(map(_k, (tuple(r) for r in target_names(facts, sites, evts, salt_by="fid")
+                          .select("fid", "site_name", "event_name").collect())))
+    ref = (facts.join(sites.withColumnRenamed("name", "site_name"), "site_id", "left")
+           .join(evts.withColumnRenamed("name", "event_name"), "event_id", "left"))
+    assert got == sorted(map(_k, (tuple(r) for r in ref.select("fid", "site_name", "event_name").collect())))
