@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.operators.joins import lookup
 from sitelens.operators.windows import latest_per_key
 from sitelens.sources.roles import DEC, Roles
 
@@ -94,20 +93,31 @@ def booking_intake(r: Roles, requests: DataFrame) -> JobResult:
         F.lower(F.trim(F.coalesce(F.col("method"), F.lit(DEFAULT_METHOD)))).alias("__m"))
     req = req.withColumn("method", F.when(F.col("__m").isin(*ALLOWED_METHODS), F.col("__m"))
                          .otherwise(F.lit(DEFAULT_METHOD))).drop("__m")
-    req = lookup(req, r.sites, "site_id", "site_id", {"ticket_price": "__sp"}, salt_by="request_id")
-    req = lookup(req, r.evts, "event_id", "event_id", {"ticket_price": "__ep"}, salt_by="request_id")
+    # The site is priced when given, else the event: one (kind, id) join against
+    # the union of both price tables prices every request in a single shuffle.
+    prices = (r.sites.select(F.lit(0).alias("__tk"), F.col("site_id").alias("__tid"), F.col("ticket_price").alias("__tp"))
+              .unionByName(r.evts.select(F.lit(1).alias("__tk"), F.col("event_id").alias("__tid"),
+                                         F.col("ticket_price").alias("__tp")))
+              .withColumn("__nsalt", F.when(F.col("__tid").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint")))
+    req = (req.withColumn("__fk", F.when(F.col("site_id").isNotNull(), F.lit(0))
+                          .when(F.col("event_id").isNotNull(), F.lit(1)))
+           .withColumn("__fid", F.coalesce("site_id", "event_id"))
+           .withColumn("__salt", F.when(F.col("__fid").isNull(), F.pmod(F.xxhash64("request_id"), F.lit(64)) + 1)
+                       .otherwise(F.lit(0))))
+    req = req.join(prices, (F.col("__fk") == F.col("__tk")) & (F.col("__fid") == F.col("__tid"))
+                   & (F.col("__salt") == F.col("__nsalt")), "left") \
+        .drop("__fk", "__fid", "__salt", "__tk", "__tid", "__nsalt")
     guest = F.col("visitor_id").isNull()
     reason = _reason([
         (F.col("site_id").isNull() & F.col("event_id").isNull(), "no_target"),
-        (F.col("site_id").isNotNull() & F.col("__sp").isNull(), "site_not_found"),
-        (F.col("site_id").isNull() & F.col("__ep").isNull(), "event_not_found"),
+        (F.col("site_id").isNotNull() & F.col("__tp").isNull(), "site_not_found"),
+        (F.col("site_id").isNull() & F.col("__tp").isNull(), "event_not_found"),
         (F.col("site_id").isNotNull() & F.col("event_id").isNotNull(), "both_targets"),
         (guest & (_blank(F.col("name")) | _blank(F.col("email"))), "guest_name_email_required"),
     ])
     req = req.withColumn("reject_reason", reason)
-    price = F.when(F.col("site_id").isNotNull(), F.col("__sp")).otherwise(F.col("__ep"))
     ok = (req.where(F.col("reject_reason").isNull())
-          .withColumn("booked_ticket_price", (price * F.col("no_of_tickets")).cast(DEC)).drop("__sp", "__ep"))
+          .withColumn("booked_ticket_price", (F.col("__tp") * F.col("no_of_tickets")).cast(DEC)).drop("__tp"))
     rejects = req.where(F.col("reject_reason").isNotNull()).select("request_id", "ts", "reject_reason")
 
     # Guests: existing visitor by email, else one new visitor per new email.
