@@ -281,3 +281,22 @@ def target_names(facts: DataFrame, sites: DataFrame, evts: DataFrame, site_out:
     two = lookup(facts.where(both), sites, site_col, "site_id", {"name": site_out})
     two = lookup(two, evts, event_col, "event_id", {"name": event_out})
     return one.unionByName(two)
+
+
+def bounded_lookup(top: DataFrame, k: int, dim: DataFrame, fk: str, pk: str, cols: dict[str, str]) -> DataFrame:
+    """:func:`lookup` for a frame of at most ``k`` rows (a LIMIT k result).
+
+    The ≤k rows are materialised once (reliable checkpoint in
+    ``spark.checkpoint.dir``), the dimension is cut to their keys by a
+    broadcast semi join (streamed map-side, never shuffled) and the left join
+    then meets only that tiny remainder.  Above ``BROADCAST_ROWS`` it is the
+    plain lookup.
+    """
+    if k > BROADCAST_ROWS:
+        return lookup(top, dim, fk, pk, cols)
+    from sitelens.session import checkpoint_dir
+    checkpoint_dir(top.sparkSession)
+    t = top.checkpoint(eager=True)
+    keys = t.select(F.col(fk).alias("__bk")).where(F.col("__bk").isNotNull()).distinct()
+    small = dim.join(F.broadcast(keys), F.col(pk) == F.col("__bk"), "left_semi")
+    return lookup(t, F.broadcast(small), fk, pk, cols)

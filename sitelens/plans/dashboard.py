@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import (avg_exact, avg_int, day_lit, month_bucket, ravg, ravg_int, sum2,
                                 ts_lit)
 from sitelens.operators.aggs import avg_of_avgs, branch_aggregate, group_count, per_key
-from sitelens.operators.joins import anti, bounded, lookup, not_in, resolve_target, semi, target_names
+from sitelens.operators.joins import anti, bounded, bounded_lookup, lookup, not_in, resolve_target, semi, target_names
 from sitelens.operators.sets import union_distinct
 from sitelens.operators.windows import latest_per_key, top_k_per_group
 from sitelens.plans.explorer import SUCCESS, bookings_per_site
@@ -263,7 +263,7 @@ def recent_reviews_filtered(r: Roles, site_id: int | None = None, date: str | No
         rv = rv.where(F.col("review_date") == day_lit(date))
     top = rv.orderBy(F.desc("review_id")).limit(k)
     j = (bounded(top, k).join(r.visitors.select("visitor_id", F.col("full_name").alias("visitor")), "visitor_id")
-         .transform(lambda d: lookup(d, r.sites, "site_id", "site_id", {"name": "__s"})))
+         .transform(lambda d: bounded_lookup(d, k, r.sites, "site_id", "site_id", {"name": "__s"})))
     return (j.orderBy(F.desc("review_id"))
             .select("review_id", "visitor", F.coalesce("__s", F.lit("—")).alias("site"), "rating", "comment",
                     "review_date"))
