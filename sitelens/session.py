@@ -68,11 +68,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
             path = _local_fallback(spark.conf.get("spark.master", ""))
             spark.conf.set("spark.checkpoint.dir", path)
         return path
-    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        path = _local_fallback(sc.master)
-    sc.setCheckpointDir(path)
-    return path
+    current = sc.getCheckpointDir()
+    if current is None:                        # once per session: every call of setCheckpointDir makes a folder
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or _local_fallback(sc.master))
+        current = sc.getCheckpointDir()
+    return current
 
 
 def _local_fallback(master: str) -> str:
