@@ -53,13 +53,13 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(F.slice("__w", i + 1, WINDOW))))
         .otherwise(F.array().cast("array<bigint>")))
     # Sort (window, position) only where some window repeats.
-    df = df.withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.array_sort(
+    df = df.withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.sort_array(
         F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
         .otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     at = lambda j: F.get(F.col("__s"), j)["h"]
     repeated = F.filter("__s", lambda x, j: F.coalesce(at(j - 1) == x["h"], F.lit(False))
                         | F.coalesce(at(j + 1) == x["h"], F.lit(False)))
-    df = df.withColumn("__p", F.array_sort(F.transform(repeated, lambda x: x["i"])))
+    df = df.withColumn("__p", F.sort_array(F.transform(repeated, lambda x: x["i"])))
     covered = F.aggregate(
         "__p", F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
         lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(WINDOW), p - s["last"])).alias("n")),

@@ -33,6 +33,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.drop("n_tokens", "loss_tokens")         # the SQL check has no tokenizer
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.fingerprint import fingerprints
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitelens.llm.quality import quality
     return quality(table(spark, sf_dir, "documents"))
@@ -43,7 +48,19 @@ def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op3_chat_format, op5_quality_rules, op7_warc_archive)}
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.license import scan
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.mixing import mix
+    return mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_token_files, op3_chat_format, op4_fingerprints, op5_quality_rules, op7_warc_archive, op8_license_scan,
+    op9_source_mixing)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE = {
