@@ -58,9 +58,14 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.hmm import score
+    return score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op2_token_files, op3_chat_format, op4_fingerprints, op5_quality_rules, op7_warc_archive, op8_license_scan,
-    op9_source_mixing)}
+    op9_source_mixing, op10_lm_scoring)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE = {
