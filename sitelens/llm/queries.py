@@ -43,6 +43,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.jaccard import similar_groups
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitelens.llm.warc import archive_pages
     return archive_pages(table(spark, sf_dir, "pages"))
@@ -64,7 +69,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_files, op3_chat_format, op4_fingerprints, op5_quality_rules, op7_warc_archive, op8_license_scan,
+    op2_token_files, op3_chat_format, op4_fingerprints, op5_quality_rules, op6_jaccard_join, op7_warc_archive, op8_license_scan,
     op9_source_mixing, op10_lm_scoring)}
 
 #: DuckDB SQL of the queries that SQL can express.
