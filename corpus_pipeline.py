@@ -3,26 +3,60 @@
 ``STAGES`` are (name, function) pairs; each function takes (spark, docs, sf_dir)
 and returns a DataFrame that is written as Parquet and read again as the next
 stage's documents.  All stages but the last return the columns of documents.
+Rows with one doc_id are one document; rows without a doc_id share one verdict of
+the quality rules and of the sampling, and are never removed as duplicates.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitelens.llm.common import prepare, stored
+from sitelens.llm.jaccard import similar_groups
+from sitelens.llm.mixing import mix
 from sitelens.llm.quality import quality
+from sitelens.llm.queries import PIECES, tokenizer_path
+from sitelens.llm.spm import encoded_documents
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids`` (null matches null)."""
+    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     prepare(spark)
-    kept = quality(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return _only(docs, quality(docs).filter("kept"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest doc_id."""
+    prepare(spark)
+    named = docs.filter("doc_id IS NOT NULL")
+    firsts = similar_groups(named).filter("doc_id = component_id").select("doc_id")
+    kept = named.join(firsts.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose token weights meet the smoothed source, language and topic shares."""
+    prepare(spark)
+    return _only(docs, mix(docs).filter("sampled"))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document."""
+    prepare(spark)
+    return encoded_documents(docs, tokenizer_path(PIECES))
 
 
-STAGES = [("quality_rules", keep_quality)]
+STAGES = [("quality_rules", keep_quality), ("jaccard_join", drop_near_duplicates),
+          ("source_mixing", mix_sources), ("sentencepiece", encode_pieces)]
 
-#: The robust fit iterates, so SQL can't give the rows; tests compare with a brute-force version.
+#: The robust fit and the raking iterate, so SQL can't give the rows; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

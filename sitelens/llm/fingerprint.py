@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import prepare, text_or_empty, words
 
 SHINGLE = 5
-BINS = 128                                 # a power of two
+BINS = 256                                 # a power of two
 BITS = 8                                   # a multiple of four
 
 

@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.spm import encoded_documents
+    return encoded_documents(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitelens.llm.tokenbin import token_files
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), END_ID, BYTE_BPE_VOCABULARY)
@@ -69,7 +74,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_files, op3_chat_format, op4_fingerprints, op5_quality_rules, op6_jaccard_join, op7_warc_archive, op8_license_scan,
+    op1_sentencepiece, op2_token_files, op3_chat_format, op4_fingerprints, op5_quality_rules, op6_jaccard_join, op7_warc_archive, op8_license_scan,
     op9_source_mixing, op10_lm_scoring)}
 
 #: DuckDB SQL of the queries that SQL can express.
