@@ -4,9 +4,10 @@ A document's set holds its distinct 4-word shingles (64-bit hashes).  Documents
 with equal sets share one representative before anything else happens.
 
 Index: sets are ordered rare shingles first (the most frequent ones are found by
-an exact heavy-hitter count over all sets; any order gives right results).  Two
-similar sets share a shingle within their prefixes, so only prefixes are indexed,
-as lists (shingle; set, size, position).
+an exact heavy-hitter count over all sets; any order gives right results).  Only
+prefixes are indexed, as lists (shingle; set, size, position).  They are longer than
+one common shingle would ask for: two linked sets, the smaller of n shingles, meet in
+at least 1 + 3n/100 lists, and pairs that meet in fewer are never fetched.
 
 Answers from similar sets: going through a list by size, each set is first checked
 against one pivot only.  Sets found similar form components and take the pivot's
@@ -86,6 +87,11 @@ def needed(na, nb):
     return -(-PERCENT * (na + nb) // (100 + PERCENT))
 
 
+def meetings(n):
+    """Least number of lists in which linked sets meet, if the smaller one has n shingles."""
+    return 1 + 3 * n // 100
+
+
 def _survey(rows: DataFrame) -> DataFrame:
     """Rows (kind 0: key, set id, size) per document and (kind 1: shingle, count) of frequent shingles."""
     def task(batches):
@@ -144,7 +150,7 @@ def _index(rows: DataFrame, common: np.ndarray) -> DataFrame:
                     seen.clear()
                 seen.add(i)
                 n = len(s)
-                size = n - -(-PERCENT * n // 100) + 1
+                size = min(n, n - -(-PERCENT * n // 100) + meetings(n))
                 if len(values):
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     frequent = values[at] == s
@@ -199,7 +205,7 @@ def _lists(index: DataFrame) -> DataFrame:
                     continue
                 most = min(pivot[3], e[3]) + 1 + min(pivot[2] - pivot[3], e[2] - e[3]) - 1
                 if most >= needed(pivot[2], e[2]):
-                    out.append((1, token, pivot[1], 0, 0, e[1]))
+                    out.append((1, token, pivot[1], min(pivot[2], e[2]), 0, e[1]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)],
                                                  ["kind", "token", "id", "n", "pos", "other"])
@@ -230,7 +236,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, floor: float) -
                                                       "s": pa.array([s.tobytes()], pa.binary())})
 
     found = rows.select("key", "t", bit.cast("long").alias("bit")).mapInArrow(fetch, "id long, s binary")
-    found = found.join(wanted.join(sets, "key").select("id").distinct(), "id", "left_semi")
+    # One shuffle of the fetched sets serves both joins; false hits of the bit map meet no pair.
     joined = pairs.select("a", "b").distinct().join(found.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     joined = joined.join(found.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
 
@@ -270,7 +276,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.min("key").alias("key"), F.first("n").alias("n"), F.count(F.lit(1)).alias("n_equal")).checkpoint()
 
     lists = stored(_lists(_index(rows, common)), "jaccard-lists")
-    to_pivot = lists.filter("kind = 1").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    # A pair that is split over several pivots may be passed over here: the block step finds it.
+    to_pivot = lists.filter("kind = 1").groupBy(F.col("id").alias("a"), F.col("other").alias("b")).agg(
+        F.count(F.lit(1)).alias("met"), F.first("n").alias("n")).filter(F.expr("met >= 1 + 3 * n div 100"))
     by_key = lambda links: (
         links.join(sets.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
@@ -295,7 +303,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     probes = entries.join(blocks, "token").filter(
         (F.col("block_label") < F.col("label")) & (100 * F.col("n1") >= PERCENT * F.col("n"))
         & (100 * F.col("n") >= PERCENT * F.col("n0")) & (most >= least))
-    probes = probes.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    probes = probes.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b"), "n").agg(
+        F.count_distinct("token").alias("met"), F.min("n0").alias("n0"))
+    probes = probes.filter(F.expr("met >= 1 + 3 * least(n, n0) div 100")).select("a", "b")
     second = _checked(probes, sets, rows, 1 - 2 * (1 - PERCENT / 100) - 1e-9).checkpoint()
 
     # Members of a near pivot that the triangle inequality leaves.
