@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sitelens.llm.common import prepare, text_or_empty
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 HELD_WORDS = 400_000
 Cut = Callable[[str], Iterable[bytes]]
 

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are cut where no piece can reach across (before a run of spaces, around
-control white space).  For every distinct word the bounded-length substrings are
+Texts are cut where no piece can reach across (before a run of spaces, between
+characters that no piece holds side by side).  For every distinct word the bounded-length substrings are
 exploded and equi-joined to the piece table: the edges of the word's lattice.
 Edges are grouped by word - words are already dealt by word, so without another
 shuffle - and a higher-order aggregate folds the lattice to the best path:
@@ -52,8 +52,8 @@ class Model:
         for _, p, _ in self.pieces:
             if re.search(f"[^{SPACE}]{SPACE}", p):
                 raise ValueError(f"piece {p!r} reaches across a cut")
-        # Control white space that no longer piece holds is a word of its own.
-        self.alone = "".join(c for c in "\n\t\r" if not any(c in p and len(p) > 1 for _, p, _ in self.pieces))
+        #: Neighbouring characters that some piece holds; a word may be cut between any others.
+        self.pairs = {p[i:i + 2] for _, p, _ in self.pieces for i in range(len(p) - 1)}
         self.longest = max(len(p) for _, p, _ in self.pieces)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == UNKNOWN)
@@ -70,13 +70,35 @@ class Model:
         return spark.createDataFrame(rows, "piece string, id int, cost double")
 
 
-def cutter(alone: str):
-    """A function that cuts a text into words: spaces shown as U+2581, after the dummy prefix; none if it is empty."""
-    single = f"[{re.escape(alone)}]|" if alone else ""
-    find = re.compile(f"{single}{SPACE}*[^{SPACE}{re.escape(alone)}]+|{SPACE}+").findall
+_PARTS: dict = {}
+
+
+def cutter(pairs: set[str]):
+    """A function that cuts a text into words: spaces shown as U+2581, after the dummy prefix; none if it is empty.
+
+    A word ends before a run of spaces, and between two characters that no piece
+    holds side by side.  The parts of words met before are kept, up to a bound.
+    """
+    find = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+
+    def parts(w: str) -> list[bytes]:
+        ends = [i for i in range(1, len(w)) if w[i - 1:i + 1] not in pairs]
+        return [w[a:b].encode() for a, b in zip([0, *ends], [*ends, len(w)])]
 
     def cut(text: str) -> list[bytes]:
-        return [w.encode() for w in find(SPACE + text.replace(" ", SPACE))] if text else []
+        if not text:
+            return []
+        if len(_PARTS) > 300_000:
+            _PARTS.clear()
+        out = []
+        for w in find(SPACE + text.replace(" ", SPACE)):
+            got = _PARTS.get(w)
+            if got is None:
+                got = parts(w)
+                if len(w) <= 64:
+                    _PARTS[w] = got
+            out += got
+        return out
 
     return cut
 
@@ -99,8 +121,42 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     return edges.groupBy("word").agg(F.collect_list("edge").alias("edges"))
 
 
-def fold_bpe(n: Column, edges: Column) -> Column:
-    """End positions of the tokens: merge the best edge over two neighbouring parts, until none is left."""
+MASK_CHARS = 62
+
+
+def with_bpe_bounds(rows: DataFrame) -> DataFrame:
+    """Add ``bounds``, the token bounds of ``w``: merge the best edge over two neighbouring parts until none is left.
+
+    The path is the set of its bounds: one bit each in a long for words of up to 62
+    characters, an array for longer ones.
+    """
+    # Values used inside lambdas are bound by _let: an inlined column would be computed for every element.
+    n, short = F.length("w"), F.length("w") <= MASK_CHARS
+    joined = F.transform(F.filter("edges", lambda x: short & (x["e"] - x["s"] > 1)), lambda x: F.struct(
+        x["cost"].alias("cost"), x["s"].alias("s"),
+        _bit(x["s"]).bitwiseOR(_bit(x["e"])).alias("ends"), (_bit(x["e"]) - _bit(x["s"] + 1)).alias("inner")))
+
+    def folded(edges):
+        def step(mask, _):
+            ready = lambda x: ((mask.bitwiseAND(x["ends"]) == x["ends"])
+                               & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1))
+            return _let(F.array_min(F.filter(edges, ready))["inner"], lambda inner: F.coalesce(
+                mask.bitwiseAND(F.bitwise_not(inner)), mask))
+
+        steps = F.when(n > 1, F.sequence(F.lit(2), F.least(n, F.lit(MASK_CHARS)))).otherwise(
+            F.array().cast("array<int>"))
+        whole = _bit(F.least(n, F.lit(MASK_CHARS)) + 1) - F.lit(1).cast("long")
+        return _let(F.aggregate(steps, whole, step), lambda mask: F.filter(
+            F.sequence(F.lit(0), n), lambda i: mask.bitwiseAND(_bit(i)) != 0))
+
+    return rows.withColumn("bounds", F.when(short, _let(joined, folded)).otherwise(_fold_array(n, F.col("edges"))))
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
+def _fold_array(n: Column, edges: Column) -> Column:
     joined = F.transform(F.filter(edges, lambda x: x["e"] - x["s"] > 1), lambda x: F.struct(
         x["cost"].alias("cost"), x["s"].alias("s"), x["e"].alias("e"), (x["e"] - x["s"] - 1).alias("inner")))
     inside = lambda b, x: (b > x["s"]) & (b < x["e"])
@@ -144,9 +200,8 @@ def word_ids(words: DataFrame, model: Model) -> DataFrame:
     rows = words.join(lattice(words, model), "word", "left").select(
         "word", F.decode("word", "UTF-8").alias("w"), F.coalesce("edges", F.array().cast(
             "array<struct<cost:double,s:int,e:int,id:int>>")).alias("edges"))
-    n = F.length("w")
-    bounds = fold_bpe(n, F.col("edges")) if model.kind == BPE else fold_viterbi(n, F.col("edges"), model.worst)
-    rows = rows.withColumn("bounds", bounds)
+    rows = with_bpe_bounds(rows) if model.kind == BPE else rows.withColumn(
+        "bounds", fold_viterbi(F.length("w"), F.col("edges"), model.worst))
     byte_ids = F.array(*[F.lit(model.bytes.get(b, model.unknown)) for b in range(256)])
 
     def part(i):
@@ -171,7 +226,7 @@ def encode(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     Words are folded once however often they occur; the fold's time grows with the
     square of a word's length.
     """
-    cut = cutter(model.alone)
+    cut = cutter(model.pairs)
     blocked = in_blocks(docs, key, text)
     wanted = stored(block_requests(blocked, cut), "spm-words")
     known = word_ids(wanted.select("word").distinct(), model)
