@@ -76,6 +76,8 @@ def in_ranges(df: DataFrame, key: str) -> DataFrame:
     keys = df.select(F.col(key).cast("double").alias("k")).filter("k IS NOT NULL").repartitionByRange(n, "k")
     tops = keys.groupBy(F.spark_partition_id().alias("r")).agg(F.max("k").alias("k"))
     inner = sorted({r["k"] for r in tops.collect()})[:-1]
+    if not inner:                              # one key or none: one range
+        return df.withColumn("p", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0)))
     splits = [float("-inf"), *inner, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="__d", outputCol="__p", handleInvalid="keep")
     out = cut.transform(df.withColumn("__d", F.col(key).cast("double")))
