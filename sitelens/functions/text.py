@@ -55,7 +55,8 @@ def parse_boolean_query(q: str) -> tuple[list[str], list[str], list[str]]:
         else:
             opt.append(w.lower())
     # Words shorter than the indexed minimum are ignored, as the index never holds them.
-    clean = lambda ws: [x for x in (re.sub(r"[^\w]", "", w) for w in ws) if len(x) >= MIN_TOKEN_LEN]
+    # A word with punctuation inside is cut as texts are; each piece then counts like the word.
+    clean = lambda ws: [x for w in ws for x in re.split(r"[^\w]+", w) if len(x) >= MIN_TOKEN_LEN]
     return clean(req), clean(exc), clean(opt)
 
 

@@ -23,8 +23,8 @@ DEFAULT_METHOD = "bkash"
 # The patterns used by the reference's validators.
 EMAIL_RE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 METHOD_CODE_RE = r"^[a-z0-9_\-]{2,40}$"
-# Column widths enforced by the admin visitor form.
-VISITOR_WIDTHS = {"full_name": 100, "email": 100, "phone": 20, "nationality": 50}
+# The widths to which the admin visitor form cuts; the e-mail, the unique key, is never cut.
+VISITOR_WIDTHS = {"full_name": 120, "phone": 30, "nationality": 80}
 
 
 @dataclass
@@ -121,16 +121,22 @@ def booking_intake(r: Roles, requests: DataFrame) -> JobResult:
     rejects = req.where(F.col("reject_reason").isNotNull()).select("request_id", "ts", "reject_reason")
 
     # Guests: existing visitor by email, else one new visitor per new email.
-    existing = r.visitors.select(F.col("email").alias("__e"), F.col("visitor_id").alias("__vid"))
-    g = ok.join(existing, (F.col("email") == F.col("__e")) & guest, "left").drop("__e")
-    new_emails = (g.where(guest & F.col("__vid").isNull())
-                  .groupBy("email").agg(F.min(F.struct("request_id", "name", "phone", "ts")).alias("__f"))
-                  .select("email", F.col("__f.request_id").alias("__first"), F.col("__f.name").alias("full_name"),
+    # E-mails compare without case (the column is unique that way).  Only guests meet
+    # the e-mail joins, so signed-in visitors' NULL e-mails never share a reducer.
+    existing = (r.visitors.where(F.col("email").isNotNull()).groupBy(F.lower("email").alias("__e"))
+                .agg(F.min("visitor_id").alias("__vid")))
+    known = ok.where(~guest)
+    g = ok.where(guest).withColumn("__k", F.lower("email"))
+    g = g.join(existing, F.col("__k") == F.col("__e"), "left").drop("__e")
+    new_emails = (g.where(F.col("__vid").isNull())
+                  .groupBy("__k").agg(F.min(F.struct("request_id", "email", "name", "phone", "ts")).alias("__f"))
+                  .select("__k", F.col("__f.email").alias("email"), F.col("__f.request_id").alias("__first"), F.col("__f.name").alias("full_name"),
                           F.col("__f.phone").alias("phone"), F.col("__f.ts").alias("__ts")))
     new_visitors = assign_ids(new_emails, "__first", r.visitors, "visitor_id", "visitor_id")
-    nv = new_visitors.select(F.col("email").alias("__ne"), F.col("visitor_id").alias("__nvid"))
-    g = g.join(nv, (F.col("email") == F.col("__ne")) & guest, "left")
-    g = g.withColumn("visitor_id", F.coalesce("visitor_id", "__vid", "__nvid")).drop("__vid", "__ne", "__nvid")
+    nv = new_visitors.select(F.col("__k").alias("__ne"), F.col("visitor_id").alias("__nvid"))
+    g = g.join(nv, F.col("__k") == F.col("__ne"), "left")
+    g = g.withColumn("visitor_id", F.coalesce("__vid", "__nvid")).drop("__k", "__vid", "__ne", "__nvid")
+    g = g.unionByName(known)
 
     g = assign_ids(g, "request_id", r.bookings, "booking_id", "booking_id")
     bookings = g.select("booking_id", "visitor_id", "site_id", "event_id", F.col("ts").alias("booking_date"),
@@ -247,7 +253,8 @@ def visitor_registration(r: Roles, requests: DataFrame, admin: bool = False) ->
     cols["email"] = F.lower(F.trim("email"))
     q = requests.select("request_id", "ts", *[v.alias(k) for k, v in cols.items()])
     if admin:
-        q = q.select("request_id", "ts", *[F.substring(c, 1, w).alias(c) for c, w in VISITOR_WIDTHS.items()])
+        q = q.select("request_id", "ts", "email",
+                     *[F.substring(c, 1, w).alias(c) for c, w in VISITOR_WIDTHS.items()])
     existing = r.visitors.select(F.lower("email").alias("__e")).distinct()
     q = q.join(existing, F.col("email") == F.col("__e"), "left")
     base = _reason([

@@ -64,15 +64,16 @@ def apply_deletes(r: Roles, sites: DataFrame | None = None, evts: DataFrame | No
     """Apply parent deletes (frames of keys) and their referential actions, in FK order."""
     spark = r.spark
     d_sites = _keys(sites, "site_id", spark)
-    # RESTRICT: visitors with bookings cannot be deleted.
+    d_book = _keys(bookings, "booking_id", spark)
+    # RESTRICT: visitors whose bookings outlive this call's own deletes cannot be deleted.
     d_vis_req = _keys(visitors, "visitor_id", spark)
-    refused = d_vis_req.join(r.bookings.select("visitor_id"), "visitor_id", "left_semi")
+    held = r.bookings.join(d_book, "booking_id", "left_anti").select("visitor_id").distinct()
+    refused = d_vis_req.join(held, "visitor_id", "left_semi")
     d_vis = d_vis_req.join(refused, "visitor_id", "left_anti")
     # CASCADE sites → events; deleted events = requested ∪ cascaded.
     cascaded_ev = r.evts.join(d_sites.withColumnRenamed("site_id", "__s"), F.col("site_id") == F.col("__s"),
                               "left_semi").select("event_id")
     d_evts = _keys(evts, "event_id", spark).unionByName(cascaded_ev).distinct()
-    d_book = _keys(bookings, "booking_id", spark)
     d_guid = _keys(guides, "guide_id", spark)
 
     new_sites = r.sites.join(d_sites, "site_id", "left_anti")

@@ -14,6 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def capped(df: DataFrame, k: int | None) -> DataFrame:
+    """The first ``k`` rows of an ordered frame; all of them when ``k`` is None."""
+    return df if k is None else df.limit(k)
+
+
 def group_count(df: DataFrame, by: str | Column | Sequence[str | Column], out: str = "cnt",
                 ci: bool = False) -> DataFrame:
     """A2: rows per group (NULL is a group of its own).

@@ -250,19 +250,14 @@ def left_expand(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return matched.unionByName(lonely)
 
 
-# Largest top-k result broadcast explicitly (rows); larger k is left to AQE.
-BROADCAST_ROWS = 100_000
-
-
-def bounded(df: DataFrame, k: int) -> DataFrame:
+def bounded(df: DataFrame, k: int | None) -> DataFrame:
     """Broadcast hint for a frame proven to hold at most ``k`` rows (a LIMIT k result
-    joined to primary keys), when k is small enough; otherwise leave the choice
-    to Spark's size check.
+    joined to primary keys); without a bound (``k`` None) Spark's size check decides.
 
     Joining a top-k result to a large table then streams the large table
     map-side against the broadcast rows: the large table is never shuffled.
     """
-    return F.broadcast(df) if k <= BROADCAST_ROWS else df
+    return df if k is None else F.broadcast(df)
 
 
 def target_names(facts: DataFrame, sites: DataFrame, evts: DataFrame, site_out: str = "site_name",
@@ -283,20 +278,16 @@ def target_names(facts: DataFrame, sites: DataFrame, evts: DataFrame, site_out:
     return one.unionByName(two)
 
 
-def bounded_lookup(top: DataFrame, k: int, dim: DataFrame, fk: str, pk: str, cols: dict[str, str]) -> DataFrame:
+def bounded_lookup(top: DataFrame, k: int | None, dim: DataFrame, fk: str, pk: str, cols: dict[str, str]) -> DataFrame:
     """:func:`lookup` for a frame of at most ``k`` rows (a LIMIT k result).
 
-    The ≤k rows are materialised once (reliable checkpoint in
-    ``spark.checkpoint.dir``), the dimension is cut to their keys by a
-    broadcast semi join (streamed map-side, never shuffled) and the left join
-    then meets only that tiny remainder.  Above ``BROADCAST_ROWS`` it is the
-    plain lookup.
+    The dimension is cut to the keys of the ≤k rows by a broadcast semi join
+    (streamed map-side, never shuffled) and the left join then meets only that
+    tiny remainder.  Nothing runs while the query is built.  Without a bound
+    (``k`` None) it is the plain lookup.
     """
-    if k > BROADCAST_ROWS:
+    if k is None:
         return lookup(top, dim, fk, pk, cols)
-    from sitelens.session import checkpoint_dir
-    checkpoint_dir(top.sparkSession)
-    t = top.checkpoint(eager=True)
-    keys = t.select(F.col(fk).alias("__bk")).where(F.col("__bk").isNotNull()).distinct()
+    keys = top.select(F.col(fk).alias("__bk")).where(F.col("__bk").isNotNull()).distinct()
     small = dim.join(F.broadcast(keys), F.col(pk) == F.col("__bk"), "left_semi")
-    return lookup(t, F.broadcast(small), fk, pk, cols)
+    return lookup(top, F.broadcast(small), fk, pk, cols)

@@ -6,25 +6,39 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-RANK_BUCKETS = 64
+
+def _as_number(v: Column, kind: T.DataType) -> Column:
+    """A double that never falls as ``v`` rises (equal doubles may stand for different values)."""
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(v, 1, 6).cast("binary").substr(1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(v).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(v.cast("timestamp")).cast("double")
+    return v.cast("double")
 
 
 def rank_by(df: DataFrame, value: str, out: str = "rank", descending: bool = True,
-            buckets: int = RANK_BUCKETS) -> DataFrame:
+            buckets: int | None = None) -> DataFrame:
     """``RANK() OVER (ORDER BY value [DESC])`` without a one-partition window.
 
     rank(v) = 1 + number of rows whose value sorts strictly before v.  The
     distinct values are counted (partial aggregate), cut into ``buckets`` value
     ranges by approximate quantiles, and each range gets its prefix count from
     the ≤``buckets`` range totals plus a running sum inside the range.  Only
-    the tiny range-total table is ever ordered globally.  NULL values rank
-    last under DESC and first under ASC, as in MySQL/Spark.
+    the tiny range-total table is ever ordered globally.  The approximate number
+    of a value only chooses its range; inside a range the values themselves are
+    ordered, so wide integers, strings, dates and timestamps rank exactly.
+    ``buckets`` defaults to the shuffle partition count.  NULL values rank last
+    under DESC and first under ASC, as in MySQL/Spark.
     """
     v = F.col(value)
+    buckets = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
     # Sort key: larger first for DESC; NULL placed at the end (DESC) / start (ASC).
-    num = v.cast("double")
+    num = _as_number(v, df.schema[value].dataType)
     key = F.when(v.isNull(), F.lit(float("inf")) if descending else F.lit(float("-inf"))) \
            .otherwise(-num if descending else num)
     counts = counts.withColumn("__key", key)
@@ -39,7 +53,8 @@ def rank_by(df: DataFrame, value: str, out: str = "rank", descending: bool = Tru
         "__bucket",
         F.coalesce(F.sum("__t").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("__off"))
-    inner = Window.partitionBy("__bucket").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
+    order = v.desc_nulls_last() if descending else v.asc_nulls_first()
+    inner = Window.partitionBy("__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = (counts.withColumn("__before", F.coalesce(F.sum("__c").over(inner), F.lit(0)))
               .join(F.broadcast(offsets), "__bucket")
               .select(F.col(value).alias("__v"), (F.lit(1) + F.col("__off") + F.col("__before"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import contains_like, excerpt, ravg, sum2
 from sitelens.operators.aggs import branch_aggregate, group_count, per_key
+from sitelens.operators.aggs import capped
 from sitelens.operators.joins import anti, semi
 from sitelens.operators.sets import intersect_by_key, union_distinct
 from sitelens.operators.windows import rank_by
@@ -17,11 +18,11 @@ SUCCESS = "successful"
 
 
 @query("C-X01", "orderby_ticket_desc", """
-SELECT site_id, name, ticket_price FROM sites ORDER BY ticket_price DESC NULLS LAST, site_id LIMIT 100""")
-def orderby_ticket_desc(r: Roles, k: int = 100):
+SELECT site_id, name, ticket_price FROM sites ORDER BY ticket_price DESC NULLS LAST, site_id""")
+def orderby_ticket_desc(r: Roles, k: int | None = None):
     """Order sites by ticket_price DESC (top-k)."""
     return (r.sites.select("site_id", "name", "ticket_price")
-            .orderBy(F.desc("ticket_price"), "site_id").limit(k))
+            .orderBy(F.desc("ticket_price"), "site_id").transform(capped, k))
 
 
 @query("C-X02", "count_sites_by_location", """
@@ -98,11 +99,11 @@ def union_sites_and_events_names(r: Roles, k: int | None = None):
 
 @query("C-X10", "intersect_emulated_sites_with_both_booking_and_event", """
 SELECT DISTINCT s.site_id, s.name FROM sites s JOIN bookings b ON b.site_id = s.site_id
-JOIN evts e ON e.site_id = s.site_id ORDER BY s.name, s.site_id LIMIT 200""")
-def intersect_emulated(r: Roles, k: int = 200):
+JOIN evts e ON e.site_id = s.site_id ORDER BY s.name, s.site_id""")
+def intersect_emulated(r: Roles, k: int | None = None):
     """Sites with both bookings and events: two semi joins, no bookings×events fan-out."""
     s = intersect_by_key(r.sites, "site_id", (r.bookings, "site_id"), (r.evts, "site_id"))
-    return s.select("site_id", "name").orderBy("name", "site_id").limit(k)
+    return s.select("site_id", "name").orderBy("name", "site_id").transform(capped, k)
 
 
 def target_revenue(r: Roles, target: str = "site_id", statuses=(SUCCESS,)):
@@ -129,11 +130,11 @@ def site_revenue_frame(r: Roles, statuses=(SUCCESS,)):
 SELECT s.site_id, s.name, {s_sum('p.amount')} AS revenue, COUNT(DISTINCT b.booking_id) AS bookings
 FROM sites s LEFT JOIN bookings b ON b.site_id = s.site_id
 LEFT JOIN payments p ON p.booking_id = b.booking_id AND p.status = 'successful'
-GROUP BY s.site_id, s.name ORDER BY revenue DESC NULLS LAST, s.site_id LIMIT 200""")
-def site_revenue(r: Roles, k: int = 200):
+GROUP BY s.site_id, s.name ORDER BY revenue DESC NULLS LAST, s.site_id""")
+def site_revenue(r: Roles, k: int | None = None):
     """Site revenue (SUM of successful payments, NULL when none) and booking count, top k."""
     return (site_revenue_frame(r).select("site_id", "name", "revenue", "bookings")
-            .orderBy(F.desc("revenue"), "site_id").limit(k))
+            .orderBy(F.desc("revenue"), "site_id").transform(capped, k))
 
 
 @query("C-X12", "sites_revenue_gt_500", f"""
@@ -141,12 +142,12 @@ SELECT s.site_id, s.name, CAST(COALESCE(SUM(p.amount), 0) AS DECIMAL(20,2)) AS r
 FROM sites s LEFT JOIN bookings b ON b.site_id = s.site_id
 LEFT JOIN payments p ON p.booking_id = b.booking_id AND p.status = 'successful'
 GROUP BY s.site_id, s.name HAVING COALESCE(SUM(p.amount), 0) > 500
-ORDER BY revenue DESC, s.site_id LIMIT 200""")
-def sites_revenue_gt_500(r: Roles, threshold: float = 500, k: int = 200):
+ORDER BY revenue DESC, s.site_id""")
+def sites_revenue_gt_500(r: Roles, threshold: float = 500, k: int | None = None):
     """Sites whose successful revenue (0 when none) exceeds ``threshold``."""
     f = site_revenue_frame(r).select("site_id", "name",
                                      F.coalesce("revenue", F.lit(0).cast("decimal(20,2)")).alias("revenue"))
-    return f.where(F.col("revenue") > threshold).orderBy(F.desc("revenue"), "site_id").limit(k)
+    return f.where(F.col("revenue") > threshold).orderBy(F.desc("revenue"), "site_id").transform(capped, k)
 
 
 def bookings_per_site(r: Roles, out: str):
@@ -173,12 +174,12 @@ def min_max_ticket_per_type(r: Roles):
 
 @query("C-X15", "site_with_latest_event_date", """
 SELECT s.site_id, s.name, (SELECT MAX(event_date) FROM evts e WHERE e.site_id = s.site_id) AS latest_event
-FROM sites s ORDER BY latest_event DESC NULLS LAST, s.site_id LIMIT 100""")
-def site_with_latest_event_date(r: Roles, k: int = 100):
+FROM sites s ORDER BY latest_event DESC NULLS LAST, s.site_id""")
+def site_with_latest_event_date(r: Roles, k: int | None = None):
     """Correlated scalar MAX per site → pre-aggregated left join; top k by date."""
     latest = per_key(r.evts, "site_id", [F.max("event_date").alias("latest_event")])
     return (r.sites.select("site_id", "name").join(latest, "site_id", "left")
-            .orderBy(F.desc("latest_event"), "site_id").limit(k))
+            .orderBy(F.desc("latest_event"), "site_id").transform(capped, k))
 
 
 @query("C-X16", "rank_sites_by_price", """
@@ -191,15 +192,15 @@ def rank_sites_by_price(r: Roles):
 @query("C-X17", "view_sites_summary", """
 SELECT s.site_id, s.name, COUNT(DISTINCT e.event_id) AS event_count, COUNT(DISTINCT b.booking_id) AS booking_count
 FROM sites s LEFT JOIN evts e ON e.site_id = s.site_id LEFT JOIN bookings b ON b.site_id = s.site_id
-GROUP BY s.site_id, s.name ORDER BY booking_count DESC, s.site_id LIMIT 200""")
-def view_sites_summary(r: Roles, k: int = 200):
+GROUP BY s.site_id, s.name ORDER BY booking_count DESC, s.site_id""")
+def view_sites_summary(r: Roles, k: int | None = None):
     """Events and bookings per site: two branch aggregates, never events×bookings."""
     out = branch_aggregate(
         r.sites.select("site_id", "name"), "site_id",
         [(r.evts, "site_id", [F.count(F.lit(1)).alias("event_count")]),
          (r.bookings, "site_id", [F.count(F.lit(1)).alias("booking_count")])],
         fill={"event_count": 0, "booking_count": 0})
-    return out.orderBy(F.desc("booking_count"), "site_id").limit(k)
+    return out.orderBy(F.desc("booking_count"), "site_id").transform(capped, k)
 
 
 @query("C-X18", "sites_in_bookings_not_in_reviews", """

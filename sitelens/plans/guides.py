@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import avg_exact, contains_like, ravg
 from sitelens.operators.aggs import group_count, per_key
 from sitelens.operators.checks import profile_table
+from sitelens.operators.aggs import capped
 from sitelens.operators.joins import (all_pairs, bounded_product, left_expand, lookup, not_in, resolve_target,
                                       semi)
 from sitelens.operators.sets import union_distinct
@@ -20,20 +21,20 @@ PAIR_GRID = 4   # block grid for full pair listings: a hot group spreads over 16
 
 
 @query("C-G01", "guides_basic_info", """
-SELECT guide_id, full_name, language, specialization, salary FROM guides ORDER BY full_name, guide_id LIMIT 200""")
-def guides_basic_info(r: Roles, k: int = 200):
+SELECT guide_id, full_name, language, specialization, salary FROM guides ORDER BY full_name, guide_id""")
+def guides_basic_info(r: Roles, k: int | None = None):
     """Guides by name (first k)."""
-    return r.guides.orderBy("full_name", "guide_id").limit(k)
+    return r.guides.orderBy("full_name", "guide_id").transform(capped, k)
 
 
 @query("C-G02", "guides_salary_raise_preview", """
 SELECT guide_id, full_name, salary AS current_salary, CAST(salary * 1.10 AS DECIMAL(14,4)) AS increased_salary
-FROM guides ORDER BY salary DESC, guide_id LIMIT 100""")
-def guides_salary_raise_preview(r: Roles, factor: str = "1.10", k: int = 100):
+FROM guides ORDER BY salary DESC, guide_id""")
+def guides_salary_raise_preview(r: Roles, factor: str = "1.10", k: int | None = None):
     """Salary × factor preview (exact decimal arithmetic)."""
     return (r.guides.select("guide_id", "full_name", F.col("salary").alias("current_salary"),
                             (F.col("salary") * F.lit(Decimal(factor))).cast("decimal(14,4)").alias("increased_salary"))
-            .orderBy(F.desc("current_salary"), "guide_id").limit(k))
+            .orderBy(F.desc("current_salary"), "guide_id").transform(capped, k))
 
 
 @query("C-G03", "guides_table_structure")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import contains_like, day_lit, ravg_int, ts_lit
 from sitelens.operators.aggs import branch_aggregate
+from sitelens.operators.aggs import capped
 from sitelens.operators.joins import lookup, resolve_target, target_names
 from sitelens.plans.registry import query
 from sitelens.plans.sqlfrag import s_ravgi
@@ -308,11 +309,11 @@ SELECT p.booking_id, p.attempt_no, p.acquirer_id, p.amount, p.method, p.status,
 FROM payments p JOIN bookings b ON p.booking_id = b.booking_id LEFT JOIN visitors v ON b.visitor_id = v.visitor_id
 LEFT JOIN sites s ON b.site_id = s.site_id LEFT JOIN evts e ON b.event_id = e.event_id
 WHERE p.method = 'card' AND p.paid_at >= TIMESTAMP '1998-01-01' AND p.paid_at < TIMESTAMP '1998-07-01'
-ORDER BY p.paid_at DESC, p.booking_id, p.attempt_no, p.acquirer_id, p.amount, p.method, p.status LIMIT 500""")
-def payment_list_page(r: Roles, k: int = 500):
+ORDER BY p.paid_at DESC, p.booking_id, p.attempt_no, p.acquirer_id, p.amount, p.method, p.status""")
+def payment_list_page(r: Roles, k: int | None = None):
     """Payment list: card payments in the first half of 1998, newest 500."""
     lst = payment_list(r, method="card", date_from="1998-01-01", date_to="1998-06-30")
-    return (lst.frame.orderBy(*lst.order, "method", "status").limit(k)
+    return (lst.frame.orderBy(*lst.order, "method", "status").transform(capped, k)
             .select("booking_id", "attempt_no", "acquirer_id", "amount", "method", "status", "paid_at", "visitor",
                     "target_name"))
 

@@ -62,6 +62,11 @@ def _write_batch(outputs: dict[str, DataFrame], sink: str, batch_id: int) -> Non
         df.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/{name}/batch_id={batch_id}")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def accepted_so_far(spark: SparkSession, sink: str, name: str, like: DataFrame, before_batch: int) -> DataFrame:
     """Rows written by micro-batches before ``before_batch`` (empty when none).
 
@@ -69,10 +74,9 @@ def accepted_so_far(spark: SparkSession, sink: str, name: str, like: DataFrame,
     batch never reads the output it is about to replace.
     """
     path = f"{sink.rstrip('/')}/{name}"
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing written yet
+    if not path_exists(spark, path):           # nothing written yet; any other failure must surface
         return spark.createDataFrame([], like.schema)
+    df = spark.read.parquet(path)
     return df.where(F.col("batch_id") < before_batch).select(*like.columns)
 
 
@@ -80,11 +84,8 @@ def _previous_mark(spark: SparkSession, sink: str, batch_id: int) -> DataFrame |
     """The one-row key high-water mark written by the previous micro-batch, if any."""
     if batch_id == 0:
         return None
-    try:
-        m = spark.read.parquet(f"{sink.rstrip('/')}/marks/batch_id={batch_id - 1}")
-    except Exception:  # noqa: BLE001 - previous batch wrote no mark
-        return None
-    return m
+    path = f"{sink.rstrip('/')}/marks/batch_id={batch_id - 1}"
+    return spark.read.parquet(path) if path_exists(spark, path) else None
 
 
 def booking_batch_writer(roles: Roles, sink: str) -> Callable[[DataFrame, int], None]:

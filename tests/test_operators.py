@@ -209,3 +209,19 @@ def test_cli_runs_registered_queries_only(capsys):
     assert main(["run", "no_such_query", "--data", "/tmp"]) == 2
     assert main(["list", "c_x11"]) == 0
     assert "c_x11_site_revenue" in capsys.readouterr().out
+
+
+def test_rank_orders_by_the_value_itself(spark):
+    from sitelens.operators.windows import rank_by
+    big = [(2 ** 53 + i,) for i in range(6)]
+    got = {r["v"]: r["rank"] for r in rank_by(spark.createDataFrame(big, "v long"), "v").collect()}
+    assert got == {2 ** 53 + i: 6 - i for i in range(6)}
+    names = [("b",), ("abcdefgh",), ("abcdefgi",), (None,), ("é",)]
+    up = {r["v"]: r["rank"] for r in rank_by(spark.createDataFrame(names, "v string"), "v", descending=False).collect()}
+    assert up == {None: 1, "abcdefgh": 2, "abcdefgi": 3, "b": 4, "é": 5}
+
+
+def test_full_text_words_with_punctuation(spark):
+    from sitelens.functions.text import boolean_match
+    df = spark.createDataFrame([("a world-heritage site",), ("worldheritage",)], "t string")
+    assert [r["t"] for r in df.where(boolean_match("t", "+world-heritage")).collect()] == ["a world-heritage site"]

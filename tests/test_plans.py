@@ -45,7 +45,7 @@ def test_children_aggregated_before_join(roles, name):
 
 
 def test_top_k_is_take_ordered(roles):
-    p = plan(REGISTRY["c_x01_orderby_ticket_desc"].fn(roles))
+    p = plan(REGISTRY["c_x01_orderby_ticket_desc"].fn(roles, k=100))
     assert "TakeOrderedAndProject" in p and "limit=100" in p
 
 
