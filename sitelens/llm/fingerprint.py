@@ -2,9 +2,9 @@
 
 Every 5-word shingle of a text is hashed once; the top bits choose one of ``bins``
 bins, and a bin keeps its smallest hash.  A bin that stays empty takes the value
-of a non-empty bin chosen by a hash of both bin numbers alone (optimal
-densification: the choice is the same for every text, so two texts whose chosen
-bins agree borrow alike).  The fingerprint is the low-order ``bits`` of every bin,
+of the first non-empty bin in a pseudo-random sequence of its own (optimal
+densification: the sequences are the same for every text, so two texts whose
+chosen bins agree borrow alike).  The fingerprint is the low-order ``bits`` of every bin,
 packed as hex.  The likeness of two fingerprints is the share of equal bins,
 corrected for agreement by chance: (share - 2^-bits) / (1 - 2^-bits).
 
@@ -15,6 +15,8 @@ unlike any other (0.0).  Everything about one text is computed within its row.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from sitelens.llm.common import prepare, text_or_empty, words
 
 SHINGLE = 5
+SEED = 11                                  # of the donors' order
 BINS = 256                                 # a power of two
 BITS = 8                                   # a multiple of four
 
@@ -30,36 +33,61 @@ def _bin(h: Column, bins: int) -> Column:
     return F.shiftrightunsigned(h, 64 - (bins.bit_length() - 1)).cast("int")
 
 
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >= 1 << 63 else n
+
+
+def _donors(bins: int) -> list[list[int]]:
+    """For every round and bin, the bin that is asked if this one is still empty.
+
+    Unrolled, r rounds give each bin a fixed sequence of 2^r bins to ask, the same
+    for every text.  The first rounds are random; the last ones flip one bit of the
+    bin number each, so every bin is asked in the end.
+    """
+    rng, levels = random.Random(SEED), bins.bit_length() - 1
+    return [rng.sample(range(bins), bins) for _ in range(levels + 4)] + [
+        [b ^ (1 << i) for b in range(bins)] for i in range(levels)]
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str, bins: int = BINS, bits: int = BITS) -> DataFrame:
     """Add the fingerprint of the non-null text column ``text`` as ``out``."""
-    w, h, low, row = f"__{out}_w", f"__{out}_h", f"__{out}_low", f"__{out}_row"
+    w, h, slots = f"__{out}_w", f"__{out}_h", f"__{out}_slots"
     df = df.withColumn(w, words(F.col(text)))
     n = F.size(w)
-    df = df.withColumn(h, F.sort_array(
-        F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(0), n - SHINGLE),
-                                         lambda i: F.xxhash64(F.slice(w, i + 1, SHINGLE))))
-        .when(n > 0, F.array(F.xxhash64(F.col(w)))).otherwise(F.array().cast("array<bigint>"))))
-    # Sorted hashes: the first of each run of equal bins is the bin's minimum (in signed order, the same for all texts).
+    # Words are fetched one by one: slice() copies the whole array first, for every shingle.
+    hashes = (F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(0), n - SHINGLE),
+                                               lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)])))
+              .when(n > 0, F.array(F.xxhash64(F.col(w)))).otherwise(F.array().cast("array<bigint>")))
+    # One mark per bin, above all its hashes: sorted, the first of each run of equal bins is the bin's minimum, or
+    # the mark of an empty bin.
+    width = 64 - (bins.bit_length() - 1)
+    full = (1 << width) - 1
+    df = df.withColumn(h, F.sort_array(F.concat(hashes, _ints([_signed(b << width | full) for b in range(bins)], "bigint"))))
     first = F.filter(h, lambda x, i: (i == 0) | (_bin(x, bins) != _bin(F.get(F.col(h), i - 1), bins)))
-    df = df.withColumn(low, F.transform(first, lambda x: F.struct(
-        _bin(x, bins).alias("b"), x.bitwiseAND(F.lit((1 << bits) - 1)).alias("v"))))
-    df = df.withColumn(row, F.map_from_entries(low))
-    digits = bits // 4
-    hexed = lambda v: F.lpad(F.hex(v), digits, "0")
-    # The donor of an empty bin: the non-empty bin with the smallest hash of (empty bin, donor).
-    filled = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: hexed(F.coalesce(
-        F.try_element_at(F.col(row), b),
-        F.array_min(F.transform(low, lambda d: F.struct(F.xxhash64(b, d["b"]).alias("o"), d["v"].alias("v"))))["v"])))
-    df = df.withColumn(out, F.when(F.size(low) > 0, F.array_join(filled, "")).otherwise(F.lit("")))
-    return df.drop(w, h, low, row)
+    df = df.withColumn(slots, F.transform(first, lambda x: F.when(
+        x.bitwiseAND(F.lit(full)) != full, x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))))
+    rounds = _donors(bins)
+    donor = _ints([d for r in rounds for d in r], "int")
+    filled = F.aggregate(
+        F.sequence(F.lit(0), F.lit(len(rounds) - 1)), F.col(slots),
+        lambda row, r: F.when(F.exists(row, lambda x: x.isNull()), F.transform(
+            row, lambda x, b: F.coalesce(x, F.get(row, F.get(donor, r * bins + b))))).otherwise(row))
+    packed = F.array_join(F.transform(filled, lambda v: F.lpad(F.hex(v), bits // 4, "0")), "")
+    df = df.withColumn(out, F.when(F.size(w) > 0, packed).otherwise(F.lit("")))
+    return df.drop(w, h, slots)
+
+
+def _ints(values: list[int], kind: str) -> Column:
+    """A constant array."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def likeness(a: str, b: str, bins: int = BINS, bits: int = BITS) -> Column:
     """Estimated Jaccard similarity of two fingerprints, 0 to 1."""
     digits, chance = bits // 4, 2.0 ** -bits
+    part = lambda c, i: F.substring(F.col(c).cast("binary"), i * digits + 1, F.lit(digits))
     same = F.aggregate(F.sequence(F.lit(0), F.lit(bins - 1)), F.lit(0), lambda acc, i: acc + F.when(
-        F.substring(F.col(a), i * digits + 1, F.lit(digits)) == F.substring(F.col(b), i * digits + 1, F.lit(digits)), 1)
-        .otherwise(0))
+        part(a, i) == part(b, i), 1).otherwise(0))
     corrected = (same / bins - chance) / (1 - chance)
     return (F.when(F.col(a) == F.col(b), F.lit(1.0)).when((F.col(a) == "") | (F.col(b) == ""), F.lit(0.0))
             .otherwise(F.greatest(F.lit(0.0), corrected)))
@@ -81,8 +109,8 @@ def in_ranges(df: DataFrame, key: str) -> DataFrame:
     splits = [float("-inf"), *inner, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="__d", outputCol="__p", handleInvalid="keep")
     out = cut.transform(df.withColumn("__d", F.col(key).cast("double")))
-    return out.withColumn("p", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.col("__p").cast("int"))).drop(
-        "__d", "__p")
+    return out.withColumn("p", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(
+        F.coalesce(F.col("__p").cast("int"), F.lit(-1)))).drop("__d", "__p")
 
 
 def with_follower(rows: DataFrame, key: str, tie: str, carry: list[str]) -> DataFrame:
@@ -93,11 +121,12 @@ def with_follower(rows: DataFrame, key: str, tie: str, carry: list[str]) -> Data
     """
     ranged = in_ranges(rows, key)
     order = Window.partitionBy("p").orderBy(F.col(key).asc_nulls_first(), F.col(tie))
-    ranged = ranged.select("*", F.row_number().over(order).alias("__n"),
+    # The first rows are told by lag, not by number: both uses of the window then share one shuffle of the texts.
+    ring = ranged.select("p").distinct()                              # one row per range
+    ranged = ranged.select("*", F.lag(F.lit(1)).over(order).alias("__before"),
                            *[F.lead(c).over(order).alias(f"next_{c}") for c in carry],
                            F.lead(F.lit(1)).over(order).alias("__has"))
-    firsts = ranged.filter("__n = 1").select(F.col("p").alias("q"), *[F.col(c).alias(f"__first_{c}") for c in carry])
-    ring = ranged.filter("__n = 1").select("p")                       # one row per range
+    firsts = ranged.filter("__before IS NULL").select(F.col("p").alias("q"), *[F.col(c).alias(f"__first_{c}") for c in carry])
     over = Window.orderBy("p")
     ring = ring.select("p", F.coalesce(F.lead("p").over(over), F.first("p").over(over)).alias("q"))
     cross = ring.join(firsts, "q").drop("q")
