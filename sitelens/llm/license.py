@@ -11,13 +11,17 @@ counts if at least 0.8 of its shingles lie in the window widened by half its siz
 on both sides.
 
 Texts that hold none of a template size's shingles cannot reach that containment,
-so they get no windows of that size; this drops no match.  Templates are a small
+so they get no windows of that size, nor do stretches without such a shingle: equal
+minima are equal shingles.  This drops no match.  Before shingles are
+hashed, texts without any of a few words, of which every template shingle has one,
+are passed over: they hold no template shingle.  Templates are a small
 fixed list, so their shingles and bands are broadcast.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,9 +62,9 @@ def _words(text: Column) -> Column:
 
 
 def _shingles(words: str, length: int) -> Column:
-    n = F.size(words)
+    n = F.size(words)                          # get, not slice: slice() copies the whole array for every shingle
     return F.when(n >= length, F.transform(F.sequence(F.lit(0), n - length),
-                                           lambda i: F.xxhash64(F.slice(words, i + 1, length)))
+                                           lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(length)]))
                   ).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -71,14 +75,24 @@ def _bands(shingles: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """One row per template: id, length of its shingles, size (their number), distinct shingles, bands."""
+    """One row per template: id, length of its shingles, size (their number), distinct shingles, bands, words."""
     rows = spark.createDataFrame(list(templates.items()), "license_id string, text string")
     rows = rows.withColumn("w", _words(F.col("text"))).filter(F.size("w") > 0)
     rows = rows.withColumn("length", F.least(F.lit(SHINGLE), F.size("w")))
     rows = rows.withColumn("sh", F.transform(F.sequence(F.lit(0), F.size("w") - F.col("length")),
                                              lambda i: F.xxhash64(F.slice("w", i + 1, F.col("length")))))
     return rows.select("license_id", "length", F.size("sh").alias("size"), F.array_distinct("sh").alias("template"),
-                       _bands(F.col("sh")).alias("bands"))
+                       _bands(F.col("sh")).alias("bands"), "w")
+
+
+def anchors(shingles: list[tuple[str, ...]]) -> list[str]:
+    """Words of which every shingle has at least one: greedily the word in most shingles left, then the longest."""
+    left, out = set(shingles), []
+    while left:
+        counts = Counter(w for sh in left for w in set(sh) if len(w) > 3) or Counter(w for sh in left for w in sh)
+        out.append(max(counts, key=lambda w: (counts[w], len(w), w)))
+        left = {sh for sh in left if out[-1] not in sh}
+    return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text",
@@ -93,29 +107,38 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "d
     table = template_table(spark, templates or TEMPLATES)
     sizes = [(r["length"], r["size"], sorted(set(r["all"]))) for r in table.groupBy("length", "size").agg(
         F.flatten(F.collect_list("template")).alias("all")).collect()]     # the fixed template list, in hashed form
+    parts = [tuple(r["w"][i:i + r["length"]]) for r in table.select("w", "length").collect()
+             for i in range(len(r["w"]) - r["length"] + 1)]
+    table = table.drop("w")
     rows = docs.select(F.col(key).alias("k"), _words(text_or_empty(text)).alias("w"))
+    rows = rows.filter(F.arrays_overlap("w", F.split(F.lit(" ".join(anchors(parts))), " ")))
     for length in sorted({s[0] for s in sizes}):
         rows = rows.withColumn(f"h{length}", _shingles("w", length))
     rows = rows.drop("w")
     kinds = []
     for length, size, hashes in sizes:
-        some = F.array(*[F.lit(h) for h in hashes]).cast("array<bigint>")
-        kinds.append(F.when(F.arrays_overlap(F.col(f"h{length}"), some), F.struct(
-            F.lit(length).alias("length"), F.lit(size).alias("size"), F.lit(max(1, size // 4)).alias("stride"))))
+        own = F.transform(f"h{length}", lambda x, i: F.when(x.isin(hashes), i))
+        kinds.append(F.struct(F.lit(length).alias("length"), F.lit(size).alias("size"),
+                              F.lit(max(1, size // 4)).alias("stride"), F.array_compact(own).alias("hits")))
     # Outer explodes: a filter inferred from an inner one would be pushed down and recompute the shingles.
-    rows = rows.withColumn("kinds", F.filter(F.array(*kinds), lambda x: x.isNotNull()))
+    rows = rows.withColumn("kinds", F.filter(F.array(*kinds), lambda x: F.size(x["hits"]) > 0))
     rows = rows.withColumn("kind", F.explode_outer("kinds")).filter(F.col("kind").isNotNull())
     pick = F.coalesce(*[F.when(F.col("kind.length") == n, F.col(f"h{n}")) for n in sorted({s[0] for s in sizes})])
     rows = rows.select("k", "kind.*", pick.alias("h"))
-    last = F.greatest(F.size("h") - F.col("size"), F.lit(0))
-    rows = rows.withColumn("start", F.explode_outer(F.array_distinct(F.concat(
-        F.sequence(F.lit(0), last, F.col("stride")), F.array(last)))))
-    half = F.ceil(F.col("size") / 2).cast("int")
-    low = F.greatest(F.col("start") - half, F.lit(0))
-    windows = rows.select(
-        "k", "length", "size", low.alias("first_word"),
-        F.slice("h", low + 1, F.col("start") - low + F.col("size") + half).alias("wide"),
-        _bands(F.slice("h", F.col("start") + 1, F.col("size"))).alias("bands"))
+    size, stride, end = F.col("size"), F.col("stride"), F.size("h")
+    last, half = F.greatest(end - size, F.lit(0)), F.ceil(size / 2).cast("int")
+    # The windows that hold a template shingle, from its positions: a window without one has no band of the template.
+    steps = F.transform("hits", lambda i: F.sequence(
+        F.greatest(F.ceil((i - size + 1) / stride), F.lit(0)).cast("int"),
+        F.greatest(F.floor(F.least(i, last) / stride), F.ceil((i - size + 1) / stride), F.lit(0)).cast("int")))
+    starts = F.filter(F.array_distinct(F.concat(
+        F.transform(F.array_distinct(F.flatten(steps)), lambda j: j * stride), F.array(last))), lambda x: x <= last)
+    between = lambda a, b: F.transform(F.sequence(a, F.least(b, end) - 1), lambda i: F.get("h", i))
+    low = lambda x: F.greatest(x - half, F.lit(0))
+    rows = rows.select("k", "length", "size", F.explode_outer(F.transform(starts, lambda x: F.struct(
+        low(x).alias("first_word"), between(low(x), x + size + half).alias("wide"),
+        between(x, x + size).alias("own")))).alias("window")).select("k", "length", "size", "window.*")
+    windows = rows.select("k", "length", "size", "first_word", "wide", _bands(F.col("own")).alias("bands"))
     met = windows.join(F.broadcast(table.withColumnRenamed("bands", "template_bands")), ["length", "size"])
     met = met.filter(F.exists(F.zip_with("bands", "template_bands", lambda a, b: a == b), lambda x: x))
     part = F.size(F.array_intersect("template", "wide")) / F.size("template")
