@@ -115,7 +115,10 @@ def booking_intake(r: Roles, requests: DataFrame) -> JobResult:
         (F.col("site_id").isNotNull() & F.col("event_id").isNotNull(), "both_targets"),
         (guest & (_blank(F.col("name")) | _blank(F.col("email"))), "guest_name_email_required"),
     ])
-    req = req.withColumn("reject_reason", reason)
+    # Bookings, visitors, payments and rejects all start here: validate once.
+    from sitelens.session import checkpoint_dir
+    checkpoint_dir(req.sparkSession)
+    req = req.withColumn("reject_reason", reason).checkpoint(eager=True)
     ok = (req.where(F.col("reject_reason").isNull())
           .withColumn("booked_ticket_price", (F.col("__tp") * F.col("no_of_tickets")).cast(DEC)).drop("__tp"))
     rejects = req.where(F.col("reject_reason").isNotNull()).select("request_id", "ts", "reject_reason")
@@ -188,8 +191,9 @@ def payment_settlement(r: Roles, attempts: DataFrame) -> JobResult:
     ident = ["paid_at", "attempt_no", "acquirer_id", "amount", "method", "status"]
     # Only the settled bookings' payments can change: restrict before aggregating,
     # so the work is proportional to the batch, not to the payments table.
-    touched = r.payments.join(win.select(F.col("booking_id").alias("__wb")), F.col("booking_id") == F.col("__wb"),
-                              "left_semi")
+    settled = win.select(F.col("booking_id").alias("__wb"))
+    touched = r.payments.join(settled, F.col("booking_id") == F.col("__wb"), "left_semi")
+    untouched = r.payments.join(settled, F.col("booking_id") == F.col("__wb"), "left_anti")
     latest = latest_per_key(touched.select("booking_id", *ident), "booking_id", ident)
     target = latest.join(win.select(F.col("booking_id").alias("__tb"), F.col("ts").alias("__ts"),
                                     F.col("method").alias("__m"), "__amt"),
@@ -199,8 +203,11 @@ def payment_settlement(r: Roles, attempts: DataFrame) -> JobResult:
     cond = F.col("booking_id") == F.col("__mb")
     for c in ident:
         cond = cond & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    p = r.payments.join(mark.withColumnRenamed("booking_id", "__mb"), cond, "left")
-    hit = F.col("__mb").isNotNull()
+    # Payments have no key, so equal rows are counted and only one of them is updated.
+    copies = touched.groupBy("booking_id", *ident).agg(F.count(F.lit(1)).alias("__n"))
+    p = (copies.join(mark.withColumnRenamed("booking_id", "__mb"), cond, "left")
+         .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n")))))
+    hit = F.col("__mb").isNotNull() & (F.col("__copy") == 1)
     updated = p.select(
         "booking_id", "attempt_no", "acquirer_id",
         F.when(hit, F.col("__amt")).otherwise(F.col("amount")).cast(DEC).alias("amount"),
@@ -213,7 +220,7 @@ def payment_settlement(r: Roles, attempts: DataFrame) -> JobResult:
              .select("booking_id", F.lit(1).alias("attempt_no"), F.lit(None).cast("bigint").alias("acquirer_id"),
                      F.col("__amt").cast(DEC).alias("amount"), "method", F.lit("initiated").alias("status"),
                      F.col("ts").alias("paid_at")))
-    payments = updated.drop("__changed").unionByName(fresh)
+    payments = untouched.select(*fresh.columns).unionByName(updated.drop("__changed")).unionByName(fresh)
     # Only the rows this batch touched: for incremental sinks that must not
     # rewrite the whole payments table per batch.
     changes = updated.where("__changed").drop("__changed").unionByName(fresh)

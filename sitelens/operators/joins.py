@@ -112,27 +112,14 @@ def _resolve_two_step(facts: DataFrame, sites: DataFrame, evts: DataFrame, site_
     return f.drop("__sname", "__ename")
 
 
-def resolve_target(facts: DataFrame, sites: DataFrame, evts: DataFrame,
-                   site_col: str = "site_id", event_col: str = "event_id",
-                   out: str = "target_name", kind: str | None = "target_kind",
-                   salt_by: str | None = None) -> DataFrame:
-    """Polymorphic target (site XOR event) → one name plus its kind.
-
-    ``COALESCE(site.name, event.name)`` as the reference computes it, in one
-    shuffle of the fact table: each row names one target, so rows join on
-    (kind, id) against the union of the site and event name tables instead
-    of being shuffled once per lookup.  Rows that break the XOR rule (both
-    targets set) take the exact two-lookup path, so a dangling site still
-    falls back to the event name.  NULL targets are salted like in ``lookup``.
-    """
-    both = F.col(site_col).isNotNull() & F.col(event_col).isNotNull()
-    xor_rows = facts.where(both)
-    rest = facts.where(~both)
+def _resolve_one_step(facts: DataFrame, sites: DataFrame, evts: DataFrame, site_col: str, event_col: str,
+                      out: str, kind: str | None, salt_by: str | None) -> DataFrame:
+    """Rows with at most one target, joined on (kind, id) to the union of both name tables."""
     names = (sites.select(F.lit(0).alias("__tk"), F.col("site_id").cast("bigint").alias("__tid"),
                           F.col("name").alias("__tname"))
              .unionByName(evts.select(F.lit(1).alias("__tk"), F.col("event_id").cast("bigint").alias("__tid"),
                                       F.col("name").alias("__tname"))))
-    f = (rest.withColumn("__fk", F.when(F.col(site_col).isNotNull(), F.lit(0))
+    f = (facts.withColumn("__fk", F.when(F.col(site_col).isNotNull(), F.lit(0))
                          .when(F.col(event_col).isNotNull(), F.lit(1)))
          .withColumn("__fid", F.coalesce(F.col(site_col), F.col(event_col)).cast("bigint")))
     cond = (F.col("__fk") == F.col("__tk")) & (F.col("__fid") == F.col("__tid"))
@@ -146,9 +133,26 @@ def resolve_target(facts: DataFrame, sites: DataFrame, evts: DataFrame,
     if kind:
         j = j.withColumn(kind, F.when(F.col("__tname").isNull(), F.lit(None).cast("string"))
                          .when(F.col("__fk") == 0, "site").otherwise("event"))
-    j = j.drop("__fk", "__fid", "__tk", "__tid", "__tname", "__salt", "__nsalt")
-    two = _resolve_two_step(xor_rows, sites, evts, site_col, event_col, out, kind, salt_by)
-    return j.unionByName(two)
+    return j.drop("__fk", "__fid", "__tk", "__tid", "__tname", "__salt", "__nsalt")
+
+
+def resolve_target(facts: DataFrame, sites: DataFrame, evts: DataFrame,
+                   site_col: str = "site_id", event_col: str = "event_id",
+                   out: str = "target_name", kind: str | None = "target_kind",
+                   salt_by: str | None = None) -> DataFrame:
+    """Polymorphic target (site XOR event) → one name plus its kind.
+
+    ``COALESCE(site.name, event.name)`` as the reference computes it, in one
+    shuffle of the fact table: each row names one target, so rows join on
+    (kind, id) against the union of the site and event name tables instead
+    of being shuffled once per lookup.  Rows that break the XOR rule (both
+    targets set) take the exact two-lookup path, so a dangling site still
+    falls back to the event name.  NULL targets are salted like in ``lookup``.
+    """
+    both = F.col(site_col).isNotNull() & F.col(event_col).isNotNull()
+    one = _resolve_one_step(facts.where(~both), sites, evts, site_col, event_col, out, kind, salt_by)
+    two = _resolve_two_step(facts.where(both), sites, evts, site_col, event_col, out, kind, salt_by)
+    return one.unionByName(two)
 
 
 def _pair_residual(op: str, lid: Column, rid: Column) -> Column:
@@ -183,44 +187,18 @@ def top_pairs(df: DataFrame, key: str, id_col: str, left_cols: dict[str, str],
             .drop("__lk", "__rk", "__lid", "__rid"))
 
 
-HOT_GROUP_ROWS = 100_000
-
-
-def all_pairs(df: DataFrame, key: str, id_col: str, left_cols: dict[str, str],
-              right_cols: dict[str, str], op: str, grid: int = 4,
-              hot_threshold: int = HOT_GROUP_ROWS) -> DataFrame:
-    """J8 full listing: every pair of a self join on ``key`` with residual ``op``.
+def pair_counts(df: DataFrame, key: str, op: str, n_out: str = "n", pairs_out: str = "n_pairs") -> DataFrame:
+    """J8 in bulk: per value of ``key`` the rows and the pairs its self join has.
 
-    The answer itself is the pair list.  Ordinary groups are joined as they
-    are.  Groups larger than ``hot_threshold`` rows (found with one grouped
-    count) are cut into ``grid`` blocks by a hash of the id and block pair
-    (i, j) is joined in its own task, so a hot group is spread over grid²
-    tasks instead of one (its rows are replicated ``grid`` times per side).
+    ``op`` "<>" counts ordered pairs, "<" each pair once (the residual compares a
+    unique id).  The pair list itself grows with the square of a group, so it is only
+    listed under a limit (:func:`top_pairs`).  NULL keys match nothing; groups of one
+    row have no pair and are left out, as an inner join leaves them out.
     """
-    def side(src: DataFrame, cols: dict[str, str], kname: str, idname: str, mine: str, other: str,
-             g: int) -> DataFrame:
-        s = src.select(*[F.col(c).alias(a) for c, a in cols.items()], F.col(key).alias(kname),
-                       F.col(id_col).alias(idname))
-        if g > 1:
-            s = (s.withColumn(mine, F.pmod(F.xxhash64(F.col(idname)), F.lit(g)))
-                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(g - 1)).cast("array<bigint>"))))
-        return s
-
-    def pairs(src: DataFrame, g: int) -> DataFrame:
-        left = side(src, left_cols, "__lk", "__lid", "__lb", "__lo", g)
-        right = side(src, right_cols, "__rk", "__rid", "__rb", "__ro", g)
-        cond = (F.col("__lk") == F.col("__rk")) & _pair_residual(op, F.col("__lid"), F.col("__rid"))
-        if g > 1:
-            cond = cond & (F.col("__lb") == F.col("__ro")) & (F.col("__lo") == F.col("__rb"))
-        return left.join(right, cond).drop("__lk", "__rk", "__lid", "__rid", "__lb", "__lo", "__rb", "__ro")
-
-    if grid <= 1:
-        return pairs(df, 1)
-    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_threshold)
-           .select(F.col(key).alias("__hk")))
-    cold_rows = df.join(hot, F.col(key) == F.col("__hk"), "left_anti")
-    hot_rows = df.join(hot, F.col(key) == F.col("__hk"), "left_semi")
-    return pairs(cold_rows, 1).unionByName(pairs(hot_rows, grid))
+    n = F.col(n_out)
+    pairs = {"<>": n * (n - 1), "<": (n * (n - 1) / 2).cast("bigint")}[op]
+    return (df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(n_out))
+            .where(n > 1).withColumn(pairs_out, pairs))
 
 
 def bounded_product(left: DataFrame, right: DataFrame, k_left: int, k_right: int,
@@ -269,8 +247,7 @@ def target_names(facts: DataFrame, sites: DataFrame, evts: DataFrame, site_out:
     set (XOR violations) get both names from two lookups.
     """
     both = F.col(site_col).isNotNull() & F.col(event_col).isNotNull()
-    one = resolve_target(facts.where(~both), sites, evts, site_col, event_col, out="__tn", kind="__kd",
-                         salt_by=salt_by)
+    one = _resolve_one_step(facts.where(~both), sites, evts, site_col, event_col, "__tn", "__kd", salt_by)
     one = (one.withColumn(site_out, F.when(F.col("__kd") == "site", F.col("__tn")))
            .withColumn(event_out, F.when(F.col("__kd") == "event", F.col("__tn"))).drop("__tn", "__kd"))
     two = lookup(facts.where(both), sites, site_col, "site_id", {"name": site_out})

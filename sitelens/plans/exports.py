@@ -65,12 +65,12 @@ def export_guides_frame(r: Roles):
 
 
 @query("K2", "export_sites_filtered", """
-SELECT site_id, name, location, type, ticket_price, unesco_status, created_at FROM sites
+SELECT site_id, name, location, type, ticket_price, unesco_status, created_at, description FROM sites
 WHERE ticket_price >= 950 AND unesco_status = 'Tentative' ORDER BY ticket_price DESC, site_id""")
 def export_sites_filtered(r: Roles, sort: str = "desc", **filters):
     """Filtered, ordered site export: the admin listing's frame (L2) in its sort order."""
     filters = filters or {"min_price": 950, "unesco": "Tentative"}
-    lst = site_search(r, sort, admin=True, **filters)
+    lst = site_search(r, sort, admin=True, extra=("description", *(["opening_hours"] if "opening_hours" in r.sites.columns else [])), **filters)
     return lst.frame.orderBy(*lst.order)
 
 

@@ -10,14 +10,13 @@ from sitelens.functions import avg_exact, contains_like, ravg
 from sitelens.operators.aggs import group_count, per_key
 from sitelens.operators.checks import profile_table
 from sitelens.operators.aggs import capped
-from sitelens.operators.joins import (all_pairs, bounded_product, left_expand, lookup, not_in, resolve_target,
+from sitelens.operators.joins import (bounded_product, left_expand, lookup, not_in, pair_counts, resolve_target,
                                       semi)
 from sitelens.operators.sets import union_distinct
 from sitelens.plans.registry import query
 from sitelens.plans.sqlfrag import s_avg, s_ravg
 from sitelens.sources.roles import Roles
 
-PAIR_GRID = 4   # block grid for full pair listings: a hot group spreads over 16 tasks
 
 
 @query("C-G01", "guides_basic_info", """
@@ -55,7 +54,8 @@ def guides_salary_range(r: Roles, lo: float = 20000, hi: float = 60000):
 SELECT full_name, language FROM guides WHERE language IN ('English', 'French', 'Spanish') ORDER BY language""")
 def guides_language_in_set(r: Roles, languages=("English", "French", "Spanish")):
     """Guides whose language string is one of a set (exact match)."""
-    return r.guides.where(F.col("language").isin(*languages)).select("full_name", "language").orderBy("language")
+    return r.guides.where(F.col("language").isin(*languages)).select("full_name", "language", "guide_id")\
+        .orderBy("language", "guide_id").drop("guide_id")
 
 
 @query("C-G06", "guides_constraints_check", """
@@ -111,7 +111,7 @@ def guides_event_or_site(r: Roles):
                .select("guide_name", "assigned_to", F.lit("Site").alias("type")))
     to_evt = (a.join(r.evts.select("event_id", F.col("name").alias("assigned_to")), "event_id").join(g, "guide_id")
               .select("guide_name", "assigned_to", F.lit("Event").alias("type")))
-    return union_distinct(to_site, to_evt).orderBy("guide_name")
+    return union_distinct(to_site, to_evt).orderBy("guide_name", "assigned_to", "type")
 
 
 @query("C-G11", "guides_with_no_assignment", """
@@ -138,7 +138,7 @@ def guides_with_sites(r: Roles):
     a = r.assignments.where(F.col("site_id").isNotNull()).select("guide_id", "site_id")
     return (a.join(r.sites.select("site_id", F.col("name").alias("site_name")), "site_id")
             .join(r.guides.select("guide_id", "full_name", "language"), "guide_id")
-            .select("full_name", "language", "site_name").orderBy("full_name"))
+            .select("full_name", "language", "site_name").orderBy("full_name", "site_name"))
 
 
 @query("C-G14", "guides_with_events", """
@@ -150,7 +150,8 @@ def guides_with_events(r: Roles):
     a = r.assignments.where(F.col("event_id").isNotNull()).select("guide_id", "event_id")
     return (a.join(r.evts.select("event_id", F.col("name").alias("event_name"), "event_date"), "event_id")
             .join(r.guides.select("guide_id", "full_name"), "guide_id")
-            .select("full_name", "event_name", "event_date").orderBy(F.desc("event_date")))
+            .select("full_name", "event_name", "event_date")
+            .orderBy(F.desc("event_date"), "full_name", "event_name"))
 
 
 @query("C-G15", "guides_without_events", """
@@ -160,7 +161,7 @@ def guides_without_events(r: Roles):
     """One row per non-event assignment plus one per unassigned guide (duplicates kept)."""
     a = r.assignments.select(F.col("guide_id").alias("__gid"), "event_id")
     j = left_expand(r.guides.select("guide_id", "full_name", "language"), a, "guide_id", "__gid")
-    return j.where(F.col("event_id").isNull()).select("full_name", "language").orderBy("full_name")
+    return j.where(F.col("event_id").isNull()).orderBy("full_name", "guide_id").select("full_name", "language")
 
 
 @query("C-G16", "guides_cross_join_demo", """
@@ -178,14 +179,12 @@ def guides_cross_join_demo(r: Roles, k: int = 200):
 
 
 @query("C-G17", "guides_self_join_demo", """
-SELECT g1.full_name AS Guide_A, g2.full_name AS Guide_B, g1.specialization FROM guides g1
-JOIN guides g2 ON g1.specialization = g2.specialization AND g1.guide_id <> g2.guide_id ORDER BY g1.specialization""")
-def guides_self_join_demo(r: Roles, grid: int = PAIR_GRID):
-    """All ordered pairs of guides sharing a specialization (grid-spread self join)."""
-    g = r.guides.select("guide_id", "full_name", "specialization")
-    return (all_pairs(g, "specialization", "guide_id", {"full_name": "Guide_A", "specialization": "specialization"},
-                      {"full_name": "Guide_B"}, "<>", grid=grid)
-            .select("Guide_A", "Guide_B", "specialization").orderBy("specialization"))
+SELECT specialization, COUNT(*) AS n_guides, SUM(others) AS n_pairs FROM (
+  SELECT specialization, COUNT(*) OVER (PARTITION BY specialization) - 1 AS others FROM guides) t
+WHERE others > 0 AND specialization IS NOT NULL GROUP BY specialization""")
+def guides_self_join_demo(r: Roles):
+    """Guides sharing a specialization: guides and ordered pairs per specialization (C-S23 lists pairs)."""
+    return pair_counts(r.guides, "specialization", "<>", n_out="n_guides")
 
 
 # ---------------------------------------------------------------- assignments page
@@ -276,7 +275,7 @@ def union_language_groups(r: Roles, first: str = "Bangla", second: str = "French
     """UNION of two language groups, ordered over the whole union."""
     g = r.guides.select("guide_id", "full_name", "language")
     return union_distinct(g.where(F.col("language") == first), g.where(F.col("language") == second)) \
-        .orderBy("full_name")
+        .orderBy("full_name", "guide_id")
 
 
 @query("C-A11", "intersect_specialization", """
@@ -315,7 +314,7 @@ def inner_join_assignments(r: Roles):
     """Assignments with guide name and polymorphic target name."""
     a = r.assignments.join(r.guides.select("guide_id", "full_name"), "guide_id")
     return (resolve_target(a, r.sites, r.evts, kind=None, salt_by="assign_id")
-            .select("full_name", "target_name", "shift_time").orderBy("full_name"))
+            .orderBy("full_name", "assign_id").select("full_name", "target_name", "shift_time"))
 
 
 @query("C-A15", "left_join_sites", """
@@ -323,10 +322,10 @@ SELECT s.name AS site_name, g.full_name AS guide_name FROM sites s
 LEFT JOIN assignments a ON s.site_id = a.site_id LEFT JOIN guides g ON a.guide_id = g.guide_id ORDER BY s.name""")
 def left_join_sites(r: Roles):
     """All sites with their assigned guides (if any)."""
-    a = (r.assignments.where(F.col("site_id").isNotNull()).select(F.col("site_id").alias("__sid"), "guide_id")
+    a = (r.assignments.where(F.col("site_id").isNotNull()).select(F.col("site_id").alias("__sid"), "guide_id", "assign_id")
          .transform(lambda d: lookup(d, r.guides, "guide_id", "guide_id", {"full_name": "guide_name"})))
     j = left_expand(r.sites.select("site_id", F.col("name").alias("site_name")), a, "site_id", "__sid")
-    return j.select("site_name", "guide_name").orderBy("site_name")
+    return j.orderBy("site_name", "site_id", "assign_id").select("site_name", "guide_name")
 
 
 @query("C-A16", "right_join_demo", """
@@ -337,7 +336,7 @@ def right_join_demo(r: Roles):
     a = (r.assignments.select(F.col("guide_id").alias("__gid"), "site_id", "assign_id")
          .transform(lambda d: lookup(d, r.sites, "site_id", "site_id", {"name": "site_name"}, salt_by="assign_id")))
     j = left_expand(r.guides.select("guide_id", "full_name"), a, "guide_id", "__gid")
-    return j.select("full_name", "site_name").orderBy("full_name")
+    return j.orderBy("full_name", "guide_id", "assign_id").select("full_name", "site_name")
 
 
 @query("C-A17", "cross_join_lang_site", """
@@ -352,14 +351,12 @@ def cross_join_lang_site(r: Roles, k: int = 200):
 
 
 @query("C-A18", "self_join_guides", """
-SELECT g1.full_name AS guide_1, g2.full_name AS guide_2, g1.language FROM guides g1
-JOIN guides g2 ON g1.language = g2.language AND g1.guide_id < g2.guide_id ORDER BY g1.language""")
-def assignments_self_join_guides(r: Roles, grid: int = PAIR_GRID):
-    """Unordered pairs of guides with the same language (each pair once)."""
-    g = r.guides.select("guide_id", "full_name", "language")
-    return (all_pairs(g, "language", "guide_id", {"full_name": "guide_1", "language": "language"},
-                      {"full_name": "guide_2"}, "<", grid=grid)
-            .select("guide_1", "guide_2", "language").orderBy("language"))
+SELECT language, COUNT(*) AS n_guides, SUM(before) AS n_pairs FROM (
+  SELECT language, ROW_NUMBER() OVER (PARTITION BY language ORDER BY guide_id) - 1 AS before FROM guides) t
+WHERE language IS NOT NULL GROUP BY language HAVING COUNT(*) > 1""")
+def assignments_self_join_guides(r: Roles):
+    """Guides with the same language: guides and unordered pairs per language."""
+    return pair_counts(r.guides, "language", "<", n_out="n_guides")
 
 
 @query("C-A19", "non_equi_join_salary_band", """

@@ -12,7 +12,7 @@ from sitelens.sources import requests as rq
 from sitelens.sources.roles import Roles
 
 
-_SQL_M1 = r"""
+_REQ_M1 = r"""
 , req AS (
   SELECT o_orderkey AS request_id, o_orderdate + INTERVAL 1 DAY AS ts,
          CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS visitor_id,
@@ -36,14 +36,18 @@ chk AS (
               WHEN q.site_id IS NOT NULL AND q.event_id IS NOT NULL THEN 'both_targets'
               WHEN q.visitor_id IS NULL AND (q.name IS NULL OR TRIM(q.name) = '' OR q.email IS NULL OR TRIM(q.email) = '')
                 THEN 'guest_name_email_required' END AS reject_reason
-  FROM req q LEFT JOIN sites s ON s.site_id = q.site_id LEFT JOIN evts e ON e.event_id = q.event_id),
+  FROM req q LEFT JOIN sites s ON s.site_id = q.site_id LEFT JOIN evts e ON e.event_id = q.event_id)"""
+
+_GUESTS_M1 = r""",
 ok AS (SELECT * FROM chk WHERE reject_reason IS NULL),
 known AS (SELECT ok.request_id, v.visitor_id AS vid FROM ok JOIN visitors v ON ok.visitor_id IS NULL AND v.email = ok.email),
 fresh AS (SELECT email, MIN(request_id) AS first_req FROM ok
           WHERE visitor_id IS NULL AND request_id NOT IN (SELECT request_id FROM known) GROUP BY email),
 fresh_ids AS (SELECT email, (SELECT MAX(visitor_id) FROM visitors) + ROW_NUMBER() OVER (ORDER BY first_req) AS nvid
               FROM fresh)
-SELECT (SELECT MAX(booking_id) FROM bookings) + ROW_NUMBER() OVER (ORDER BY ok.request_id) AS booking_id,
+"""
+
+_SQL_M1 = _REQ_M1 + _GUESTS_M1 + r"""SELECT (SELECT MAX(booking_id) FROM bookings) + ROW_NUMBER() OVER (ORDER BY ok.request_id) AS booking_id,
        COALESCE(ok.visitor_id, k.vid, f.nvid) AS visitor_id, ok.site_id, ok.event_id, ok.ts AS booking_date,
        CAST(ok.no_of_tickets AS BIGINT) AS no_of_tickets,
        CAST(CASE WHEN ok.site_id IS NOT NULL THEN ok.sp ELSE ok.ep END * ok.no_of_tickets AS DECIMAL(10,2))
@@ -53,31 +57,7 @@ FROM ok LEFT JOIN known k ON k.request_id = ok.request_id
 LEFT JOIN fresh_ids f ON ok.visitor_id IS NULL AND k.vid IS NULL AND f.email = ok.email"""
 
 
-_SQL_M1R = r"""
-, req AS (
-  SELECT o_orderkey AS request_id, o_orderdate + INTERVAL 1 DAY AS ts,
-         CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS visitor_id,
-         TRIM(CASE WHEN o_orderkey % 7 = 0 THEN c_name END) AS name,
-         TRIM(CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 19 <> 0 THEN
-              CASE WHEN o_orderkey % 3 = 0 THEN LOWER(c_name) || '@example.com'
-                   ELSE 'guest' || CAST(o_orderkey % 500 AS VARCHAR) || '@example.org' END END) AS email,
-         CAST(CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN -1 - o_orderkey
-                   WHEN o_orderkey % 2 = 0 OR o_orderkey % 11 = 0 THEN o_custkey % (SELECT COUNT(*) FROM part)
-              END AS BIGINT) AS site_id,
-         CAST(CASE WHEN o_orderkey % 13 = 0 THEN NULL
-                   WHEN o_orderkey % 2 = 1 OR o_orderkey % 11 = 0 THEN (o_orderkey * 3) % (SELECT COUNT(*) FROM events)
-              END AS BIGINT) AS event_id,
-         GREATEST(1, CAST(o_orderkey % 6 - 1 AS INT)) AS no_of_tickets
-  FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
-chk AS (
-  SELECT q.*, s.ticket_price AS sp, e.ticket_price AS ep,
-         CASE WHEN q.site_id IS NULL AND q.event_id IS NULL THEN 'no_target'
-              WHEN q.site_id IS NOT NULL AND s.ticket_price IS NULL THEN 'site_not_found'
-              WHEN q.site_id IS NULL AND e.ticket_price IS NULL THEN 'event_not_found'
-              WHEN q.site_id IS NOT NULL AND q.event_id IS NOT NULL THEN 'both_targets'
-              WHEN q.visitor_id IS NULL AND (q.name IS NULL OR TRIM(q.name) = '' OR q.email IS NULL OR TRIM(q.email) = '')
-                THEN 'guest_name_email_required' END AS reject_reason
-  FROM req q LEFT JOIN sites s ON s.site_id = q.site_id LEFT JOIN evts e ON e.event_id = q.event_id)
+_SQL_M1R = _REQ_M1 + r"""
 SELECT request_id, ts, reject_reason FROM chk WHERE reject_reason IS NOT NULL"""
 
 
@@ -97,7 +77,7 @@ SELECT (SELECT MAX(review_id) FROM reviews) + ROW_NUMBER() OVER (ORDER BY reques
 FROM ok"""
 
 
-_SQL_M8 = r"""
+_REQ_M8 = r"""
 , req AS (
   SELECT c_custkey AS request_id, TIMESTAMP '2002-01-01 00:00:00' AS ts,
          TRIM(CASE WHEN c_custkey % 29 = 0 THEN '  ' ELSE ' ' || c_name END) AS full_name,
@@ -113,28 +93,14 @@ chk AS (
   FROM req q),
 ranked AS (SELECT *, CASE WHEN base IS NULL THEN ROW_NUMBER() OVER (PARTITION BY email, base IS NULL
                                                                    ORDER BY ts, request_id) END AS rn FROM chk)
-SELECT (SELECT MAX(visitor_id) FROM visitors) + ROW_NUMBER() OVER (ORDER BY request_id) AS visitor_id,
+"""
+
+_SQL_M8 = _REQ_M8 + r"""SELECT (SELECT MAX(visitor_id) FROM visitors) + ROW_NUMBER() OVER (ORDER BY request_id) AS visitor_id,
        full_name, nationality, email, CAST(ts AS DATE) AS created_at
 FROM ranked WHERE base IS NULL AND rn = 1"""
 
 
-_SQL_M8R = r"""
-, req AS (
-  SELECT c_custkey AS request_id, TIMESTAMP '2002-01-01 00:00:00' AS ts,
-         TRIM(CASE WHEN c_custkey % 29 = 0 THEN '  ' ELSE ' ' || c_name END) AS full_name,
-         LOWER(TRIM(CASE WHEN c_custkey % 23 = 0 THEN 'not-an-email'
-                         WHEN c_custkey % 5 = 0 THEN 'DUP' || CAST(c_custkey % 40 AS VARCHAR) || '@Example.net  '
-                         ELSE 'new' || CAST(c_custkey AS VARCHAR) || '@example.net' END)) AS email,
-         TRIM(n_name) AS nationality
-  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
-chk AS (
-  SELECT q.*, CASE WHEN full_name IS NULL OR full_name = '' OR email IS NULL OR email = '' THEN 'required_field_missing'
-                   WHEN NOT regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$') THEN 'invalid_email'
-                   WHEN EXISTS (SELECT 1 FROM visitors v WHERE LOWER(v.email) = q.email) THEN 'email_exists' END AS base
-  FROM req q),
-ranked AS (SELECT *, CASE WHEN base IS NULL THEN ROW_NUMBER() OVER (PARTITION BY email, base IS NULL
-                                                                   ORDER BY ts, request_id) END AS rn FROM chk)
-SELECT request_id, ts, COALESCE(base, 'email_exists') AS reject_reason FROM ranked WHERE base IS NOT NULL OR rn > 1"""
+_SQL_M8R = _REQ_M8 + r"""SELECT request_id, ts, COALESCE(base, 'email_exists') AS reject_reason FROM ranked WHERE base IS NOT NULL OR rn > 1"""
 
 
 _SQL_M9 = r"""
@@ -146,43 +112,12 @@ _SQL_M9 = r"""
 SELECT * FROM req WHERE NOT (email IS NULL OR email = '' OR message IS NULL OR message = '')"""
 
 
-_SQL_M1V = r"""
-, req AS (
-  SELECT o_orderkey AS request_id, o_orderdate + INTERVAL 1 DAY AS ts,
-         CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS visitor_id,
-         TRIM(CASE WHEN o_orderkey % 7 = 0 THEN c_name END) AS name,
-         TRIM(CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 19 <> 0 THEN
-              CASE WHEN o_orderkey % 3 = 0 THEN LOWER(c_name) || '@example.com'
-                   ELSE 'guest' || CAST(o_orderkey % 500 AS VARCHAR) || '@example.org' END END) AS email,
-         CAST(CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN -1 - o_orderkey
-                   WHEN o_orderkey % 2 = 0 OR o_orderkey % 11 = 0 THEN o_custkey % (SELECT COUNT(*) FROM part)
-              END AS BIGINT) AS site_id,
-         CAST(CASE WHEN o_orderkey % 13 = 0 THEN NULL
-                   WHEN o_orderkey % 2 = 1 OR o_orderkey % 11 = 0 THEN (o_orderkey * 3) % (SELECT COUNT(*) FROM events)
-              END AS BIGINT) AS event_id,
-         GREATEST(1, CAST(o_orderkey % 6 - 1 AS INT)) AS no_of_tickets
-  FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
-chk AS (
-  SELECT q.*, s.ticket_price AS sp, e.ticket_price AS ep,
-         CASE WHEN q.site_id IS NULL AND q.event_id IS NULL THEN 'no_target'
-              WHEN q.site_id IS NOT NULL AND s.ticket_price IS NULL THEN 'site_not_found'
-              WHEN q.site_id IS NULL AND e.ticket_price IS NULL THEN 'event_not_found'
-              WHEN q.site_id IS NOT NULL AND q.event_id IS NOT NULL THEN 'both_targets'
-              WHEN q.visitor_id IS NULL AND (q.name IS NULL OR TRIM(q.name) = '' OR q.email IS NULL OR TRIM(q.email) = '')
-                THEN 'guest_name_email_required' END AS reject_reason
-  FROM req q LEFT JOIN sites s ON s.site_id = q.site_id LEFT JOIN evts e ON e.event_id = q.event_id),
-ok AS (SELECT * FROM chk WHERE reject_reason IS NULL),
-known AS (SELECT ok.request_id, v.visitor_id AS vid FROM ok JOIN visitors v ON ok.visitor_id IS NULL AND v.email = ok.email),
-fresh AS (SELECT email, MIN(request_id) AS first_req FROM ok
-          WHERE visitor_id IS NULL AND request_id NOT IN (SELECT request_id FROM known) GROUP BY email),
-fresh_ids AS (SELECT email, (SELECT MAX(visitor_id) FROM visitors) + ROW_NUMBER() OVER (ORDER BY first_req) AS nvid
-              FROM fresh)
-SELECT f.nvid AS visitor_id, o.name AS full_name, CAST(NULL AS VARCHAR) AS nationality, f.email,
+_SQL_M1V = _REQ_M1 + _GUESTS_M1 + r"""SELECT f.nvid AS visitor_id, o.name AS full_name, CAST(NULL AS VARCHAR) AS nationality, f.email,
        CAST(o.ts AS DATE) AS created_at
 FROM fresh_ids f JOIN fresh x ON x.email = f.email JOIN ok o ON o.request_id = x.first_req"""
 
 
-_SQL_M2 = r"""
+_REQ_M2 = r"""
 , att AS (
   SELECT o_orderkey * 2 AS request_id, o_orderdate + INTERVAL 2 DAY AS ts, o_orderkey AS booking_id,
          CASE WHEN o_orderkey % 9 = 0 THEN 'paypal' ELSE 'card' END AS method FROM orders
@@ -200,48 +135,25 @@ r AS (SELECT a.*, CASE WHEN a.bid IS NULL THEN 'booking_not_found'
                        WHEN a.payment_status = 'paid' THEN 'already_paid'
                        WHEN a.booked_ticket_price <= 0 THEN 'invalid_amount'
                        WHEN a.request_id <> f.request_id THEN 'already_paid' END AS reject_reason
-      FROM a LEFT JOIN firsts f ON f.booking_id = a.booking_id),
+      FROM a LEFT JOIN firsts f ON f.booking_id = a.booking_id)"""
+
+_SQL_M2 = _REQ_M2 + r""",
 win AS (SELECT booking_id, ts, method, booked_ticket_price AS amt FROM r WHERE reject_reason IS NULL),
-lp AS (SELECT * FROM (
-         SELECT p.*, ROW_NUMBER() OVER (PARTITION BY p.booking_id ORDER BY p.paid_at DESC NULLS LAST,
-                p.attempt_no DESC NULLS LAST, p.acquirer_id DESC NULLS LAST, p.amount DESC NULLS LAST,
-                p.method DESC NULLS LAST, p.status DESC NULLS LAST) AS rn
-         FROM payments p WHERE p.booking_id IN (SELECT booking_id FROM win)) x WHERE rn = 1)
+p AS (SELECT payments.*, ROW_NUMBER() OVER (PARTITION BY booking_id ORDER BY paid_at DESC NULLS LAST,
+             attempt_no DESC NULLS LAST, acquirer_id DESC NULLS LAST, amount DESC NULLS LAST,
+             method DESC NULLS LAST, status DESC NULLS LAST) AS rn FROM payments)
 SELECT p.booking_id, p.attempt_no, p.acquirer_id,
-       CASE WHEN lp.booking_id IS NOT NULL THEN CAST(w.amt AS DECIMAL(10,2)) ELSE p.amount END AS amount,
-       CASE WHEN lp.booking_id IS NOT NULL THEN w.method ELSE p.method END AS method,
-       CASE WHEN lp.booking_id IS NOT NULL THEN 'successful' ELSE p.status END AS status,
-       CASE WHEN lp.booking_id IS NOT NULL THEN w.ts ELSE p.paid_at END AS paid_at
-FROM payments p
-LEFT JOIN lp ON lp.booking_id = p.booking_id AND lp.paid_at IS NOT DISTINCT FROM p.paid_at
-  AND lp.attempt_no IS NOT DISTINCT FROM p.attempt_no AND lp.acquirer_id IS NOT DISTINCT FROM p.acquirer_id
-  AND lp.amount IS NOT DISTINCT FROM p.amount AND lp.method IS NOT DISTINCT FROM p.method
-  AND lp.status IS NOT DISTINCT FROM p.status
-LEFT JOIN win w ON w.booking_id = lp.booking_id
+       CASE WHEN w.booking_id IS NOT NULL THEN CAST(w.amt AS DECIMAL(10,2)) ELSE p.amount END AS amount,
+       CASE WHEN w.booking_id IS NOT NULL THEN w.method ELSE p.method END AS method,
+       CASE WHEN w.booking_id IS NOT NULL THEN 'successful' ELSE p.status END AS status,
+       CASE WHEN w.booking_id IS NOT NULL THEN w.ts ELSE p.paid_at END AS paid_at
+FROM p LEFT JOIN win w ON w.booking_id = p.booking_id AND p.rn = 1
 UNION ALL
 SELECT w.booking_id, 1, CAST(NULL AS BIGINT), CAST(w.amt AS DECIMAL(10,2)), w.method, 'initiated', w.ts
 FROM win w WHERE NOT EXISTS (SELECT 1 FROM payments p WHERE p.booking_id = w.booking_id)"""
 
 
-_SQL_M2R = r"""
-, att AS (
-  SELECT o_orderkey * 2 AS request_id, o_orderdate + INTERVAL 2 DAY AS ts, o_orderkey AS booking_id,
-         CASE WHEN o_orderkey % 9 = 0 THEN 'paypal' ELSE 'card' END AS method FROM orders
-  UNION ALL
-  SELECT o_orderkey * 2 + 1, o_orderdate + INTERVAL 3 DAY, o_orderkey, ' BKash' FROM orders WHERE o_orderkey % 5 = 0),
-a AS (SELECT att.request_id, att.ts, att.booking_id, LOWER(TRIM(att.method)) AS method, b.booking_id AS bid,
-             b.payment_status, b.booked_ticket_price
-      FROM att LEFT JOIN bookings b ON b.booking_id = att.booking_id),
-firsts AS (SELECT booking_id, request_id FROM (
-             SELECT booking_id, request_id, ROW_NUMBER() OVER (PARTITION BY booking_id ORDER BY ts, request_id) AS rn
-             FROM a WHERE bid IS NOT NULL AND method IN ('bkash', 'nagad', 'rocket', 'card', 'bank_transfer')) x
-           WHERE rn = 1),
-r AS (SELECT a.*, CASE WHEN a.bid IS NULL THEN 'booking_not_found'
-                       WHEN a.method NOT IN ('bkash', 'nagad', 'rocket', 'card', 'bank_transfer') THEN 'invalid_method'
-                       WHEN a.payment_status = 'paid' THEN 'already_paid'
-                       WHEN a.booked_ticket_price <= 0 THEN 'invalid_amount'
-                       WHEN a.request_id <> f.request_id THEN 'already_paid' END AS reject_reason
-      FROM a LEFT JOIN firsts f ON f.booking_id = a.booking_id)
+_SQL_M2R = _REQ_M2 + r"""
 SELECT request_id, ts, reject_reason FROM r WHERE reject_reason IS NOT NULL"""
 
 
@@ -283,6 +195,18 @@ def m1_booking_intake(r: Roles):
     return intake.booking_intake(r, rq.booking_requests(r.spark, _sf(r))).accepted
 
 
+@query("M1P", "booking_intake_payments", _REQ_M1 + """,
+ok AS (SELECT * FROM chk WHERE reject_reason IS NULL)
+SELECT (SELECT MAX(booking_id) FROM bookings) + ROW_NUMBER() OVER (ORDER BY request_id) AS booking_id, 1 AS attempt_no,
+       CAST(NULL AS BIGINT) AS acquirer_id, CAST(COALESCE(sp, ep) * no_of_tickets AS DECIMAL(10,2)) AS amount,
+       CASE request_id % 5 WHEN 1 THEN 'nagad' WHEN 2 THEN 'card' WHEN 4 THEN 'rocket' ELSE 'bkash' END AS method,
+       'initiated' AS status, ts AS paid_at
+FROM ok""")
+def m1_new_payments(r: Roles):
+    """Payments initiated for the new bookings."""
+    return intake.booking_intake(r, rq.booking_requests(r.spark, _sf(r))).extra["payments"]
+
+
 @query("M1R", "booking_intake_rejects", _SQL_M1R)
 def m1_booking_rejects(r: Roles):
     """Rejected booking requests with their reason."""
@@ -301,6 +225,14 @@ def m2_payment_settlement(r: Roles):
     return intake.payment_settlement(r, rq.payment_attempts(r.spark, _sf(r))).extra["payments"]
 
 
+@query("M2B", "payment_settlement_bookings", _REQ_M2 + """
+SELECT * REPLACE (CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.booking_id = b.booking_id AND reject_reason IS NULL)
+                       THEN 'paid' ELSE payment_status END AS payment_status) FROM bookings b""")
+def m2_next_bookings(r: Roles):
+    """Next bookings table after settling the payment attempts."""
+    return intake.payment_settlement(r, rq.payment_attempts(r.spark, _sf(r))).extra["bookings"]
+
+
 @query("M2R", "payment_settlement_rejects", _SQL_M2R)
 def m2_payment_rejects(r: Roles):
     """Rejected payment attempts with their reason."""
@@ -314,6 +246,26 @@ def m4_delete_conflicts(r: Roles):
     return apply_deletes(r, sites=gone).conflicts
 
 
+@query("M4B", "delete_cascade_bookings", """
+, gone AS (SELECT site_id AS sid FROM sites WHERE unesco_status = 'None' AND ticket_price < 905)
+SELECT booking_id, visitor_id, CASE WHEN site_id NOT IN (SELECT sid FROM gone) THEN site_id END AS site_id,
+       CASE WHEN event_id NOT IN (SELECT event_id FROM evts JOIN gone ON evts.site_id = sid) THEN event_id END AS event_id,
+       booking_date, no_of_tickets, booked_ticket_price, payment_status FROM bookings""")
+def m4_bookings_after(r: Roles):
+    """Bookings after the deletes of M4: targets that are gone become NULL."""
+    gone = r.sites.where((F.col("unesco_status") == "None") & (F.col("ticket_price") < 905)).select("site_id")
+    return apply_deletes(r, sites=gone).roles.bookings
+
+
+@query("M4R", "delete_refusals", """
+SELECT 'visitors' AS table_name, visitor_id AS key FROM visitors WHERE visitor_id % 3 = 0
+INTERSECT SELECT 'visitors', visitor_id FROM bookings WHERE booking_id % 8 <> 0""")
+def m4_refusals(r: Roles):
+    """Visitors that cannot be deleted, as bookings not deleted with them remain."""
+    return apply_deletes(r, visitors=r.visitors.where("visitor_id % 3 = 0").select("visitor_id"),
+                         bookings=r.bookings.where("booking_id % 8 = 0").select("booking_id")).refused
+
+
 @query("M6", "reconciliation", """
 , per AS (SELECT booking_id, COUNT(*) FILTER (WHERE status = 'successful') AS ns,
                  CAST(SUM(CASE WHEN status = 'successful' THEN amount END) AS DECIMAL(20,2)) AS success_amount,
@@ -340,6 +292,14 @@ def m7_review_intake(r: Roles):
     return intake.review_intake(r, rq.review_requests(r.spark, _sf(r))).accepted
 
 
+@query("M7R", "review_intake_rejects", _SQL_M7[:_SQL_M7.index(",\nok AS")] + """
+SELECT request_id, ts, CASE WHEN site_id IS NULL THEN 'no_target' ELSE 'both_targets' END AS reject_reason
+FROM req WHERE (site_id IS NULL) = (event_id IS NULL)""")
+def m7_review_rejects(r: Roles):
+    """Rejected review requests with their reason."""
+    return intake.review_intake(r, rq.review_requests(r.spark, _sf(r))).rejects
+
+
 @query("M8", "visitor_registration", _SQL_M8)
 def m8_visitor_registration(r: Roles):
     """New visitors from sign-up requests (unique lower-cased email, first wins)."""

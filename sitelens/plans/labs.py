@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import avg_exact, contains_like, day_lit, ravg, ravg_int, sum2
 from sitelens.operators.aggs import group_count, per_key
-from sitelens.operators.joins import all_pairs, anti, left_expand, not_in, semi
+from sitelens.operators.joins import anti, left_expand, not_in, pair_counts, semi
 from sitelens.operators.sets import except_, intersect, union_distinct
 from sitelens.plans.registry import query
 from sitelens.plans.sqlfrag import s_avg, s_avgi, s_ravg, s_ravgi, s_sum
 from sitelens.sources.roles import Roles
 
-PAIR_GRID = 4
 
 
 @query("B01A", "scan_visitors", "SELECT * FROM visitors")
@@ -98,9 +97,9 @@ def top_rated_sites(r: Roles, min_avg: float = 4):
 @query("B07", "top_rated_sites_view", f"""
 SELECT s.name, {s_avgi('r.rating')} AS avg_rating FROM sites s JOIN reviews r ON s.site_id = r.site_id
 GROUP BY s.name HAVING {s_avgi('r.rating')} > 4""")
-def top_rated_sites_view(r: Roles, register: bool = False):
+def top_rated_sites_view(r: Roles, register: bool = False, min_avg: float = 4):
     """Q4 stored view TopRatedSites; ``register=True`` also creates the temp view."""
-    df = top_rated_sites(r)
+    df = top_rated_sites(r, min_avg)
     if register:
         df.createOrReplaceTempView("TopRatedSites")
     return df
@@ -178,13 +177,12 @@ def theta_join_ticket_total(r: Roles, threshold: float = 200):
 
 
 @query("B10B", "self_join_same_language", """
-SELECT g1.full_name AS guide1, g2.full_name AS guide2, g1.language FROM guides g1
-JOIN guides g2 ON g1.language = g2.language AND g1.guide_id < g2.guide_id""")
-def self_join_same_language(r: Roles, grid: int = PAIR_GRID):
-    """Self join with '<' residual: each same-language pair once."""
-    g = r.guides.select("guide_id", "full_name", "language")
-    return all_pairs(g, "language", "guide_id", {"full_name": "guide1", "language": "language"},
-                     {"full_name": "guide2"}, "<", grid=grid).select("guide1", "guide2", "language")
+SELECT language, COUNT(*) AS n, SUM(before) AS n_pairs FROM (
+  SELECT language, RANK() OVER (PARTITION BY language ORDER BY guide_id) - 1 AS before FROM guides) t
+WHERE language IS NOT NULL GROUP BY language HAVING MAX(before) > 0""")
+def self_join_same_language(r: Roles):
+    """Self join with '<' residual: rows and pairs per language."""
+    return pair_counts(r.guides, "language", "<")
 
 
 @query("B11A", "sites_price_between", "SELECT name, ticket_price FROM sites WHERE ticket_price BETWEEN 100 AND 500")

@@ -124,9 +124,10 @@ def site_filters(r: Roles, name: str | None = None, location: str | None = None,
     return preds
 
 
-def site_search(r: Roles, sort: str = "", admin: bool = False, **filters) -> Listing:
-    """L1 (public, prices clamped to the data range) / L2 (admin, default newest first)."""
+def site_search(r: Roles, sort: str = "", admin: bool = False, extra: tuple[str, ...] = (), **filters) -> Listing:
+    """L1 (public, prices clamped to the data range) / L2 (admin, default newest first); ``extra``: more site columns."""
     cols = ["site_id", "name", "location", "type", "ticket_price", "unesco_status"] + (["created_at"] if admin else [])
+    cols += extra
     f = r.sites.where(_and(site_filters(r, clamp=not admin, **filters))).select(*cols)
     order = {"asc": [("ticket_price", True)], "desc": [("ticket_price", False)], "name": [("name", True)],
              "created": [("created_at", False)]}.get(sort or ("created" if admin else "name"), [("name", True)])
@@ -292,8 +293,8 @@ def payment_list(r: Roles, q: str | None = None, method: str | None = None, stat
         preds.append(F.col("amount") <= max_amount)
     p = p.where(_and(preds))
     b = r.bookings.select("booking_id", "visitor_id", "site_id", "event_id")
-    j = resolve_target(p.join(b, "booking_id"), r.sites, r.evts, salt_by="booking_id")
-    j = lookup(j, r.visitors, "visitor_id", "visitor_id", {"full_name": "visitor"})
+    b = b.join(r.visitors.select("visitor_id", F.col("full_name").alias("visitor")), "visitor_id")
+    j = p.join(resolve_target(b, r.sites, r.evts, salt_by="booking_id"), "booking_id")
     if q:
         j = j.where(contains_like(F.col("visitor_id").cast("string"), q) |
                     (F.col("target_kind") == "site") & contains_like("target_name", q))
@@ -306,12 +307,12 @@ def payment_list(r: Roles, q: str | None = None, method: str | None = None, stat
 @query("L6", "payment_list_page", """
 SELECT p.booking_id, p.attempt_no, p.acquirer_id, p.amount, p.method, p.status, p.paid_at, v.full_name AS visitor,
        COALESCE(s.name, e.name) AS target_name
-FROM payments p JOIN bookings b ON p.booking_id = b.booking_id LEFT JOIN visitors v ON b.visitor_id = v.visitor_id
+FROM payments p JOIN bookings b ON p.booking_id = b.booking_id JOIN visitors v ON b.visitor_id = v.visitor_id
 LEFT JOIN sites s ON b.site_id = s.site_id LEFT JOIN evts e ON b.event_id = e.event_id
 WHERE p.method = 'card' AND p.paid_at >= TIMESTAMP '1998-01-01' AND p.paid_at < TIMESTAMP '1998-07-01'
 ORDER BY p.paid_at DESC, p.booking_id, p.attempt_no, p.acquirer_id, p.amount, p.method, p.status""")
 def payment_list_page(r: Roles, k: int | None = None):
-    """Payment list: card payments in the first half of 1998, newest 500."""
+    """Payment list: card payments in the first half of 1998, newest first."""
     lst = payment_list(r, method="card", date_from="1998-01-01", date_to="1998-06-30")
     return (lst.frame.orderBy(*lst.order, "method", "status").transform(capped, k)
             .select("booking_id", "attempt_no", "acquirer_id", "amount", "method", "status", "paid_at", "visitor",

@@ -48,7 +48,7 @@ ROLE_SCHEMAS: dict[str, T.StructType] = {
         T.StructField("booking_date", T.TimestampNTZType()), T.StructField("no_of_tickets", T.LongType()),
         T.StructField("booked_ticket_price", DEC), T.StructField("payment_status", T.StringType())]),
     "payments": T.StructType([
-        T.StructField("booking_id", T.LongType()), T.StructField("attempt_no", T.IntegerType()),
+        T.StructField("booking_id", T.LongType()), T.StructField("attempt_no", T.LongType()),
         T.StructField("acquirer_id", T.LongType()), T.StructField("amount", DEC),
         T.StructField("method", T.StringType()), T.StructField("status", T.StringType()),
         T.StructField("paid_at", T.TimestampNTZType())]),

@@ -71,6 +71,17 @@ def test_payment_settlement(spark, seed):
     assert st[1001] == "paid" and st[1005] == "paid" and st[1004] == "pending"
 
 
+def test_settlement_updates_one_of_equal_payments(spark, seed):
+    twice = seed.with_tables(payments=seed.payments.unionByName(seed.payments))
+    att = spark.createDataFrame([(1, TS, 1001, "Card")],
+                                "request_id long, ts timestamp_ntz, booking_id long, method string")
+    before = [r["status"] for r in twice.payments.where("booking_id = 1001").collect()]
+    pay = intake.payment_settlement(twice, att).extra["payments"]
+    after = [r["status"] for r in pay.where("booking_id = 1001").collect()]
+    assert len(after) == len(before) == 2 and after.count("successful") == before.count("successful") + 1
+    assert pay.count() == twice.payments.count()
+
+
 def test_review_and_signup_intake(spark, seed):
     rv = spark.createDataFrame([(1, TS, 100, 1, None, 9, "  nice  "), (2, TS, 100, None, None, 3, "x"),
                                 (3, TS, 101, 1, 10, 3, "x"), (4, TS, 102, None, 12, None, "y")],

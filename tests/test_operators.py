@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sitelens.operators.joins import all_pairs, lookup, not_in, resolve_target, top_pairs
+from sitelens.operators.joins import lookup, not_in, resolve_target, top_pairs
 from sitelens.operators.windows import latest_per_key, rank_by, top_k_per_group
 from sitelens.plans import REGISTRY
 
@@ -86,15 +86,6 @@ def test_resolve_target_kind(seed):
     assert got[1006] == (None, None)
 
 
-def test_all_pairs_grid_equals_plain(roles):
-    g = roles.guides.select("guide_id", "full_name", "specialization")
-    args = ("specialization", "guide_id", {"guide_id": "a"}, {"guide_id": "b"}, "<>")
-    plain = rows(all_pairs(g, *args, grid=1), "a", "b")
-    assert plain == rows(all_pairs(g, *args, grid=3), "a", "b")                     # no hot group
-    assert plain == rows(all_pairs(g, *args, grid=3, hot_threshold=0), "a", "b")    # every group hot
-    assert plain == rows(all_pairs(g, *args, grid=3, hot_threshold=15), "a", "b")   # mixed
-
-
 def test_top_pairs_equals_brute_force(roles):
     e = roles.evts.select("event_id", "name", "event_date")
     got = top_pairs(e, "event_date", "event_id", {"event_id": "e1", "event_date": "event_date"},
@@ -181,6 +172,12 @@ def test_normalise_seed_repairs_names_and_types(spark):
     assert (row["visitor_id"], row["full_name"], row["created_at"]) == (1, "Ann", None)
 
 
+def test_normalise_seed_keeps_wide_payment_ids(spark):
+    from sitelens.sources.seed import normalise_seed
+    raw = spark.createDataFrame([("3000000000", "7")], "payment_id string, booking_id string")
+    assert normalise_seed(raw, "payments").first()["attempt_no"] == 3_000_000_000
+
+
 def test_constraint_report_on_seed(seed):
     got = {(r["table_name"], r["rule"], r["row_id"]) for r in REGISTRY["x2r_constraint_report"].fn(seed).collect()}
     assert ("bookings", "both_targets", 1005) in got and ("bookings", "no_target", 1006) in got

@@ -36,7 +36,7 @@ def _digest(cols, rows):
 
 @pytest.mark.parametrize("name", ORACLE)
 def test_matches_oracle(name, roles, duck):
-    df = REGISTRY[name].fn(roles)
+    df = REGISTRY[name].entry(roles)
     srows = [tuple(r) for r in df.collect()]
     cur = duck.execute(with_roles(REGISTRY[name].sql))
     dcols = [d[0] for d in cur.description]

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sitelens.operators.joins import all_pairs, lookup, not_in, top_pairs
+from sitelens.operators.joins import lookup, not_in, pair_counts, top_pairs
 from sitelens.operators.sets import union_distinct
 from sitelens.operators.windows import latest_per_key, rank_by
 
@@ -59,15 +59,15 @@ def test_latest_per_key_is_max_tuple(spark, rows):
 @SETTINGS
 @given(groups=st.lists(st.integers(0, 3), min_size=2, max_size=14), k=st.integers(1, 20),
        op=st.sampled_from(["<>", "<"]))
-def test_top_pairs_and_all_pairs_match_brute_force(spark, groups, k, op):
+def test_top_pairs_and_pair_counts_match_brute_force(spark, groups, k, op):
     df = spark.createDataFrame([(i, g) for i, g in enumerate(groups)], "id long, g long")
     rel = (lambda a, b: a != b) if op == "<>" else (lambda a, b: a < b)
     brute = sorted((g1, a, b) for a, g1 in enumerate(groups) for b, g2 in enumerate(groups)
                    if g1 == g2 and rel(a, b))
     got = top_pairs(df, "g", "id", {"id": "a", "g": "g"}, {"id": "b"}, op, [F.asc("g")], k)
     assert [(r["g"], r["a"], r["b"]) for r in got.collect()] == brute[:k]
-    full = all_pairs(df, "g", "id", {"id": "a", "g": "g"}, {"id": "b"}, op, grid=2, hot_threshold=2)
-    assert sorted((r["g"], r["a"], r["b"]) for r in full.collect()) == brute
+    counts = {r["g"]: (r["n"], r["n_pairs"]) for r in pair_counts(df, "g", op).collect()}
+    assert counts == {g: (groups.count(g), sum(b[0] == g for b in brute)) for g in {b[0] for b in brute}}
 
 
 @SETTINGS
