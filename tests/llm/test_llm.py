@@ -312,3 +312,16 @@ def test_pipeline_stages_keep_columns(spark, docs):
     kept = corpus_pipeline.drop_near_duplicates(spark, df, "")
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 40, 2))
+
+
+def test_latin_words_are_cut_like_all_words():
+    import random
+
+    from sitelens.llm.wordbpe import LATIN, LATIN_PATTERN, NOT_LATIN, PATTERN
+    pick = random.Random(5)
+    every, some = [chr(c) for c in range(LATIN)], list(" \t\n'strevlmd19a\xe9.\x85\xa0\x1cǅ\xb2")
+    for i in range(2000):
+        text = "".join(pick.choices(every if i % 2 else some, k=pick.randint(0, 40)))
+        assert NOT_LATIN.search(text) is None
+        assert LATIN_PATTERN.findall(text) == PATTERN.findall(text)
+    assert NOT_LATIN.search("aЖb") is not None
