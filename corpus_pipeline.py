@@ -20,6 +20,10 @@ from sitelens.llm.queries import PIECES, tokenizer_path
 from sitelens.llm.spm import encoded_documents
 
 
+#: Near duplicates share at least NEAR_PERCENT of their shingles of NEAR_WORDS words (op6 has a contract of its own).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is among ``ids`` (null matches null)."""
     ids = ids.select(F.col("doc_id").alias("__id")).distinct()
@@ -36,7 +40,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates, the document with the smallest doc_id."""
     prepare(spark)
     named = docs.filter("doc_id IS NOT NULL")
-    firsts = similar_groups(named).filter("doc_id = component_id").select("doc_id")
+    groups = similar_groups(named, span=NEAR_WORDS, percent=NEAR_PERCENT)
+    firsts = groups.filter("doc_id = component_id").select("doc_id")
     kept = named.join(firsts.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id IS NULL"))
 

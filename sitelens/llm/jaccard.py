@@ -1,13 +1,14 @@
 """Exact n-gram Jaccard join with set-relation skipping.
 
-A document's set holds its distinct 4-word shingles (64-bit hashes).  Documents
-with equal sets share one representative before anything else happens.
+A document's set holds its distinct word shingles (64-bit hashes).  Documents with
+equal sets share one representative before anything else happens.  Shingle size and
+least similarity are parameters; the defaults are those of the op6 query.
 
 Index: sets are ordered rare shingles first (the most frequent ones are found by
 an exact heavy-hitter count over all sets; any order gives right results).  Only
 prefixes are indexed, as lists (shingle; set, size, position).  They are longer than
 one common shingle would ask for: two linked sets, the smaller of n shingles, meet in
-at least 1 + 3n/100 lists, and pairs that meet in fewer are never fetched.
+at least ``meetings(n)`` lists, and pairs that meet in fewer are never fetched.
 
 Answers from similar sets: going through a list by size, each set is first checked
 against one pivot only.  Sets found similar form components and take the pivot's
@@ -16,8 +17,8 @@ copies costs about m checks.  What is left are pairs of different components tha
 meet in a list.  A list is then a few blocks (pivot; least and greatest size and
 position of its members), blocks whose sizes or positions rule a link out are
 skipped, and a set is checked against a block's pivot.  By the triangle inequality
-of the Jaccard distance, only if it is within 0.15 + d(pivot, member) of the pivot
-can it link with a member, and only those members are checked.  No link between
+of the Jaccard distance, only if it is within
+1 - percent / 100 + d(pivot, member) of the pivot can it link with a member, and only those members are checked.  No link between
 different components can be missed, so components are exact.
 
 Checks fetch sets by recomputing them from the documents in question, selected by a
@@ -82,17 +83,21 @@ def set_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def needed(na, nb):
+def needed(na, nb, percent: int = PERCENT):
     """Least intersection size of a linked pair."""
-    return -(-PERCENT * (na + nb) // (100 + PERCENT))
+    return -(-percent * (na + nb) // (100 + percent))
 
 
-def meetings(n):
+def meetings(n, percent: int = PERCENT):
     """Least number of lists in which linked sets meet, if the smaller one has n shingles."""
-    return 1 + 3 * n // 100
+    return 1 + (100 - percent) * n // 500
 
 
-def _survey(rows: DataFrame) -> DataFrame:
+def _met_enough(n: Column, percent: int) -> Column:
+    return F.col("met") >= 1 + F.floor((100 - percent) * n / 500)
+
+
+def _survey(rows: DataFrame, span: int) -> DataFrame:
     """Rows (kind 0: key, set id, size) per document and (kind 1: shingle, count) of frequent shingles."""
     def task(batches):
         held, size, seen = [], 0, set()
@@ -106,7 +111,7 @@ def _survey(rows: DataFrame) -> DataFrame:
         for batch in batches:
             ids, ns = [], []
             for t in batch.column(1):
-                s = shingle_set(t.as_py())
+                s = shingle_set(t.as_py(), span)
                 ids.append(set_id(s) if len(s) else None)
                 ns.append(len(s))
                 if len(s) and ids[-1] not in seen:
@@ -125,7 +130,7 @@ def _survey(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(task, "kind int, x long, y long, n long")
 
 
-def _index(rows: DataFrame, common: np.ndarray) -> DataFrame:
+def _index(rows: DataFrame, common: np.ndarray, span: int, percent: int) -> DataFrame:
     """Rows (token, id, n, pos): the prefixes of all distinct sets of each task.
 
     ``common``: frequent shingles, most frequent first.
@@ -140,7 +145,7 @@ def _index(rows: DataFrame, common: np.ndarray) -> DataFrame:
         for batch in batches:
             cols = [[], [], [], []]
             for t in batch.column(1):
-                s = shingle_set(t.as_py())
+                s = shingle_set(t.as_py(), span)
                 if not len(s):
                     continue
                 i = set_id(s)
@@ -150,7 +155,7 @@ def _index(rows: DataFrame, common: np.ndarray) -> DataFrame:
                     seen.clear()
                 seen.add(i)
                 n = len(s)
-                size = min(n, n - -(-PERCENT * n // 100) + meetings(n))
+                size = min(n, n - -(-percent * n // 100) + meetings(n, percent))
                 if len(values):
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     frequent = values[at] == s
@@ -174,7 +179,7 @@ def _index(rows: DataFrame, common: np.ndarray) -> DataFrame:
     return rows.mapInArrow(task, "token long, id long, n long, pos long")
 
 
-def _lists(index: DataFrame) -> DataFrame:
+def _lists(index: DataFrame, percent: int) -> DataFrame:
     """Stream sorted lists: rows (kind 0: entry) of lists with two sets or more, (kind 1: pivot a, set b) to check."""
     spark = index.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -200,11 +205,11 @@ def _lists(index: DataFrame) -> DataFrame:
                     out.append((0, *first, 0))
                     first = None
                 out.append((0, *e, 0))
-                if 100 * pivot[2] < PERCENT * e[2]:
+                if 100 * pivot[2] < percent * e[2]:
                     pivot = e                  # too short for this and all later sets
                     continue
                 most = min(pivot[3], e[3]) + 1 + min(pivot[2] - pivot[3], e[2] - e[3]) - 1
-                if most >= needed(pivot[2], e[2]):
+                if most >= needed(pivot[2], e[2], percent):
                     out.append((1, token, pivot[1], min(pivot[2], e[2]), 0, e[1]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)],
@@ -213,7 +218,8 @@ def _lists(index: DataFrame) -> DataFrame:
     return by_list.mapInArrow(task, "kind long, token long, id long, n long, pos long, other long")
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, floor: float) -> DataFrame:
+def _checked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, floor: float, span: int,
+             percent: int) -> DataFrame:
     """Rows (a, b, j, linked) of the pairs of set ids whose Jaccard similarity is ``floor`` or more."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(sets, "id").select("key")
     bit = F.pmod(F.xxhash64("key"), F.lit(1 << MAP_BITS))
@@ -230,7 +236,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, floor: float) -
         for batch in batches:
             at = batch.column(2).to_numpy()
             for k in np.flatnonzero((held[at >> 5] >> (at & 31).astype(np.uint32)) & 1).tolist():
-                s = shingle_set(batch.column(1)[k].as_py())
+                s = shingle_set(batch.column(1)[k].as_py(), span)
                 if len(s):
                     yield pa.RecordBatch.from_pydict({"id": pa.array([set_id(s)], pa.int64()),
                                                       "s": pa.array([s.tobytes()], pa.binary())})
@@ -249,18 +255,19 @@ def _checked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, floor: float) -
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 union = len(x) + len(y) - both
                 js.append(both / union)
-                linked.append(100 * both >= PERCENT * union)
+                linked.append(100 * both >= percent * union)
             yield pa.RecordBatch.from_pydict({"a": a, "b": b, "j": js, "linked": linked})
 
     out = joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, j double, linked boolean")
     return out.filter(F.col("j") >= floor).distinct()
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SHINGLE,
+                   percent: int = PERCENT) -> DataFrame:
     """One row per document: key, n_shingles, component_id, n_equal.
 
-    Documents link when 100 * intersection >= 85 * union of their shingle sets;
-    component_id is the smallest key reachable by links.  Words are runs of
+    Documents link when 100 * intersection >= percent * union of their sets of shingles
+    of ``span`` words; component_id is the smallest key reachable by links.  Words are runs of
     characters other than white space, A-Z lower-cased.  A text without words (or
     null) has an empty set, links with nothing and is its own component.  A null key
     counts as the smallest.  Repeated rows are documents with equal sets.  n_equal is
@@ -268,22 +275,22 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key"), text_or_empty(text).alias("t"))
-    survey = stored(_survey(rows), "jaccard-survey")
+    survey = stored(_survey(rows, span), "jaccard-survey")
     of_doc = survey.filter("kind = 0").select(F.col("x").alias("key"), F.col("y").alias("id"), "n")
     often = survey.filter("kind = 1").groupBy("x").agg(F.sum("y").alias("c")).orderBy(F.desc("c"), "x").limit(COMMON)
     common = np.array([r[0] for r in often.collect()], np.int64)
     sets = of_doc.filter("id IS NOT NULL").groupBy("id").agg(
         F.min("key").alias("key"), F.first("n").alias("n"), F.count(F.lit(1)).alias("n_equal")).checkpoint()
 
-    lists = stored(_lists(_index(rows, common)), "jaccard-lists")
+    lists = stored(_lists(_index(rows, common, span, percent), percent), "jaccard-lists")
     # A pair that is split over several pivots may be passed over here: the block step finds it.
     to_pivot = lists.filter("kind = 1").groupBy(F.col("id").alias("a"), F.col("other").alias("b")).agg(
-        F.count(F.lit(1)).alias("met"), F.first("n").alias("n")).filter(F.expr("met >= 1 + 3 * n div 100"))
+        F.count(F.lit(1)).alias("met"), F.first("n").alias("n")).filter(_met_enough(F.col("n"), percent))
     by_key = lambda links: (
         links.join(sets.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
         .select(F.col("ka").alias("a"), F.col("kb").alias("b")))
-    first = _checked(to_pivot, sets, rows, PERCENT / 100 - 1e-9).filter("linked").checkpoint()
+    first = _checked(to_pivot, sets, rows, percent / 100 - 1e-9, span, percent).filter("linked").checkpoint()
     label = components(first.select("a", "b"))
     pivots = first.groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.col("a").alias("p"), "j")).alias("x")).select(
         "id", "x.p", "x.j")
@@ -298,22 +305,22 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     blocks = entries.groupBy("token", "label", "p").agg(
         F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
     blocks = blocks.withColumnRenamed("label", "block_label").withColumnRenamed("p", "pivot")
-    least = F.ceil(F.lit(PERCENT) * (F.col("n") + F.col("n0")) / (100 + PERCENT))
+    least = F.ceil(F.lit(percent) * (F.col("n") + F.col("n0")) / (100 + percent))
     most = F.least("pos", "p1") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n1") - F.col("p0") - 1)
     probes = entries.join(blocks, "token").filter(
-        (F.col("block_label") < F.col("label")) & (100 * F.col("n1") >= PERCENT * F.col("n"))
-        & (100 * F.col("n") >= PERCENT * F.col("n0")) & (most >= least))
+        (F.col("block_label") < F.col("label")) & (100 * F.col("n1") >= percent * F.col("n"))
+        & (100 * F.col("n") >= percent * F.col("n0")) & (most >= least))
     probes = probes.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b"), "n").agg(
         F.count_distinct("token").alias("met"), F.min("n0").alias("n0"))
-    probes = probes.filter(F.expr("met >= 1 + 3 * least(n, n0) div 100")).select("a", "b")
-    second = _checked(probes, sets, rows, 1 - 2 * (1 - PERCENT / 100) - 1e-9).checkpoint()
+    probes = probes.filter(_met_enough(F.least("n", "n0"), percent)).select("a", "b")
+    second = _checked(probes, sets, rows, 1 - 2 * (1 - percent / 100) - 1e-9, span, percent).checkpoint()
 
     # Members of a near pivot that the triangle inequality leaves.
     members = pivots.select(F.col("p").alias("a"), F.col("id").alias("member"), F.col("j").alias("jm"))
     third = second.select("a", "b", "j").join(members, "a").filter(
-        (1 - F.col("j")) <= (1 - F.col("jm")) + (1 - PERCENT / 100) + 1e-9)
+        (1 - F.col("j")) <= (1 - F.col("jm")) + (1 - percent / 100) + 1e-9)
     third = third.select(F.col("member").alias("a"), "b").filter("a <> b").distinct()
-    third = _checked(third, sets, rows, PERCENT / 100 - 1e-9)
+    third = _checked(third, sets, rows, percent / 100 - 1e-9, span, percent)
     links = first.filter("linked").select("a", "b").union(second.filter("linked").select("a", "b")).union(
         third.filter("linked").select("a", "b"))
     group = components(by_key(links))

@@ -325,3 +325,48 @@ def test_latin_words_are_cut_like_all_words():
         assert NOT_LATIN.search(text) is None
         assert LATIN_PATTERN.findall(text) == PATTERN.findall(text)
     assert NOT_LATIN.search("aЖb") is not None
+
+
+def _brute_groups_of(rows, size, percent):
+    sets = {i: _shingles((t or "").lower(), size) for i, t in rows}
+    top = {i: i for i in sets}
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def _gradual_copies():
+    rng, rows = np.random.default_rng(11), []
+    for g in range(12):                        # copies of one text with 1 to 5 of 200 words changed, some shortened
+        w = [f"g{g}w{i}" for i in range(200)]
+        rows.append((100 * g, " ".join(w)))
+        for v in range(1, 6):
+            x = list(w)
+            for at in rng.choice(200, v, replace=False):
+                x[at] = f"new{rng.integers(10 ** 6)}"
+            rows.append((100 * g + v, " ".join(x[:len(x) - 4 * (v % 3)])))
+    return rows
+
+
+def test_near_duplicate_stage_takes_five_words_and_eighty_percent(spark):
+    import corpus_pipeline
+    rows = _gradual_copies()
+    pairs = [(_shingles(a, 5), _shingles(b, 5)) for _, a in rows for _, b in rows if a < b]
+    assert sum(0.8 <= len(a & b) / len(a | b) < 0.85 for a, b in pairs) >= 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = _brute_groups_of(rows, 5, 80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in _rows(
+        jaccard.similar_groups(df, span=5, percent=80))}
+    assert got == want and want != _brute_groups_of(rows, 4, 85)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    assert kept == {c for _, c in want.values()}
+    strict = {c for _, c in _brute_groups_of(rows, 4, 85).values()}
+    assert len(kept) < len(strict)             # what op6's shingles and percent would keep
