@@ -145,7 +145,9 @@ def with_bpe_bounds(rows: DataFrame) -> DataFrame:
 
         steps = F.when(n > 1, F.sequence(F.lit(2), F.least(n, F.lit(MASK_CHARS)))).otherwise(
             F.array().cast("array<int>"))
-        whole = _bit(F.least(n, F.lit(MASK_CHARS)) + 1) - F.lit(1).cast("long")
+        # Bits 0 to n: _bit(n + 1) - 1 would overflow at 62 characters.
+        whole = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"),
+                                F.lit(63) - F.least(n, F.lit(MASK_CHARS)))
         return _let(F.aggregate(steps, whole, step), lambda mask: F.filter(
             F.sequence(F.lit(0), n), lambda i: mask.bitwiseAND(_bit(i)) != 0))
 

@@ -370,3 +370,16 @@ def test_near_duplicate_stage_takes_five_words_and_eighty_percent(spark):
     assert kept == {c for _, c in want.values()}
     strict = {c for _, c in _brute_groups_of(rows, 4, 85).values()}
     assert len(kept) < len(strict)             # what op6's shingles and percent would keep
+
+
+def test_sentencepiece_words_about_the_mask_length_equal_the_library(spark):
+    import sentencepiece
+    path = P.path("piece_bpe_32k.model")
+    lib, cut = sentencepiece.SentencePieceProcessor(model_file=path), spm.cutter(spm.Model(path).pairs)
+    texts = [head + c * n for n in range(59, 66) for c in "-=_a " for head in ("", "x ", "x")]
+    texts += [(PROSE.replace(" ", "") * 2)[i:i + n] for n in range(59, 66) for i in range(3)]
+    lengths = {len(w.decode()) for t in texts for w in cut(t)}
+    assert {61, 62, 63} <= lengths
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["ids"], r["round_trip"]) for r in _rows(spm.encoded_documents(df, path))}
+    assert got == {i: (lib.encode(t), True) for i, t in enumerate(texts)}
