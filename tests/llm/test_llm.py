@@ -383,3 +383,28 @@ def test_sentencepiece_words_about_the_mask_length_equal_the_library(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     got = {r["doc_id"]: (r["ids"], r["round_trip"]) for r in _rows(spm.encoded_documents(df, path))}
     assert got == {i: (lib.encode(t), True) for i, t in enumerate(texts)}
+
+
+def test_mixed_tokens_meet_the_margins_under_the_bound(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(600):                       # a hot source, rare languages, one of them in one source only
+        lang = ["en"] * 90 + ["de"] * 6 + ["es"] * 3 + ["fr"]
+        source = ["hot"] * 8 + ["b", "c"]
+        pick = (lang[int(rng.integers(100))], source[int(rng.integers(10))])
+        rows.append((i, "w " * int(rng.integers(5, 60)), pick[0], "b" if pick[0] == "fr" else pick[1],
+                     f"t{rng.integers(2)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    got = mixing.mix(df).toPandas()
+    got["kept"] = got.n_tokens * got.probability
+    assert got.probability.between(0, 1).all() and (got.probability == 1).any()
+    assert 0.1 < got.kept.sum() / got.n_tokens.sum() <= 0.8 + 1e-9
+    told = {(r["margin"], r["value"]): r for r in _rows(mixing.margin_shares(df))}
+    for m in mixing.MARGINS:
+        smooth = got.groupby(m).n_tokens.sum() ** mixing.SMOOTHING
+        want, reached = (smooth / smooth.sum()).to_dict(), (got.groupby(m).kept.sum() / got.kept.sum()).to_dict()
+        assert reached == pytest.approx(want, rel=1e-3)
+        for v in want:
+            assert told[m, v]["target"] == pytest.approx(want[v])
+            assert told[m, v]["reached"] == pytest.approx(reached[v], rel=1e-6)
+    assert len(told) == 9
