@@ -408,3 +408,26 @@ def test_mixed_tokens_meet_the_margins_under_the_bound(spark):
             assert told[m, v]["target"] == pytest.approx(want[v])
             assert told[m, v]["reached"] == pytest.approx(reached[v], rel=1e-6)
     assert len(told) == 9
+
+
+def test_license_scan_tells_licenses_apart_and_takes_torn_texts(spark):
+    filler = lambda n: " ".join(f"filler{i}" for i in range(n))
+    t, rows, want = license.TEMPLATES, [], set()
+    for n, name in enumerate(("mit", "isc", "mpl-2.0", "unlicense", "bsd-2-clause")):
+        w = t[name].split()                    # halves with two thirds of the template's length between them
+        rows.append((n, " ".join([filler(90), *w[:len(w) // 2], filler(len(w) * 2 // 3), *w[len(w) // 2:], filler(90)])))
+        want.add((n, name))
+    rows.append((20, f"{filler(50)} {t['bsd-2-clause']} {filler(50)}"))
+    rows.append((21, f"{filler(50)} {t['bsd-2-clause']} {t['bsd-3-clause']} {filler(50)}"))
+    rows.append((22, f"{filler(50)} {t['cc-by-sa-4.0']}"))
+    rows.append((23, f"{filler(50)} {t['mit'].split(':')[0]} {filler(300)}"))      # no conditions, no warranty
+    for n, kind in ((30, ""), (31, "Lesser "), (32, "Affero ")):
+        rows.append((n, f"""{filler(50)} This program is free software: you can redistribute it and/or modify it under the
+            terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version
+            3 of the License, or (at your option) any later version. {filler(50)}"""))
+        want.add((n, f"{kind[:1].lower()}gpl-3.0"))
+    rows.append((33, rows[-3][1].replace("3 of the License", "2 of the License")))
+    want |= {(20, "bsd-2-clause"), (21, "bsd-2-clause"), (21, "bsd-3-clause"), (22, "cc-by-sa-4.0")}
+    got = {(r["doc_id"], r["license_id"]) for r in _rows(license.scan(
+        spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got == want and license.miss_probability(license.CONTAINMENT) < 1e-7
