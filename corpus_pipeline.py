@@ -61,7 +61,8 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [("quality_rules", keep_quality), ("jaccard_join", drop_near_duplicates),
           ("source_mixing", mix_sources), ("sentencepiece", encode_pieces)]
 
-#: The robust fit and the raking iterate, so SQL can't give the rows; tests compare with a brute-force version.
+#: The robust fit and the raking iterate, so SQL can't give the rows.  Tests compare the near-duplicate stage with a
+#: brute-force version; no test runs all stages.
 ORACLE_SQL = None
 
 
