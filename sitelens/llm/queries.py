@@ -73,9 +73,24 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.langid import identify
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.runs import run_digests
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sitelens.llm.divergence import audit
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_token_files, op3_chat_format, op4_fingerprints, op5_quality_rules, op6_jaccard_join, op7_warc_archive, op8_license_scan,
-    op9_source_mixing, op10_lm_scoring)}
+    op9_source_mixing, op10_lm_scoring, op11_language_id, op12_periodic_runs, op13_source_divergence)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE = {
@@ -102,4 +117,31 @@ ORACLE = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to,
                COALESCE(url, '') AS target_uri
         FROM f""",
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, row_number() OVER () AS r,
+                     regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        t AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING COUNT(DISTINCT r) >= 10),
+        v AS (SELECT l.lang, COUNT(k.term) AS kept FROM (SELECT DISTINCT lang FROM g) l LEFT JOIN k ON k.lang = l.lang GROUP BY l.lang),
+        c AS (SELECT lang, source, term, COUNT(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+        n AS (SELECT g.lang, g.source, COALESCE(SUM(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+        p AS (SELECT n.lang, n.source, k.term, COALESCE(c.n, 0) AS n,
+                1 + 1000000000::HUGEINT * (COALESCE(c.n, 0) + 2) // (n.n + 2 * v.kept) AS p
+              FROM n JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (SUM(p.n) + 2) // (ln.n + 2 * v.kept) AS q
+              FROM p JOIN (SELECT lang, SUM(n) AS n FROM n GROUP BY lang) ln USING (lang) JOIN v USING (lang)
+              GROUP BY lang, term, ln.n, v.kept),
+        f AS (SELECT a.lang, a.source, b.source AS item, SUM((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+              FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+        o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, COALESCE(f.value, 0) AS value
+              FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+                LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL
+              SELECT p.lang, p.source, 'term', p.term, (p.p - q.q) * (p.p - q.q) // (p.p + q.q)
+              FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM r WHERE part = 'pair' OR rank <= 10""",
 }
