@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from sitelens.operators.joins import NULL_BUCKETS  # noqa: E402
+from sitelens.operators.joins import salt_count  # noqa: E402
 from sitelens.session import get_spark  # noqa: E402
 from sitelens.sources.roles import load_roles  # noqa: E402
 
@@ -25,7 +25,7 @@ def main() -> None:
     n = int(sys.argv[2]) if len(sys.argv) > 2 else 64
     spark = get_spark()
     b = load_roles(spark, sf_dir).bookings
-    salt = F.when(F.col("site_id").isNull(), F.pmod(F.xxhash64("booking_id"), F.lit(NULL_BUCKETS)) + 1) \
+    salt = F.when(F.col("site_id").isNull(), F.pmod(F.xxhash64("booking_id"), F.lit(salt_count(spark.range(1)))) + 1) \
         .otherwise(F.lit(0)).cast("bigint")
     parts = b.select(F.pmod(F.hash("site_id"), F.lit(n)).alias("plain"),
                      F.pmod(F.hash("site_id", salt), F.lit(n)).alias("salted"))

@@ -23,9 +23,8 @@ def like_escape(text: str) -> str:
 
 
 def contains_like(c: Column | str, text: str, ci: bool = False) -> Column:
-    """``col LIKE '%text%'`` with the text taken literally."""
-    pat = f"%{like_escape(text)}%"
-    return _c(c).ilike(pat) if ci else _c(c).like(pat)
+    """``col LIKE '%text%'`` with the text taken literally; follows the column's collation (LIKE itself has none)."""
+    return _c(c).ilike(f"%{like_escape(text)}%") if ci else F.contains(_c(c), F.lit(text))
 
 
 def excerpt(c: Column | str, n: int) -> Column:
@@ -41,10 +40,10 @@ def ellipsis(c: Column | str, n: int) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Lower-cased token array of a text column."""
-    return F.split(F.lower(_c(c)), TOKEN_SPLIT)
+    return F.split(F.lower(F.collate(_c(c), "UTF8_BINARY")), TOKEN_SPLIT)
 
 
-def parse_boolean_query(q: str) -> tuple[list[str], list[str], list[str]]:
+def parse_boolean_query(q: str, min_len: int = MIN_TOKEN_LEN) -> tuple[list[str], list[str], list[str]]:
     """Split a boolean-mode query into (required, excluded, optional) words."""
     req, exc, opt = [], [], []
     for w in q.split():
@@ -56,7 +55,7 @@ def parse_boolean_query(q: str) -> tuple[list[str], list[str], list[str]]:
             opt.append(w.lower())
     # Words shorter than the indexed minimum are ignored, as the index never holds them.
     # A word with punctuation inside is cut as texts are; each piece then counts like the word.
-    clean = lambda ws: [x for w in ws for x in re.split(r"[^\w]+", w) if len(x) >= MIN_TOKEN_LEN]
+    clean = lambda ws: [x for w in ws for x in re.split(r"[^\w]+", w) if len(x) >= min_len]
     return clean(req), clean(exc), clean(opt)
 
 
@@ -73,7 +72,7 @@ def has_token(lowered: Column, word: str) -> Column:
     return lowered.rlike(f"(?<!{TOKEN_CHAR}){word}(?!{TOKEN_CHAR})")
 
 
-def boolean_match(c: Column | str, query: str) -> Column:
+def boolean_match(c: Column | str, query: str, min_len: int = MIN_TOKEN_LEN) -> Column:
     """MATCH(col) AGAINST(query IN BOOLEAN MODE) as a row predicate.
 
     ``+w`` must occur, ``-w`` must not, bare words: at least one must occur
@@ -81,10 +80,10 @@ def boolean_match(c: Column | str, query: str) -> Column:
     with no positive term (only ``-w``, or only words too short to be
     indexed) matches nothing, as in MySQL boolean mode.
     """
-    req, exc, opt = parse_boolean_query(query)
+    req, exc, opt = parse_boolean_query(query, min_len)
     if not req and not opt:
         return F.lit(False)
-    low = F.lower(_c(c))
+    low = F.lower(F.collate(_c(c), "UTF8_BINARY"))           # patterns know no other collation
     pred = F.lit(True)
     for w in req:
         pred = pred & has_token(low, w)

@@ -9,11 +9,13 @@ current maximum plus the request's rank in the batch (``assign_ids``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelens.operators.joins import salt_count
 from sitelens.operators.windows import latest_per_key
 from sitelens.sources.roles import DEC, Roles
 
@@ -77,14 +79,10 @@ def _blank(c: Column) -> Column:
 
 # ---------------------------------------------------------------- M1 bookings
 
-def booking_intake(r: Roles, requests: DataFrame) -> JobResult:
-    """M1: booking requests → new bookings, initiated payments, new guest visitors, rejects.
+def checked_requests(r: Roles, requests: DataFrame) -> DataFrame:
+    """Cleaned booking requests with ``reject_reason`` (NULL: accepted) and the booked price.
 
-    Rules: tickets ≥ 1 (missing → 1); the site is used when given, else the
-    event; no target → reject; unknown target → reject; both targets →
-    reject (XOR); method trimmed/lower-cased, unknown → 'bkash'; price =
-    target price × tickets; guests need name and email, are matched by
-    email, else registered (one new visitor per new email, earliest wins).
+    Stateless, so a stream of requests can pass through it as well as a batch.
     """
     req = requests.select(
         "request_id", "ts", "visitor_id", F.trim("name").alias("name"), F.trim("email").alias("email"),
@@ -102,7 +100,7 @@ def booking_intake(r: Roles, requests: DataFrame) -> JobResult:
     req = (req.withColumn("__fk", F.when(F.col("site_id").isNotNull(), F.lit(0))
                           .when(F.col("event_id").isNotNull(), F.lit(1)))
            .withColumn("__fid", F.coalesce("site_id", "event_id"))
-           .withColumn("__salt", F.when(F.col("__fid").isNull(), F.pmod(F.xxhash64("request_id"), F.lit(64)) + 1)
+           .withColumn("__salt", F.when(F.col("__fid").isNull(), F.pmod(F.xxhash64("request_id"), F.lit(salt_count(requests))) + 1)
                        .otherwise(F.lit(0))))
     req = req.join(prices, (F.col("__fk") == F.col("__tk")) & (F.col("__fid") == F.col("__tid"))
                    & (F.col("__salt") == F.col("__nsalt")), "left") \
@@ -115,12 +113,26 @@ def booking_intake(r: Roles, requests: DataFrame) -> JobResult:
         (F.col("site_id").isNotNull() & F.col("event_id").isNotNull(), "both_targets"),
         (guest & (_blank(F.col("name")) | _blank(F.col("email"))), "guest_name_email_required"),
     ])
+    price = F.when(reason.isNull(), F.col("__tp") * F.col("no_of_tickets")).cast(DEC)
+    return req.withColumn("booked_ticket_price", price).withColumn("reject_reason", reason).drop("__tp")
+
+
+def booking_intake(r: Roles, requests: DataFrame) -> JobResult:
+    """M1: booking requests → new bookings, initiated payments, new guest visitors, rejects.
+
+    Rules: tickets ≥ 1 (missing → 1); the site is used when given, else the
+    event; no target → reject; unknown target → reject; both targets →
+    reject (XOR); method trimmed/lower-cased, unknown → 'bkash'; price =
+    target price × tickets; guests need name and email, are matched by
+    email, else registered (one new visitor per new email, earliest wins).
+    """
+    req = checked_requests(r, requests)
+    guest = F.col("visitor_id").isNull()
     # Bookings, visitors, payments and rejects all start here: validate once.
     from sitelens.session import checkpoint_dir
     checkpoint_dir(req.sparkSession)
-    req = req.withColumn("reject_reason", reason).checkpoint(eager=True)
-    ok = (req.where(F.col("reject_reason").isNull())
-          .withColumn("booked_ticket_price", (F.col("__tp") * F.col("no_of_tickets")).cast(DEC)).drop("__tp"))
+    req = req.checkpoint(eager=True)
+    ok = req.where(F.col("reject_reason").isNull())
     rejects = req.where(F.col("reject_reason").isNotNull()).select("request_id", "ts", "reject_reason")
 
     # Guests: existing visitor by email, else one new visitor per new email.
@@ -142,32 +154,32 @@ def booking_intake(r: Roles, requests: DataFrame) -> JobResult:
     g = g.unionByName(known)
 
     g = assign_ids(g, "request_id", r.bookings, "booking_id", "booking_id")
-    bookings = g.select("booking_id", "visitor_id", "site_id", "event_id", F.col("ts").alias("booking_date"),
-                        F.col("no_of_tickets").cast("bigint"), "booked_ticket_price",
-                        F.lit("pending").alias("payment_status"))
-    payments = g.select("booking_id", F.lit(1).alias("attempt_no"), F.lit(None).cast("bigint").alias("acquirer_id"),
-                        F.col("booked_ticket_price").alias("amount"), "method", F.lit("initiated").alias("status"),
-                        F.col("ts").alias("paid_at"))
+    bookings, payments = booking_rows(r, g)
     visitors = new_visitors.select("visitor_id", "full_name", F.lit(None).cast("string").alias("nationality"),
-                                   "email", F.col("__ts").cast("date").alias("created_at"))
+                                   "email", F.col("__ts").cast("date").alias("created_at"), "phone")
     return JobResult(bookings, rejects, {"payments": payments, "visitors": visitors})
 
 
-# ---------------------------------------------------------------- M2 payments
+def booking_rows(r: Roles, numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New bookings and their initiated payments of requests with a ``booking_id``."""
+    bookings = numbered.select("booking_id", "visitor_id", "site_id", "event_id", F.col("ts").alias("booking_date"),
+                               F.col("no_of_tickets").cast("bigint"), "booked_ticket_price",
+                               F.lit("pending").alias("payment_status"))
+    payments = numbered.select((first_new_payment(r) + F.col("request_id")).alias("payment_id"), "booking_id",
+                               F.lit(1).alias("attempt_no"), F.lit(None).cast("bigint").alias("acquirer_id"),
+                               F.col("booked_ticket_price").alias("amount"), "method", F.lit("initiated").alias("status"),
+                               F.col("ts").alias("paid_at"))
+    return bookings, payments
 
-def payment_settlement(r: Roles, attempts: DataFrame) -> JobResult:
-    """M2: payment attempts → next payments and bookings tables plus rejects.
 
-    Per booking the earliest attempt with a valid method settles it (later
-    ones find it already paid).  Settling updates the booking's latest
-    payment to 'successful' (amount = booked price, new method and time) or,
-    when the booking has no payment yet, inserts one with status 'initiated'
-    (the reference's behaviour; M6 reports it).  The booking becomes 'paid'.
-    """
+# ---------------------------------------------------------------- M2 payments
+
+def checked_attempts(r: Roles, attempts: DataFrame) -> DataFrame:
+    """Cleaned payment attempts with the booked price and ``reject_reason`` (NULL: accepted)."""
     a = attempts.select("request_id", "ts", "booking_id", F.lower(F.trim("method")).alias("method"))
     b = r.bookings.select(F.col("booking_id").alias("__bid"), "payment_status", "booked_ticket_price")
     a = a.join(b, F.col("booking_id") == F.col("__bid"), "left")
-    valid_m = F.col("method").isin(*ALLOWED_METHODS)
+    valid_m = F.coalesce(F.col("method").isin(*ALLOWED_METHODS), F.lit(False))
     first_ok = (a.where(valid_m & F.col("__bid").isNotNull())
                 .groupBy("booking_id").agg(F.min(F.struct("ts", "request_id")).alias("__w"))
                 .select(F.col("booking_id").alias("__wb"), F.col("__w.request_id").alias("__wr")))
@@ -179,56 +191,65 @@ def payment_settlement(r: Roles, attempts: DataFrame) -> JobResult:
         (F.col("booked_ticket_price") <= 0, "invalid_amount"),
         (F.col("request_id") != F.col("__wr"), "already_paid"),
     ])
-    # The validated batch feeds four branches below: checkpoint it once
-    # (reliably, under spark.checkpoint.dir) instead of re-validating per branch.
-    from sitelens.session import checkpoint_dir
-    checkpoint_dir(a.sparkSession)
-    a = a.withColumn("reject_reason", reason).checkpoint(eager=True)
+    return a.withColumn("reject_reason", reason)
+
+
+def first_new_payment(r: Roles) -> Column:
+    """What a new payment's key adds to its request's id: above every stored key (a lazy scalar)."""
+    return r.payments.select((F.coalesce(F.max("payment_id"), F.lit(0)) + 1).cast("bigint")).scalar()
+
+
+def payment_settlement(r: Roles, attempts: DataFrame,
+                       cut: Callable[[DataFrame], DataFrame] = lambda checked: checked) -> JobResult:
+    """M2: payment attempts → next payments and bookings tables plus rejects.
+
+    Per booking the earliest attempt with a valid method settles it (later
+    ones find it already paid).  Settling updates the booking's latest
+    payment to 'successful' (amount = booked price, new method and time) or,
+    when the booking has no payment yet, inserts one with status 'initiated'
+    (the reference's behaviour; M6 reports it).  The booking becomes 'paid'.
+    A new payment's key is the table's maximum + 1 + its request's id: unique, equal on
+    a retry, and known without numbering.
+
+    Building the frames starts no job.  A job that writes several of them passes ``cut``
+    to keep the checked attempts once (a checkpoint or a stored table).
+    """
+    a = cut(checked_attempts(r, attempts))
     rejects = a.where(F.col("reject_reason").isNotNull()).select("request_id", "ts", "reject_reason")
-    win = a.where(F.col("reject_reason").isNull()).select("booking_id", "ts", "method",
+    win = a.where(F.col("reject_reason").isNull()).select("request_id", "booking_id", "ts", "method",
                                                           F.col("booked_ticket_price").alias("__amt"))
 
-    ident = ["paid_at", "attempt_no", "acquirer_id", "amount", "method", "status"]
-    # Only the settled bookings' payments can change: restrict before aggregating,
-    # so the work is proportional to the batch, not to the payments table.
+    # Only the settled bookings' payments can change: their latest one, by its key.
+    order = ["paid_at", "attempt_no", "acquirer_id", "amount", "method", "status", "payment_id"]
     settled = win.select(F.col("booking_id").alias("__wb"))
     touched = r.payments.join(settled, F.col("booking_id") == F.col("__wb"), "left_semi")
-    untouched = r.payments.join(settled, F.col("booking_id") == F.col("__wb"), "left_anti")
-    latest = latest_per_key(touched.select("booking_id", *ident), "booking_id", ident)
-    target = latest.join(win.select(F.col("booking_id").alias("__tb"), F.col("ts").alias("__ts"),
-                                    F.col("method").alias("__m"), "__amt"),
-                         F.col("booking_id") == F.col("__tb"))
-    # Mark the rows to update (the latest payment of each settled booking).
-    mark = target.select("booking_id", *[F.col(c).alias(f"__k_{c}") for c in ident], "__ts", "__m", "__amt")
-    cond = F.col("booking_id") == F.col("__mb")
-    for c in ident:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    # Payments have no key, so equal rows are counted and only one of them is updated.
-    copies = touched.groupBy("booking_id", *ident).agg(F.count(F.lit(1)).alias("__n"))
-    p = (copies.join(mark.withColumnRenamed("booking_id", "__mb"), cond, "left")
-         .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n")))))
-    hit = F.col("__mb").isNotNull() & (F.col("__copy") == 1)
+    latest = latest_per_key(touched.select("booking_id", *order), "booking_id", order)
+    target = win.join(latest.select(F.col("booking_id").alias("__lb"), F.col("payment_id").alias("__pid")),
+                      F.col("booking_id") == F.col("__lb"), "left").drop("__lb")
+    paying = target.select(F.col("booking_id").alias("__tb"), "__pid", F.col("ts").alias("__ts"),
+                           F.col("method").alias("__m"), "__amt")
+    p = r.payments.join(paying, F.col("booking_id") == F.col("__tb"), "left")
+    hit = F.coalesce(F.col("payment_id") == F.col("__pid"), F.lit(False))
     updated = p.select(
-        "booking_id", "attempt_no", "acquirer_id",
+        "payment_id", "booking_id", "attempt_no", "acquirer_id",
         F.when(hit, F.col("__amt")).otherwise(F.col("amount")).cast(DEC).alias("amount"),
         F.when(hit, F.col("__m")).otherwise(F.col("method")).alias("method"),
         F.when(hit, F.lit("successful")).otherwise(F.col("status")).alias("status"),
         F.when(hit, F.col("__ts")).otherwise(F.col("paid_at")).alias("paid_at"),
         hit.alias("__changed"))
-    fresh = (win.join(r.payments.select(F.col("booking_id").alias("__pb")), F.col("booking_id") == F.col("__pb"),
-                      "left_anti")
-             .select("booking_id", F.lit(1).alias("attempt_no"), F.lit(None).cast("bigint").alias("acquirer_id"),
-                     F.col("__amt").cast(DEC).alias("amount"), "method", F.lit("initiated").alias("status"),
-                     F.col("ts").alias("paid_at")))
-    payments = untouched.select(*fresh.columns).unionByName(updated.drop("__changed")).unionByName(fresh)
+    fresh = target.where(F.col("__pid").isNull()).select(
+        (first_new_payment(r) + F.col("request_id")).alias("payment_id"), "booking_id", F.lit(1).alias("attempt_no"),
+        F.lit(None).cast("bigint").alias("acquirer_id"), F.col("__amt").cast(DEC).alias("amount"), "method",
+        F.lit("initiated").alias("status"), F.col("ts").alias("paid_at"))
+    payments = updated.drop("__changed").unionByName(fresh)
     # Only the rows this batch touched: for incremental sinks that must not
     # rewrite the whole payments table per batch.
     changes = updated.where("__changed").drop("__changed").unionByName(fresh)
-    paid = win.select(F.col("booking_id").alias("__pid"), F.lit(True).alias("__paid"))
-    bookings = (r.bookings.join(paid, F.col("booking_id") == F.col("__pid"), "left")
+    paid = win.select(F.col("booking_id").alias("__pb"), F.lit(True).alias("__paid"))
+    bookings = (r.bookings.join(paid, F.col("booking_id") == F.col("__pb"), "left")
                 .withColumn("payment_status", F.when(F.col("__paid"), F.lit("paid")).otherwise(F.col("payment_status")))
-                .drop("__pid", "__paid"))
-    return JobResult(win, rejects, {"payments": payments, "bookings": bookings, "payment_changes": changes})
+                .drop("__pb", "__paid"))
+    return JobResult(win.drop("request_id"), rejects, {"payments": payments, "bookings": bookings, "payment_changes": changes})
 
 
 # ---------------------------------------------------------------- M7 reviews
@@ -280,7 +301,8 @@ def visitor_registration(r: Roles, requests: DataFrame, admin: bool = False) ->
     q = q.withColumn("reject_reason", reason)
     rejects = q.where(F.col("reject_reason").isNotNull()).select("request_id", "ts", "reject_reason")
     ok = assign_ids(q.where(F.col("reject_reason").isNull()), "request_id", r.visitors, "visitor_id", "visitor_id")
-    visitors = ok.select("visitor_id", "full_name", "nationality", "email", F.col("ts").cast("date").alias("created_at"))
+    visitors = ok.select("visitor_id", "full_name", "nationality", "email", F.col("ts").cast("date").alias("created_at"),
+                         "phone")
     return JobResult(visitors, rejects, {})
 
 

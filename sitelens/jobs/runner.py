@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.jobs import intake
+from sitelens.session import checkpoint_dir
 from sitelens.sources.io import write_version
 from sitelens.sources.roles import Roles
 from sitelens.streaming.intake import BOOKING_REQUEST_SCHEMA, PAYMENT_ATTEMPT_SCHEMA
@@ -32,6 +33,8 @@ def run_booking_intake(spark: SparkSession, roles: Roles, requests_path: str, ou
 def run_payment_settlement(spark: SparkSession, roles: Roles, attempts_path: str, out: str,
                            version: str) -> dict[str, str]:
     """M2 over a folder of payment attempts → next payments and bookings tables, rejects."""
-    res = intake.payment_settlement(roles, _read_requests(spark, attempts_path, PAYMENT_ATTEMPT_SCHEMA))
+    checkpoint_dir(spark)
+    res = intake.payment_settlement(roles, _read_requests(spark, attempts_path, PAYMENT_ATTEMPT_SCHEMA),
+                                    cut=lambda checked: checked.checkpoint())
     outputs = {"payments": res.extra["payments"], "bookings": res.extra["bookings"], "rejects": res.rejects}
     return {k: write_version(df, f"{out.rstrip('/')}/{k}", version) for k, df in outputs.items()}

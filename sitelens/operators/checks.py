@@ -7,17 +7,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def profile_table(df: DataFrame, table: str, exact: bool = False) -> DataFrame:
+def profile_table(df: DataFrame, table: str, exact: bool = False, schema: T.StructType | None = None) -> DataFrame:
     """One row per column: type, nullable, rows, nulls, distinct, min, max.
 
     One aggregate pass over the table (partial aggregates; approximate distinct
     counts are HyperLogLog++ sketches unless ``exact``), then unpivoted by
     exploding one struct per column — as many rows as the table has columns.
+    ``schema``: the declared columns, to which the table's are cast first.
     """
     aggs: list[Column] = [F.count(F.lit(1)).alias("__rows")]
-    fields = df.schema.fields
+    fields = (schema or df.schema).fields
+    if schema is not None:
+        df = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
         distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c)
@@ -87,11 +91,12 @@ def domain_report(df: DataFrame, col: str, allowed: Sequence[str]) -> DataFrame:
     Output: value, rows, declared (bool), declared_position (1-based, NULL if
     outside).  Declared values that never occur appear with rows = 0.
     """
-    observed = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-    spark = df.sparkSession
-    domain = spark.createDataFrame([(v, i + 1) for i, v in enumerate(allowed)],
-                                   "value string, declared_position int")
-    out = observed.join(F.broadcast(domain), "value", "full")
-    return out.select("value", F.coalesce("rows", F.lit(0)).alias("rows"),
-                      F.col("declared_position").isNotNull().alias("declared"), "declared_position")
+    # The declared values join in as rows that count nothing: one aggregate, no join.
+    domain = df.sparkSession.createDataFrame([(v, 0, i + 1) for i, v in enumerate(allowed)],
+                                             "value string, n bigint, declared_position int")
+    observed = df.select(F.col(col).alias("value"), F.lit(1).cast("bigint").alias("n"),
+                         F.lit(None).cast("int").alias("declared_position"))
+    out = observed.unionByName(domain).groupBy("value").agg(
+        F.sum("n").alias("rows"), F.max("declared_position").alias("declared_position"))
+    return out.select("value", "rows", F.col("declared_position").isNotNull().alias("declared"), "declared_position")
 

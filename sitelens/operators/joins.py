@@ -14,7 +14,7 @@ Design notes for scale:
   aggregate (row count, non-NULL key count) instead of Spark's null-aware
   anti join, which needs a broadcastable build side.
 * Self joins never list a hot group's pairs in one task: bounded top-k pairs
-  use a ≤k broadcast probe; full listings spread each group over a grid.
+  use a ≤k broadcast probe; full answers are pair counts per group.
 """
 
 from __future__ import annotations
@@ -24,7 +24,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NULL_BUCKETS = 64
+
+def salt_count(df: DataFrame) -> int:
+    """How many salts spread rows without a key: as many as the session has shuffle partitions."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _cols(on: str | Sequence[str]) -> list[str]:
@@ -81,17 +84,18 @@ def _spread_key(key: Column, buckets: int, salt_src: Column) -> tuple[Column, Co
 
 
 def lookup(facts: DataFrame, dim: DataFrame, fk: str, pk: str, cols: dict[str, str],
-           salt_by: str | None = None, null_buckets: int = NULL_BUCKETS) -> DataFrame:
+           salt_by: str | None = None, null_buckets: int | None = None) -> DataFrame:
     """Left join ``facts.fk = dim.pk`` adding ``dim`` columns renamed by ``cols``.
 
     ``cols`` maps dim column → output name.  When ``salt_by`` names a
     high-cardinality fact column, rows with a NULL ``fk`` are spread over
-    ``null_buckets`` partitions instead of one (they can never match).
+    ``null_buckets`` partitions instead of one (they can never match); the default
+    follows the session's shuffle partitions.
     """
     d = dim.select(F.col(pk).alias("__pk"), *[F.col(k).alias(v) for k, v in cols.items()])
     if salt_by is None:
         return facts.join(d, F.col(fk) == F.col("__pk"), "left").drop("__pk")
-    _, salt = _spread_key(F.col(fk), null_buckets, F.col(salt_by))
+    _, salt = _spread_key(F.col(fk), null_buckets or salt_count(facts), F.col(salt_by))
     f = facts.withColumn("__salt", salt)
     # Salt 0 on the dimension side, written as an expression of the key: a
     # literal 0 would be constant-folded out of the join keys (becoming a
@@ -101,39 +105,37 @@ def lookup(facts: DataFrame, dim: DataFrame, fk: str, pk: str, cols: dict[str, s
     return out.drop("__pk", "__salt", "__dsalt")
 
 
-def _resolve_two_step(facts: DataFrame, sites: DataFrame, evts: DataFrame, site_col: str, event_col: str,
-                      out: str, kind: str | None, salt_by: str | None) -> DataFrame:
-    f = lookup(facts, sites, site_col, "site_id", {"name": "__sname"}, salt_by=salt_by)
-    f = lookup(f, evts, event_col, "event_id", {"name": "__ename"}, salt_by=salt_by)
-    f = f.withColumn(out, F.coalesce("__sname", "__ename"))
-    if kind:
-        f = f.withColumn(kind, F.when(F.col("__sname").isNotNull(), "site")
-                         .when(F.col("__ename").isNotNull(), "event"))
-    return f.drop("__sname", "__ename")
-
+def _first_and_fallback(facts: DataFrame, sites: DataFrame, evts: DataFrame, site_col: str, event_col: str,
+                        salt_by: str | None, always: bool) -> DataFrame:
+    """``facts`` with ``__first`` (name of the first target) and ``__second`` (event name of a row with two targets).
 
-def _resolve_one_step(facts: DataFrame, sites: DataFrame, evts: DataFrame, site_col: str, event_col: str,
-                      out: str, kind: str | None, salt_by: str | None) -> DataFrame:
-    """Rows with at most one target, joined on (kind, id) to the union of both name tables."""
+    Candidates in order of priority: the site, then the event.  All first candidates
+    meet the union of both name tables on (kind, id) in one join.  Only a row that
+    breaks the XOR rule has a second candidate; it is looked up among the events - for
+    every such row (``always``), or only where the first candidate dangles.  The second
+    key is NULL on all other rows, and NULL keys are dealt out by salt, so the fact
+    table is read once and no reducer gathers the rows without a key.
+    """
     names = (sites.select(F.lit(0).alias("__tk"), F.col("site_id").cast("bigint").alias("__tid"),
-                          F.col("name").alias("__tname"))
+                          F.col("name").alias("__first"))
              .unionByName(evts.select(F.lit(1).alias("__tk"), F.col("event_id").cast("bigint").alias("__tid"),
-                                      F.col("name").alias("__tname"))))
+                                      F.col("name").alias("__first"))))
+    names = names.withColumn("__nsalt", F.when(F.col("__tid").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+    spread = F.col(salt_by) if salt_by else F.struct(*[F.col(c) for c in facts.columns])
+    buckets = salt_count(facts)
     f = (facts.withColumn("__fk", F.when(F.col(site_col).isNotNull(), F.lit(0))
-                         .when(F.col(event_col).isNotNull(), F.lit(1)))
+                          .when(F.col(event_col).isNotNull(), F.lit(1)))
          .withColumn("__fid", F.coalesce(F.col(site_col), F.col(event_col)).cast("bigint")))
-    cond = (F.col("__fk") == F.col("__tk")) & (F.col("__fid") == F.col("__tid"))
-    if salt_by is not None:
-        _, salt = _spread_key(F.col("__fid"), NULL_BUCKETS, F.col(salt_by))
-        f = f.withColumn("__salt", salt)
-        names = names.withColumn("__nsalt", F.when(F.col("__tid").isNull(), F.lit(1)).otherwise(F.lit(0))
-                                 .cast("bigint"))
-        cond = cond & (F.col("__salt") == F.col("__nsalt"))
-    j = f.join(names, cond, "left").withColumn(out, F.col("__tname"))
-    if kind:
-        j = j.withColumn(kind, F.when(F.col("__tname").isNull(), F.lit(None).cast("string"))
-                         .when(F.col("__fk") == 0, "site").otherwise("event"))
-    return j.drop("__fk", "__fid", "__tk", "__tid", "__tname", "__salt", "__nsalt")
+    f = f.withColumn("__salt", _spread_key(F.col("__fid"), buckets, spread)[1])
+    f = f.join(names, (F.col("__fk") == F.col("__tk")) & (F.col("__fid") == F.col("__tid"))
+               & (F.col("__salt") == F.col("__nsalt")), "left")
+    open_ = F.col(site_col).isNotNull() & (F.lit(True) if always else F.col("__first").isNull())
+    f = f.withColumn("__sid", F.when(open_, F.col(event_col)))
+    f = f.withColumn("__salt", _spread_key(F.col("__sid"), buckets, spread)[1])
+    second = evts.select(F.col("event_id").alias("__eid"), F.col("name").alias("__second"))
+    second = second.withColumn("__esalt", F.when(F.col("__eid").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+    f = f.join(second, (F.col("__sid") == F.col("__eid")) & (F.col("__salt") == F.col("__esalt")), "left")
+    return f.drop("__fk", "__fid", "__tk", "__tid", "__salt", "__nsalt", "__sid", "__eid", "__esalt")
 
 
 def resolve_target(facts: DataFrame, sites: DataFrame, evts: DataFrame,
@@ -142,17 +144,16 @@ def resolve_target(facts: DataFrame, sites: DataFrame, evts: DataFrame,
                    salt_by: str | None = None) -> DataFrame:
     """Polymorphic target (site XOR event) → one name plus its kind.
 
-    ``COALESCE(site.name, event.name)`` as the reference computes it, in one
-    shuffle of the fact table: each row names one target, so rows join on
-    (kind, id) against the union of the site and event name tables instead
-    of being shuffled once per lookup.  Rows that break the XOR rule (both
-    targets set) take the exact two-lookup path, so a dangling site still
-    falls back to the event name.  NULL targets are salted like in ``lookup``.
+    ``COALESCE(site.name, event.name)`` as the reference computes it, in one plan over
+    the fact table: a row that breaks the XOR rule and whose site dangles still falls
+    back to the event's name (see :func:`_first_and_fallback`).
     """
-    both = F.col(site_col).isNotNull() & F.col(event_col).isNotNull()
-    one = _resolve_one_step(facts.where(~both), sites, evts, site_col, event_col, out, kind, salt_by)
-    two = _resolve_two_step(facts.where(both), sites, evts, site_col, event_col, out, kind, salt_by)
-    return one.unionByName(two)
+    f = _first_and_fallback(facts, sites, evts, site_col, event_col, salt_by, always=False)
+    f = f.withColumn(out, F.coalesce("__first", "__second"))
+    if kind:
+        f = f.withColumn(kind, F.when(F.col("__first").isNotNull() & F.col(site_col).isNotNull(), "site")
+                         .when(F.col(out).isNotNull(), "event"))
+    return f.drop("__first", "__second")
 
 
 def _pair_residual(op: str, lid: Column, rid: Column) -> Column:
@@ -241,18 +242,15 @@ def bounded(df: DataFrame, k: int | None) -> DataFrame:
 def target_names(facts: DataFrame, sites: DataFrame, evts: DataFrame, site_out: str = "site_name",
                  event_out: str = "event_name", site_col: str = "site_id", event_col: str = "event_id",
                  salt_by: str | None = None) -> DataFrame:
-    """Both target names side by side (site name, event name) in one fact-table shuffle.
+    """Both target names side by side (site name, event name) in one plan over the fact table.
 
-    Same (kind, id) join as :func:`resolve_target`; rows with both targets
-    set (XOR violations) get both names from two lookups.
+    The joins of :func:`resolve_target`; rows with both targets set (XOR violations)
+    get both names.
     """
-    both = F.col(site_col).isNotNull() & F.col(event_col).isNotNull()
-    one = _resolve_one_step(facts.where(~both), sites, evts, site_col, event_col, "__tn", "__kd", salt_by)
-    one = (one.withColumn(site_out, F.when(F.col("__kd") == "site", F.col("__tn")))
-           .withColumn(event_out, F.when(F.col("__kd") == "event", F.col("__tn"))).drop("__tn", "__kd"))
-    two = lookup(facts.where(both), sites, site_col, "site_id", {"name": site_out})
-    two = lookup(two, evts, event_col, "event_id", {"name": event_out})
-    return one.unionByName(two)
+    f = _first_and_fallback(facts, sites, evts, site_col, event_col, salt_by, always=True)
+    return (f.withColumn(site_out, F.when(F.col(site_col).isNotNull(), F.col("__first")))
+            .withColumn(event_out, F.when(F.col(site_col).isNull(), F.col("__first")).otherwise(F.col("__second")))
+            .drop("__first", "__second"))
 
 
 def bounded_lookup(top: DataFrame, k: int | None, dim: DataFrame, fk: str, pk: str, cols: dict[str, str]) -> DataFrame:

@@ -1,14 +1,13 @@
 """F8 boolean full-text search over whole texts.
 
-Two plans with the same answer:
+Plans with the same answer:
 
 * ``match_rows`` — a row predicate on the tokenised text (one pass, no
   shuffle; best for a one-off query);
-* ``token_index`` + ``index_search`` — an inverted index of (doc, term)
-  postings built once (and written, e.g. bucketed by term) and queried by
-  term: required terms are counted per document, excluded terms removed by
+* ``token_index`` + ``index_search`` — (doc, term) postings as a frame, queried
+  by term: required terms are counted per document, excluded terms removed by
   an anti join.  Grouping is by document id, so a very common term never
-  lands in one task.
+  lands in one task.  ``operators/text_index`` stores the postings.
 """
 
 from __future__ import annotations
@@ -23,10 +22,10 @@ def match_rows(df: DataFrame, text_col: str, query: str) -> DataFrame:
     return df.where(boolean_match(text_col, query))
 
 
-def token_index(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Postings (id, term): each distinct indexed token of each whole text once."""
+def token_index(df: DataFrame, id_col: str, text_col: str, min_len: int = MIN_TOKEN_LEN) -> DataFrame:
+    """Postings (id, term): each distinct token of at least ``min_len`` characters of each whole text once."""
     t = df.select(F.col(id_col), F.explode(F.array_distinct(tokens(text_col))).alias("term"))
-    return t.where(F.length("term") >= MIN_TOKEN_LEN)
+    return t.where(F.length("term") >= min_len)
 
 
 def index_search(index: DataFrame, docs: DataFrame, id_col: str, query: str) -> DataFrame:

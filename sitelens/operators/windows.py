@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+SAMPLE_PER_RANGE = 64                      # values of the sample that sets the range bounds, per range
+
+
 def _as_number(v: Column, kind: T.DataType) -> Column:
     """A double that never falls as ``v`` rises (equal doubles may stand for different values)."""
     if isinstance(kind, T.StringType):
@@ -26,9 +29,10 @@ def rank_by(df: DataFrame, value: str, out: str = "rank", descending: bool = Tru
 
     rank(v) = 1 + number of rows whose value sorts strictly before v.  The
     distinct values are counted (partial aggregate), cut into ``buckets`` value
-    ranges by approximate quantiles, and each range gets its prefix count from
+    ranges by quantiles of a sample, and each range gets its prefix count from
     the ≤``buckets`` range totals plus a running sum inside the range.  Only
-    the tiny range-total table is ever ordered globally.  The approximate number
+    the tiny range-total table is ever ordered globally.  All of it is lazy:
+    building the query starts no job.  The approximate number
     of a value only chooses its range; inside a range the values themselves are
     ordered, so wide integers, strings, dates and timestamps rank exactly.
     ``buckets`` defaults to the shuffle partition count.  NULL values rank last
@@ -42,12 +46,13 @@ def rank_by(df: DataFrame, value: str, out: str = "rank", descending: bool = Tru
     key = F.when(v.isNull(), F.lit(float("inf")) if descending else F.lit(float("-inf"))) \
            .otherwise(-num if descending else num)
     counts = counts.withColumn("__key", key)
-    # Range bounds from a quantile sketch: ≤ buckets-1 numbers, fetched the way
-    # Spark's own range partitioner samples its bounds.
-    row = counts.select(F.percentile_approx("__key", [i / buckets for i in range(1, buckets)], 1000)).first()
-    bounds = sorted(set(x for x in (row[0] or []) if x is not None))
-    arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    counts = counts.withColumn("__bucket", F.size(F.filter(arr, lambda b: b < F.col("__key"))))
+    # Range bounds: quantiles of the distinct values with the lowest hashes.  Which values these are
+    # depends on the data alone, so every evaluation of this lazy scalar gives the same bounds.
+    low = counts.select("__key").orderBy(F.xxhash64("__key"), "__key").limit(SAMPLE_PER_RANGE * buckets)
+    quantiles = F.expr(f"transform(sequence(1, {buckets - 1}), i -> try_element_at(s, cast(size(s) * i / {buckets} as int) + 1))")
+    bounds = low.select(F.array_sort(F.collect_list("__key")).alias("s")).select(quantiles).scalar()
+    counts = counts.withColumn("__bounds", bounds).withColumn(
+        "__bucket", F.size(F.filter("__bounds", lambda b: b < F.col("__key")))).drop("__bounds")
     totals = counts.groupBy("__bucket").agg(F.sum("__c").alias("__t"))
     offsets = totals.select(
         "__bucket",

@@ -22,6 +22,10 @@ bind("c_s04_filter_by_type_and_location", {"type_": "MEDIUM", "location": "Brand
 bind("c_s05_range_search_price", {"lo": 930, "hi": 960}, {"30 AND 120": "930 AND 960"})
 bind("c_s06_set_membership_in", {"types": ("MEDIUM", "PROMO")}, {"'Museum', 'Monastery', 'Ancient City'": "'MEDIUM', 'PROMO'"})
 bind("c_s28_fulltext_sample", {"q": "+widget"}, {"museum": "widget"})
+bind("c_v02_visitors_no_bookings", {"since": "2000-01-01"},
+     {"b.visitor_id WHERE": "b.visitor_id AND b.booking_date >= TIMESTAMP '2000-01-01' WHERE"})
+bind("c_s01_ddl_tables_columns", {"exact": True}, {})
+bind("c_g03_guides_table_structure", {"exact": True}, {})
 bind("c_v04_visitors_high_avg_rating", {"min_avg": 3.5}, {"4.5": "3.5"})
 bind("b02a_visitors_name_prefix", {"prefix": "C"}, {"'A%'": "'C%'"})
 bind("b02b_guides_language_like", {"word": "NATION_1"}, {"English": "NATION_1"})

@@ -319,11 +319,11 @@ def api_payment_status(r: Roles):
 
 
 @query("D22", "site_events_availability", """
-SELECT e.event_id, e.site_id, e.name, e.event_date, e.ticket_price, e.capacity,
+SELECT e.event_id, e.site_id, e.name, e.event_date, e.event_time, e.ticket_price, e.capacity,
        COALESCE(c.n, 0) AS booked_tickets,
        CASE WHEN e.capacity > 0 THEN GREATEST(0, e.capacity - COALESCE(c.n, 0)) END AS available
 FROM evts e LEFT JOIN (SELECT event_id, COUNT(*) AS n FROM bookings WHERE event_id IS NOT NULL GROUP BY event_id) c
-ON c.event_id = e.event_id ORDER BY e.site_id, e.event_date, e.event_id""")
+ON c.event_id = e.event_id ORDER BY e.site_id, e.event_date, e.event_time, e.event_id""")
 def site_events_availability(r: Roles, site_id: int | None = None, measure: str = "bookings"):
     """Every event with bookings taken and seats left (NULL when capacity is 0: 'open').
 
@@ -333,11 +333,11 @@ def site_events_availability(r: Roles, site_id: int | None = None, measure: str
     agg = F.count(F.lit(1)) if measure == "bookings" else F.sum("no_of_tickets")
     per = per_key(r.bookings, "event_id", [agg.cast("bigint").alias("booked_tickets")])
     e = r.evts if site_id is None else r.evts.where(F.col("site_id") == site_id)
-    out = (e.select("event_id", "site_id", "name", "event_date", "ticket_price", "capacity")
+    out = (e.select("event_id", "site_id", "name", "event_date", "event_time", "ticket_price", "capacity")
            .join(per, "event_id", "left").fillna({"booked_tickets": 0}))
     return out.withColumn("available", F.when(F.col("capacity") > 0, F.greatest(
         F.lit(0).cast("bigint"), F.col("capacity") - F.col("booked_tickets")))) \
-        .orderBy("site_id", "event_date", "event_id")
+        .orderBy("site_id", "event_date", "event_time", "event_id")
 
 
 @query("D23", "site_latest_reviews", """
@@ -437,18 +437,22 @@ def booking_detail_latest_payment(r: Roles):
 
 
 @query("D28", "visitor_site_payments", """
-SELECT b.visitor_id, p.booking_id, p.attempt_no, p.method, p.status, p.amount, p.paid_at, s.name AS site_name
+SELECT b.visitor_id, p.payment_id, p.booking_id, p.attempt_no, p.method, p.status, p.amount, p.paid_at, s.name AS site_name
 FROM payments p JOIN bookings b ON p.booking_id = b.booking_id JOIN sites s ON b.site_id = s.site_id
-ORDER BY b.visitor_id, p.paid_at DESC""")
+""")
 def visitor_site_payments(r: Roles, visitor_id: int | None = None):
-    """Each visitor's payments for site bookings, newest first (event bookings drop out)."""
+    """Each visitor's payments for site bookings, newest first (event bookings drop out).
+
+    The payment's key makes the order total.  Rows are dealt out by ranges of the whole
+    sort key, so a visitor with very many payments is spread over several tasks.
+    """
     b = r.bookings.where(F.col("site_id").isNotNull()).select("booking_id", "visitor_id", "site_id")
     if visitor_id is not None:
         b = b.where(F.col("visitor_id") == visitor_id)
     j = (r.payments.join(b, "booking_id").join(r.sites.select("site_id", F.col("name").alias("site_name")),
                                                "site_id"))
-    return (j.select("visitor_id", "booking_id", "attempt_no", "method", "status", "amount", "paid_at", "site_name")
-            .orderBy("visitor_id", F.desc("paid_at")))
+    return (j.select("visitor_id", "payment_id", "booking_id", "attempt_no", "method", "status", "amount", "paid_at", "site_name")
+            .orderBy("visitor_id", F.desc("paid_at"), F.desc("payment_id")))
 
 
 @query("D29A", "visitor_bookings", """

@@ -6,15 +6,19 @@ The registered functions return the exact frame each export writes; call
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import excerpt
 from sitelens.operators.aggs import per_key
 from sitelens.operators.joins import lookup
-from sitelens.operators.text_search import index_search, match_rows, token_index
+from sitelens.operators.text_index import TextIndex
+from sitelens.operators.text_search import match_rows
 from sitelens.plans.listings import site_search
 from sitelens.plans.registry import query
+from sitelens.session import checkpoint_dir
 from sitelens.sources.io import export_csv, write_json
 from sitelens.sources.roles import Roles
 
@@ -65,12 +69,12 @@ def export_guides_frame(r: Roles):
 
 
 @query("K2", "export_sites_filtered", """
-SELECT site_id, name, location, type, ticket_price, unesco_status, created_at, description FROM sites
+SELECT site_id, name, location, type, ticket_price, unesco_status, created_at, description, opening_hours FROM sites
 WHERE ticket_price >= 950 AND unesco_status = 'Tentative' ORDER BY ticket_price DESC, site_id""")
 def export_sites_filtered(r: Roles, sort: str = "desc", **filters):
     """Filtered, ordered site export: the admin listing's frame (L2) in its sort order."""
     filters = filters or {"min_price": 950, "unesco": "Tentative"}
-    lst = site_search(r, sort, admin=True, extra=("description", *(["opening_hours"] if "opening_hours" in r.sites.columns else [])), **filters)
+    lst = site_search(r, sort, admin=True, extra=("description", "opening_hours"), **filters)
     return lst.frame.orderBy(*lst.order)
 
 
@@ -100,6 +104,7 @@ def _documents(r: Roles) -> DataFrame:
 
 
 F8_QUERY = "+with -the"
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
 
 
 @query("F8", "fulltext_documents", r"""
@@ -116,10 +121,14 @@ SELECT doc_id, lang, source, n_chars FROM documents
 WHERE list_contains(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), 'with')
   AND NOT list_contains(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), 'the')""")
 def fulltext_documents_index(r: Roles, q: str = F8_QUERY):
-    """Same query answered from an inverted (doc, term) index."""
+    """Same query answered from the stored inverted index, which is written once per table and session."""
     docs = _documents(r)
-    idx = token_index(docs, "doc_id", "text")
-    return index_search(idx, docs.select("doc_id", "lang", "source", "n_chars"), "doc_id", q)
+    key = (r.spark.sparkContext.applicationId, r.extra["sf_dir"])
+    if key not in _INDEXES:
+        index = TextIndex(r.spark, f"{checkpoint_dir(r.spark)}/text-index-{uuid.uuid4().hex}")
+        index.add(docs, "doc_id", "text")
+        _INDEXES[key] = index
+    return _INDEXES[key].rows(docs.select("doc_id", "lang", "source", "n_chars"), "doc_id", q)
 
 
 @query("F8S", "fulltext_site_descriptions", r"""

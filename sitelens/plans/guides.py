@@ -14,8 +14,8 @@ from sitelens.operators.joins import (bounded_product, left_expand, lookup, not_
                                       semi)
 from sitelens.operators.sets import union_distinct
 from sitelens.plans.registry import query
-from sitelens.plans.sqlfrag import s_avg, s_ravg
-from sitelens.sources.roles import Roles
+from sitelens.plans.sqlfrag import profile_sql, s_avg, s_ravg
+from sitelens.sources.roles import ROLE_SCHEMAS, Roles
 
 
 
@@ -36,10 +36,10 @@ def guides_salary_raise_preview(r: Roles, factor: str = "1.10", k: int | None =
             .orderBy(F.desc("current_salary"), "guide_id").transform(capped, k))
 
 
-@query("C-G03", "guides_table_structure")
-def guides_table_structure(r: Roles):
+@query("C-G03", "guides_table_structure", profile_sql("guides"))
+def guides_table_structure(r: Roles, exact: bool = False):
     """Column profile of the guides table (re-aim of INFORMATION_SCHEMA.COLUMNS)."""
-    return profile_table(r.guides, "guides")
+    return profile_table(r.guides, "guides", exact=exact, schema=ROLE_SCHEMAS["guides"])
 
 
 @query("C-G04", "guides_salary_range", """

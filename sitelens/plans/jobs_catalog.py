@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sitelens.jobs import intake
 from sitelens.jobs.reconcile import reconciliation
 from sitelens.jobs.referential import apply_deletes
+from sitelens.jobs.upsert import upsert
 from sitelens.plans.registry import query
+from sitelens.session import checkpoint_dir
 from sitelens.sources import requests as rq
 from sitelens.sources.roles import Roles
+from sitelens.sources.snapshots import SnapshotTable
+from sitelens.streaming.intake import (BOOKING_REQUEST_SCHEMA, PAYMENT_ATTEMPT_SCHEMA, daily_totals, dedupe_requests,
+                                       start_booking_stream, start_payment_stream)
+from sitelens.streaming.replay import replay
+from sitelens.streaming.rollup import merge_days
 
 
 _REQ_M1 = r"""
@@ -18,7 +27,8 @@ _REQ_M1 = r"""
          CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS visitor_id,
          TRIM(CASE WHEN o_orderkey % 7 = 0 THEN c_name END) AS name,
          TRIM(CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 19 <> 0 THEN
-              CASE WHEN o_orderkey % 3 = 0 THEN LOWER(c_name) || '@example.com'
+              CASE WHEN o_orderkey % 3 = 0 THEN c_name || '@Example.com'
+                   WHEN o_orderkey % 4 = 0 THEN 'GUEST' || CAST(o_orderkey % 500 AS VARCHAR) || '@example.org'
                    ELSE 'guest' || CAST(o_orderkey % 500 AS VARCHAR) || '@example.org' END END) AS email,
          CAST(CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN -1 - o_orderkey
                    WHEN o_orderkey % 2 = 0 OR o_orderkey % 11 = 0 THEN o_custkey % (SELECT COUNT(*) FROM part)
@@ -40,9 +50,10 @@ chk AS (
 
 _GUESTS_M1 = r""",
 ok AS (SELECT * FROM chk WHERE reject_reason IS NULL),
-known AS (SELECT ok.request_id, v.visitor_id AS vid FROM ok JOIN visitors v ON ok.visitor_id IS NULL AND v.email = ok.email),
-fresh AS (SELECT email, MIN(request_id) AS first_req FROM ok
-          WHERE visitor_id IS NULL AND request_id NOT IN (SELECT request_id FROM known) GROUP BY email),
+known AS (SELECT ok.request_id, MIN(v.visitor_id) AS vid FROM ok JOIN visitors v
+          ON ok.visitor_id IS NULL AND LOWER(v.email) = LOWER(ok.email) GROUP BY ok.request_id),
+fresh AS (SELECT LOWER(email) AS email, MIN(request_id) AS first_req FROM ok
+          WHERE visitor_id IS NULL AND request_id NOT IN (SELECT request_id FROM known) GROUP BY LOWER(email)),
 fresh_ids AS (SELECT email, (SELECT MAX(visitor_id) FROM visitors) + ROW_NUMBER() OVER (ORDER BY first_req) AS nvid
               FROM fresh)
 """
@@ -54,7 +65,7 @@ _SQL_M1 = _REQ_M1 + _GUESTS_M1 + r"""SELECT (SELECT MAX(booking_id) FROM booking
          AS booked_ticket_price,
        'pending' AS payment_status
 FROM ok LEFT JOIN known k ON k.request_id = ok.request_id
-LEFT JOIN fresh_ids f ON ok.visitor_id IS NULL AND k.vid IS NULL AND f.email = ok.email"""
+LEFT JOIN fresh_ids f ON ok.visitor_id IS NULL AND k.vid IS NULL AND f.email = LOWER(ok.email)"""
 
 
 _SQL_M1R = _REQ_M1 + r"""
@@ -96,7 +107,7 @@ ranked AS (SELECT *, CASE WHEN base IS NULL THEN ROW_NUMBER() OVER (PARTITION BY
 """
 
 _SQL_M8 = _REQ_M8 + r"""SELECT (SELECT MAX(visitor_id) FROM visitors) + ROW_NUMBER() OVER (ORDER BY request_id) AS visitor_id,
-       full_name, nationality, email, CAST(ts AS DATE) AS created_at
+       full_name, nationality, email, CAST(ts AS DATE) AS created_at, '0180000000' AS phone
 FROM ranked WHERE base IS NULL AND rn = 1"""
 
 
@@ -112,8 +123,8 @@ _SQL_M9 = r"""
 SELECT * FROM req WHERE NOT (email IS NULL OR email = '' OR message IS NULL OR message = '')"""
 
 
-_SQL_M1V = _REQ_M1 + _GUESTS_M1 + r"""SELECT f.nvid AS visitor_id, o.name AS full_name, CAST(NULL AS VARCHAR) AS nationality, f.email,
-       CAST(o.ts AS DATE) AS created_at
+_SQL_M1V = _REQ_M1 + _GUESTS_M1 + r"""SELECT f.nvid AS visitor_id, o.name AS full_name, CAST(NULL AS VARCHAR) AS nationality, o.email,
+       CAST(o.ts AS DATE) AS created_at, '0170000000' AS phone
 FROM fresh_ids f JOIN fresh x ON x.email = f.email JOIN ok o ON o.request_id = x.first_req"""
 
 
@@ -138,18 +149,18 @@ r AS (SELECT a.*, CASE WHEN a.bid IS NULL THEN 'booking_not_found'
       FROM a LEFT JOIN firsts f ON f.booking_id = a.booking_id)"""
 
 _SQL_M2 = _REQ_M2 + r""",
-win AS (SELECT booking_id, ts, method, booked_ticket_price AS amt FROM r WHERE reject_reason IS NULL),
+win AS (SELECT request_id, booking_id, ts, method, booked_ticket_price AS amt FROM r WHERE reject_reason IS NULL),
 p AS (SELECT payments.*, ROW_NUMBER() OVER (PARTITION BY booking_id ORDER BY paid_at DESC NULLS LAST,
              attempt_no DESC NULLS LAST, acquirer_id DESC NULLS LAST, amount DESC NULLS LAST,
-             method DESC NULLS LAST, status DESC NULLS LAST) AS rn FROM payments)
-SELECT p.booking_id, p.attempt_no, p.acquirer_id,
+             method DESC NULLS LAST, status DESC NULLS LAST, payment_id DESC) AS rn FROM payments)
+SELECT p.payment_id, p.booking_id, p.attempt_no, p.acquirer_id,
        CASE WHEN w.booking_id IS NOT NULL THEN CAST(w.amt AS DECIMAL(10,2)) ELSE p.amount END AS amount,
        CASE WHEN w.booking_id IS NOT NULL THEN w.method ELSE p.method END AS method,
        CASE WHEN w.booking_id IS NOT NULL THEN 'successful' ELSE p.status END AS status,
        CASE WHEN w.booking_id IS NOT NULL THEN w.ts ELSE p.paid_at END AS paid_at
 FROM p LEFT JOIN win w ON w.booking_id = p.booking_id AND p.rn = 1
 UNION ALL
-SELECT w.booking_id, 1, CAST(NULL AS BIGINT), CAST(w.amt AS DECIMAL(10,2)), w.method, 'initiated', w.ts
+SELECT (SELECT MAX(payment_id) FROM payments) + 1 + w.request_id, w.booking_id, 1, CAST(NULL AS BIGINT), CAST(w.amt AS DECIMAL(10,2)), w.method, 'initiated', w.ts
 FROM win w WHERE NOT EXISTS (SELECT 1 FROM payments p WHERE p.booking_id = w.booking_id)"""
 
 
@@ -197,7 +208,8 @@ def m1_booking_intake(r: Roles):
 
 @query("M1P", "booking_intake_payments", _REQ_M1 + """,
 ok AS (SELECT * FROM chk WHERE reject_reason IS NULL)
-SELECT (SELECT MAX(booking_id) FROM bookings) + ROW_NUMBER() OVER (ORDER BY request_id) AS booking_id, 1 AS attempt_no,
+SELECT (SELECT MAX(payment_id) FROM payments) + 1 + request_id AS payment_id,
+       (SELECT MAX(booking_id) FROM bookings) + ROW_NUMBER() OVER (ORDER BY request_id) AS booking_id, 1 AS attempt_no,
        CAST(NULL AS BIGINT) AS acquirer_id, CAST(COALESCE(sp, ep) * no_of_tickets AS DECIMAL(10,2)) AS amount,
        CASE request_id % 5 WHEN 1 THEN 'nagad' WHEN 2 THEN 'card' WHEN 4 THEN 'rocket' ELSE 'bkash' END AS method,
        'initiated' AS status, ts AS paid_at
@@ -257,6 +269,70 @@ def m4_bookings_after(r: Roles):
     return apply_deletes(r, sites=gone).roles.bookings
 
 
+def _after_m4(r: Roles):
+    """All roles after the deletes of M4 and of every 17th guide and the visitors without a booking from 2000 on."""
+    gone = r.sites.where((F.col("unesco_status") == "None") & (F.col("ticket_price") < 905)).select("site_id")
+    return apply_deletes(r, sites=gone, guides=r.guides.where("guide_id % 17 = 3").select("guide_id"),
+                         bookings=r.bookings.where("booking_id % 8 = 0 OR visitor_id % 50 = 7").select("booking_id"),
+                         visitors=r.visitors.where("visitor_id % 50 = 7").select("visitor_id")).roles
+
+
+_GONE_M4 = """
+, ds AS (SELECT site_id AS k FROM sites WHERE unesco_status = 'None' AND ticket_price < 905),
+de AS (SELECT event_id AS k FROM evts WHERE site_id IN (SELECT k FROM ds)),
+dg AS (SELECT guide_id AS k FROM guides WHERE guide_id % 17 = 3),
+db AS (SELECT booking_id AS k FROM bookings WHERE booking_id % 8 = 0 OR visitor_id % 50 = 7),
+dv AS (SELECT visitor_id AS k FROM visitors WHERE visitor_id % 50 = 7)
+"""
+_KEPT = """CASE WHEN site_id NOT IN (SELECT k FROM ds) THEN site_id END AS site_id,
+ CASE WHEN event_id NOT IN (SELECT k FROM de) THEN event_id END AS event_id"""
+
+
+@query("M4S", "delete_cascade_sites", _GONE_M4 + "SELECT * FROM sites WHERE site_id NOT IN (SELECT k FROM ds)")
+def m4_sites_after(r: Roles):
+    """Sites after the deletes."""
+    return _after_m4(r).sites
+
+
+@query("M4E", "delete_cascade_events", _GONE_M4 + "SELECT * FROM evts WHERE event_id NOT IN (SELECT k FROM de)")
+def m4_events_after(r: Roles):
+    """Events after the deletes: those of deleted sites go with them."""
+    return _after_m4(r).evts
+
+
+@query("M4V", "delete_restrict_visitors", _GONE_M4 + "SELECT * FROM visitors WHERE visitor_id NOT IN (SELECT k FROM dv)")
+def m4_visitors_after(r: Roles):
+    """Visitors after the deletes: all their bookings went in the same call, so none is refused."""
+    return _after_m4(r).visitors
+
+
+@query("M4G", "delete_guides", _GONE_M4 + "SELECT * FROM guides WHERE guide_id NOT IN (SELECT k FROM dg)")
+def m4_guides_after(r: Roles):
+    """Guides after the deletes."""
+    return _after_m4(r).guides
+
+
+@query("M4A", "delete_cascade_assignments", _GONE_M4 + f"""
+SELECT assign_id, guide_id, {_KEPT}, shift_time FROM assignments WHERE guide_id NOT IN (SELECT k FROM dg)""")
+def m4_assignments_after(r: Roles):
+    """Assignments after the deletes: gone with their guide, targets that are gone become NULL."""
+    return _after_m4(r).assignments
+
+
+@query("M4W", "delete_cascade_reviews", _GONE_M4 + f"""
+SELECT review_id, visitor_id, {_KEPT}, rating, comment, review_date FROM reviews
+WHERE visitor_id NOT IN (SELECT k FROM dv)""")
+def m4_reviews_after(r: Roles):
+    """Reviews after the deletes: gone with their visitor, targets that are gone become NULL."""
+    return _after_m4(r).reviews
+
+
+@query("M4P", "delete_cascade_payments", _GONE_M4 + "SELECT * FROM payments WHERE booking_id NOT IN (SELECT k FROM db)")
+def m4_payments_after(r: Roles):
+    """Payments after the deletes: gone with their booking."""
+    return _after_m4(r).payments
+
+
 @query("M4R", "delete_refusals", """
 SELECT 'visitors' AS table_name, visitor_id AS key FROM visitors WHERE visitor_id % 3 = 0
 INTERSECT SELECT 'visitors', visitor_id FROM bookings WHERE booking_id % 8 <> 0""")
@@ -306,6 +382,20 @@ def m8_visitor_registration(r: Roles):
     return intake.visitor_registration(r, rq.signup_requests(r.spark, _sf(r))).accepted
 
 
+@query("M8A", "visitor_registration_admin", _REQ_M8.replace(
+    "ELSE ' ' || c_name END) AS full_name", "WHEN c_custkey % 31 = 0 THEN c_name || REPEAT(' the Long-Named', 10) "
+    "ELSE ' ' || c_name END) AS full_name") + r"""SELECT (SELECT MAX(visitor_id) FROM visitors) + ROW_NUMBER() OVER (ORDER BY request_id) AS visitor_id,
+       LEFT(full_name, 120) AS full_name, nationality, email, CAST(ts AS DATE) AS created_at, '0180000000' AS phone
+FROM ranked WHERE base IS NULL AND rn = 1""")
+def m8_admin_registration(r: Roles):
+    """New visitors of the admin form, which cuts names to the column's width."""
+    q = rq.signup_requests(r.spark, _sf(r))
+    long = F.col("full_name").isNotNull() & (F.trim("full_name") != "") & (F.col("request_id") % 31 == 0)
+    q = q.withColumn("full_name", F.when(long, F.concat(F.trim("full_name"), F.repeat(F.lit(" the Long-Named"), 10)))
+                     .otherwise(F.col("full_name")))
+    return intake.visitor_registration(r, q, admin=True).accepted
+
+
 @query("M8R", "visitor_registration_rejects", _SQL_M8R)
 def m8_visitor_rejects(r: Roles):
     """Rejected sign-ups with their reason."""
@@ -330,5 +420,119 @@ SELECT date_trunc('day', booking_date) AS window_start, date_trunc('day', bookin
 FROM bookings GROUP BY 1, 2""")
 def t3_daily_bookings_revenue(r: Roles):
     """Batch core of the T3 stream: bookings and revenue per tumbling day."""
-    from sitelens.streaming.intake import daily_totals
     return daily_totals(r.bookings)
+
+
+# ---------------------------------------------------------------- M3 through the snapshot pointer
+
+_SQL_M3 = r"""
+, chg AS (
+  SELECT p_partkey AS site_id, 'upsert' AS op, 1 AS day, p_name AS name, CAST(1 AS DECIMAL(10,2)) AS ticket_price,
+         'overridden' AS description, p_brand, p_type FROM part WHERE p_partkey % 5 = 0
+  UNION ALL SELECT p_partkey, 'upsert', 2, UPPER(p_name), CAST(CAST(p_retailprice AS DECIMAL(10,2)) * 1.25 AS DECIMAL(10,2)),
+         NULL, p_brand, p_type FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 3 = 0
+  UNION ALL SELECT p_partkey, 'delete', 3, NULL, NULL, NULL, p_brand, p_type FROM part WHERE p_partkey % 12 = 0
+  UNION ALL SELECT p_partkey + (SELECT MAX(p_partkey) FROM part) + 1, 'upsert', 4, 'new ' || p_name,
+         CAST(p_retailprice AS DECIMAL(10,2)), 'new', p_brand, p_type FROM part WHERE p_partkey % 10 = 1),
+last AS (SELECT * FROM chg QUALIFY ROW_NUMBER() OVER (PARTITION BY site_id ORDER BY day DESC) = 1)
+SELECT * FROM sites WHERE site_id NOT IN (SELECT site_id FROM last)
+UNION ALL
+SELECT l.site_id, l.name, l.p_brand, l.p_type, l.ticket_price, 'Tentative', COALESCE(l.description, s.description),
+       DATE '2002-01-01', s.opening_hours FROM last l LEFT JOIN sites s ON s.site_id = l.site_id WHERE l.op = 'upsert'"""
+
+
+@query("M3", "upsert_sites", _SQL_M3)
+def m3_upsert_sites(r: Roles):
+    """Sites after a batch of keyed changes, read through the table's snapshot pointer."""
+    table = SnapshotTable(r.spark, f"{checkpoint_dir(r.spark)}/sites-{uuid.uuid4().hex}")
+    table.commit(r.sites, None)
+    changes = rq.site_changes(r.spark, _sf(r))
+    table.update(lambda sites: upsert(sites, changes, ["site_id"], keep_old=["description", "opening_hours"]))
+    return table.read()
+
+
+# ---------------------------------------------------------------- T1, T2, T4 replayed in two micro-batches
+
+def _halves(requests):
+    """By request id: the first half of the range, then the rest."""
+    middle = requests.select(((F.min("request_id") + F.max("request_id")) / 2).cast("bigint")).scalar()
+    return [F.col("request_id") <= middle, F.col("request_id") > middle]
+
+
+def _booking_stream(r: Roles) -> str:
+    requests = rq.booking_requests(r.spark, _sf(r))
+    return replay(requests, BOOKING_REQUEST_SCHEMA, _halves(requests),
+                  lambda source, sink, ck: start_booking_stream(r.spark, r, source, sink, ck, dedupe_delay=None))
+
+
+def _payment_stream(r: Roles) -> str:
+    attempts = rq.payment_attempts(r.spark, _sf(r))
+    return replay(attempts, PAYMENT_ATTEMPT_SCHEMA, _halves(attempts),
+                  lambda source, sink, ck: start_payment_stream(r.spark, r, source, sink, ck, dedupe_delay=None))
+
+
+# The stream's new visitors take the table's maximum + 1 + the registering request's id.
+_GUESTS_T1 = _GUESTS_M1.replace("(SELECT MAX(visitor_id) FROM visitors) + ROW_NUMBER() OVER (ORDER BY first_req)",
+                                "(SELECT MAX(visitor_id) FROM visitors) + 1 + first_req")
+
+
+@query("T1", "booking_stream", _SQL_M1.replace(_GUESTS_M1, _GUESTS_T1))
+def t1_booking_stream(r: Roles):
+    """Bookings of the request stream: two micro-batches, guests matched by keyed state."""
+    return r.spark.read.parquet(f"{_booking_stream(r)}/bookings").drop("batch_id")
+
+
+@query("T1V", "booking_stream_new_visitors", _SQL_M1V.replace(_GUESTS_M1, _GUESTS_T1))
+def t1_new_visitors(r: Roles):
+    """Visitors that the request stream registers, once per e-mail over all micro-batches."""
+    return r.spark.read.parquet(f"{_booking_stream(r)}/visitors").drop("batch_id")
+
+
+@query("T2", "payment_stream_changes", _REQ_M2 + """,
+latest AS (SELECT * FROM payments QUALIFY ROW_NUMBER() OVER (PARTITION BY booking_id ORDER BY paid_at DESC NULLS LAST,
+             attempt_no DESC NULLS LAST, acquirer_id DESC NULLS LAST, amount DESC NULLS LAST, method DESC NULLS LAST,
+             status DESC NULLS LAST, payment_id DESC) = 1)
+SELECT COALESCE(p.payment_id, (SELECT MAX(payment_id) FROM payments) + 1 + r.request_id) AS payment_id, r.booking_id, CASE WHEN p.booking_id IS NULL THEN 'insert' ELSE 'update' END AS change,
+       CAST(COALESCE(p.attempt_no, 1) AS BIGINT) AS attempt_no, p.acquirer_id, r.booked_ticket_price AS amount, r.method,
+       CASE WHEN p.booking_id IS NULL THEN 'initiated' ELSE 'successful' END AS status, r.ts AS paid_at
+FROM r LEFT JOIN latest p ON p.booking_id = r.booking_id WHERE r.reject_reason IS NULL""")
+def t2_payment_stream(r: Roles):
+    """Payments that the attempt stream settles or inserts, over two micro-batches."""
+    return r.spark.read.parquet(f"{_payment_stream(r)}/payment_changes").drop("batch_id")
+
+
+@query("T2R", "payment_stream_rejects", _SQL_M2R)
+def t2_payment_rejects(r: Roles):
+    """Attempts that the stream rejects, also those that an earlier micro-batch has settled."""
+    return r.spark.read.parquet(f"{_payment_stream(r)}/rejects").drop("batch_id")
+
+
+@query("T4", "dedupe_requests", "SELECT DISTINCT o_orderkey AS request_id, o_custkey FROM orders")
+def t4_dedupe_requests(r: Roles):
+    """Requests left when retries are dropped within the watermark, also across micro-batches."""
+    requests = rq.retried_requests(r.spark, _sf(r))
+    # Five minutes after a day's requests: their retries fall into the second micro-batch.
+    cut = requests.select((F.timestamp_seconds((F.min(F.unix_seconds(F.col("ts").cast("timestamp"))) + F.max(
+        F.unix_seconds(F.col("ts").cast("timestamp")))) / 2)).alias("m")).select(
+        (F.date_trunc("day", "m") + F.expr("INTERVAL 5 MINUTES")).alias("m")).scalar()
+
+    def start(source, sink, ck):
+        stream = dedupe_requests(r.spark.readStream.schema(BOOKING_REQUEST_SCHEMA).parquet(source))
+        return (stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ck)
+                .trigger(availableNow=True).start())
+    ts = F.col("ts")
+    kept = r.spark.read.parquet(replay(requests, BOOKING_REQUEST_SCHEMA, [ts < cut, ts >= cut], start))
+    orders = r.bookings.select("booking_id", F.col("visitor_id").alias("o_custkey"))
+    return kept.join(orders, F.col("request_id") == F.col("booking_id")).select("request_id", "o_custkey")
+
+
+@query("T3M", "month_rollup", """
+SELECT CAST(date_trunc('month', booking_date) AS DATE) AS month, COUNT(*) AS bookings,
+       CAST(SUM(booked_ticket_price) AS DECIMAL(20,2)) AS revenue FROM bookings GROUP BY 1""")
+def t3_month_rollup(r: Roles):
+    """Month totals kept from daily totals: the early days first, then all days, of which only the new ones count."""
+    table = SnapshotTable(r.spark, f"{checkpoint_dir(r.spark)}/months-{uuid.uuid4().hex}")
+    days = daily_totals(r.bookings)
+    merge_days(table, days.where(F.col("window_start") < F.lit("1998-03-10").cast("timestamp")))
+    merge_days(table, days)
+    return table.read().select("month", "bookings", "revenue")

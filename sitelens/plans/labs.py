@@ -42,7 +42,7 @@ def select_all_name_location(r: Roles):
 def visitors_name_prefix(r: Roles, prefix: str = "A"):
     """LIKE 'A%' prefix match."""
     from sitelens.functions.text import like_escape
-    return r.visitors.where(F.col("full_name").like(like_escape(prefix) + "%"))
+    return r.visitors.where(F.startswith("full_name", F.lit(prefix)))
 
 
 @query("B02B", "guides_language_like", "SELECT * FROM guides WHERE language LIKE '%English%'")
@@ -328,7 +328,7 @@ def intersect_booked_reviewed_sites(r: Roles):
 @query("B14A", "update_site_price", """
 SELECT site_id, name, location, type,
        CASE WHEN site_id = 1 THEN CAST(200 AS DECIMAL(10,2)) ELSE ticket_price END AS ticket_price,
-       unesco_status, description, created_at FROM sites""")
+       unesco_status, description, created_at, opening_hours FROM sites""")
 def update_site_price(r: Roles, site_id: int = 1, price: str = "200"):
     """UPDATE sites SET ticket_price = p WHERE site_id = k, as a new version of the table."""
     from sitelens.jobs.upsert import update_where
@@ -366,3 +366,12 @@ def alter_guides(r: Roles):
     """ADD experience_years INT DEFAULT 0, then RENAME it to years_of_experience (M5)."""
     from sitelens.jobs.schema import add_column, rename_column
     return rename_column(add_column(r.guides, "experience_years", "int", 0), "experience_years", "years_of_experience")
+
+
+@query("B15B", "retype_and_drop_columns", """
+SELECT visitor_id, full_name, email, strftime(created_at, '%Y-%m-%d') AS created_at,
+       TRY_CAST(phone AS INTEGER) AS phone FROM visitors""")
+def retype_and_drop_columns(r: Roles):
+    """MODIFY created_at to text and phone to INT (what does not fit is NULL), then DROP nationality (M5)."""
+    from sitelens.jobs.schema import drop_column, modify_column
+    return drop_column(modify_column(modify_column(r.visitors, "created_at", "string"), "phone", "int"), "nationality")

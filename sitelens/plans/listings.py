@@ -142,6 +142,17 @@ def site_search_page(r: Roles, page: int = 1, size: int = 6, sort: str = "", **f
     return site_search(r, sort, **filters).page(Page(page, size))
 
 
+@query("L1P", "site_search_clamped", """
+SELECT site_id, name, location, type, ticket_price, unesco_status FROM sites
+WHERE ticket_price >= GREATEST(-5, (SELECT MIN(ticket_price) FROM sites))
+  AND ticket_price <= LEAST(100000, (SELECT MAX(ticket_price) FROM sites)) AND type = 'PROMO'
+ORDER BY ticket_price DESC, site_id LIMIT 6 OFFSET 6""")
+def site_search_clamped(r: Roles, page: int = 2, size: int = 6, min_price: float = -5, max_price: float = 100000,
+                        type_: str = "PROMO"):
+    """Public site search: bounds beyond the data's prices are clamped to them; page 2, dearest first."""
+    return site_search(r, "desc", min_price=min_price, max_price=max_price, type_=type_).page(Page(page, size))
+
+
 @query("L1C", "site_search_count", """
 SELECT COUNT(*) AS total_rows, CAST(GREATEST(1, CEIL(COUNT(*) / 6.0)) AS BIGINT) AS total_pages FROM sites""")
 def site_search_count(r: Roles, size: int = 6, **filters):
@@ -171,7 +182,9 @@ def site_admin_stats(r: Roles, min_price: float | None = 950, **filters):
 # ---------------------------------------------------------------- L3 events
 
 EVENT_SORTS = {"date_desc": ("event_date", False), "date_asc": ("event_date", True),
-               "price_asc": ("ticket_price", True), "price_desc": ("ticket_price", False), "name": ("name", True)}
+               "price_asc": ("ticket_price", True), "price_desc": ("ticket_price", False), "name": ("name", True), "name_desc": ("name", False),
+               "capacity_asc": ("capacity", True), "capacity_desc": ("capacity", False),
+               "site_asc": ("site_name", True), "site_desc": ("site_name", False)}
 
 
 def _sort(allowed: dict[str, tuple[str, bool]], key: str, default: str) -> list[tuple[str, bool]]:
@@ -219,6 +232,25 @@ def event_list_page(r: Roles, page: int = 2, size: int = 10):
     return lst.page(Page(page, size))
 
 
+@query("L3C", "event_list_by_capacity", """
+SELECT e.event_id, e.site_id, e.name, e.event_date, e.ticket_price, e.capacity, s.name AS site_name, s.unesco_status
+FROM evts e JOIN sites s ON e.site_id = s.site_id
+WHERE e.name LIKE '%view%' OR e.description LIKE '%view%'
+ORDER BY e.capacity DESC, e.event_id LIMIT 10""")
+def event_list_by_capacity(r: Roles, q: str = "view", page: int = 1, size: int = 10):
+    """Event list of a word: largest capacity first."""
+    return event_list(r, q=q, sort="capacity_desc").page(Page(page, size))
+
+
+@query("L3N", "event_list_by_site_name", """
+SELECT e.event_id, e.site_id, e.name, e.event_date, e.ticket_price, e.capacity, s.name AS site_name, s.unesco_status
+FROM evts e JOIN sites s ON e.site_id = s.site_id WHERE s.unesco_status = 'Tentative'
+ORDER BY s.name, e.event_id LIMIT 10 OFFSET 10""")
+def event_list_by_site_name(r: Roles, unesco: str = "Tentative", page: int = 2, size: int = 10):
+    """Event list of a UNESCO status by the site's name, page 2."""
+    return event_list(r, unesco=unesco, sort="site_asc").page(Page(page, size))
+
+
 # ---------------------------------------------------------------- L4 guides
 
 def guide_list(r: Roles, q: str | None = None, language: str | None = None, assigned: str | None = None,
@@ -388,7 +420,7 @@ def visitor_list(r: Roles, name: str | None = None, q: str | None = None, nation
 
 
 @query("L7", "visitor_list", f"""
-SELECT v.visitor_id, v.full_name, v.nationality, v.email, v.created_at,
+SELECT v.visitor_id, v.full_name, v.nationality, v.email, v.phone, v.created_at,
        COALESCE(b.n, 0) AS total_bookings, rv.avg_rating, COALESCE(rv.n, 0) AS total_reviews
 FROM visitors v
 LEFT JOIN (SELECT visitor_id, COUNT(*) AS n FROM bookings GROUP BY visitor_id) b ON b.visitor_id = v.visitor_id

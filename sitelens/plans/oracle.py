@@ -5,12 +5,14 @@ sites AS (SELECT p_partkey AS site_id, p_name AS name, p_brand AS location, p_ty
   CAST(p_retailprice AS DECIMAL(10,2)) AS ticket_price,
   CASE WHEN p_size % 10 = 0 THEN 'World Heritage' WHEN p_size % 10 < 4 THEN 'Tentative' ELSE 'None' END AS unesco_status,
   CONCAT(p_name, ' ', p_type) AS description,
-  DATE '1995-01-01' + CAST(p_partkey AS INT) AS created_at FROM part),
+  DATE '1995-01-01' + CAST(p_partkey AS INT) AS created_at,
+  CASE WHEN p_size % 3 = 0 THEN '09:00-17:00' WHEN p_size % 3 = 1 THEN '10:00-18:00' END AS opening_hours FROM part),
 evts AS (SELECT event_id, user_id AS site_id, CONCAT(event_type, ' ', CAST(user_id AS STRING)) AS name,
   CAST(ts AS DATE) AS event_date, CAST(value AS DECIMAL(10,2)) AS ticket_price, user_id AS capacity,
-  event_type AS description FROM events),
+  event_type AS description, strftime(ts, '%H:%M:%S') AS event_time FROM events),
 visitors AS (SELECT c_custkey AS visitor_id, c_name AS full_name, n_name AS nationality,
-  CONCAT(LOWER(c_name), '@example.com') AS email, DATE '1995-01-01' + CAST(c_custkey AS INT) AS created_at
+  CONCAT(LOWER(c_name), '@example.com') AS email, DATE '1995-01-01' + CAST(c_custkey AS INT) AS created_at,
+  CONCAT('017', LPAD(CAST(c_custkey AS VARCHAR), 8, '0')) AS phone
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
 bookings AS (SELECT o_orderkey AS booking_id, o_custkey AS visitor_id,
   CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % (SELECT COUNT(*) FROM part) END AS site_id,
@@ -18,7 +20,8 @@ bookings AS (SELECT o_orderkey AS booking_id, o_custkey AS visitor_id,
   o_orderdate AS booking_date, 1 + o_orderkey % 5 AS no_of_tickets,
   CAST(o_totalprice AS DECIMAL(10,2)) AS booked_ticket_price,
   CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'pending' ELSE 'failed' END AS payment_status FROM orders),
-payments AS (SELECT l_orderkey AS booking_id, l_linenumber AS attempt_no, l_suppkey AS acquirer_id,
+payments AS (SELECT l_orderkey * 4294967296 + CAST('0x' || SUBSTR(MD5(CONCAT_WS('/', l_linenumber, l_suppkey,
+  CAST(l_extendedprice AS DECIMAL(10,2)))), 1, 8) AS BIGINT) AS payment_id, l_orderkey AS booking_id, l_linenumber AS attempt_no, l_suppkey AS acquirer_id,
   CAST(l_extendedprice AS DECIMAL(10,2)) AS amount,
   CASE l_linenumber WHEN 1 THEN 'bkash' WHEN 2 THEN 'nagad' WHEN 3 THEN 'rocket' WHEN 4 THEN 'card' ELSE 'bank_transfer' END AS method,
   CASE WHEN l_returnflag = 'A' THEN 'successful' WHEN l_returnflag = 'N' THEN 'initiated' WHEN l_linestatus = 'F' THEN 'failed' ELSE 'refunded' END AS status,

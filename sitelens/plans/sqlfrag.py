@@ -19,3 +19,14 @@ def s_avgi(x: str) -> str:
 
 def s_ravgi(x: str, n: int = 2) -> str:
     return f"CAST(ROUND(CAST(AVG({x}) AS DECIMAL(14,4)), {n}) AS DECIMAL(14,{n}))"
+
+
+def profile_sql(table: str) -> str:
+    """The exact column profile of a role table, one SELECT per declared column."""
+    from sitelens.sources.roles import ROLE_SCHEMAS
+    return " UNION ALL ".join(
+        f"""SELECT '{table}' AS table_name, {i} AS ordinal, '{f.name}' AS column_name,
+ '{f.dataType.simpleString()}' AS data_type, {str(f.nullable).upper()} AS is_nullable, COUNT(*) AS row_count,
+ COUNT(*) - COUNT({f.name}) AS nulls, COUNT(DISTINCT {f.name}) AS distinct_values,
+ CAST(MIN({f.name}) AS VARCHAR) AS min_value, CAST(MAX({f.name}) AS VARCHAR) AS max_value FROM {table}"""
+        for i, f in enumerate(ROLE_SCHEMAS[table].fields, 1))

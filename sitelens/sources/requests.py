@@ -21,7 +21,7 @@ def booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     residues of the order key: %13 = 0 no target, %11 = 0 both targets,
     %17 = 0 unknown site, %7 = 0 guest (name/email, no visitor id), %19 = 0
     guest without email, tickets ∈ {-1..4} (clamped to ≥ 1), mixed-case and
-    unknown methods.
+    unknown methods, e-mails of one visitor in different case.
     """
     o = _read(spark, sf_dir, "orders")
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
@@ -40,7 +40,8 @@ def booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~guest, F.col("o_custkey")).alias("visitor_id"),
         F.when(guest, F.col("c_name")).alias("name"),
         F.when(guest & (k % 19 != 0),
-               F.when(k % 3 == 0, F.concat(F.lower("c_name"), F.lit("@example.com")))
+               F.when(k % 3 == 0, F.concat("c_name", F.lit("@Example.com")))
+               .when(k % 4 == 0, F.concat(F.lit("GUEST"), (k % 500).cast("string"), F.lit("@example.org")))
                .otherwise(F.concat(F.lit("guest"), (k % 500).cast("string"), F.lit("@example.org")))).alias("email"),
         F.when(guest, F.lit("0170000000")).alias("phone"),
         site.cast("bigint").alias("site_id"),
@@ -111,3 +112,35 @@ def method_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.concat(F.lit("wallet_"), seg).alias("code"),
                     F.concat(F.lit("Wallet "), F.col("c_mktsegment")).alias("label")).unionByName(
         c.select(F.concat(F.lit("Bad Code "), seg).alias("code"), F.lit("x").alias("label")))
+
+
+def retried_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 requests: M1's, every fourth sent again ten minutes later and every eighth once more after that."""
+    q = booking_requests(spark, sf_dir)
+    again = q.where(F.col("request_id") % 4 == 0).withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTES"))
+    third = q.where(F.col("request_id") % 8 == 0).withColumn("ts", F.col("ts") + F.expr("INTERVAL 20 MINUTES"))
+    return q.unionByName(again).unionByName(third)
+
+
+def site_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 changes of the sites table: new prices, names and deletions, several for some sites, and new sites.
+
+    residues of the part key: %5 = 0 an earlier price that a later change overrides, %3 = 0 a price of 1.25
+    times the old one without a description (the old one stays), %12 = 0 deleted after that, %10 = 1 a new site.
+    """
+    p = _read(spark, sf_dir, "part")
+    n = p.select(F.max("p_partkey")).scalar()
+    k, price = F.col("p_partkey"), F.col("p_retailprice").cast("decimal(10,2)")
+
+    def change(cond, op, day, key, name, amount, text):
+        return p.where(cond).select(
+            key.cast("bigint").alias("site_id"), F.lit(op).alias("op"), F.lit(f"2002-01-{day:02d}").cast("date").alias("ts"),
+            name.alias("name"), F.col("p_brand").alias("location"), F.col("p_type").alias("type"),
+            amount.cast("decimal(10,2)").alias("ticket_price"), F.lit("Tentative").alias("unesco_status"),
+            text.cast("string").alias("description"), F.lit("2002-01-01").cast("date").alias("created_at"),
+            F.lit(None).cast("string").alias("opening_hours"))
+    none = F.lit(None)
+    return (change(k % 5 == 0, "upsert", 1, k, F.col("p_name"), F.lit(1), F.lit("overridden"))
+            .unionByName(change((k % 5 == 0) | (k % 3 == 0), "upsert", 2, k, F.upper("p_name"), price * F.lit(1.25).cast("decimal(3,2)"), none))
+            .unionByName(change(k % 12 == 0, "delete", 3, k, none.cast("string"), none, none))
+            .unionByName(change(k % 10 == 1, "upsert", 4, k + n + 1, F.concat(F.lit("new "), F.col("p_name")), price, F.lit("new"))))

@@ -32,23 +32,24 @@ ROLE_SCHEMAS: dict[str, T.StructType] = {
         T.StructField("site_id", T.LongType()), T.StructField("name", T.StringType()),
         T.StructField("location", T.StringType()), T.StructField("type", T.StringType()),
         T.StructField("ticket_price", DEC), T.StructField("unesco_status", T.StringType()),
-        T.StructField("description", T.StringType()), T.StructField("created_at", T.DateType())]),
+        T.StructField("description", T.StringType()), T.StructField("created_at", T.DateType()),
+        T.StructField("opening_hours", T.StringType())]),
     "evts": T.StructType([
         T.StructField("event_id", T.LongType()), T.StructField("site_id", T.LongType()),
         T.StructField("name", T.StringType()), T.StructField("event_date", T.DateType()),
         T.StructField("ticket_price", DEC), T.StructField("capacity", T.LongType()),
-        T.StructField("description", T.StringType())]),
+        T.StructField("description", T.StringType()), T.StructField("event_time", T.StringType())]),
     "visitors": T.StructType([
         T.StructField("visitor_id", T.LongType()), T.StructField("full_name", T.StringType()),
         T.StructField("nationality", T.StringType()), T.StructField("email", T.StringType()),
-        T.StructField("created_at", T.DateType())]),
+        T.StructField("created_at", T.DateType()), T.StructField("phone", T.StringType())]),
     "bookings": T.StructType([
         T.StructField("booking_id", T.LongType()), T.StructField("visitor_id", T.LongType()),
         T.StructField("site_id", T.LongType()), T.StructField("event_id", T.LongType()),
         T.StructField("booking_date", T.TimestampNTZType()), T.StructField("no_of_tickets", T.LongType()),
         T.StructField("booked_ticket_price", DEC), T.StructField("payment_status", T.StringType())]),
     "payments": T.StructType([
-        T.StructField("booking_id", T.LongType()), T.StructField("attempt_no", T.LongType()),
+        T.StructField("payment_id", T.LongType()), T.StructField("booking_id", T.LongType()), T.StructField("attempt_no", T.LongType()),
         T.StructField("acquirer_id", T.LongType()), T.StructField("amount", DEC),
         T.StructField("method", T.StringType()), T.StructField("status", T.StringType()),
         T.StructField("paid_at", T.TimestampNTZType())]),
@@ -96,6 +97,18 @@ class Roles:
     def with_tables(self, **tables: DataFrame) -> "Roles":
         return replace(self, **tables)
 
+    def collated(self, collation: str = "UNICODE_CI_AI") -> "Roles":
+        """The roles with every text column under a collation, by default without case and accents.
+
+        Comparison, search, joins, DISTINCT, set operations, grouping and order on a text
+        then follow the collation, in every query and without a change to it; Spark shuffles
+        and groups such columns by their collation keys.
+        """
+        def cast(df: DataFrame) -> DataFrame:
+            return df.select(*[F.collate(f"`{f.name}`", collation).alias(f.name) if isinstance(f.dataType, T.StringType)
+                               else F.col(f"`{f.name}`") for f in df.schema])
+        return self.with_tables(**{n: cast(df) for n, df in self.as_dict().items()})
+
     def register_views(self) -> None:
         """Expose the roles as temp views for SQL users (``spark.sql``)."""
         for name, df in self.as_dict().items():
@@ -149,6 +162,7 @@ def load_roles(spark: SparkSession, sf_dir: str) -> Roles:
          .when(F.col("p_size") % 10 < 4, "Tentative").otherwise("None").alias("unesco_status"),
         F.concat("p_name", F.lit(" "), "p_type").alias("description"),
         _day("1995-01-01", F.col("p_partkey")).alias("created_at"),
+        F.when(F.col("p_size") % 3 == 0, "09:00-17:00").when(F.col("p_size") % 3 == 1, "10:00-18:00").alias("opening_hours"),
     )
 
     evts = events.select(
@@ -159,6 +173,7 @@ def load_roles(spark: SparkSession, sf_dir: str) -> Roles:
         F.col("value").cast(DEC).alias("ticket_price"),
         F.col("user_id").alias("capacity"),
         F.col("event_type").alias("description"),
+        F.date_format("ts", "HH:mm:ss").alias("event_time"),
     )
 
     # nation (25 rows) and region (5 rows) are fixed-size dimensions: broadcast.
@@ -168,6 +183,7 @@ def load_roles(spark: SparkSession, sf_dir: str) -> Roles:
         F.col("n_name").alias("nationality"),
         F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"),
         _day("1995-01-01", F.col("c_custkey")).alias("created_at"),
+        F.concat(F.lit("017"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("phone"),
     )
 
     ok = F.col("o_orderkey")
@@ -185,6 +201,9 @@ def load_roles(spark: SparkSession, sf_dir: str) -> Roles:
 
     ln = F.col("l_linenumber")
     payments = lineitem.select(
+        # An order's lines are told apart by number, supplier and price; no other column is a key.
+        (F.col("l_orderkey") * (1 << 32) + F.conv(F.substring(F.md5(F.concat_ws("/", ln, "l_suppkey", F.col(
+            "l_extendedprice").cast(DEC)).cast("binary")), 1, 8), 16, 10).cast("bigint")).alias("payment_id"),
         F.col("l_orderkey").alias("booking_id"),
         ln.alias("attempt_no"),
         F.col("l_suppkey").alias("acquirer_id"),

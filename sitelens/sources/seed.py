@@ -19,7 +19,7 @@ ALIASES = {
     "visitors": {"name": "full_name"},
     "guides": {"name": "full_name"},
     "bookings": {"total_price": "booked_ticket_price"},
-    "payments": {"payment_date": "paid_at", "payment_id": "attempt_no"},
+    "payments": {"payment_date": "paid_at"},
     "assignments": {"assignment_id": "assign_id"},
 }
 

@@ -1,7 +1,6 @@
 """Structured Streaming jobs."""
 
-from sitelens.streaming.intake import (booking_batch_writer, daily_totals, dedupe_requests, payment_batch_writer,
-                                       start_daily_stream, start_intake_stream)
+from sitelens.streaming.intake import (daily_totals, dedupe_requests, start_booking_stream, start_daily_stream,
+                                       start_payment_stream)
 
-__all__ = ["booking_batch_writer", "daily_totals", "dedupe_requests", "payment_batch_writer",
-           "start_daily_stream", "start_intake_stream"]
+__all__ = ["daily_totals", "dedupe_requests", "start_booking_stream", "start_daily_stream", "start_payment_stream"]

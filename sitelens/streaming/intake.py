@@ -1,10 +1,11 @@
 """Structured Streaming forms of the write paths.
 
-* T1 / T2 — booking requests and payment attempts arrive as Parquet files;
-  ``foreachBatch`` runs the same pure job core as the batch runner
-  (``sitelens.jobs.intake``) and writes each output under
-  ``<sink>/<table>/batch_id=<n>`` with overwrite, so a replayed micro-batch
-  (after a failure) replaces its own output instead of appending twice.
+* T1 / T2 — booking requests and payment attempts arrive as Parquet files.  What a
+  request has to know of earlier ones (the visitor of a guest's e-mail, whether a
+  booking is paid) is keyed state (``sitelens.streaming.state``), filled once from the
+  stored tables; no micro-batch reads what earlier ones wrote.  ``foreachBatch`` then
+  writes each output under ``<sink>/<table>/batch_id=<n>`` with overwrite, so a replayed
+  micro-batch (after a failure) replaces its own output instead of appending twice.
 * T3 — bookings and revenue per tumbling day window, with a watermark; late
   rows past the watermark are dropped, closed windows are appended.  Spark
   judges lateness against the previous micro-batch's watermark (eviction
@@ -28,7 +29,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sitelens.jobs import intake
-from sitelens.sources.roles import Roles
+from sitelens.sources.roles import ROLE_SCHEMAS, Roles
+from sitelens.streaming.state import booking_states, known_guests, settle, use_keyed_state, with_visitors
 
 BOOKING_REQUEST_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType()), T.StructField("ts", T.TimestampType()),
@@ -67,19 +69,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def accepted_so_far(spark: SparkSession, sink: str, name: str, like: DataFrame, before_batch: int) -> DataFrame:
-    """Rows written by micro-batches before ``before_batch`` (empty when none).
-
-    The partition filter prunes the current batch's folder, so a replayed
-    batch never reads the output it is about to replace.
-    """
-    path = f"{sink.rstrip('/')}/{name}"
-    if not path_exists(spark, path):           # nothing written yet; any other failure must surface
-        return spark.createDataFrame([], like.schema)
-    df = spark.read.parquet(path)
-    return df.where(F.col("batch_id") < before_batch).select(*like.columns)
-
-
 def _previous_mark(spark: SparkSession, sink: str, batch_id: int) -> DataFrame | None:
     """The one-row key high-water mark written by the previous micro-batch, if any."""
     if batch_id == 0:
@@ -88,63 +77,110 @@ def _previous_mark(spark: SparkSession, sink: str, batch_id: int) -> DataFrame |
     return spark.read.parquet(path) if path_exists(spark, path) else None
 
 
+def _naive(df: DataFrame, *cols: str) -> DataFrame:
+    """Stored tables hold times without a zone; streams with watermarks need one."""
+    for c in cols:
+        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return df
+
+
 def booking_batch_writer(roles: Roles, sink: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body of T1.
+    """foreachBatch body of T1 over checked requests that carry their visitor.
 
-    New booking keys continue from a one-row high-water mark written by the
-    previous batch (the base table's maximum is read only by the first
-    batch), so a micro-batch never rescans the booking history; visitors
-    created by earlier batches are matched by email like stored ones.
+    New booking keys continue from a one-row high-water mark written by the previous
+    batch (the base table's maximum is read only by the first batch).
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         mark = _previous_mark(spark, sink, batch_id)
         key_base = roles.bookings.select("booking_id") if mark is None else \
             mark.select(F.col("max_booking_id").alias("booking_id"))
-        v_prev = accepted_so_far(spark, sink, "visitors", roles.visitors, batch_id)
-        current = roles.with_tables(bookings=key_base, visitors=roles.visitors.unionByName(v_prev))
-        req = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-        res = intake.booking_intake(current, req)
-        new_mark = (res.accepted.select("booking_id").unionByName(key_base)
-                    .agg(F.max("booking_id").alias("max_booking_id")))
-        _write_batch({"bookings": res.accepted, "payments": res.extra["payments"],
-                      "visitors": res.extra["visitors"], "rejects": res.rejects, "marks": new_mark},
-                     sink, batch_id)
+        batch = _naive(batch, "ts").persist()
+        try:
+            ok = intake.assign_ids(batch.where(F.col("reject_reason").isNull()), "request_id", key_base, "booking_id",
+                                   "booking_id")
+            bookings, payments = intake.booking_rows(roles, ok)
+            visitors = batch.where("new_visitor").select(
+                "visitor_id", F.col("name").alias("full_name"), F.lit(None).cast("string").alias("nationality"),
+                "email", F.col("ts").cast("date").alias("created_at"), "phone")
+            rejects = batch.where(F.col("reject_reason").isNotNull()).select("request_id", "ts", "reject_reason")
+            new_mark = (bookings.select("booking_id").unionByName(key_base)
+                        .agg(F.max("booking_id").alias("max_booking_id")))
+            _write_batch({"bookings": bookings, "payments": payments, "visitors": visitors, "rejects": rejects,
+                          "marks": new_mark}, sink, batch_id)
+        finally:
+            batch.unpersist()
     return run
 
 
-def payment_batch_writer(roles: Roles, sink: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body of T2: bookings settled by earlier batches count as paid."""
+def payment_batch_writer(sink: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch body of T2 over the outcomes of the attempts."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        settled = accepted_so_far(spark, sink, "settled", spark.createDataFrame([], "booking_id bigint"), batch_id)
-        paid = settled.select(F.col("booking_id").alias("__sb"), F.lit(True).alias("__s")).distinct()
-        bookings = (roles.bookings.join(paid, F.col("booking_id") == F.col("__sb"), "left")
-                    .withColumn("payment_status", F.when(F.col("__s"), F.lit("paid"))
-                                .otherwise(F.col("payment_status"))).drop("__sb", "__s"))
-        req = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-        res = intake.payment_settlement(roles.with_tables(bookings=bookings), req)
-        _write_batch({"settled": res.accepted.select("booking_id", "ts", "method"),
-                      "payment_changes": res.extra["payment_changes"], "rejects": res.rejects}, sink, batch_id)
+        batch = _naive(batch, "ts").persist()
+        try:
+            won = batch.where(F.col("reject_reason").isNull())
+            changes = won.select("payment_id", "booking_id", "change", "attempt_no", "acquirer_id", F.col("price").alias("amount"),
+                                 "method", "status", F.col("ts").alias("paid_at"))
+            _write_batch({"settled": won.select("booking_id", "ts", "method"), "payment_changes": changes,
+                          "rejects": batch.where(F.col("reject_reason").isNotNull())
+                          .select("request_id", "ts", "reject_reason")}, sink, batch_id)
+        finally:
+            batch.unpersist()
     return run
 
 
-def start_intake_stream(spark: SparkSession, source: str, schema: T.StructType,
-                        writer: Callable[[DataFrame, int], None], checkpoint: str,
-                        dedupe_delay: str | None = "1 hour", available_now: bool = True,
-                        max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """T1/T2 runner: file source → (T4 dedupe) → foreachBatch job core."""
+def _source(spark: SparkSession, source: str, schema: T.StructType, max_files_per_trigger: int | None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source)
-    if dedupe_delay:
-        stream = dedupe_requests(stream, delay=dedupe_delay)
+    return reader.parquet(source)
+
+
+def _start(stream: DataFrame, writer: Callable[[DataFrame, int], None], checkpoint: str,
+           available_now: bool) -> StreamingQuery:
     w = stream.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
+def booking_stream(roles: Roles, requests: DataFrame, dedupe_delay: str | None = "1 hour") -> DataFrame:
+    """T1 up to the sink: (T4 dedupe) → checks and prices → a guest's visitor from keyed state."""
+    if dedupe_delay:
+        requests = dedupe_requests(requests, delay=dedupe_delay)
+    checked = intake.checked_requests(roles, requests)
+    guest = F.col("reject_reason").isNull() & F.col("visitor_id").isNull()
+    first_key = roles.visitors.agg(F.coalesce(F.max("visitor_id"), F.lit(0))).first()[0] + 1
+    guests = with_visitors(checked.where(guest), known_guests(roles), first_key)
+    return guests.unionByName(checked.where(~guest).withColumn("new_visitor", F.lit(False)))
+
+
+def start_booking_stream(spark: SparkSession, roles: Roles, source: str, sink: str, checkpoint: str,
+                         dedupe_delay: str | None = "1 hour", available_now: bool = True,
+                         max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Booking requests → bookings, payments, new visitors, rejects per micro-batch."""
+    use_keyed_state(spark)
+    requests = _source(spark, source, BOOKING_REQUEST_SCHEMA, max_files_per_trigger)
+    return _start(booking_stream(roles, requests, dedupe_delay), booking_batch_writer(roles, sink), checkpoint, available_now)
+
+
+def start_payment_stream(spark: SparkSession, roles: Roles, source: str, sink: str, checkpoint: str,
+                         new_bookings: str | None = None, dedupe_delay: str | None = "1 hour",
+                         available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Payment attempts → settled bookings, payment changes, rejects per micro-batch.
+
+    ``new_bookings`` is a folder of bookings made after the start (T1's sink); an attempt
+    for one settles from the micro-batch on that delivers the booking.
+    """
+    use_keyed_state(spark)
+    attempts = _source(spark, source, PAYMENT_ATTEMPT_SCHEMA, max_files_per_trigger)
+    if dedupe_delay:
+        attempts = dedupe_requests(attempts, delay=dedupe_delay)
+    more = spark.readStream.schema(ROLE_SCHEMAS["bookings"]).parquet(new_bookings) if new_bookings else None
+    first_key = roles.payments.agg(F.coalesce(F.max("payment_id"), F.lit(0))).first()[0] + 1
+    outcomes = settle(attempts, booking_states(roles), first_key, more)
+    return _start(outcomes, payment_batch_writer(sink), checkpoint, available_now)
+
+
 # ---------------------------------------------------------------- T3 daily windows
 
 def daily_totals(df: DataFrame, ts: str = "booking_date", amount: str = "booked_ticket_price") -> DataFrame:

@@ -85,13 +85,13 @@ def seed_tables():
         (1007, 101, 5, None, T0 + dt.timedelta(days=6), 1, D("80.00"), "paid"),
     ]
     payments = [
-        (1000, 1, 7, D("100.00"), "bkash", "successful", T0),
-        (1001, 1, 7, D("50.00"), "card", "failed", T0),
-        (1002, 1, 8, D("150.00"), "nagad", "successful", T0),
-        (1002, 2, 8, D("150.00"), "nagad", "successful", T0 + dt.timedelta(hours=1)),
-        (1003, 1, 9, D("60.00"), "card", "initiated", T0),
-        (9999, 1, 9, D("5.00"), "cash", "successful", T0),
-        (1007, 1, 7, D("70.00"), "rocket", "successful", T0),
+        (1, 1000, 1, 7, D("100.00"), "bkash", "successful", T0),
+        (2, 1001, 1, 7, D("50.00"), "card", "failed", T0),
+        (3, 1002, 1, 8, D("150.00"), "nagad", "successful", T0),
+        (4, 1002, 2, 8, D("150.00"), "nagad", "successful", T0 + dt.timedelta(hours=1)),
+        (5, 1003, 1, 9, D("60.00"), "card", "initiated", T0),
+        (6, 9999, 1, 9, D("5.00"), "cash", "successful", T0),
+        (7, 1007, 1, 7, D("70.00"), "rocket", "successful", T0),
     ]
     guides = [
         (1, "Amir", "Bangla", "History", D("40000.00")),
@@ -118,5 +118,7 @@ def seed_tables():
 @pytest.fixture(scope="session")
 def seed(spark) -> Roles:
     data = seed_tables()
-    frames = {n: spark.createDataFrame(rows, ROLE_SCHEMAS[n]) for n, rows in data.items()}
+    # columns beyond the hand-written ones (opening hours, event time, phone) are NULL
+    frames = {n: spark.createDataFrame([(*t, *[None] * (len(ROLE_SCHEMAS[n]) - len(t))) for t in rows], ROLE_SCHEMAS[n])
+              for n, rows in data.items()}
     return Roles(**frames, as_of_sales=dt.date(2001, 8, 1), as_of_events=dt.date(2001, 8, 1))

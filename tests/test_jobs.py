@@ -72,7 +72,8 @@ def test_payment_settlement(spark, seed):
 
 
 def test_settlement_updates_one_of_equal_payments(spark, seed):
-    twice = seed.with_tables(payments=seed.payments.unionByName(seed.payments))
+    copies = seed.payments.withColumn("payment_id", F.col("payment_id") + 1000)      # equal but for their key
+    twice = seed.with_tables(payments=seed.payments.unionByName(copies))
     att = spark.createDataFrame([(1, TS, 1001, "Card")],
                                 "request_id long, ts timestamp_ntz, booking_id long, method string")
     before = [r["status"] for r in twice.payments.where("booking_id = 1001").collect()]

@@ -153,7 +153,8 @@ def test_index_search_equals_row_predicate(roles):
 
 def test_ci_grouping_merges_case_and_accents(spark, seed):
     sites = seed.sites.unionByName(spark.createDataFrame(
-        [(7, "x", "RIVERTOWN", "Fort", None, "None", "d", None), (8, "y", "rivertówn", "Fort", None, "None", "d", None)],
+        [(7, "x", "RIVERTOWN", "Fort", None, "None", "d", None, None),
+         (8, "y", "rivertówn", "Fort", None, "None", "d", None, None)],
         seed.sites.schema))
     r = seed.with_tables(sites=sites)
     plain = {row["location"]: row["cnt"] for row in REGISTRY["c_x02_count_sites_by_location"].fn(r).collect()}
@@ -168,14 +169,14 @@ def test_normalise_seed_repairs_names_and_types(spark):
                                 "visitor_id string, name string, email string, created_at string, extra string")
     out = normalise_seed(raw, "visitors")
     row = out.collect()[0]
-    assert out.columns == ["visitor_id", "full_name", "nationality", "email", "created_at"]
+    assert out.columns == ["visitor_id", "full_name", "nationality", "email", "created_at", "phone"]
     assert (row["visitor_id"], row["full_name"], row["created_at"]) == (1, "Ann", None)
 
 
 def test_normalise_seed_keeps_wide_payment_ids(spark):
     from sitelens.sources.seed import normalise_seed
     raw = spark.createDataFrame([("3000000000", "7")], "payment_id string, booking_id string")
-    assert normalise_seed(raw, "payments").first()["attempt_no"] == 3_000_000_000
+    assert normalise_seed(raw, "payments").first()["payment_id"] == 3_000_000_000
 
 
 def test_constraint_report_on_seed(seed):

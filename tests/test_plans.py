@@ -116,3 +116,23 @@ def test_left_expand_has_no_outer_join(spark, roles):
 def test_status_filter_reaches_the_lineitem_scan(roles):
     p = plan(REGISTRY["c_p04_monthly_revenue"].fn(roles))
     assert "PushedFilters: [EqualNullSafe(l_returnflag,A)]" in p
+
+
+@pytest.mark.parametrize("name, fact", [
+    ("c_p03_payments_last_10", "bookings"), ("c_v07_recent_reviews", "reviews"), ("c_a14_inner_join_assignments", "assignments"),
+    ("l5_assignment_list", "assignments"), ("l6_payment_list_page", "bookings"), ("l8_visitor_bookings", "bookings"),
+    ("d27_booking_detail_latest_payment", "bookings"), ("d29a_visitor_bookings", "bookings")])
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_polymorphic_target_reads_the_fact_table_once(spark, roles, scratch, name, fact, broadcast):
+    once = 2 if name.startswith("c_p03") else 1      # C-P03 also asks which payments have a booking at all
+    for role, df in roles.as_dict().items():
+        df.write.mode("overwrite").parquet(f"{scratch}/{role}")
+    names = [n for n in REGISTRY if n == name or n.startswith(name)]
+    assert names
+    if not broadcast:
+        _no_broadcast(spark)
+    try:
+        p = plan(REGISTRY[names[0]].fn(read_roles(spark, scratch)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(rf"Location: InMemoryFileIndex\([^)]*\)\[[^]]*/{fact}\]", p)) == once

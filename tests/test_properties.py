@@ -107,15 +107,18 @@ def test_left_expand_equals_left_join(spark, lk, rk):
 @given(rows=st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 4)), st.one_of(st.none(), st.integers(0, 4))),
                      max_size=12), salt=st.booleans())
 def test_resolve_target_equals_coalesce_of_two_lookups(spark, rows, salt):
-    from sitelens.operators.joins import _resolve_two_step, resolve_target
+    from sitelens.operators.joins import resolve_target
     facts = spark.createDataFrame([(i, s, e) for i, (s, e) in enumerate(rows)], "fid long, site_id long, event_id long")
     sites = spark.createDataFrame([(k, f"s{k}") for k in (0, 1, 3)], "site_id long, name string")
     evts = spark.createDataFrame([(k, f"e{k}") for k in (1, 2, 4)], "event_id long, name string")
     sb = "fid" if salt else None
     got = sorted(map(_k, (tuple(r) for r in resolve_target(facts, sites, evts, salt_by=sb)
                           .select("fid", "target_name", "target_kind").collect())))
-    ref = _resolve_two_step(facts, sites, evts, "site_id", "event_id", "target_name", "target_kind", None)
-    assert got == sorted(map(_k, (tuple(r) for r in ref.select("fid", "target_name", "target_kind").collect())))
+    def name(s, e):
+        if s in (0, 1, 3):
+            return f"s{s}", "site"
+        return (f"e{e}", "event") if e in (1, 2, 4) else (None, None)
+    assert got == sorted(map(_k, ((i, *name(s, e)) for i, (s, e) in enumerate(rows))))
 
 
 @SETTINGS

@@ -38,3 +38,9 @@ def test_role_sizes(r01):
     want = {"sites": 2000, "evts": 10000, "visitors": 1500, "bookings": 15000, "payments": 60000, "guides": 100,
             "assignments": 2000, "reviews": 3988}
     assert {n: df.count() for n, df in r01.as_dict().items()} == want
+
+
+def test_payments_have_a_key(roles):
+    n = roles.payments.count()
+    assert roles.payments.select("payment_id").distinct().count() == n
+    assert roles.payments.where("payment_id IS NULL").count() == 0
