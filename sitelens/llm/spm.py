@@ -19,6 +19,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 
@@ -108,31 +109,47 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """Rows (word, edges): all pieces of each distinct word as (cost, s, e, id)."""
+def lattice(words: DataFrame, model: Model, window: int | None = None) -> DataFrame:
+    """Rows (word, edges): all pieces of each distinct word as (cost, s, e, id).
+
+    ``window``: long words are first cut into overlapping windows of so many starts, as
+    a substring takes time by its distance from the start of its string.
+    """
     pieces = F.broadcast(model.table(words.sparkSession))
-    w = words.select("word", F.decode("word", "UTF-8").alias("w"))
-    starts = w.select("*", F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("s"))
-    subs = starts.select("word", "s", F.explode(F.transform(
+    w = words.select("word", F.decode("word", "UTF-8").alias("w"), F.lit(0).alias("a"))
+    n = F.length("w")
+    if window:
+        w = w.select("word", "w", F.explode(F.sequence(F.lit(0), n - 1, F.lit(window))).alias("a"))
+        w = w.select("word", F.substring("w", F.col("a") + 1, F.lit(window + model.longest - 1)).alias("w"), "a")
+        n = F.least(n, F.lit(window))
+    starts = w.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    subs = starts.select("word", "a", "s", F.explode(F.transform(
         F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("w") - F.col("s"))),
         lambda n: F.substring("w", F.col("s") + 1, n))).alias("piece"))
     edges = subs.join(pieces, "piece").select(
-        "word", F.struct("cost", "s", (F.col("s") + F.length("piece")).alias("e"), "id").alias("edge"))
+        "word", "cost", (F.col("a") + F.col("s")).alias("s"), F.length("piece").alias("size"), "id")
+    edges = edges.select("word", F.struct("cost", "s", (F.col("s") + F.col("size")).alias("e"), "id").alias("edge"))
     return edges.groupBy("word").agg(F.collect_list("edge").alias("edges"))
 
 
-MASK_CHARS = 62
+def _with_edges(words: DataFrame, model: Model, window: int | None = None) -> DataFrame:
+    return words.join(lattice(words, model, window), "word", "left").select(
+        "word", F.decode("word", "UTF-8").alias("w"), F.coalesce("edges", F.array().cast(
+            "array<struct<cost:double,s:int,e:int,id:int>>")).alias("edges"))
+
+
+MASK_CHARS = 62                            # bytes of a word whose bounds fit a long for sure; longer words take a heap
+WINDOW = 1024                              # starts of a long word's substrings that are taken from one string
 
 
 def with_bpe_bounds(rows: DataFrame) -> DataFrame:
     """Add ``bounds``, the token bounds of ``w``: merge the best edge over two neighbouring parts until none is left.
 
-    The path is the set of its bounds: one bit each in a long for words of up to 62
-    characters, an array for longer ones.
+    The path is the set of its bounds, one bit each in a long; words are no longer than MASK_CHARS.
     """
     # Values used inside lambdas are bound by _let: an inlined column would be computed for every element.
-    n, short = F.length("w"), F.length("w") <= MASK_CHARS
-    joined = F.transform(F.filter("edges", lambda x: short & (x["e"] - x["s"] > 1)), lambda x: F.struct(
+    n = F.length("w")
+    joined = F.transform(F.filter("edges", lambda x: x["e"] - x["s"] > 1), lambda x: F.struct(
         x["cost"].alias("cost"), x["s"].alias("s"),
         _bit(x["s"]).bitwiseOR(_bit(x["e"])).alias("ends"), (_bit(x["e"]) - _bit(x["s"] + 1)).alias("inner")))
 
@@ -151,34 +168,61 @@ def with_bpe_bounds(rows: DataFrame) -> DataFrame:
         return _let(F.aggregate(steps, whole, step), lambda mask: F.filter(
             F.sequence(F.lit(0), n), lambda i: mask.bitwiseAND(_bit(i)) != 0))
 
-    return rows.withColumn("bounds", F.when(short, _let(joined, folded)).otherwise(_fold_array(n, F.col("edges"))))
+    return rows.withColumn("bounds", _let(joined, folded))
 
 
 def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def _fold_array(n: Column, edges: Column) -> Column:
-    joined = F.transform(F.filter(edges, lambda x: x["e"] - x["s"] > 1), lambda x: F.struct(
-        x["cost"].alias("cost"), x["s"].alias("s"), x["e"].alias("e"), (x["e"] - x["s"] - 1).alias("inner")))
-    inside = lambda b, x: (b > x["s"]) & (b < x["e"])
-    start = F.struct(F.sequence(F.lit(0), n).alias("bounds"), joined.alias("live"))
-
-    def merge(state, best):
-        gone = F.get(F.filter(state["bounds"], lambda b: inside(b, best)), F.lit(0))
-        return _let(gone, lambda g: F.struct(
-            F.array_remove(state["bounds"], g).alias("bounds"),
-            F.transform(F.filter(state["live"], lambda x: (x["s"] != g) & (x["e"] != g)
-                                 & ~((x["s"] == best["s"]) & (x["e"] == best["e"]))),
-                        lambda x: F.struct(x["cost"].alias("cost"), x["s"].alias("s"), x["e"].alias("e"),
-                                           (x["inner"] - inside(g, x).cast("int")).alias("inner"))).alias("live")))
+def merged(n: int, costs: dict[tuple[int, int], float]) -> list[int]:
+    """The token bounds of a word of ``n`` characters whose pieces (start, end) have ``costs``.
 
-    def step(state, _):
-        ready = F.filter(state["live"], lambda x: x["inner"] == 1)
-        return F.when(F.size(state["live"]) == 0, state).otherwise(_let(
-            F.array_min(ready), lambda best: F.when(best.isNull(), state).otherwise(merge(state, best))))
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda s: s["bounds"])
+    The best piece over two neighbouring parts (leftmost on ties) is merged until none
+    is left; a heap holds the candidates, so a word takes O(n log n) steps.
+    """
+    after, before = list(range(1, n + 2)), list(range(-1, n))      # a part is (i, after[i]); 0: merged away
+    heap = [(c, s, e, s + 1) for (s, e), c in costs.items() if e == s + 2]
+    heapq.heapify(heap)
+    while heap:
+        _, s, e, middle = heapq.heappop(heap)
+        if after[s] != middle or after[middle] != e:
+            continue
+        after[s], after[middle] = e, 0
+        if e < n:
+            before[e] = s
+        for a, b, m in ((before[s], e, s), (s, after[e] if e < n else 0, e)):
+            if a >= 0 and b and (a, b) in costs:
+                heapq.heappush(heap, (costs[a, b], a, b, m))
+    bounds = [0]
+    while bounds[-1] < n:
+        bounds.append(after[bounds[-1]])
+    return bounds
+
+
+def long_word_ids(words: DataFrame, model: Model) -> DataFrame:
+    """Rows (word, ids) for words of any length: the lattice's edges, merged with a heap in place of bit masks."""
+    known, unknown = model.bytes, model.unknown
+
+    def task(batches):
+        for batch in batches:
+            out = []
+            for w, edges in zip(batch.column("w"), batch.column("edges")):
+                w, edges = w.as_py(), edges.values
+                s, e, cost, i = (edges.field(x).to_pylist() for x in ("s", "e", "cost", "id"))
+                places = list(zip(s, e))
+                own = dict(zip(places, i))
+                bounds = merged(len(w), {x: c for x, c in zip(places, cost) if x[1] - x[0] > 1})
+                ids = []
+                for x in zip(bounds, bounds[1:]):
+                    if x in own:
+                        ids.append(own[x])
+                    else:
+                        ids += [known.get(b, unknown) for b in w[x[0]:x[1]].encode()] if known else [unknown]
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(out, pa.list_(pa.int32()))], ["word", "ids"])
+
+    return _with_edges(words, model, WINDOW).mapInArrow(task, "word binary, ids array<int>")
 
 
 def fold_viterbi(n: Column, edges: Column, worst: float) -> Column:
@@ -199,9 +243,14 @@ def fold_viterbi(n: Column, edges: Column, worst: float) -> Column:
 
 def word_ids(words: DataFrame, model: Model) -> DataFrame:
     """Rows (word, ids) for distinct words (UTF-8 bytes)."""
-    rows = words.join(lattice(words, model), "word", "left").select(
-        "word", F.decode("word", "UTF-8").alias("w"), F.coalesce("edges", F.array().cast(
-            "array<struct<cost:double,s:int,e:int,id:int>>")).alias("edges"))
+    if model.kind == BPE:
+        short = F.octet_length("word") <= MASK_CHARS
+        return _short_word_ids(words.filter(short), model).unionByName(long_word_ids(words.filter(~short), model))
+    return _short_word_ids(words, model)
+
+
+def _short_word_ids(words: DataFrame, model: Model) -> DataFrame:
+    rows = _with_edges(words, model)
     rows = with_bpe_bounds(rows) if model.kind == BPE else rows.withColumn(
         "bounds", fold_viterbi(F.length("w"), F.col("edges"), model.worst))
     byte_ids = F.array(*[F.lit(model.bytes.get(b, model.unknown)) for b in range(256)])
@@ -225,8 +274,8 @@ def encode(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
     A null or empty text has no ids.  Repeated rows are encoded each; an empty table
     gives no rows.  text_crc32 is that of the text as it decodes (U+2581 as a space).
-    Words are folded once however often they occur; the fold's time grows with the
-    square of a word's length.
+    Words are folded once however often they occur.  Words of more than MASK_CHARS
+    characters (runs of one sign, encoded data) are merged by a heap, in O(n log n) steps.
     """
     cut = cutter(model.pairs)
     blocked = in_blocks(docs, key, text)
