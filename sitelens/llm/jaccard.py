@@ -4,8 +4,9 @@ A document's set holds its distinct word shingles (64-bit hashes).  Documents wi
 equal sets share one representative before anything else happens.  Shingle size and
 least similarity are parameters; the defaults are those of the op6 query.
 
-Index: sets are ordered rare shingles first (the most frequent ones are found by
-an exact heavy-hitter count over all sets; any order gives right results).  Only
+Index: sets are ordered rare shingles first.  Frequencies come from a table of counters
+that every shingle of every distinct set of a task adds to; the table grows with the
+corpus (shingles that share a counter only blur the order, and any order gives right results).  Only
 prefixes are indexed, as lists (shingle; set, size, position).  They are longer than
 one common shingle would ask for: two linked sets, the smaller of n shingles, meet in
 at least ``meetings(n)`` lists, and pairs that meet in fewer are never fetched.
@@ -22,12 +23,13 @@ of the Jaccard distance, only if it is within
 different components can be missed, so components are exact.
 
 Checks fetch sets by recomputing them from the documents in question, selected by a
-bit map of fixed size; sets of other documents never leave their task.
+bit map that grows with the number of sets; sets of other documents hardly ever leave their task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +42,11 @@ from sitelens.llm.graph import components
 
 SHINGLE = 4
 PERCENT = 85
-COMMON = 65_536                            # shingles that go last in the order
+CHARS_PER_COUNTER = 64                     # of text; the counters of shingle frequencies grow with the corpus
+LEAST_COUNTERS, MOST_COUNTERS = 20, 26     # as powers of two: 1 to 64 MB to broadcast
+CELL = 1 << 16                             # counters of one row while they are summed
 CHUNK = 4_000_000                          # shingles counted at once in a task
-LOCAL_MIN = 3                              # a chunk reports shingles met in so many of its sets
-MAP_BITS = 22
+LEAST_MAP, MOST_MAP = 22, 28               # bits of the map of wanted sets, as powers of two: at most 32 MB
 NULL_KEY = -(2 ** 63)                      # stands for a null key; counts as the smallest
 _CACHE: dict[bytes, int] = {}
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -97,16 +100,14 @@ def _met_enough(n: Column, percent: int) -> Column:
     return F.col("met") >= 1 + F.floor((100 - percent) * n / 500)
 
 
-def _survey(rows: DataFrame, span: int) -> DataFrame:
-    """Rows (kind 0: key, set id, size) per document and (kind 1: shingle, count) of frequent shingles."""
+def _survey(rows: DataFrame, span: int, counters: int) -> DataFrame:
+    """Rows (kind 0: key, set id, size) per document and (kind 1: cell, compressed counters) per task."""
     def task(batches):
-        held, size, seen = [], 0, set()
+        table, held, size, seen = np.zeros(counters, np.uint32), [], 0, set()
 
-        def frequent():
-            v, c = np.unique(np.concatenate(held), return_counts=True)
-            v, c = v[c >= LOCAL_MIN], c[c >= LOCAL_MIN]
-            return pa.RecordBatch.from_pydict({"kind": np.ones(len(v), np.int32), "x": v, "y": c.astype(np.int64),
-                                               "n": np.zeros(len(v), np.int64)})
+        def count():
+            at = np.concatenate(held).view(np.uint64) & np.uint64(counters - 1)
+            table[:] += np.bincount(at.astype(np.int64), minlength=counters).astype(np.uint32)
 
         for batch in batches:
             ids, ns = [], []
@@ -115,32 +116,60 @@ def _survey(rows: DataFrame, span: int) -> DataFrame:
                 ids.append(set_id(s) if len(s) else None)
                 ns.append(len(s))
                 if len(s) and ids[-1] not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
                     seen.add(ids[-1])
                     held.append(s)
                     size += len(s)
                 if size >= CHUNK:
-                    yield frequent()
-                    held, size, seen = [], 0, set()
+                    count()
+                    held, size = [], 0
             yield pa.RecordBatch.from_pydict({
                 "kind": pa.array([0] * len(ns), pa.int32()), "x": batch.column(0), "y": pa.array(ids, pa.int64()),
-                "n": pa.array(ns, pa.int64())})
+                "n": pa.array(ns, pa.int64()), "data": pa.nulls(len(ns), pa.binary())})
         if held:
-            yield frequent()
+            count()
+        for c in range(0, counters, CELL):
+            cell = table[c:c + CELL]
+            if cell.any():
+                yield pa.RecordBatch.from_pydict({
+                    "kind": pa.array([1], pa.int32()), "x": pa.array([c // CELL], pa.int64()),
+                    "y": pa.array([None], pa.int64()), "n": pa.array([0], pa.int64()),
+                    "data": pa.array([zlib.compress(cell.tobytes(), 1)], pa.binary())})
 
-    return rows.mapInArrow(task, "kind int, x long, y long, n long")
+    return rows.mapInArrow(task, "kind int, x long, y long, n long, data binary")
 
 
-def _index(rows: DataFrame, common: np.ndarray, span: int, percent: int) -> DataFrame:
-    """Rows (token, id, n, pos): the prefixes of all distinct sets of each task.
+def _frequencies(survey: DataFrame, counters: int) -> np.ndarray:
+    """The summed counters in steps of an eighth of a power of two, one byte each."""
+    spark = survey.sparkSession
+    parts = min(counters // CELL, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    ``common``: frequent shingles, most frequent first.
-    """
-    sc = rows.sparkSession.sparkContext
-    by_value = np.argsort(common)
-    shared = sc.broadcast((common[by_value], by_value))       # at most COMMON numbers
+    def task(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for x, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                cell = np.frombuffer(zlib.decompress(data.as_py()), np.uint32)
+                sums[x] = sums[x] + cell if x in sums else cell.astype(np.uint64)
+        for x, c in sums.items():
+            steps = np.minimum(255, np.floor(8 * np.log2(c + 1.0))).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"x": pa.array([x], pa.int64()), "steps": pa.array([steps.tobytes()], pa.binary())})
+
+    cells = survey.filter("kind = 1").select("x", "data").repartition(max(1, parts), "x").mapInArrow(task, "x long, steps binary")
+    out = np.zeros(counters, np.uint8)
+    got = cells.toArrow()                                                # ``counters`` bytes in all
+    for x, steps in zip(got.column("x").to_pylist(), got.column("steps")):
+        out[x * CELL:(x + 1) * CELL] = np.frombuffer(steps.as_py(), np.uint8)
+    return out
+
+
+def _index(rows: DataFrame, steps: np.ndarray, span: int, percent: int) -> DataFrame:
+    """Rows (token, id, n, pos): the prefixes of all distinct sets of each task, rare shingles first."""
+    shared = rows.sparkSession.sparkContext.broadcast(steps)             # at most 2 ** MOST_COUNTERS bytes
 
     def task(batches):
-        values, rank = shared.value
+        steps = shared.value
+        mask = np.uint64(len(steps) - 1)
         seen: set[int] = set()
         for batch in batches:
             cols = [[], [], [], []]
@@ -156,14 +185,8 @@ def _index(rows: DataFrame, common: np.ndarray, span: int, percent: int) -> Data
                 seen.add(i)
                 n = len(s)
                 size = min(n, n - -(-percent * n // 100) + meetings(n, percent))
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    frequent = values[at] == s
-                    rare, often = s[~frequent], s[frequent]
-                    if len(rare) < size:
-                        often = often[np.argsort(-rank[at[frequent]], kind="stable")]
-                        rare = np.concatenate([rare, often])
-                    s = rare
+                # By frequency, then by value: the sets are sorted by value.
+                s = s[np.argsort(steps[s.view(np.uint64) & mask], kind="stable")]
                 cols[0].append(s[:size])
                 cols[1].append(np.full(size, i))
                 cols[2].append(np.full(size, n))
@@ -219,16 +242,15 @@ def _lists(index: DataFrame, percent: int) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, floor: float, span: int,
-             percent: int) -> DataFrame:
+             percent: int, map_bits: int) -> DataFrame:
     """Rows (a, b, j, linked) of the pairs of set ids whose Jaccard similarity is ``floor`` or more."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(sets, "id").select("key")
-    bit = F.pmod(F.xxhash64("key"), F.lit(1 << MAP_BITS))
+    bit = F.pmod(F.xxhash64("key"), F.lit(1 << map_bits))
     words = wanted.select(bit.alias("bit")).selectExpr(
         "cast(bit div 32 as int) as w", "shiftleft(1L, cast(bit % 32 as int)) as v")
-    got = words.groupBy("w").agg(F.bit_or("v").alias("v")).collect()        # at most 2^17 rows, however many keys
-    bits = np.zeros(1 << (MAP_BITS - 5), np.uint32)
-    for w, v in got:
-        bits[w] = v
+    got = words.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()        # at most 2 ** (map_bits - 5) rows
+    bits = np.zeros(1 << (map_bits - 5), np.uint32)
+    bits[got.column("w").to_numpy()] = got.column("v").to_numpy().astype(np.uint32)
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def fetch(batches):
@@ -275,14 +297,15 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key"), text_or_empty(text).alias("t"))
-    survey = stored(_survey(rows, span), "jaccard-survey")
+    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    counters = 1 << min(MOST_COUNTERS, max(LEAST_COUNTERS, (chars // CHARS_PER_COUNTER).bit_length()))
+    survey = stored(_survey(rows, span, counters), "jaccard-survey")
     of_doc = survey.filter("kind = 0").select(F.col("x").alias("key"), F.col("y").alias("id"), "n")
-    often = survey.filter("kind = 1").groupBy("x").agg(F.sum("y").alias("c")).orderBy(F.desc("c"), "x").limit(COMMON)
-    common = np.array([r[0] for r in often.collect()], np.int64)
     sets = of_doc.filter("id IS NOT NULL").groupBy("id").agg(
         F.min("key").alias("key"), F.first("n").alias("n"), F.count(F.lit(1)).alias("n_equal")).checkpoint()
+    map_bits = min(MOST_MAP, max(LEAST_MAP, (4 * sets.count()).bit_length()))
 
-    lists = stored(_lists(_index(rows, common, span, percent), percent), "jaccard-lists")
+    lists = stored(_lists(_index(rows, _frequencies(survey, counters), span, percent), percent), "jaccard-lists")
     # A pair that is split over several pivots may be passed over here: the block step finds it.
     to_pivot = lists.filter("kind = 1").groupBy(F.col("id").alias("a"), F.col("other").alias("b")).agg(
         F.count(F.lit(1)).alias("met"), F.first("n").alias("n")).filter(_met_enough(F.col("n"), percent))
@@ -290,7 +313,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
         links.join(sets.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
         .select(F.col("ka").alias("a"), F.col("kb").alias("b")))
-    first = _checked(to_pivot, sets, rows, percent / 100 - 1e-9, span, percent).filter("linked").checkpoint()
+    first = _checked(to_pivot, sets, rows, percent / 100 - 1e-9, span, percent, map_bits).filter("linked").checkpoint()
     label = components(first.select("a", "b"))
     pivots = first.groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.col("a").alias("p"), "j")).alias("x")).select(
         "id", "x.p", "x.j")
@@ -313,14 +336,14 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     probes = probes.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b"), "n").agg(
         F.count_distinct("token").alias("met"), F.min("n0").alias("n0"))
     probes = probes.filter(_met_enough(F.least("n", "n0"), percent)).select("a", "b")
-    second = _checked(probes, sets, rows, 1 - 2 * (1 - percent / 100) - 1e-9, span, percent).checkpoint()
+    second = _checked(probes, sets, rows, 1 - 2 * (1 - percent / 100) - 1e-9, span, percent, map_bits).checkpoint()
 
     # Members of a near pivot that the triangle inequality leaves.
     members = pivots.select(F.col("p").alias("a"), F.col("id").alias("member"), F.col("j").alias("jm"))
     third = second.select("a", "b", "j").join(members, "a").filter(
         (1 - F.col("j")) <= (1 - F.col("jm")) + (1 - percent / 100) + 1e-9)
     third = third.select(F.col("member").alias("a"), "b").filter("a <> b").distinct()
-    third = _checked(third, sets, rows, percent / 100 - 1e-9, span, percent)
+    third = _checked(third, sets, rows, percent / 100 - 1e-9, span, percent, map_bits)
     links = first.filter("linked").select("a", "b").union(second.filter("linked").select("a", "b")).union(
         third.filter("linked").select("a", "b"))
     group = components(by_key(links))
