@@ -9,6 +9,7 @@ Texts of Latin characters only are cut by the same pattern written for the faste
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import unicodedata
@@ -33,6 +34,7 @@ LATIN_PATTERN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_
 NOT_LATIN = re.compile(f"[^\\x00-{chr(LATIN - 1)}]")
 CACHE_WORDS = 400_000
 CACHED_WORD_CHARS = 64
+BATCH_WORDS = 10_000                       # new words handed to the library at once
 _ENCODERS: dict = {}
 
 
@@ -43,6 +45,7 @@ def words_of(text: str) -> list[str]:
 
 class WordEncoder:
     def __init__(self, path: str, plain_specials: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # a task has one core; its process was forked
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = plain_specials
         self.specials = [] if plain_specials else [
@@ -58,9 +61,11 @@ class WordEncoder:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cut = [None if any(s in t for s in self.specials) else words_of(t) for t in texts]
-        new = {w for ws in cut if ws for w in ws} - self.cache.keys()
-        for w in new:
-            self.cache[w] = self._ids(w)
+        new = list({w for ws in cut if ws for w in ws} - self.cache.keys())
+        for i in range(0, len(new), BATCH_WORDS):              # without offsets, which only whole texts would need
+            some = new[i:i + BATCH_WORDS]
+            for w, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
+                self.cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         get = self.cache.__getitem__
         out = [np.frombuffer(b"".join(map(get, ws)) if ws is not None else self._ids(t), "<u4")
                for t, ws in zip(texts, cut)]
