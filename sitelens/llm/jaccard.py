@@ -17,7 +17,9 @@ answers: pairs within a component are never looked at again, so a group of m nea
 copies costs about m checks.  What is left are pairs of different components that
 meet in a list.  A list is then a few blocks (pivot; least and greatest size and
 position of its members), blocks whose sizes or positions rule a link out are
-skipped, and a set is checked against a block's pivot.  By the triangle inequality
+skipped - a position counts only the shingles before it that lie in lists of two
+components, no others can be common - and a set is checked against a block's pivot
+if the lists they meet in leave a link possible.  By the triangle inequality
 of the Jaccard distance, only if it is within
 1 - percent / 100 + d(pivot, member) of the pivot can it link with a member, and only those members are checked.  No link between
 different components can be missed, so components are exact.
@@ -34,7 +36,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.llm.common import prepare, salted_join, stored, text_or_empty
@@ -45,7 +47,7 @@ PERCENT = 85
 CHARS_PER_COUNTER = 64                     # of text; the counters of shingle frequencies grow with the corpus
 LEAST_COUNTERS, MOST_COUNTERS = 20, 26     # as powers of two: 1 to 64 MB to broadcast
 CELL = 1 << 16                             # counters of one row while they are summed
-CHUNK = 4_000_000                          # shingles counted at once in a task
+CHUNK = 1_000_000                          # shingles counted at once in a task
 LEAST_MAP, MOST_MAP = 22, 28               # bits of the map of wanted sets, as powers of two: at most 32 MB
 NULL_KEY = -(2 ** 63)                      # stands for a null key; counts as the smallest
 _CACHE: dict[bytes, int] = {}
@@ -100,14 +102,19 @@ def _met_enough(n: Column, percent: int) -> Column:
     return F.col("met") >= 1 + F.floor((100 - percent) * n / 500)
 
 
+def _beyond(n: Column, percent: int) -> Column:
+    """How many shingles of a set of n are not indexed."""
+    return F.greatest(F.lit(0), F.ceil(percent * n / F.lit(100)) - 1 - F.floor((100 - percent) * n / 500))
+
+
 def _survey(rows: DataFrame, span: int, counters: int) -> DataFrame:
     """Rows (kind 0: key, set id, size) per document and (kind 1: cell, compressed counters) per task."""
     def task(batches):
         table, held, size, seen = np.zeros(counters, np.uint32), [], 0, set()
 
         def count():
-            at = np.concatenate(held).view(np.uint64) & np.uint64(counters - 1)
-            table[:] += np.bincount(at.astype(np.int64), minlength=counters).astype(np.uint32)
+            at, n = np.unique(np.concatenate(held).view(np.uint64) & np.uint64(counters - 1), return_counts=True)
+            table[at] += n.astype(np.uint32)
 
         for batch in batches:
             ids, ns = [], []
@@ -324,18 +331,28 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
         "token", "id", "n", "pos", F.coalesce("label", "id").alias("label"), F.coalesce("p", "id").alias("p"))
     entries = entries.checkpoint()
     mixed = entries.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-    entries = entries.join(mixed.select("token"), "token", "left_semi")
+    # Only shingles of such lists can be common to sets of two components: ``q`` of them stand before a position.
+    entries = entries.join(mixed.select("token"), "token", "left_semi").withColumn(
+        "q", F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1).checkpoint()
     blocks = entries.groupBy("token", "label", "p").agg(
-        F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"))
+        F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.max("pos").alias("p1"),
+        F.max("q").alias("q1"), F.min("id").alias("i0"), F.max("id").alias("i1"))
     blocks = blocks.withColumnRenamed("label", "block_label").withColumnRenamed("p", "pivot")
     least = F.ceil(F.lit(percent) * (F.col("n") + F.col("n0")) / (100 + percent))
-    most = F.least("pos", "p1") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n1") - F.col("p0") - 1)
+    most = F.least("q", "q1") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n1") - F.col("p0") - 1)
     probes = entries.join(blocks, "token").filter(
         (F.col("block_label") < F.col("label")) & (100 * F.col("n1") >= percent * F.col("n"))
         & (100 * F.col("n") >= percent * F.col("n0")) & (most >= least))
     probes = probes.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b"), "n").agg(
-        F.count_distinct("token").alias("met"), F.min("n0").alias("n0"))
-    probes = probes.filter(_met_enough(F.least("n", "n0"), percent)).select("a", "b")
+        F.count_distinct("token").alias("met"), F.min("n0").alias("n0"), F.max("n1").alias("n1"),
+        F.max("pos").alias("x"), F.max("p1").alias("y"), F.min("i0").alias("i0"), F.max("i1").alias("i1"))
+    # Common shingles up to the end of the shorter prefix have all been met; the others lie beyond it.  With one
+    # member only, those that have not been met come after the last that has.
+    least = F.ceil(F.lit(percent) * (F.col("n") + F.col("n0")) / (100 + percent))
+    after = F.when(F.col("i0") == F.col("i1"), F.least(F.col("n") - F.col("x") - 1, F.col("n1") - F.col("y") - 1))
+    beyond = F.greatest(_beyond(F.col("n"), percent), _beyond(F.col("n1"), percent))
+    probes = probes.filter((F.col("met") + F.least(beyond, F.coalesce(after, beyond)) >= least)
+                           & _met_enough(F.least("n", "n0"), percent)).select("a", "b")
     second = _checked(probes, sets, rows, 1 - 2 * (1 - percent / 100) - 1e-9, span, percent, map_bits).checkpoint()
 
     # Members of a near pivot that the triangle inequality leaves.
