@@ -3,14 +3,16 @@
 ``STAGES`` are (name, function) pairs; each function takes (spark, docs, sf_dir)
 and returns a DataFrame that is written as Parquet and read again as the next
 stage's documents.  All stages but the last return the columns of documents.
-Rows with one doc_id are one document; rows without a doc_id share one verdict of
-the quality rules and of the sampling, and are never removed as duplicates.
+A row is told from others by all its columns, not by its doc_id: rows that share an id and
+differ in anything else are documents of their own, also rows without an id.  Rows equal in
+every column are copies and share each verdict; the near-duplicate stage keeps one of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitelens.llm.common import prepare, stored
 from sitelens.llm.jaccard import similar_groups
@@ -24,32 +26,47 @@ from sitelens.llm.spm import encoded_documents
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``ids`` (null matches null)."""
-    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a 64-bit key of all columns, and that column's name."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    parts: list[Column] = []
+    for f in docs.schema:
+        c = F.col(f"`{f.name}`")
+        nested = isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))
+        parts += [F.to_json(F.struct(c.alias("v"))) if nested else c, c.isNull()]     # a null must leave its mark
+    return docs.withColumn(name, F.xxhash64(*parts)), name
+
+
+def _only(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` (with key ``name``) whose key is among ``rows``, without the key."""
+    return docs.join(rows.select(name).distinct(), name, "left_semi").drop(name)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     prepare(spark)
-    return _only(docs, quality(docs).filter("kept"))
+    rows, name = _keyed(docs)
+    return _only(rows, quality(rows, key=name).filter("kept"), name).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id."""
+    """Of each group of near duplicates, the document with the smallest doc_id (rows without one come last)."""
     prepare(spark)
-    named = docs.filter("doc_id IS NOT NULL")
-    groups = similar_groups(named, span=NEAR_WORDS, percent=NEAR_PERCENT)
-    firsts = groups.filter("doc_id = component_id").select("doc_id")
-    kept = named.join(firsts.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    rows, name = _keyed(docs)
+    groups = similar_groups(rows, key=name, span=NEAR_WORDS, percent=NEAR_PERCENT).select(name, "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(name)))
+    firsts = groups.join(rows.select(name, "doc_id").distinct(), name).groupBy("component_id").agg(first.alias("x"))
+    kept = rows.join(firsts.select(F.col(f"x.{name}").alias(name)), name, "left_semi")
+    return kept.dropDuplicates([name]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose token weights meet the smoothed source, language and topic shares."""
     prepare(spark)
-    return _only(docs, mix(docs).filter("sampled"))
+    rows, name = _keyed(docs)
+    return _only(rows, mix(rows, key=name).filter("sampled"), name).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
