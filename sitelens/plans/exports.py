@@ -123,12 +123,14 @@ WHERE list_contains(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), 'with
 def fulltext_documents_index(r: Roles, q: str = F8_QUERY):
     """Same query answered from the stored inverted index, which is written once per table and session."""
     docs = _documents(r)
-    key = (r.spark.sparkContext.applicationId, r.extra["sf_dir"])
-    if key not in _INDEXES:
+    key = (r.spark.sparkContext.applicationId, r.extra.get("sf_dir"))
+    index = _INDEXES.get(key)
+    if index is None:
         index = TextIndex(r.spark, f"{checkpoint_dir(r.spark)}/text-index-{uuid.uuid4().hex}")
         index.add(docs, "doc_id", "text")
-        _INDEXES[key] = index
-    return _INDEXES[key].rows(docs.select("doc_id", "lang", "source", "n_chars"), "doc_id", q)
+        if key[1] is not None:                        # a table without a name is indexed for this query alone
+            _INDEXES[key] = index
+    return index.rows(docs.select("doc_id", "lang", "source", "n_chars"), "doc_id", q)
 
 
 @query("F8S", "fulltext_site_descriptions", r"""

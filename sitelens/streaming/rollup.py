@@ -43,7 +43,12 @@ def merge_days(table: SnapshotTable, days: DataFrame, txn: str | None = None) ->
 def month_writer(table: SnapshotTable, name: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch body: the days that a micro-batch closes; a replayed batch commits nothing anew."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        merge_days(table, batch, f"{name}-{batch_id}")
+        days = batch.persist()
+        try:
+            days.count()          # the stream's state must advance even if the months hold these days already
+            merge_days(table, days, f"{name}-{batch_id}")
+        finally:
+            days.unpersist()
     return run
 
 

@@ -64,7 +64,7 @@ def test_every_query_runs_on_empty_tables(spark):
     empty = Roles(**frames, extra={"documents": docs})
     failures = {}
     for name, spec in REGISTRY.items():
-        if name.startswith("m"):      # jobs read request tables derived from the driver data
+        if name.startswith(("m", "t1", "t2", "t4")):      # these read request tables derived from the driver data
             continue
         try:
             spec.fn(empty).count()
