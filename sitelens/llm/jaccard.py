@@ -344,7 +344,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
         (F.col("block_label") < F.col("label")) & (100 * F.col("n1") >= percent * F.col("n"))
         & (100 * F.col("n") >= percent * F.col("n0")) & (most >= least))
     probes = probes.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b"), "n").agg(
-        F.count_distinct("token").alias("met"), F.min("n0").alias("n0"), F.max("n1").alias("n1"),
+        F.count(F.lit(1)).alias("met"), F.min("n0").alias("n0"), F.max("n1").alias("n1"),      # a list has one block a pivot
         F.max("pos").alias("x"), F.max("p1").alias("y"), F.min("i0").alias("i0"), F.max("i1").alias("i1"))
     # Common shingles up to the end of the shorter prefix have all been met; the others lie beyond it.  With one
     # member only, those that have not been met come after the last that has.
