@@ -13,7 +13,7 @@ from sitelens.plans import REGISTRY  # noqa: E402
 def main() -> None:
     print("| survey id | `queries()` key | check | what |")
     print("|---|---|---|---|")
-    groups = ["C-X", "C-S", "X", "C-E", "C-G", "C-A", "C-P", "C-V", "D", "B", "U", "L", "K", "F", "M", "T"]
+    groups = ["C-X", "C-S", "X", "C-E", "C-G", "C-A", "C-P", "C-V", "D", "B", "U", "L", "N", "K", "F", "M", "T"]
 
     def order(item):
         qid = item[1].qid
