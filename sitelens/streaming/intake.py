@@ -2,9 +2,9 @@
 
 * T1 / T2 — booking requests and payment attempts arrive as Parquet files.  What a
   request has to know of earlier ones (the visitor of a guest's e-mail, whether a
-  booking is paid) is keyed state (``sitelens.streaming.state``), filled once from the
-  stored tables; no micro-batch reads what earlier ones wrote.  ``foreachBatch`` then
-  writes each output under ``<sink>/<table>/batch_id=<n>`` with overwrite, so a replayed
+  booking is paid) is keyed state (``sitelens.streaming.state``); what the stored tables
+  know is read once, into a copy beside the checkpoint that the stream joins.  No
+  micro-batch reads what earlier ones wrote.  ``foreachBatch`` then writes each output under ``<sink>/<table>/batch_id=<n>`` with overwrite, so a replayed
   micro-batch (after a failure) replaces its own output instead of appending twice.
 * T3 — bookings and revenue per tumbling day window, with a watermark; late
   rows past the watermark are dropped, closed windows are appended.  Spark
@@ -30,7 +30,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sitelens.jobs import intake
 from sitelens.sources.roles import ROLE_SCHEMAS, Roles
-from sitelens.streaming.state import booking_states, known_guests, settle, use_keyed_state, with_visitors
+from sitelens.streaming.state import booking_states, decided, known_guests, settle, use_keyed_state, with_visitors
 
 BOOKING_REQUEST_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType()), T.StructField("ts", T.TimestampType()),
@@ -116,7 +116,7 @@ def booking_batch_writer(roles: Roles, sink: str) -> Callable[[DataFrame, int],
 def payment_batch_writer(sink: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch body of T2 over the outcomes of the attempts."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = _naive(batch, "ts").persist()
+        batch = decided(_naive(batch, "ts")).persist()
         try:
             won = batch.where(F.col("reject_reason").isNull())
             changes = won.select("payment_id", "booking_id", "change", "attempt_no", "acquirer_id", F.col("price").alias("amount"),
@@ -143,15 +143,22 @@ def _start(stream: DataFrame, writer: Callable[[DataFrame, int], None], checkpoi
     return w.start()
 
 
-def booking_stream(roles: Roles, requests: DataFrame, dedupe_delay: str | None = "1 hour") -> DataFrame:
-    """T1 up to the sink: (T4 dedupe) → checks and prices → a guest's visitor from keyed state."""
+def _stored(spark: SparkSession, df: DataFrame, checkpoint: str) -> DataFrame:
+    """A copy of ``df`` from the stream's first start: every micro-batch, replayed or not, joins the same rows."""
+    path = f"{checkpoint.rstrip('/')}/stored"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def booking_stream(roles: Roles, requests: DataFrame, known: DataFrame, dedupe_delay: str | None = "1 hour") -> DataFrame:
+    """T1 up to the sink: (T4 dedupe) → checks and prices → a guest's visitor, stored (``known``) or new."""
     if dedupe_delay:
         requests = dedupe_requests(requests, delay=dedupe_delay)
     checked = intake.checked_requests(roles, requests)
     guest = F.col("reject_reason").isNull() & F.col("visitor_id").isNull()
     first_key = roles.visitors.agg(F.coalesce(F.max("visitor_id"), F.lit(0))).first()[0] + 1
-    guests = with_visitors(checked.where(guest), known_guests(roles), first_key)
-    return guests.unionByName(checked.where(~guest).withColumn("new_visitor", F.lit(False)))
+    return with_visitors(checked, guest, known, first_key)
 
 
 def start_booking_stream(spark: SparkSession, roles: Roles, source: str, sink: str, checkpoint: str,
@@ -160,7 +167,8 @@ def start_booking_stream(spark: SparkSession, roles: Roles, source: str, sink: s
     """Booking requests → bookings, payments, new visitors, rejects per micro-batch."""
     use_keyed_state(spark)
     requests = _source(spark, source, BOOKING_REQUEST_SCHEMA, max_files_per_trigger)
-    return _start(booking_stream(roles, requests, dedupe_delay), booking_batch_writer(roles, sink), checkpoint, available_now)
+    known = _stored(spark, known_guests(roles), checkpoint)
+    return _start(booking_stream(roles, requests, known, dedupe_delay), booking_batch_writer(roles, sink), checkpoint, available_now)
 
 
 def start_payment_stream(spark: SparkSession, roles: Roles, source: str, sink: str, checkpoint: str,
@@ -177,7 +185,7 @@ def start_payment_stream(spark: SparkSession, roles: Roles, source: str, sink: s
         attempts = dedupe_requests(attempts, delay=dedupe_delay)
     more = spark.readStream.schema(ROLE_SCHEMAS["bookings"]).parquet(new_bookings) if new_bookings else None
     first_key = roles.payments.agg(F.coalesce(F.max("payment_id"), F.lit(0))).first()[0] + 1
-    outcomes = settle(attempts, booking_states(roles), first_key, more)
+    outcomes = settle(attempts, _stored(spark, booking_states(roles), checkpoint), first_key, more)
     return _start(outcomes, payment_batch_writer(sink), checkpoint, available_now)
 
 

@@ -199,6 +199,51 @@ def test_t2_settles_bookings_made_after_the_start_and_refuses_the_rest(spark, ro
         (6, "booking_not_found"), (7, "booking_not_found")]
 
 
+def test_t2_stored_bookings_need_no_python_state(spark, roles, scratch):
+    from sitelens.streaming.state import booking_states, settle
+    src = os.path.join(scratch, "att")
+    os.makedirs(src)
+    plan = settle(spark.readStream.schema(PAYMENT_ATTEMPT_SCHEMA).parquet(src), booking_states(roles), 1)
+    assert "TransformWithState" not in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_t1_state_holds_no_stored_visitor(spark, roles, scratch):
+    from sitelens.streaming.state import known_guests, use_keyed_state, with_visitors
+    use_keyed_state(spark)
+    src = os.path.join(scratch, "req")
+    os.makedirs(src)
+    req = spark.readStream.schema(BOOKING_REQUEST_SCHEMA).parquet(src)
+    plan = with_visitors(req, F.col("visitor_id").isNull(), known_guests(roles), 1)._jdf.queryExecution().analyzed().toString()
+    (state,) = [line for line in plan.splitlines() if "TransformWithState" in line]
+    assert ", true, " not in state                                       # no initial state
+    stored = roles.visitors.agg(F.min("email").alias("e"), F.min("visitor_id").alias("v")).first()
+    rows = [(1, None, stored["e"].upper()), (2, None, "new@example.org"), (3, None, "NEW@example.org"), (4, 9, stored["e"])]
+    rows = [(i, None, v, "n", e, None, 1, None, 1, "card") for i, v, e in rows]
+    spark.createDataFrame(rows, BOOKING_REQUEST_SCHEMA).write.mode("append").parquet(src)
+    got = []
+    q = (with_visitors(req, F.col("visitor_id").isNull(), known_guests(roles), 10 ** 6).writeStream
+         .foreachBatch(lambda b, _: got.extend(_rows(b, "request_id", "visitor_id", "new_visitor")))
+         .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    vid = {r["email"]: r["visitor_id"] for r in roles.visitors.collect()}[stored["e"]]
+    assert sorted(got) == [(1, vid, False), (2, 10 ** 6 + 2, True), (3, 10 ** 6 + 2, False), (4, 9, False)]
+
+
+def test_t2_one_attempt_settles_within_a_batch_and_over_batches(spark, roles, scratch):
+    import datetime as dt
+    src, sink, ck = (os.path.join(scratch, x) for x in ("att", "sink", "ckpt"))
+    (b,) = roles.bookings.where("payment_status = 'pending' AND booked_ticket_price > 0").limit(1).collect()
+    day = [dt.datetime(2003, 1, d) for d in range(1, 5)]
+    for tries in ([(5, day[2], b["booking_id"], "card"), (6, day[1], b["booking_id"], "nagad"), (7, day[0], b["booking_id"], "x")],
+                  [(8, day[0], b["booking_id"], "card")]):
+        spark.createDataFrame(tries, PAYMENT_ATTEMPT_SCHEMA).write.mode("append").parquet(src)
+        start_payment_stream(spark, roles, src, sink, ck).awaitTermination(300)
+    assert _rows(spark.read.parquet(f"{sink}/settled"), "booking_id", "ts", "method") == [(b["booking_id"], day[1], "nagad")]
+    rejects = _rows(spark.read.parquet(f"{sink}/rejects"), "request_id", "reject_reason")
+    assert rejects[:2] == [(5, "already_paid"), (7, "invalid_method")]   # 8 is late for the watermark or finds the booking paid
+    assert rejects[2:] in ([], [(8, "already_paid")])
+
+
 def test_batch_runner_is_idempotent(spark, roles, scratch):
     from sitelens.jobs.runner import run_booking_intake
     req = rq.booking_requests(spark, roles.extra["sf_dir"]).withColumn("ts", F.col("ts").cast("timestamp"))
