@@ -113,6 +113,15 @@ def test_related_sites_capped_equals_brute(roles):
     assert sorted(zip(brute.site_id.tolist(), brute.site_id_o.tolist())) == rows(got, "site_id", "related_id")
 
 
+def test_related_sites_deals_sites_before_sorting(roles):
+    plan = REGISTRY["d26_related_sites"].fn(roles)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Window [" in line:
+            assert any("RepartitionByExpression" in below for below in lines[i:])
+    assert plan.count("RepartitionByExpression") == 3
+
+
 def test_fulltext_tokens_not_substrings(seed):
     # 'Museums nearby' must not match the token 'museum'; short words are ignored.
     got = rows(REGISTRY["c_s28_fulltext_sample"].fn(seed), "site_id")
