@@ -122,6 +122,16 @@ def test_related_sites_deals_sites_before_sorting(roles):
     assert plan.count("RepartitionByExpression") == 3
 
 
+def test_exact_profile_copies_no_row_per_column(spark):
+    from sitelens.operators.checks import profile_table
+    df = spark.createDataFrame([(1, "a"), (1, None), (3, "b"), (None, "b")], "k long, v string")
+    got = profile_table(df, "t", exact=True)
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[1:] for r in got.orderBy("ordinal").collect()] == [
+        (1, "k", "bigint", True, 4, 1, 2, "1", "3"), (2, "v", "string", True, 4, 1, 2, "a", "b")]
+    assert [tuple(r)[5:] for r in profile_table(df.limit(0), "t", exact=True).collect()] == [(0, 0, 0, None, None)] * 2
+
+
 def test_fulltext_tokens_not_substrings(seed):
     # 'Museums nearby' must not match the token 'museum'; short words are ignored.
     got = rows(REGISTRY["c_s28_fulltext_sample"].fn(seed), "site_id")
