@@ -75,14 +75,15 @@ def block_requests(blocked: DataFrame, cut: Cut) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            for b, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for b, t in zip(batch.column("block").to_pylist(), batch.column("t")):
                 if b != block:
                     yield from rows()
                     block = b
                 held.update(cut(t.as_py()))
         yield from rows()
 
-    return blocked.select("block", "t").mapInArrow(task, "block long, word binary")
+    # All columns go in, so that this plan's exchange of the texts is the one that their cogroup reads too.
+    return blocked.mapInArrow(task, "block long, word binary")
 
 
 def map_blocks(blocked: DataFrame, dictionary: DataFrame, cut: Cut, work, schema: str) -> DataFrame:
