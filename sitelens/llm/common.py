@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.session import checkpoint_dir
+from sitelens.session import apply_defaults, checkpoint_dir
 
 #: A word is a run of characters other than space, tab, \n, \v, \f and \r.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -21,7 +21,8 @@ _SHIPPED: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Once per application: name the checkpoint folder and send this package to the Python workers."""
+    """Session defaults; once per application: name the checkpoint folder and send this package to the Python workers."""
+    apply_defaults(spark)
     checkpoint_dir(spark)
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:

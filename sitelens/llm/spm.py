@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 Texts are cut where no piece can reach across (before a run of spaces, between
-characters that no piece holds side by side).  For every distinct word the bounded-length substrings are
-exploded and equi-joined to the piece table: the edges of the word's lattice.
-Edges are grouped by word - words are already dealt by word, so without another
-shuffle - and a higher-order aggregate folds the lattice to the best path:
+characters that no piece holds side by side).  Each task numbers the distinct words
+it meets and hands on every new word, then the texts as numbers of words.  The
+bounded-length substrings of each new word are exploded and equi-joined to the piece
+table: the edges of the word's lattice, folded to the best path:
 
 * unigram models: Viterbi over end positions, best score first;
 * BPE models: the path starts with single characters; every step takes the edge of
@@ -12,9 +12,11 @@ shuffle - and a higher-order aggregate folds the lattice to the best path:
   Viterbi over the piece scores would not give the ids that the library defines for
   such a model, so the fold follows the model type.
 
-Characters without a piece become byte pieces.  Texts then meet the words' ids block
-by block (``blocks``).  Decoding looks every id's bytes up and joins them, in
-DataFrame functions only.
+Characters without a piece become byte pieces.  All of this is one chain of narrow steps: a
+word's edges follow each other and stand before the texts that hold it, so neither
+texts nor words are shuffled or stored, and a word is folded once per task (again after
+HELD_WORDS others).  Decoding looks every id's bytes up and joins them, in DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm.blocks import block_requests, in_blocks
-from sitelens.llm.common import prepare, stored
+from sitelens.llm.common import prepare, text_or_empty
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -104,75 +106,76 @@ def cutter(pairs: set[str]):
     return cut
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def lattice(words: DataFrame, model: Model, window: int | None = None) -> DataFrame:
-    """Rows (word, edges): all pieces of each distinct word as (cost, s, e, id).
-
-    ``window``: long words are first cut into overlapping windows of so many starts, as
-    a substring takes time by its distance from the start of its string.
-    """
-    pieces = F.broadcast(model.table(words.sparkSession))
-    w = words.select("word", F.decode("word", "UTF-8").alias("w"), F.lit(0).alias("a"))
-    n = F.length("w")
-    if window:
-        w = w.select("word", "w", F.explode(F.sequence(F.lit(0), n - 1, F.lit(window))).alias("a"))
-        w = w.select("word", F.substring("w", F.col("a") + 1, F.lit(window + model.longest - 1)).alias("w"), "a")
-        n = F.least(n, F.lit(window))
-    starts = w.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    subs = starts.select("word", "a", "s", F.explode(F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("w") - F.col("s"))),
-        lambda n: F.substring("w", F.col("s") + 1, n))).alias("piece"))
-    edges = subs.join(pieces, "piece").select(
-        "word", "cost", (F.col("a") + F.col("s")).alias("s"), F.length("piece").alias("size"), "id")
-    edges = edges.select("word", F.struct("cost", "s", (F.col("s") + F.col("size")).alias("e"), "id").alias("edge"))
-    return edges.groupBy("word").agg(F.collect_list("edge").alias("edges"))
-
-
-def _with_edges(words: DataFrame, model: Model, window: int | None = None) -> DataFrame:
-    return words.join(lattice(words, model, window), "word", "left").select(
-        "word", F.decode("word", "UTF-8").alias("w"), F.coalesce("edges", F.array().cast(
-            "array<struct<cost:double,s:int,e:int,id:int>>")).alias("edges"))
-
-
-MASK_CHARS = 62                            # bytes of a word whose bounds fit a long for sure; longer words take a heap
+HELD_WORDS = 400_000                       # distinct words of a task before it numbers them anew
 WINDOW = 1024                              # starts of a long word's substrings that are taken from one string
 
 
-def with_bpe_bounds(rows: DataFrame) -> DataFrame:
-    """Add ``bounds``, the token bounds of ``w``: merge the best edge over two neighbouring parts until none is left.
+class _Numbers(dict):
+    """Numbers of words in the order in which they are first asked for; ``new`` lists those not handed on yet."""
 
-    The path is the set of its bounds, one bit each in a long; words are no longer than MASK_CHARS.
-    """
-    # Values used inside lambdas are bound by _let: an inlined column would be computed for every element.
-    n = F.length("w")
-    joined = F.transform(F.filter("edges", lambda x: x["e"] - x["s"] > 1), lambda x: F.struct(
-        x["cost"].alias("cost"), x["s"].alias("s"),
-        _bit(x["s"]).bitwiseOR(_bit(x["e"])).alias("ends"), (_bit(x["e"]) - _bit(x["s"] + 1)).alias("inner")))
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
 
-    def folded(edges):
-        def step(mask, _):
-            ready = lambda x: ((mask.bitwiseAND(x["ends"]) == x["ends"])
-                               & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1))
-            return _let(F.array_min(F.filter(edges, ready))["inner"], lambda inner: F.coalesce(
-                mask.bitwiseAND(F.bitwise_not(inner)), mask))
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        number = self[word] = len(self)
+        return number
 
-        steps = F.when(n > 1, F.sequence(F.lit(2), F.least(n, F.lit(MASK_CHARS)))).otherwise(
-            F.array().cast("array<int>"))
-        # Bits 0 to n: _bit(n + 1) - 1 would overflow at 62 characters.
-        whole = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"),
-                                F.lit(63) - F.least(n, F.lit(MASK_CHARS)))
-        return _let(F.aggregate(steps, whole, step), lambda mask: F.filter(
-            F.sequence(F.lit(0), n), lambda i: mask.bitwiseAND(_bit(i)) != 0))
 
-    return rows.withColumn("bounds", _let(joined, folded))
+def numbered(rows: DataFrame, cut) -> DataFrame:
+    """For rows (k, t): rows (i, w), each new word and its number, before rows (k, parts), the texts that hold it.
 
+    parts: the CRC-32 of the text as it decodes (U+2581 as a space), then the numbers of its words.
+    Numbers count from 0 in each task, and again after HELD_WORDS words.
+    """
+    k = rows.schema["k"].dataType
+    schema = f"i int, w string, k {k.simpleString()}, parts binary"
 
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    def task(batches):
+        held = _Numbers()
+        for batch in batches:
+            if len(held) > HELD_WORDS:
+                held = _Numbers()
+            first, parts = len(held), []
+            for t in batch.column("t"):
+                t = t.as_py()
+                at = np.fromiter(map(held.__getitem__, cut(t)), np.int32)
+                parts.append(zlib.crc32(t.replace(SPACE, " ").encode()).to_bytes(4, "little") + at.tobytes())
+            keys, n = batch.column("k"), len(held.new)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.arange(first, first + n), pa.int32()), pa.array(held.new, pa.binary()).cast(pa.string()),
+                pa.nulls(n, keys.type), pa.nulls(n, pa.binary())], ["i", "w", "k", "parts"])
+            held.new = []
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([
+                pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), keys, pa.array(parts, pa.binary())],
+                ["i", "w", "k", "parts"])
+
+    return rows.select("k", "t").mapInArrow(task, schema)
+
+
+def lattice(rows: DataFrame, model: Model) -> DataFrame:
+    """Rows (i, s, size, id, cost, piece): all pieces of each word, and its characters without a piece (id null).
+
+    ``rows``: as ``numbered`` gives them; texts pass by.  The join is to a broadcast table, so rows keep their
+    order.  Long words are first cut into overlapping windows, as a substring takes time by its distance
+    from the start of its string.
+    """
+    pieces = F.broadcast(model.table(rows.sparkSession))
+    n = F.length("w")                                      # null for texts, as is what becomes of it (least passes nulls over)
+    within = lambda most, left: F.when(left.isNotNull(), F.least(F.lit(most), left))
+    out = rows.select("*", F.explode_outer(F.sequence(F.lit(0), n - 1, F.lit(WINDOW))).alias("a"))
+    out = out.select("i", "k", "parts", "a", within(WINDOW, n - F.col("a")).alias("starts"),
+                     F.substring("w", F.col("a") + 1, F.lit(WINDOW + model.longest - 1)).alias("w"))
+    out = out.select("i", "k", "parts", "a", "w", F.explode_outer(F.sequence(F.lit(0), F.col("starts") - 1)).alias("s"))
+    out = out.select("i", "k", "parts", "a", "w", "s", F.explode_outer(F.sequence(
+        F.lit(1), within(model.longest, n - F.col("s")))).alias("size"))
+    out = out.select("i", "k", "parts", (F.col("a") + F.col("s")).alias("s"), "size",
+                     F.substring("w", F.col("s") + 1, F.col("size")).alias("piece"))
+    out = out.join(pieces, "piece", "left").filter("id IS NOT NULL OR size = 1 OR i IS NULL")
+    return out.select("i", "s", "size", "id", "cost", F.when(F.col("id").isNull(), F.col("piece")).alias("piece"),
+                      "k", "parts")
 
 
 def merged(n: int, costs: dict[tuple[int, int], float]) -> list[int]:
@@ -200,73 +203,91 @@ def merged(n: int, costs: dict[tuple[int, int], float]) -> list[int]:
     return bounds
 
 
-def long_word_ids(words: DataFrame, model: Model) -> DataFrame:
-    """Rows (word, ids) for words of any length: the lattice's edges, merged with a heap in place of bit masks."""
-    known, unknown = model.bytes, model.unknown
+def best_path(n: int, costs: dict[tuple[int, int], float]) -> list[int]:
+    """The token bounds of the path of least total cost (earliest start on ties)."""
+    into = defaultdict(list)
+    for (s, e), c in costs.items():
+        into[e].append((s, c))
+    best = [(0.0, 0)]
+    for j in range(1, n + 1):
+        best.append(min((best[s][0] + c, s) for s, c in into[j]))
+    bounds = [n]
+    while bounds[-1]:
+        bounds.append(best[bounds[-1]][1])
+    return bounds[::-1]
+
+
+def folded(edges: DataFrame, model: Model) -> DataFrame:
+    """Rows (k, ids, text_crc32) for every text of ``numbered`` whose words went through ``lattice``."""
+    known, unknown, worst, bpe = model.bytes, model.unknown, model.worst, model.kind == BPE
+
+    def ids_of(bounds, places, ids, chars) -> bytes:
+        at, out = {x: i for i, x in enumerate(places)}, []
+        for x in zip(bounds, bounds[1:]):
+            i = at[x]
+            if ids[i] >= 0:
+                out.append(ids[i])
+            else:
+                out += [known.get(b, unknown) for b in chars[i].encode()] if known else [unknown]
+        return np.array(out, np.int32).tobytes()
 
     def task(batches):
-        for batch in batches:
-            out = []
-            for w, edges in zip(batch.column("w"), batch.column("edges")):
-                w, edges = w.as_py(), edges.values
-                s, e, cost, i = (edges.field(x).to_pylist() for x in ("s", "e", "cost", "id"))
-                places = list(zip(s, e))
-                own = dict(zip(places, i))
-                bounds = merged(len(w), {x: c for x, c in zip(places, cost) if x[1] - x[0] > 1})
-                ids = []
-                for x in zip(bounds, bounds[1:]):
-                    if x in own:
-                        ids.append(own[x])
-                    else:
-                        ids += [known.get(b, unknown) for b in w[x[0]:x[1]].encode()] if known else [unknown]
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(out, pa.list_(pa.int32()))], ["word", "ids"])
-
-    return _with_edges(words, model, WINDOW).mapInArrow(task, "word binary, ids array<int>")
-
-
-def fold_viterbi(n: Column, edges: Column, worst: float) -> Column:
-    """End positions of the tokens on the path of least total cost (earliest start on ties)."""
-    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.array(F.lit(0)).alias("path")))
-
-    def step(best, j):
-        at = lambda i, cost: _let(F.get(best, i), lambda b: F.struct(
-            (b["cost"] + cost).alias("cost"), i.alias("s"), b["path"].alias("path")))
-        into = F.transform(F.filter(edges, lambda x: x["e"] == j), lambda x: at(x["s"], x["cost"]))
-        single = F.exists(edges, lambda x: (x["e"] == j) & (x["s"] == j - 1))
-        into = F.when(single, into).otherwise(F.array_append(into, at(j - 1, F.lit(-worst))))
-        return _let(F.array_min(into), lambda b: F.array_append(best, F.struct(
-            b["cost"].alias("cost"), F.array_append(b["path"], j).alias("path"))))
-
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda best: F.element_at(best, -1)["path"])
-
-
-def word_ids(words: DataFrame, model: Model) -> DataFrame:
-    """Rows (word, ids) for distinct words (UTF-8 bytes)."""
-    if model.kind == BPE:
-        short = F.octet_length("word") <= MASK_CHARS
-        return _short_word_ids(words.filter(short), model).unionByName(long_word_ids(words.filter(~short), model))
-    return _short_word_ids(words, model)
+        words: list[bytes] = []            # the ids of the words by number
+        held: list[pa.RecordBatch] = []    # rows of a word that may go on
+
+        def work():
+            t = pa.Table.from_batches(held).combine_chunks()
+            number = t["i"].fill_null(-1).to_numpy()
+            s, size, ids = (t[x].fill_null(-1).to_numpy() for x in ("s", "size", "id"))
+            s, e, ids = s.tolist(), (s + size).tolist(), ids.tolist()
+            costs, chars, parts = t["cost"].fill_null(-worst).to_pylist(), t["piece"].to_pylist(), t["parts"]
+            starts = np.flatnonzero(np.diff(number, prepend=-2)).tolist()
+            rows, out, lens, crcs = [], [], [0], []
+            for a, b in zip(starts, [*starts[1:], len(number)]):
+                if number[a] >= 0:
+                    if number[a] == 0:
+                        words.clear()
+                    if number[a] != len(words):
+                        raise RuntimeError("a task's words have lost their order")
+                    places = list(zip(s[a:b], e[a:b]))
+                    bounds = (merged if bpe else best_path)(e[b - 1], dict(zip(places, costs[a:b])))
+                    words.append(ids_of(bounds, places, ids[a:b], chars[a:b]))
+                    continue
+                for row in range(a, b):
+                    raw = parts[row].as_py()
+                    one = b"".join([words[i] for i in np.frombuffer(raw, np.int32, offset=4).tolist()])
+                    rows.append(row)
+                    out.append(one)
+                    lens.append(lens[-1] + len(one) // 4)
+                    crcs.append(int.from_bytes(raw[:4], "little"))
+            held.clear()
+            if rows:
+                values = pa.array(np.frombuffer(b"".join(out), np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [t["k"].combine_chunks().take(pa.array(rows)),
+                     pa.ListArray.from_arrays(pa.array(lens, pa.int32()), values), pa.array(crcs, pa.int64())],
+                    ["k", "ids", "text_crc32"])
 
+        for batch in batches:
+            number = batch.column("i").fill_null(-1).to_numpy()
+            ends = np.flatnonzero(np.diff(number)) + 1
+            whole = len(number) if len(number) and number[-1] < 0 else int(ends[-1]) if len(ends) else 0
+            if whole:
+                held.append(batch.slice(0, whole))
+                yield from work()
+            if whole < len(number):
+                held.append(batch.slice(whole))
+        if held:
+            yield from work()
 
-def _short_word_ids(words: DataFrame, model: Model) -> DataFrame:
-    rows = _with_edges(words, model)
-    rows = with_bpe_bounds(rows) if model.kind == BPE else rows.withColumn(
-        "bounds", fold_viterbi(F.length("w"), F.col("edges"), model.worst))
-    byte_ids = F.array(*[F.lit(model.bytes.get(b, model.unknown)) for b in range(256)])
+    k = edges.schema["k"].dataType.simpleString()
+    return edges.mapInArrow(task, f"k {k}, ids array<int>, text_crc32 long")
 
-    def part(i):
-        s, e = F.get(F.col("bounds"), i), F.get(F.col("bounds"), i + 1)
-        own = F.get(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == e)), F.lit(0))["id"]
-        text = F.hex(F.substring("w", s + 1, e - s).cast("binary"))
-        spelled = F.transform(F.sequence(F.lit(0), (F.length(text) / 2).cast("int") - 1), lambda b: F.get(
-            byte_ids, F.conv(F.substring(text, 2 * b + 1, F.lit(2)), 16, 10).cast("int")))
-        if not model.bytes:
-            spelled = F.array(F.lit(model.unknown))
-        return F.when(own.isNotNull(), F.array(own)).otherwise(spelled)
 
-    ids = F.flatten(F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), part))
-    return rows.select("word", ids.alias("ids"))
+def word_ids(words: DataFrame, model: Model) -> DataFrame:
+    """Rows (word, ids) for words (UTF-8 bytes)."""
+    rows = words.select(F.col("word").alias("k"), F.decode("word", "UTF-8").alias("t"))
+    return folded(lattice(numbered(rows, lambda t: [t.encode()]), model), model).select(F.col("k").alias("word"), "ids")
 
 
 def encode(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,37 +295,11 @@ def encode(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
     A null or empty text has no ids.  Repeated rows are encoded each; an empty table
     gives no rows.  text_crc32 is that of the text as it decodes (U+2581 as a space).
-    Words are folded once however often they occur.  Words of more than MASK_CHARS
-    characters (runs of one sign, encoded data) are merged by a heap, in O(n log n) steps.
+    Words of a BPE model are merged by a heap, in O(n log n) steps.
     """
-    cut = cutter(model.pairs)
-    blocked = in_blocks(docs, key, text)
-    wanted = stored(block_requests(blocked, cut), "spm-words")
-    known = word_ids(wanted.select("word").distinct(), model)
-    answers = wanted.join(known, "word")
-
-    def work(texts, found):
-        flat = found.column("ids").combine_chunks() if found.num_rows else None
-        ids: dict[bytes, bytes] = {}
-        if flat is not None:
-            values, ends = flat.values.to_numpy().astype(np.int32), flat.offsets.to_numpy()
-            for i, w in enumerate(found.column("word").to_pylist()):
-                ids[bytes(w)] = values[ends[i]:ends[i + 1]].tobytes()
-        parts, lens, crcs = [], [0], []
-        for t in texts.column("t"):
-            t = t.as_py()
-            one = b"".join([ids[w] for w in cut(t)])
-            parts.append(one)
-            lens.append(lens[-1] + len(one) // 4)
-            crcs.append(zlib.crc32(t.replace(SPACE, " ").encode()))
-        values = pa.array(np.frombuffer(b"".join(parts), np.int32))
-        return pa.table({"k": texts.column("k").combine_chunks(),
-                         "ids": pa.ListArray.from_arrays(pa.array(lens, pa.int32()), values),
-                         "text_crc32": pa.array(crcs, pa.int64())})
-
-    out = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        work, "k long, ids array<int>, text_crc32 long")
-    return out.withColumnRenamed("k", key)
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("t"))
+    return folded(lattice(numbered(rows, cutter(model.pairs)), model), model).withColumnRenamed("k", key)
 
 
 def decode(ids: Column, model: Model) -> Column:
